@@ -4,26 +4,55 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skylattice.llm import packing, storage, token_files
+from skylattice.llm import html_extract, language_id, packing, storage, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: str, folds: int):
+    """Which of ``folds`` parts a document is in, by the checksum of its id as text."""
+    return F.crc32(F.col(doc_id).cast("string")) % folds
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    profiles = language_id.fit(docs.where(~held_out), "doc_id", "text", "lang")
+    found = docs.select("doc_id", held_out.alias("held_out"), language_id.predicted(F.col("text"), profiles, spark).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark, "token-files")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_token_files(spark, path, [tuple(r) for r in manifest.collect()])
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    scorer = toxicity.fit(docs, labels.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), toxicity.scored(F.col("text"), scorer, spark).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+_QUERIES = [op1_html_extraction, op3_packing, op5_language_id, op6_token_files, op9_toxicity]
+
+
 def queries() -> dict:
-    return {"op3_packing": op3_packing, "op6_token_files": op6_token_files}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import html_extract, language_id, packing, storage, token_files, toxicity
+from skylattice.llm import html_extract, language_id, ngram_join, packing, storage, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, [tuple(r) for r in manifest.collect()])
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
@@ -48,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-_QUERIES = [op1_html_extraction, op3_packing, op5_language_id, op6_token_files, op9_toxicity]
+_QUERIES = [op1_html_extraction, op3_packing, op5_language_id, op6_token_files, op8_ngram_jaccard_join, op9_toxicity]
 
 
 def queries() -> dict:

@@ -12,9 +12,11 @@ from array import array
 from functools import lru_cache
 
 BLOCK = 128
-#: White space runs, and separators that Python takes for white space but the vocabularies don't: encoded as a whole.
-_UNEVEN = re.compile(r"\s\s|[\x1c-\x1f]|^\s")
+#: Separators that Python takes for white space but the vocabularies don't: such texts are encoded as a whole.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: White space besides single spaces and line feeds.
+_UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 class Memo(dict):
@@ -25,13 +27,13 @@ class Memo(dict):
         self.encode, self.prefix, self.limit = encode, prefix, limit
 
     def learn(self, words: set) -> None:
-        new = list(words - self.keys())
+        new = [w for w in words if w not in self]
         if not new:
             return
         if len(self) + len(new) > self.limit:
             for word in list(self)[self.limit // 2 :]:
                 del self[word]
-            new = list(words - self.keys())
+            new = [w for w in words if w not in self]
         self.update(zip(new, self.encode([self.prefix + w for w in new])))
 
 
@@ -65,21 +67,31 @@ class TextEncoder:
         return [self.encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
     def _lines(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNEVEN.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        heads, rest = set(), set()
-        for lines in split:
-            for line in lines or ():
-                heads.add(line[0])
-                rest.update(line[1:])
-        self.alone.learn(heads | {"\n"})
+        plain, chunks = {}, {}
+        heads, rest = {"\n"}, set()
+        for k, t in enumerate(texts):
+            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in (" ", "\n") or _UNUSUAL.search(t):
+                if not _SEPARATORS.search(t):
+                    found = chunks[k] = _CHUNKS.findall(t)
+                    heads.update(c for c in found if c[0] != " " or c.isspace())
+                    rest.update(c[1:] for c in found if c[0] == " " and not c.isspace())
+            else:
+                lines = plain[k] = [line.split(" ") for line in t.split("\n")]
+                for line in lines:
+                    heads.add(line[0])
+                    rest.update(line[1:])
+        self.alone.learn(heads)
         self.spaced.learn(rest)
         alone, spaced, end = self.alone, self.spaced.__getitem__, self.alone["\n"]
-        return [
-            self.encode([t])[0]
-            if lines is None
-            else end.join([b"".join([alone[line[0]], *map(spaced, line[1:])]) for line in lines])
-            for t, lines in zip(texts, split)
-        ]
+        out = []
+        for k, t in enumerate(texts):
+            if k in plain:
+                out.append(end.join([b"".join([alone[line[0]], *map(spaced, line[1:])]) for line in plain[k]]))
+            elif k in chunks:
+                out.append(b"".join([spaced(c[1:]) if c[0] == " " and not c.isspace() else alone[c] for c in chunks[k]]))
+            else:
+                out += self.encode([t])
+        return out
 
 
 @lru_cache(maxsize=4)

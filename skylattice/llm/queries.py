@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import html_extract, language_id, ngram_join, packing, storage, token_files, toxicity
+from skylattice.llm import html_extract, language_id, line_rules, ngram_join, packing, storage, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-_QUERIES = [op1_html_extraction, op3_packing, op5_language_id, op6_token_files, op8_ngram_jaccard_join, op9_toxicity]
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_html_extraction, op3_packing, op5_language_id, op6_token_files, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules]
 
 
 def queries() -> dict:
@@ -61,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_rules": line_rules.SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import html_extract, language_id, line_rules, ngram_join, packing, storage, token_files, toxicity
+from skylattice.llm import embedding_dedup, html_extract, language_id, line_rules, ngram_join, packing, storage, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_html_extraction, op3_packing, op5_language_id, op6_token_files, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules]
+_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op5_language_id, op6_token_files, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules]
 
 
 def queries() -> dict:
@@ -65,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": line_rules.SQL}
+    return {"op2_embedding_near_dedup": embedding_dedup.SQL, "op10_quality_rules": line_rules.SQL}

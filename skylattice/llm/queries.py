@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import embedding_dedup, html_extract, language_id, line_rules, ngram_join, packing, storage, token_files, toxicity
+from skylattice.llm import compaction, embedding_dedup, html_extract, language_id, line_rules, merge_dropout, ngram_join, packing, storage, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merge_dropout.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "lossless")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
@@ -44,6 +49,25 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, [tuple(r) for r in manifest.collect()])
 
 
+def op7_shard_compaction(spark: SparkSession, sf_dir: str, waves: int = 4) -> DataFrame:
+    """Documents arrive in waves; each is appended and the shards are compacted. Read back: where each row lies."""
+    docs = table(spark, sf_dir, "documents")
+    store = compaction.ShardStore(spark, storage.new_path(spark, "shards"), docs.schema)
+    wave = F.pmod(F.xxhash64("doc_id"), F.lit(waves))
+    for k in range(waves):
+        store.append(docs.where(wave == k))
+        store.compact()
+        store.vacuum()
+    return store.read().select(
+        "doc_id",
+        F.length("text").cast("long").alias("text_chars"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.col("_metadata.file_name").alias("shard"),
+        F.col("_metadata.file_size").alias("shard_bytes"),
+        F.lit(store.versions()[-1]).cast("long").alias("version"),
+    )
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_copies(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
@@ -61,7 +85,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op5_language_id, op6_token_files, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules]
+_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op4_merge_dropout, op5_language_id, op6_token_files, op7_shard_compaction, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules]
 
 
 def queries() -> dict:

@@ -1 +1,3 @@
+"""Registered queries: each module registers its own when it is imported."""
 
+from skylattice.plans import evaluation, scalars  # noqa: F401

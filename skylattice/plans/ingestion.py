@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from skylattice.plans.base import r
 from skylattice.plans.evaluation import CELLS, errors
 from skylattice.plans.scalars import STEP
 from skylattice.registry import query
+from skylattice.session import new_path
 from skylattice.sources import domain
 from skylattice.sources.domain import with_tables
 
@@ -281,8 +280,8 @@ for name in ("W14_shard_position", "K01_append_captures"):
 
 
 def table_path(spark, name: str) -> str:
-    """A new table folder in the session's warehouse."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    """A new table folder in the shared folder of the session."""
+    return new_path(spark, name)
 
 
 @query("K04_cache_put", with_tables("cells_state", "SELECT kind, cell, CAST(max(id) AS BIGINT) AS id FROM cells_state WHERE status = 'cached' GROUP BY kind, cell"))

@@ -3,6 +3,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
+from skylattice.session import ship_code
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,6 +18,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship_code(session)
     yield session
 
 

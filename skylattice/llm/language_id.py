@@ -63,6 +63,8 @@ def _codes(texts: list[str], letters: tuple[str, ...]) -> tuple[np.ndarray, np.n
     letter, pair = c > 0, (c > 0) | (before > 0)
     # marks that tell the lengths apart: a bigram has bit 20 set and a trigram has a letter in the middle
     grams = np.concatenate([owner[letter] | one[letter], owner[pair] | (two | np.uint64(OTHER << 20))[pair], owner[letter] | three[letter]])
+    if not len(grams):
+        return grams, np.zeros(0, dtype=np.int64)
     grams.sort()
     first = np.concatenate([[True], grams[1:] != grams[:-1]])
     at = np.flatnonzero(first)

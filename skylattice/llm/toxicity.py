@@ -206,15 +206,20 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
 
 
+def bound(base: float) -> float:
+    """Share of toxic rows that marks a feature: twice the base rate, or half way to one where that is less."""
+    return min(2 * base, (1 + base) / 2)
+
+
 def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, size: int, z: float = 3.0) -> list[str]:
     """The ``size`` features that mark toxic rows most surely: the lower bound (Wilson, ``z`` standard errors) of their
-    share of toxic rows is at least twice the base rate."""
+    share of toxic rows is above ``bound``."""
     base, out = toxic / (toxic + clean), {}
     for word, t, c in counts:
         n, share = t + c, t / (t + c)
         spread = z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
         low = (share + z * z / (2 * n) - spread) / (1 + z * z / n)
-        if low > min(2 * base, (1 + base) / 2):
+        if low > bound(base):
             out[word] = low
     return sorted(out, key=lambda w: (-out[w], w))[:size]
 
@@ -266,7 +271,7 @@ def fit(
     if not toxic or not clean:
         return Scorer(model, {}, 30.0 if toxic else -30.0)
     # the likeliest first: a bounded number of candidates reaches the driver
-    likely = counted.where(f"word <> '' and t >= 3 and t / (t + c) > {2 * toxic / (toxic + clean)}").orderBy(F.desc(F.expr("t * t / (t + c)")), "word").limit(4 * size)
+    likely = counted.where(f"word <> '' and t >= 3 and t / (t + c) > {bound(toxic / (toxic + clean))}").orderBy(F.desc(F.expr("t * t / (t + c)")), "word").limit(4 * size)
     known = lexicon([tuple(r) for r in likely.collect()], toxic, clean, size)
     number = spark.sparkContext.broadcast({w: k for k, w in enumerate(known)})
 

@@ -1,34 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components for the operators of this subpackage: the library's own, over their edge tables."""
 
-Each step is a grouped minimum (with partial sums) and a join on the same key; a node with many edges is split by
-adaptive skew handling, and every round is a table in the shared folder. The number of rounds grows with the logarithm
-of the longest path. Nothing but a row count and a checksum reaches the driver.
-"""
+from skylattice.operators.graph import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from skylattice.llm.storage import written
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """(node, component): component is the smallest node reachable. Nodes without an edge to another are not listed;
-    edges with a null end are ignored; repeated edges and loops do no harm."""
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    pairs = written(pairs.where("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        pairs = written(small, "edges")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
+__all__ = ["connected_components"]

@@ -6,27 +6,11 @@ read, so a lost executor costs a re-read and no recomputation of the plan above
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of the session's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local use)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="skylattice-")
-    return _OWN[app]
-
+from skylattice.session import new_path, shared_dir
 
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/skylattice/{kind}-{uuid.uuid4().hex}"
+__all__ = ["delete", "hadoop_path", "mixed", "new_path", "shared_dir", "written"]
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:

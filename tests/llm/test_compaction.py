@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.llm import compaction, storage
+from skylattice.llm import storage
 from skylattice.llm.compaction import ShardStore, Tiers
 
 

@@ -234,7 +234,7 @@ def split_bucket(spark, sf_dir):
     return spatial_split(domain.captures(spark, sf_dir), 150.0, 7, 0.2).select("id", r(c("bucket"), 6).alias("bucket"), "split")
 
 
-scalars("F23_texel_hash", "texels", "row, col".split(",")[0], lambda: {"col": c("col"), "noise": raster.texel_hash(c("row"), c("col"))}, {"col": "col", "noise": "(xor(row * 73856093, col * 19349663) & 65535) / CAST(65535 AS DOUBLE)"}, exact="col")
+scalars("F23_texel_hash", "texels", "row", lambda: {"col": c("col"), "noise": raster.texel_hash(c("row"), c("col"))}, {"col": "col", "noise": "(xor(row * 73856093, col * 19349663) & 65535) / CAST(65535 AS DOUBLE)"}, exact="col")
 _WALL = "(xor(row // 8 * 40503, col // 8 * 30011) % 4)"
 scalars("F24_wall_tone", "texels", "row", lambda: {"col": c("col"), "tone": raster.wall_index(c("row"), c("col"), 2.0)}, {"col": "col", "tone": _WALL}, exact="col tone")
 

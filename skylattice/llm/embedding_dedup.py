@@ -3,7 +3,8 @@
 Equal vectors of one label are merged first. The others of a label are dealt over shards of about ``shard`` vectors by a
 hash; each shard is one navigable small-world graph, stored as a row of a table in the shared folder. Then the label's
 vectors, in blocks, query every shard of their label. A block widens its beams for the queries whose beam is full of
-near vectors, and doubles all beams until an audit passes: a hashed sample of the block's queries is compared with the
+near vectors (beyond ``widest``, such a query is compared with the whole shard as one matrix product, which is cheaper
+than a beam that holds a large group), and doubles all beams until an audit passes: a hashed sample of the block's queries is compared with the
 whole shard, and ``recall`` of their links must have been found. Found pairs are verified by cosine in double precision.
 A block counts links where it finds them and sends on a row per vector, with an edge to the smallest vector that it is
 connected to there, so a large group of near copies makes no row per pair. Components of these edges are the result.
@@ -36,6 +37,7 @@ class Search:
     shard: int = 16_384
     block: int = 2048
     beam: int = 32
+    widest: int = 128  # beyond this beam, a query is compared with its whole shard
     audit: int = 64
     recall: float = 0.999
 
@@ -72,7 +74,12 @@ def _pairs(graph: Graph, raw: np.ndarray, queries: np.ndarray, units: np.ndarray
         for at in range(0, len(queries), 256):
             todo, width = np.arange(at, min(at + 256, len(queries))), beam
             while len(todo):
-                ids, sims = graph.query(units[todo], width)
+                if width > how.widest:
+                    rows, cols = np.nonzero(units[todo] @ graph.vectors.T >= loose)
+                    found_q.append(todo[rows])
+                    found_v.append(cols)
+                    break
+                ids, sims = graph.query(units[todo], width, own[todo])
                 near = (sims >= loose) & (ids >= 0)
                 full = near[:, -1] & (width < n)
                 rows, cols = np.nonzero(near & ~full[:, None])

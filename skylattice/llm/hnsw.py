@@ -129,10 +129,13 @@ class Graph:
         ids[sims == -np.inf] = -1
         return ids, sims
 
-    def query(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best first search from the top level down; ``beam`` results on the lowest."""
-        entry = np.full(len(queries), self.entry, dtype=np.int64)
+    def query(self, queries: np.ndarray, beam: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``beam`` results on the lowest level. A query that is a vector of the graph (``own``: its number, else -1)
+        begins at its own place, another one is led down from the top level."""
+        entry = np.where(own >= 0, own, self.entry)
+        led = np.flatnonzero(own < 0)
         for level in range(len(self.levels) - 1, 0, -1):
-            found, _ = self.search(queries, level, 4, entry)
-            entry = np.maximum(found[:, 0], 0)
+            if len(led):
+                found, _ = self.search(queries[led], level, 4, entry[led])
+                entry[led] = np.maximum(found[:, 0], 0)
         return self.search(queries, 0, min(beam, len(self.vectors)), entry)

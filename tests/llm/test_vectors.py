@@ -42,6 +42,6 @@ def test_graph_recall():
     r = np.random.default_rng(1)
     x = embedding_dedup.unit(r.normal(size=(3000, 32)))
     g = Graph.build(x)
-    ids, _ = g.query(x[:200], 64)
+    ids, _ = g.query(x[:200], 64, np.full(200, -1))
     best = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids.tolist(), best.tolist())]) > 0.9

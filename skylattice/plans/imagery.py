@@ -73,28 +73,30 @@ def blob_gates(spark, sf_dir):
     return b.where(c("area").between(4, 200) & (F.round("fill", 6) >= 0.4)).select("component", "area", r(c("fill")).alias("fill"))
 
 
-DISC = ", d AS (SELECT scene, count(*) FILTER (hit) AS n, stddev_pop(col) FILTER (hit) AS sx, stddev_pop(row) FILTER (hit) AS sy, avg(col) FILTER (hit) AS mx, avg(row) FILTER (hit) AS my, count(*) AS k FROM (SELECT *, h_ AND row // 10 = 3 AND col // 20 = scene AS hit FROM (SELECT *, r > CAST(0.4 AS DOUBLE) AND g > CAST(0.3 AS DOUBLE) AS h_ FROM ortho_px)) GROUP BY scene), ok AS (SELECT * FROM d WHERE n >= 3 AND n <= k * CAST(0.05 AS DOUBLE) AND sx <= 120 * CAST(0.08 AS DOUBLE) AND sy <= 125 * CAST(0.08 AS DOUBLE))\n"
+DISC = """, d AS (SELECT col // 40 AS image, count(*) FILTER (ground > 29) AS n, stddev_pop(col % 40) FILTER (ground > 29) AS sx, stddev_pop(row) FILTER (ground > 29) AS sy,
+  avg(col % 40) FILTER (ground > 29) AS mx, avg(row) FILTER (ground > 29) AS my, count(*) AS k, max(row) + 1 AS high FROM texels GROUP BY 1),
+ok AS (SELECT * FROM d WHERE n >= 3 AND n <= k * CAST(0.05 AS DOUBLE) AND sx <= 40 * CAST(0.08 AS DOUBLE) AND sy <= high * CAST(0.08 AS DOUBLE))
+"""
 
 
 def discs(spark, sf_dir):
-    """Bright compact blob of each scene; null-free rows are sightings."""
-    hit = (c("r") > 0.4) & (c("g") > 0.3) & (F.floor(c("row") / 10) == 3) & (F.floor(c("col") / 20) == c("scene"))
+    """Bright compact spot of each image (strips of 40 columns, the ground as brightness); an image without one has no row."""
+    t = domain.texels(spark, sf_dir).select(F.floor(c("col") / 40).alias("image"), (c("col") % 40).alias("x"), "row", (c("ground") > 29).alias("hit"))
     on = lambda k: F.when(c("hit"), c(k))
-    rows = domain.ortho_px(spark, sf_dir).withColumn("hit", hit)
-    d = rows.groupBy("scene").agg(F.count_if("hit").alias("n"), F.stddev_pop(on("col")).alias("sx"), F.stddev_pop(on("row")).alias("sy"), F.avg(on("col")).alias("mx"), F.avg(on("row")).alias("my"), F.count("*").alias("k"))
-    return d.where((c("n") >= 3) & (c("n") <= c("k") * 0.05) & (c("sx") <= 120 * 0.08) & (c("sy") <= 125 * 0.08))
+    d = t.groupBy("image").agg(F.count_if("hit").alias("n"), F.stddev_pop(on("x")).alias("sx"), F.stddev_pop(on("row")).alias("sy"), F.avg(on("x")).alias("mx"), F.avg(on("row")).alias("my"), F.count("*").alias("k"), (F.max("row") + 1).alias("high"))
+    return d.where((c("n") >= 3) & (c("n") <= c("k") * 0.05) & (c("sx") <= 40 * 0.08) & (c("sy") <= c("high") * 0.08))
 
 
-@query("P12_sun_disc", with_tables("ortho_px", DISC + "SELECT scene, n, round(mx, 4) AS mx, round(my, 4) AS my FROM ok"))
+@query("P12_sun_disc", with_tables("texels", DISC + "SELECT image, n, round(mx, 4) AS mx, round(my, 4) AS my FROM ok"))
 def sun_disc(spark, sf_dir):
-    return discs(spark, sf_dir).select("scene", "n", r(c("mx")).alias("mx"), r(c("my")).alias("my"))
+    return discs(spark, sf_dir).select("image", "n", r(c("mx")).alias("mx"), r(c("my")).alias("my"))
 
 
-@query("F64_disc_direction", with_tables("ortho_px", DISC + "SELECT scene, round(degrees(atan2((mx - 60) / 80, 1)), 4) AS azimuth, round(degrees(asin(((62 - my) / 80) / sqrt(((mx - 60) / 80) ** 2 + ((62 - my) / 80) ** 2 + 1))), 4) AS elevation FROM ok"))
+@query("F64_disc_direction", with_tables("texels", DISC + "SELECT image, round(degrees(atan2((mx - 20) / 80, 1)), 4) AS azimuth, round(degrees(asin(((62 - my) / 80) / sqrt(((mx - 20) / 80) ** 2 + ((62 - my) / 80) ** 2 + 1))), 4) AS elevation FROM ok"))
 def disc_direction(spark, sf_dir):
     """Body azimuth and elevation of the disc's centre through a level pinhole camera (focal length 80)."""
-    x, y = (c("mx") - 60) / 80, (62 - c("my")) / 80
-    return discs(spark, sf_dir).select("scene", r(F.degrees(F.atan2(x, F.lit(1.0)))).alias("azimuth"), r(F.degrees(F.asin(y / F.sqrt(x * x + y * y + 1)))).alias("elevation"))
+    x, y = (c("mx") - 20) / 80, (62 - c("my")) / 80
+    return discs(spark, sf_dir).select("image", r(F.degrees(F.atan2(x, F.lit(1.0)))).alias("azimuth"), r(F.degrees(F.asin(y / F.sqrt(x * x + y * y + 1)))).alias("elevation"))
 
 
 RAYS = """, b AS (SELECT p_partkey AS id, p_partkey * 7919 % 100 + 5 AS row, p_partkey * 104729 % 90 + 5 AS col FROM part WHERE p_size % 3 = 0),
@@ -168,22 +170,32 @@ def view_alignment(spark, sf_dir):
     return a.select("view_id", *[r(c(k)).alias(k) for k in ("silhouette", "sky", "water", "depth", "score")])
 
 
-SETS = ", pts AS (SELECT view_id, r, c FROM view_px WHERE building AND (r * 64 + c) % 97 = 0), ctr AS (SELECT view_id, avg(c) AS mx, avg(r) AS my FROM pts GROUP BY view_id), dst AS (SELECT a.view_id, avg(sqrt((a.c - b.c) ** 2 + (a.r - b.r) ** 2)) AS scale FROM pts a JOIN pts b ON a.view_id = b.view_id AND (a.r, a.c) < (b.r, b.c) GROUP BY a.view_id)\n"
+SETS = """, m AS (SELECT view_id, r, c, (view_id * 1000 + r) * 64 + c AS node FROM view_px WHERE building),
+e AS (SELECT a.node AS x, b.node AS y FROM m a JOIN m b ON a.view_id = b.view_id AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c = a.c))),
+both_ AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+walk(node, root) AS (SELECT node, node FROM m UNION SELECT b.y, w.root FROM walk w JOIN both_ b ON b.x = w.node WHERE b.y > w.root),
+comp AS (SELECT node, min(root) AS component FROM walk GROUP BY node),
+pts AS (SELECT view_id, component, avg(r) AS r, avg(c) AS c FROM m JOIN comp USING (node) GROUP BY view_id, component HAVING count(*) >= 6),
+ctr AS (SELECT view_id, avg(c) AS mx, avg(r) AS my FROM pts GROUP BY view_id),
+dst AS (SELECT a.view_id, avg(sqrt((a.c - b.c) ** 2 + (a.r - b.r) ** 2)) AS scale FROM pts a JOIN pts b ON a.view_id = b.view_id AND a.component < b.component GROUP BY a.view_id)
+"""
 
 
 def point_sets(spark, sf_dir):
-    """A few building pixels of each view."""
-    return domain.view_px(spark, sf_dir).where("building and (r * 64 + c) % 97 = 0").select("view_id", "r", "c")
+    """Centres of the building blobs (six pixels or more) of each view."""
+    px = domain.view_px(spark, sf_dir).where("building").select("view_id", (c("view_id") * 1000 + c("r")).alias("row"), c("c").alias("col"))
+    b = imagery.blobs(grid_components(px, 64), ["view_id"]).where("area >= 6")
+    return b.select("view_id", "component", (c("mid_r") - c("view_id") * 1000).alias("r"), c("mid_c").alias("c"))
 
 
-@query("A28_constellation_norm", with_tables("view_px", SETS + "SELECT view_id, r, c, round((c - mx) / scale, 4) AS x, round((r - my) / scale, 4) AS y FROM pts JOIN ctr USING (view_id) JOIN dst USING (view_id)"))
+@query("A28_constellation_norm", recursive(with_tables("view_px", SETS + "SELECT view_id, component, round((c - mx) / scale, 4) AS x, round((r - my) / scale, 4) AS y FROM pts JOIN ctr USING (view_id) JOIN dst USING (view_id)")))
 def constellation_norm(spark, sf_dir):
     p = point_sets(spark, sf_dir)
     mid = p.groupBy("view_id").agg(F.avg("c").alias("mx"), F.avg("r").alias("my"))
-    q = p.select("view_id", c("r").alias("qr"), c("c").alias("qc"))
-    pairs = p.join(q, "view_id").where("struct(r, c) < struct(qr, qc)")
+    q = p.select("view_id", c("component").alias("other"), c("r").alias("qr"), c("c").alias("qc"))
+    pairs = p.join(q, "view_id").where("component < other")  # blobs of one view
     scale = pairs.groupBy("view_id").agg(F.avg(geo.distance(c("c"), c("r"), c("qc"), c("qr"))).alias("scale"))
-    return p.join(mid, "view_id").join(scale, "view_id").select("view_id", "r", "c", r((c("c") - c("mx")) / c("scale")).alias("x"), r((c("r") - c("my")) / c("scale")).alias("y"))
+    return p.join(mid, "view_id").join(scale, "view_id").select("view_id", "component", r((c("c") - c("mx")) / c("scale")).alias("x"), r((c("r") - c("my")) / c("scale")).alias("y"))
 
 
 @query("A29_constellation_score")
@@ -286,12 +298,12 @@ def horizon(spark, sf_dir):
     return h.select("view_id", "horizon", r(F.degrees(F.atan((24 - c("horizon")) / 60))).alias("pitch_down"))
 
 
-@query("A60_pixel_classes", recursive(with_tables("view_px", """, o AS (SELECT view_id, r, c, building, water, vegetation, (r * 7 + c * 13) % 5 < 3 OR r < 3 AS open FROM view_px WHERE view_id < 2),
+@query("A60_pixel_classes", recursive(with_tables("view_px", """, o AS (SELECT view_id, r, c, building, water, vegetation, (r * 7 + c * 13) % 5 < 3 OR r < 3 AS open FROM view_px),
 sky(view_id, r, c) AS (SELECT view_id, r, c FROM o WHERE r = 0 AND open UNION SELECT o.view_id, o.r, o.c FROM sky s JOIN o ON o.view_id = s.view_id AND o.open AND abs(o.r - s.r) + abs(o.c - s.c) = 1)
 SELECT o.view_id, o.r, o.c, CASE WHEN s.r IS NOT NULL THEN 'sky' WHEN vegetation THEN 'vegetation' WHEN water THEN 'water' WHEN building THEN 'building' ELSE 'ground' END AS class FROM o LEFT JOIN sky s ON s.view_id = o.view_id AND s.r = o.r AND s.c = o.c""")))
 def pixel_classes(spark, sf_dir):
-    """Sky is what is open and joined to the top row; the rest by priority. The first two views."""
-    v = domain.view_px(spark, sf_dir).where("view_id < 2").withColumn("open", ((c("r") * 7 + c("c") * 13) % 5 < 3) | (c("r") < 3))
+    """Sky is what is open and joined to the top row; the rest by priority."""
+    v = domain.view_px(spark, sf_dir).withColumn("open", ((c("r") * 7 + c("c") * 13) % 5 < 3) | (c("r") < 3))
     wide = v.where("open").select("view_id", (c("view_id") * 1000 + c("r")).alias("row"), c("c").alias("col"))
     comp = grid_components(wide, 64)
     top = comp.where(c("row") % 1000 == 0).select("component").distinct().withColumn("sky", F.lit(True))

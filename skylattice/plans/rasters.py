@@ -274,14 +274,14 @@ def class_lookup(spark, sf_dir):
     return n.select("class_id", "n", r(c("n") * lookup(c("class_id"), {k: v[0] for k, v in raster.CLASS_COLOURS.items()})).alias("red"))
 
 
-BOX = """, m AS (SELECT row, col, (SELECT avg(u.build_h) FROM texels u WHERE u.row BETWEEN t.row - 2 AND t.row + 2 AND u.col BETWEEN t.col - 2 AND t.col + 2) AS mean FROM texels t WHERE row < 30)
+BOX = """, a AS (SELECT row, col, sum(build_h) OVER w AS s, count(*) OVER w AS k FROM texels WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+m AS (SELECT row, col, sum(s) OVER w / sum(k) OVER w AS mean FROM a WINDOW w AS (PARTITION BY col ORDER BY row RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))
 """
 
 
 @query("W10_box_mean", with_tables("texels", BOX + "SELECT row, col, round(mean, 4) AS mean FROM m"))
 def box_mean(spark, sf_dir):
-    t = domain.texels(spark, sf_dir).where("row < 32")
-    return rasters.box_mean(t, "build_h", 2).where("row < 30").select("row", "col", r(c("mean")).alias("mean"))
+    return rasters.box_mean(domain.texels(spark, sf_dir), "build_h", 2).select("row", "col", r(c("mean")).alias("mean"))
 
 
 @query("W11_dilate", with_tables("texels", ", b AS (SELECT row, col, build_h > 30 AS f FROM texels), r AS (SELECT row, col, bool_or(f) OVER (PARTITION BY row ORDER BY col RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS f FROM b) SELECT row, col FROM (SELECT row, col, bool_or(f) OVER (PARTITION BY col ORDER BY row RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS f FROM r) WHERE f"))

@@ -40,7 +40,7 @@ class Profiles:
 @lru_cache(maxsize=4)
 def _letter_table(letters: tuple[str, ...]) -> np.ndarray:
     """Code point -> letter number; 0 for what is no letter."""
-    table = np.zeros(0x110000, dtype=np.uint64)
+    table = np.zeros(0x110000, dtype=np.uint16)
     for at in range(0, 0x110000):
         if at < 0xD800 or at > 0xDFFF:
             if chr(at).isalpha():
@@ -55,7 +55,7 @@ def _codes(texts: list[str], letters: tuple[str, ...]) -> tuple[np.ndarray, np.n
     parts = [t.lower() + "\n" for t in texts]
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     owner = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p) for p in parts])
-    c = _letter_table(letters)[points]
+    c = _letter_table(letters)[points].astype(np.uint64)
     keep = (c > 0) | np.concatenate([[True], c[:-1] > 0])  # one space between words
     c, owner = c[keep], owner[keep] << np.uint64(30)
     before, after = np.concatenate([[0], c[:-1]]).astype(np.uint64), np.concatenate([c[1:], [0]]).astype(np.uint64)
@@ -174,9 +174,13 @@ def predicted(text: Column, profiles: Profiles, spark) -> Column:
     """Struct (lang_pred, score) of a text column."""
     held = spark.sparkContext.broadcast(profiles)  # max_langs * size numbers at most
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = predict([t if isinstance(t, str) else None for t in texts], held.value)
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+    @F.arrow_udf("lang_pred string, score double")
+    def of(texts: pa.Array) -> pa.Array:
+        langs, scores = [], [np.zeros(0)]
+        for at in range(0, len(texts), 1024):
+            found = predict(texts.slice(at, 1024).to_pylist(), held.value)
+            langs += found[0]
+            scores.append(found[1])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
 
     return of(text)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.components import connected_components
 from skylattice.llm.storage import mixed, written
+from skylattice.llm.worker import held
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class Join:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to ``limit`` words (frequent words come first and stay)."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -61,9 +62,8 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
 def _words() -> WordHashes:
-    return WordHashes()
+    return held(("words",), WordHashes)
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -142,9 +142,9 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
 def _set_rows(docs: DataFrame, how: Join) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for at in range(0, len(texts), 256):
-                sets = [ngram_set(t, how.n) for t in texts[at : at + 256]]
+            ids, keys = batch.column(0), batch.column(1)
+            for at in range(0, batch.num_rows, 256):
+                sets = [ngram_set(t, how.n) for t in batch.column(2).slice(at, 256).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands = dict(zip(full, signatures([sets[i] for i in full], how.bands, how.rows, how.seed).astype(np.int64))) if full else {}
                 nodes = [set_hash(s) if len(s) else None for s in sets]
@@ -270,12 +270,12 @@ def near_copies(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
 
 def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, in its own columns. Row for row, a text without words stays."""
-    names = docs.columns
+    names = [F.col(f"`{c}`") for c in docs.columns]
     found = near_copies(docs, how, id_col, text_col).where("first").groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("__rows"))
-    keyed = docs.withColumn("__own", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    kept = keyed.join(found, F.col("__own") == F.col("__key"))
-    words = F.length(F.trim(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    single = (F.col("__rows") == 1) | (words == 0)
-    again = kept.where(~single).withColumn("__pick", F.struct(*[F.col(f"`{c}`") for c in names]))
-    again = again.groupBy("__key").agg(F.first("__pick").alias("__pick")).select("__pick.*")
-    return kept.where(single).select(*[F.col(f"`{c}`") for c in names]).unionByName(again.select(*[F.col(f"`{c}`") for c in names]))
+    found = written(found, "ngram-kept")
+    kept = docs.withColumn("__own", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).join(found, F.col("__own") == F.col("__key"))
+    if found.where("__rows > 1").isEmpty():  # no row comes twice, so the texts need not be read twice either
+        return kept.select(*names)
+    single = (F.col("__rows") == 1) | ~F.coalesce(F.col(text_col).cast("string").rlike(r"\S"), F.lit(False))
+    again = kept.where(~single).withColumn("__pick", F.struct(*names)).groupBy("__key").agg(F.first("__pick").alias("__pick"))
+    return kept.where(single).select(*names).unionByName(again.select("__pick.*"))

@@ -140,10 +140,9 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in PIECES.split(", ")])
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), limits.window):
-                found = enc.encode_all([t or "" for t in texts[at : at + limits.window]])
-                held += [(d, ids + end, 0) for d, ids in zip(doc_ids[at : at + limits.window], found)]
+            for at in range(0, batch.num_rows, limits.window):
+                doc_ids, texts = (c.slice(at, limits.window).to_pylist() for c in batch.columns)
+                held += [(d, ids + end, 0) for d, ids in zip(doc_ids, enc.encode_all([t or "" for t in texts]))]
                 yield emit(False)
         yield emit(True)
 

@@ -143,10 +143,9 @@ def write_token_files(
                 fs.create_dir(folder, recursive=True)
                 sink = fs.open_output_stream(mine)
                 writer = TokenFileWriter(sink, width)
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                found = enc.encode_all([t or "" for t in texts[at : at + 512]])
-                for doc, ids in zip(batch.column(0)[at : at + 512].to_pylist(), found):
+            for at in range(0, batch.num_rows, 512):
+                doc_ids, texts = (c.slice(at, 512).to_pylist() for c in batch.columns)
+                for doc, ids in zip(doc_ids, enc.encode_all([t or "" for t in texts])):
                     writer.add(doc, np.concatenate([np.frombuffer(ids, dtype="<u4"), end]))
         if writer is not None:
             writer.close()

@@ -9,7 +9,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
+
+from skylattice.llm.worker import held
 
 BLOCK = 128
 #: Separators that Python takes for white space but the vocabularies don't: such texts are encoded as a whole.
@@ -94,7 +95,6 @@ class TextEncoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> TextEncoder:
-    """One encoder per worker process and vocabulary."""
-    return TextEncoder(path)
+    """The worker's encoder of a vocabulary."""
+    return held(("tokens", path), lambda: TextEncoder(path))

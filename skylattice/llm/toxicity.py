@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +81,8 @@ def language_model(texts: DataFrame, text_col: str) -> np.ndarray:
     def count(batches):
         total = np.zeros(SIZE**3, dtype=np.int64)
         for b in batches:
-            total += trigram_counts([t for t in b.column(0).to_pylist() if t])
+            for at in range(0, b.num_rows, 512):
+                total += trigram_counts([t for t in b.column(0).slice(at, 512).to_pylist() if t])
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": found, "n": total[found]})
 
@@ -153,7 +153,7 @@ class Restorer:
     """Tokens of texts and what they restore to. Each distinct token is looked at once: ``memo`` keeps what ``of`` makes
     of its features, up to ``limit`` tokens; when it is full the later half goes, since frequent tokens come first."""
 
-    def __init__(self, model: np.ndarray, of=frozenset, limit: int = 300_000):
+    def __init__(self, model: np.ndarray, of=frozenset, limit: int = 200_000):
         self.model, self.of, self.limit, self.memo = model, of, limit, {}
 
     def tokens(self, text: str) -> list:
@@ -290,11 +290,11 @@ def scored(text: Column, scorer: Scorer, spark) -> Column:
     """Score (0 to 1) of a text column."""
     held = spark.sparkContext.broadcast(scorer)  # at most SIZE**3 numbers and the lexicon
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         restorer = held.value.restorer()
         for texts in batches:
-            x = np.array([held.value.evidence(restorer, t if isinstance(t, str) else None) for t in texts])
-            yield pd.Series(held.value.probability(x), dtype="float64")
+            x = [held.value.evidence(restorer, t) for at in range(0, len(texts), 512) for t in texts.slice(at, 512).to_pylist()]
+            yield pa.array(held.value.probability(np.array(x, dtype=np.float64)), pa.float64())
 
     return of(text)

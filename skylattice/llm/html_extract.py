@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.llm.storage import small_batches
+
 #: Elements that begin and end a line of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -217,6 +219,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 names=["page_id", "url", "text", "n_chars"],
             )
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.llm.storage import small_batches
+
 UNKNOWN = "und"
 #: Letters beyond the ``OTHER - 1`` most frequent ones of the sample count as one.
 OTHER = 1023
@@ -132,6 +134,7 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
     ``max_langs`` languages (the most frequent ones) are the classifier's documented bound.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     per_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not per_lang:
@@ -172,6 +175,7 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
 
 def predicted(text: Column, profiles: Profiles, spark) -> Column:
     """Struct (lang_pred, score) of a text column."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(profiles)  # max_langs * size numbers at most
 
     @F.arrow_udf("lang_pred string, score double")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.storage import written
+from skylattice.llm.storage import small_batches, written
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -101,6 +101,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
                     names=["doc_id", "host", "content", *_COUNTS, "hashes", "sizes"],
                 )
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long"), F.col(host_col).cast("string"), text, F.xxhash64(text))
     schema = "doc_id long, host string, content long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", hashes array<long>, sizes array<long>"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.llm.components import connected_components
-from skylattice.llm.storage import mixed, written
+from skylattice.llm.storage import mixed, small_batches, written
 from skylattice.llm.worker import held
 
 
@@ -228,6 +228,7 @@ def near_copies(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     """One row per document: id, key (hash of id and text), n_links (other documents that are similar to it, copies
     included), class_id (smallest id of the documents that it is connected to) and first (whether it is the one of its
     class that stays: the smallest id, null last, then the smallest key; repeated rows share this flag)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("id", F.xxhash64("id", "text").alias("key"), "text")
     sets = written(_set_rows(docs, how), "ngram-sets")

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.llm.storage import small_batches
 from skylattice.llm.token_memo import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -146,6 +147,7 @@ def pack_documents(
                 yield emit(False)
         yield emit(True)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.session import new_path, shared_dir
 
-__all__ = ["delete", "hadoop_path", "mixed", "new_path", "shared_dir", "written"]
+__all__ = ["delete", "hadoop_path", "mixed", "new_path", "shared_dir", "small_batches", "written"]
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
@@ -27,6 +27,14 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Lowers the session's rows per Arrow batch to ``rows`` where it is higher: a batch of long texts is held several
+    times over, by the executor and by its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)

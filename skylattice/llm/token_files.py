@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.llm.storage import small_batches
 from skylattice.llm.token_memo import encoder
 
 #: Fixed values of the seekable format.
@@ -128,6 +129,7 @@ def write_token_files(
     copy may win. Repeated ids are told apart by their texts' hash, so that a frequent id is spread over files too.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("tie"))
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.llm.storage import small_batches
+
 #: Characters of the model, and what a disguising character may stand for.
 LETTERS = " abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšž"
 STANDS_FOR = {
@@ -86,6 +88,7 @@ def language_model(texts: DataFrame, text_col: str) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": found, "n": total[found]})
 
+    small_batches(texts.sparkSession)
     summed = texts.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     n = np.zeros(SIZE**3)
     for gram, k in summed.collect():
@@ -288,6 +291,7 @@ def fit(
 
 def scored(text: Column, scorer: Scorer, spark) -> Column:
     """Score (0 to 1) of a text column."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(scorer)  # at most SIZE**3 numbers and the lexicon
 
     @F.arrow_udf("double")

@@ -3,8 +3,10 @@
 One pass of the standard library's streaming parser turns a page into lines, one for each stretch of text between block
 boundaries, with its tag and link counts. Each line's ratio of own text (without link text) to tags is smoothed over
 its neighbours with a Gaussian; two-means clustering of the smoothed ratios sets the threshold between content and
-boilerplate. The lines above it vote for the block that holds the page's content, weighted by their text, and every
-line of that block is kept, short ones too. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
+boilerplate. The smallest container that holds every line above it holds the page's content, and every line of that
+container is kept, short ones too. Where a page has article or main elements, all outermost ones with text are kept
+instead if they hold at least half of the content, but those marked as boilerplate only if the one with the most text is
+marked as well. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments, known from the elements' names and attributes, never count.
 
 Defined results: null, empty and text-free html give an empty text; text outside of all elements counts as a block;
@@ -43,6 +45,8 @@ MARKS = frozenset(
     "recommended recommendations widget widgets pagination pager skip search copyright contentinfo complementary".split()
 )
 ARTICLE = frozenset({"article", "main"})
+#: Elements that hold a page's blocks; others, like p, h1, li and inline ones, are parts of one.
+CONTAINERS = frozenset("article blockquote body center details div dl fieldset figure html main ol section table tbody td ul".split())
 SIBLINGS = frozenset({"p", "li", "td", "th", "tr", "option", "dt", "dd"})
 _COMMENT = frozenset("comment comments commentlist discussion disqus replies respond".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -67,7 +71,9 @@ class PageLines(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[tuple[str, int, str]] = []  # tag, number, why it is dropped ("" where it is not)
         self.count = self.links = self.drops = 0  # elements so far; open links; open elements that are dropped
-        self.articles: set[int] = set()
+        self.containers: set[int] = set()
+        self.articles: dict[int, int] = {}  # outermost ones: 0, or 1 in a marked wrapper, or 2 if marked itself
+        self.wrappers: set[int] = set()  # marked elements around articles
         self.current = Line((), False)
 
     def updatepos(self, i, j):
@@ -100,6 +106,9 @@ class PageLines(HTMLParser):
             return ""
         if tag == "header" and not any(t in ARTICLE for t, *_ in self.open):
             return "element"
+        return self._mark(attrs)
+
+    def _mark(self, attrs: list) -> str:
         if not attrs:
             return ""
         values = dict(attrs)
@@ -123,15 +132,18 @@ class PageLines(HTMLParser):
                 if k >= len(self.open) or self.open[k][0] in BLOCKS:
                     break
         elif tag in ARTICLE and self.drops and not any(why == "comment" for *_, why in self.open):
+            self.wrappers |= {n for _, n, why in self.open if why == "mark"}
             self.open = [(t, n, "" if why == "mark" else why) for t, n, why in self.open]  # a wrapper of the article
             self.drops = sum(why != "" for *_, why in self.open)
         self.count += 1
         why = self._why(tag, attrs)
+        if tag in CONTAINERS:
+            self.containers.add(self.count)
+        if tag in ARTICLE and not any(t in ARTICLE for t, *_ in self.open):
+            self.articles[self.count] = 2 if self._mark(attrs) else int(any(n in self.wrappers for _, n, _ in self.open))
         self.open.append((tag, self.count, why))
         self.links += tag == "a"
         self.drops += why != ""
-        if tag in ARTICLE:
-            self.articles.add(self.count)
         if why or tag in BLOCKS:
             self._line()
             self.current.tags += 1
@@ -194,17 +206,19 @@ def main_text(html: str | None) -> str:
     free = np.array([not line.dropped for line, _ in lines])
     content = free & (ratio >= threshold(ratio[free]))
     weight: dict[int, float] = {}
-    for (line, _), w, yes in zip(lines, own, content):
-        if yes:
-            for parent in line.parents:
+    for (line, _), w in zip(lines, own):
+        for parent in line.parents:
+            if parent in page.articles:
                 weight[parent] = weight.get(parent, 0.0) + w
-    total = float(own[content].sum())
-    holder = None
-    if named := [n for n in page.articles if weight.get(n, 0.0) > 0]:
-        holder = max(named, key=lambda n: (weight[n], n))  # the innermost of those that hold the most
-    elif around := [n for n, w in weight.items() if w >= 0.7 * total]:
-        holder = max(around)  # the innermost block that holds most of the content
-    kept = [text for line, text in ((x, t) for x, t in lines if not x.dropped) if holder is None or holder in line.parents]
+    holders: set[int] = set()
+    voters = [(set(line.parents), w) for (line, _), w, yes in zip(lines, own, content) if yes and w > 0]
+    inside = sum(w for v, w in voters if not v.isdisjoint(page.articles))
+    if inside and 2 * inside >= own[content].sum():
+        most = page.articles[max(weight, key=lambda n: (weight[n], -n))]
+        holders = {n for n, w in weight.items() if w > 0 and page.articles[n] <= most}
+    elif around := [v & page.containers for v, _ in voters]:
+        holders = {max(set.intersection(*around), default=0)} - {0}  # the innermost container of them all, if there is one
+    kept = [text for line, text in lines if not line.dropped and (not holders or holders.intersection(line.parents))]
     return "\n".join(kept)
 
 

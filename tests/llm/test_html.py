@@ -17,6 +17,20 @@ def test_wrapper_mark_does_not_hide_article():
     assert main_text(f"<body><div class='with-sidebar'><nav>n</nav><article><p>{LONG}</p><p>x<br>y\n z</p></article></div>") == LONG.strip() + "\nx y z"
 
 
+def test_dominant_block_does_not_hide_its_neighbours():
+    assert main_text(f"<body><div><h1>Title</h1><p>{LONG}</p><p>Short.</p></div></body>") == f"Title\n{LONG.strip()}\nShort."
+    assert main_text(f"<body><div><p>{LONG * 3}</p></div><div><p>{LONG}</p></div></body>") == f"{(LONG * 3).strip()}\n{LONG.strip()}"
+    assert main_text(f"<body><ul><li>{LONG * 9}</li><li>Short.</li></ul></body>") == f"{(LONG * 9).strip()}\nShort."
+
+
+def test_all_outermost_articles():
+    teasers = f"<div class='related'><article>{LONG}</article><article>{LONG}</article></div><article class='comment'>{LONG}</article>"
+    page = f"<body><article><h2>A</h2><p>{LONG * 3}</p></article><article><h2>B</h2><p>{LONG}</p></article><article>C</article>{teasers}</body>"
+    assert main_text(page) == "\n".join(["A", (LONG * 3).strip(), "B", LONG.strip(), "C"])
+    assert main_text(f"<main><h1>T</h1><article>{LONG}</article><p>Short.</p></main>") == f"T\n{LONG.strip()}\nShort."
+    assert main_text(f"<body><article>Hi</article><div class='c'><p>{LONG * 9}</p><p>{LONG * 9}</p></div></body>").count(LONG.strip()) == 18
+
+
 def test_odd_pages(spark):
     made = [
         (1, "u", None, 5), (2, None, "", 5), (None, "u", "<p></p>", 5), (3, "u", "plain &lt;text&gt;", 5), (3, "u", "plain &lt;text&gt;", 5),

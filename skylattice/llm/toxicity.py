@@ -1,7 +1,7 @@
 """Toxicity scores of texts restored from obfuscation by a noisy-channel decoder.
 
-Spans that look disguised (letters mixed with digits or symbols, letters spaced out, letters repeated) become a lattice
-of the characters each position may stand for. A Viterbi search over the lattice, under a character trigram model and
+Spans that look disguised (letters mixed with stand-ins at any place, letters or stand-ins spaced out, letters joined by
+symbols or repeated) become a lattice of the characters each position may stand for. A Viterbi search over the lattice, under a character trigram model and
 a channel model, finds the likeliest restorations. The model's counts are gathered from all texts by Spark. Restored
 texts are then scored by a lexicon of words and beginnings of words that mark labelled toxic rows, by
 logistic regression.
@@ -43,10 +43,15 @@ SAME, STAND_IN, PUT_IN, STRAY, AGAIN = math.log(0.9), math.log(0.3), math.log(0.
 
 _CODE = {c: k for k, c in enumerate(LETTERS)}
 _WORD = re.compile(r"[^\W\d_]+")
-#: Letters that stand alone, one after the other.
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?!\S)")
-#: Within a word: a stand-in before a letter, a joiner between letters, or a letter three times in a row.
-_DISGUISED = re.compile(r"[0-9@$!|+(<€£¢][^\s]*[^\W\d_]|[^\W\d_][.\-_*~'`^,:;/\\#%&=\"]+[^\W\d_]|([^\W\d_])\1\1")
+_STAND_IN = re.compile("[" + re.escape("".join(STANDS_FOR)) + "]")
+#: Letters and stand-ins that stand alone, one after the other, and what any such run has in it.
+_UNIT = f"(?:[^\\W\\d_]|{_STAND_IN.pattern})"
+_SPACED = re.compile(rf"(?<![^\W_]){_UNIT}(?:[\s.\-_*]{{1,2}}{_UNIT}){{2,}}(?![^\W_])")
+_TWO_ALONE = re.compile(rf"[\s.\-_*]{_UNIT}[\s.\-_*]{{1,2}}{_UNIT}(?![^\W_])")
+#: Within a word: a joiner between letters, or a letter three times in a row.
+_JOINED = re.compile(r"[^\W\d_][.\-_*~'`^,:;/\\#%&=\"]+[^\W\d_]|([^\W\d_])\1\1")
+#: What is not a letter or digit, at either end.
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Lengths of a word's beginning that count as features besides the word.
 PREFIXES = (4, 5, 6)
 #: Longest span that is decoded as one lattice; a longer one is decoded piece by piece.
@@ -127,6 +132,11 @@ def lattice(span: str) -> list[list[tuple[int, float]]]:
     return out
 
 
+def disguised(token: str) -> bool:
+    """Whether a token mixes letters with stand-ins at any place, joins letters by other characters or repeats them."""
+    return bool(_STAND_IN.search(token) and _WORD.search(token) or _JOINED.search(token))
+
+
 def decode(span: str, model: np.ndarray, best: int = 3) -> list[str]:
     """The ``best`` likeliest restorations of a lower-case span (Viterbi over pairs of characters, ``BEAM`` states)."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
@@ -165,14 +175,19 @@ class Restorer:
         tokens = set(low.split())
         memo = self.memo
         found = [memo[t] if t in memo else self._keep(t) for t in tokens]
-        if sum(len(t) == 1 for t in tokens) > 2:
-            found += [self.of(features(self._restored(span))) for span in {m[0] for m in _SPACED.finditer(low)}]
+        if _TWO_ALONE.search(low):
+            spans = {m[0] for m in _SPACED.finditer(low)}
+            spans |= {_EDGES.sub("", s) for s in spans}
+            found += [self.of(features(self._restored(s))) for s in spans if _WORD.search(s)]
         return found
 
     def _keep(self, token: str):
         got = set(_WORD.findall(token))
-        if _DISGUISED.search(token):
+        if disguised(token):
             got |= self._restored(token)
+            core = _EDGES.sub("", token)  # without punctuation that could be read as letters
+            if core != token and disguised(core):
+                got |= self._restored(core)
         if len(self.memo) >= self.limit:
             for old in list(self.memo)[self.limit // 2 :]:
                 del self.memo[old]

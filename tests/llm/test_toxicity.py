@@ -68,3 +68,18 @@ def test_odd_rows(spark):
     assert by[texts[1]] > 0.5 and by[texts[2]] > 0.5 and by[texts[5]] > 0.5 and by[texts[0]] < 0.5 and by[""] < 0.5 and by[None] < 0.5
     none = toxicity.fit(docs, labels.where("false"))
     assert all(r.x < 0.5 for r in docs.select(toxicity.scored(F.col("text"), none, spark).alias("x")).collect())
+
+
+def test_planted_disguises(spark):
+    """Stand-ins at a word's end, and spaced words with stand-ins, punctuation or few distinct letters."""
+    bad, clean = ["idiot", "ass", "poop", "shit"], WORDS[5:]
+    text = lambda k, more: " ".join(random.Random(k).choices(clean, k=20)) + more
+    rows = [(k, text(k, f" {bad[k // 2 % 4]}" if k % 2 else "")) for k in range(400)]
+    planted = "idio7 a$$ a55 sh!+".split() + ["i d i 0 t", "i d i o t.", "(i d i o t)", "a s s", "p o o p", "p 0 0 p!", "i\td\ti\to\tt"]
+    plain = ["house$$$", "river!", "(garden)", "1 2 3 4", "", "letter2", "u n d e r"]
+    rows += [(1000 + i, text(i, f" {x}")) for i, x in enumerate(planted)] + [(2000 + i, text(i, f" {x}")) for i, x in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in docs.select("doc_id", toxicity.scored(F.col("text"), s, spark).alias("score")).collect()}
+    assert [x for i, x in enumerate(planted) if got[1000 + i] <= 0.5] == []
+    assert [x for i, x in enumerate(plain) if got[2000 + i] > 0.5] == []

@@ -7,8 +7,9 @@ candidates. Without dropout the result equals the library's own encoding. Charac
 vocabulary become byte pieces.
 
 Words of up to ``SHORT`` characters advance together as rows of a matrix, one merge of each row a step; longer words
-run a heap. Both give the same pieces. A word's key is one of ``variants`` chosen by a hash of the seed, the document
-and the word's place, so a frequent word is segmented in up to ``variants`` ways and each way is computed once.
+run a heap. Both give the same pieces. Every occurrence of a word has its own key, a hash of the seed, the document and
+the word's place. Only the outcome without skips is remembered, with the candidates on its way: an occurrence whose key
+skips none of them takes it, and every other one is merged anew.
 
 Defined results: null and empty texts have no pieces; repeated rows get the same pieces; the lower-one-eighth-block
 character that stands for a space in the vocabulary is encoded by its bytes, so that it is decoded as itself.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from functools import lru_cache
 from itertools import chain
 
@@ -37,6 +37,7 @@ SHORT = 24
 #: A word: spaces (written as SPACE) and what follows them up to the next one. No piece crosses a word's start.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NEVER = np.iinfo(np.int32).max
+_ALL = (1 << 64) - 1
 
 
 class Vocabulary:
@@ -90,8 +91,28 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _skip(key: np.ndarray, first: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
     """Whether the candidate [first, middle) + [middle, end) is skipped, by its keyed hash."""
+    return _falls(key, _place(first, middle, end), rate)
+
+
+def _place(first: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
     place = (first.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | end.astype(np.uint64)
-    return (mixed(key ^ mixed(place + np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(11)) < np.uint64(int(rate * (1 << 53)))
+    return mixed(place + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _falls(key: np.ndarray, place: np.ndarray, rate: float) -> np.ndarray:
+    return (mixed(key ^ place) >> np.uint64(11)) < np.uint64(int(rate * (1 << 53)))
+
+
+def _skip_one(key: int, first: int, middle: int, end: int, rate: float) -> bool:
+    return _mixed_one(key ^ _mixed_one(first << 42 | middle << 21 | end, 0x9E3779B97F4A7C15)) >> 11 < int(rate * (1 << 53))
+
+
+def _mixed_one(x: int, more: int = 0) -> int:
+    """``mixed`` of one integer."""
+    x = x + more & _ALL
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
 
 
 def agenda(word: list[int], key: int, rate: float, v: Vocabulary) -> list[tuple[int, int]]:
@@ -99,13 +120,11 @@ def agenda(word: list[int], key: int, rate: float, v: Vocabulary) -> list[tuple[
     n = len(word)
     ids, end, before = list(word), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int, int]] = []
-    k64 = np.array([key], dtype=np.uint64)
-
     def offer(i: int, j: int) -> None:
         """The pieces that start at i and j, side by side."""
         if ids[i] >= 0 and ids[j] >= 0:
             merged = v.merges.get(ids[i] * v.size + ids[j])
-            if merged is not None and not _skip(k64, np.array([i]), np.array([j]), np.array([end[j]]), rate)[0]:
+            if merged is not None and not _skip_one(key, i, j, end[j], rate):
                 heapq.heappush(heap, (int(v.rank[merged]), i, j, end[j], merged))
 
     alive = [True] * n
@@ -124,8 +143,11 @@ def agenda(word: list[int], key: int, rate: float, v: Vocabulary) -> list[tuple[
     return [(ids[i], i) for i in range(n) if alive[i]]
 
 
-def together(words: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many words at once (rows padded with -1): piece ids and which places still begin a piece."""
+def together(
+    words: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float, v: Vocabulary, offers: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many words at once (rows padded with -1): piece ids and which places still begin a piece. ``offers``
+    takes the rows and hashed places of the candidates that came up."""
     n, width = words.shape
     ids, place = words.copy(), np.arange(width)
     alive = place[None, :] < lengths[:, None]
@@ -138,6 +160,9 @@ def together(words: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: flo
         inside = j < lengths[row]
         j = np.minimum(j, width - 1)
         m = np.where(inside, v.pair(ids[row, i], ids[row, j]), -1)
+        if offers is not None:
+            up = m >= 0
+            offers.append((row[up], _place(i[up], j[up], after[row[up], j[up]])))
         if rate > 0:
             m = np.where((m >= 0) & _skip(keys[row], i, j, after[row, j], rate), -1, m)
         merged[row, i], rank[row, i] = m, np.where(m >= 0, v.rank[m], _NEVER)
@@ -167,17 +192,32 @@ def together(words: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: flo
     return ids, alive
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of ``flat`` side by side, and their new starts; those that begin below zero stay as they are."""
+    n = np.where(start >= 0, n, 0)
+    return flat[_ranges(start, n)], np.where(start >= 0, np.cumsum(n) - n, start)
+
+
 class Encoder:
-    """Encodes words by variant and remembers them. Beyond ``limit`` words the later half is forgotten, since frequent
-    words are met, and kept, first."""
+    """Encodes words and remembers their outcome without skips. Beyond ``limit`` words the later half is forgotten, since
+    frequent words are met, and kept, first."""
 
-    def __init__(self, path: str, rate: float, seed: int, variants: int, limit: int = 300_000):
-        self.v, self.rate, self.seed, self.variants, self.limit = vocabulary(path), rate, seed, variants if rate else 1, limit
+    def __init__(self, path: str, rate: float, seed: int, limit: int = 300_000):
+        self.v, self.rate, self.seed, self.limit = vocabulary(path), rate, seed, limit
         self.words: dict[str, int] = {}
         self.names: list[str] = []
-        self.start = np.full(1 << 16, -1, dtype=np.int64)  # by word * variants + variant
+        self.start = np.full(1 << 16, -1, dtype=np.int64)  # by word; as the next three
         self.length = np.zeros(1 << 16, dtype=np.int64)
+        self.first = np.zeros(1 << 16, dtype=np.int64)  # of its candidates in ``places``
+        self.offered = np.zeros(1 << 16, dtype=np.int64)
         self.flat = np.zeros(1 << 20, dtype=np.int32)
+        self.places = np.zeros(0, dtype=np.uint64)
         self.used = 0
 
     def _forget(self) -> None:
@@ -185,13 +225,10 @@ class Encoder:
         for word in self.names[kept:]:
             del self.words[word]
         del self.names[kept:]
-        self.start[kept * self.variants :] = -1
-        held = np.flatnonzero(self.start >= 0)
-        n, old, at = self.length[held], self.start[held].copy(), self.used
-        self.used = int(n.sum())
-        self.start[held] = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else 0
-        take = np.repeat(old - self.start[held], n) + np.arange(self.used)
-        self.flat[: self.used] = self.flat[:at][take]
+        self.start[kept:] = -1
+        flat, self.start[:kept] = _gathered(self.flat, self.start[:kept], self.length[:kept])
+        self.flat[: len(flat)], self.used = flat, len(flat)
+        self.places, self.first[:kept] = _gathered(self.places, self.first[:kept], self.offered[:kept])
 
     def encode(self, doc_ids: list[int | None], texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
@@ -206,27 +243,51 @@ class Encoder:
         number = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(count.sum()))
         starts = np.concatenate([[0], np.cumsum(count)])
         order = np.arange(len(number)) - np.repeat(starts[:-1], count)
-        owner = np.repeat(np.array([(d or 0) & (1 << 64) - 1 for d in doc_ids], dtype=np.uint64), count)
-        which = mixed(mixed(owner + np.uint64(self.seed)) + order.astype(np.uint64)) % np.uint64(self.variants)
-        slot = number * self.variants + which.astype(np.int64)
-        need = len(names) * self.variants
-        if need > len(self.start):
-            grow = max(need, 2 * len(self.start)) - len(self.start)
+        owner = np.repeat(np.array([(d or 0) & _ALL for d in doc_ids], dtype=np.uint64), count)
+        key = mixed(mixed(owner + np.uint64(self.seed)) + order.astype(np.uint64))
+        if len(names) > len(self.start):
+            grow = max(len(names), 2 * len(self.start)) - len(self.start)
             self.start = np.concatenate([self.start, np.full(grow, -1, dtype=np.int64)])
-            self.length = np.concatenate([self.length, np.zeros(grow, dtype=np.int64)])
-        self._learn(np.unique(slot[self.start[slot] < 0]))
-        n = self.length[slot]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = self.flat[np.repeat(self.start[slot] - ends[:-1], n) + np.arange(ends[-1])]
-        ends = ends[starts]
+            self.length, self.first, self.offered = (np.concatenate([x, np.zeros(grow, dtype=np.int64)]) for x in (self.length, self.first, self.offered))
+        self._learn(np.unique(number[self.start[number] < 0]))
+        found = [self._pieces(number[at : at + (1 << 17)], key[at : at + (1 << 17)]) for at in range(0, len(number), 1 << 17)]
+        flat = np.concatenate([np.zeros(0, dtype=np.int32), *[x for x, _ in found]])
+        ends = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), *[n for _, n in found]]))[starts]
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def _learn(self, slots: np.ndarray) -> None:
-        v, names = self.v, self.names
-        words = [names[k] for k in (slots // self.variants).tolist()]
+    def _pieces(self, number: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of occurrences of words, one after the other, and how many each has."""
+        start, length, mark = self.start[number], self.length[number], self.used
+        if self.rate > 0:
+            n = self.offered[number]
+            which = np.repeat(np.arange(len(number)), n)
+            skipped = _falls(key[which], self.places[_ranges(self.first[number], n)], self.rate)
+            anew = length == 0  # long words
+            anew[which[skipped]] = True
+            rows = np.flatnonzero(anew)
+            self._merge(number[rows], key[rows], self.rate, rows, start, length)
+        flat = self.flat[_ranges(start, length)]
+        self.used = mark
+        return flat, length
+
+    def _learn(self, number: np.ndarray) -> None:
+        offers: list[tuple[np.ndarray, np.ndarray]] = []
+        if self.rate > 0:
+            long = np.array([len(self.names[k]) > SHORT for k in number.tolist()], dtype=bool)
+            self.start[number[long]], self.length[number[long]], self.offered[number[long]] = 0, 0, 0
+            number = number[~long]
+        self._merge(number, np.zeros(len(number), dtype=np.uint64), 0.0, number, self.start, self.length, offers)
+        if self.rate > 0 and offers:
+            rows, places = (np.concatenate(x) for x in zip(*offers))
+            n = np.bincount(rows, minlength=len(number))
+            self.first[number], self.offered[number] = len(self.places) + np.cumsum(n) - n, n
+            self.places = np.concatenate([self.places, places[np.argsort(rows, kind="stable")]])
+
+    def _merge(self, number, keys, rate, slots, start, length, offers: list | None = None) -> None:
+        """Merges words with their keys; ``start`` and ``length`` at ``slots`` say where in ``flat`` their pieces are."""
+        v = self.v
+        words = [self.names[k] for k in number.tolist()]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        sums = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
-        key = mixed(sums ^ mixed((slots % self.variants).astype(np.uint64) + np.uint64(self.seed << 8)))
         for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, SHORT)):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
             for at in range(0, len(rows), 1 << 13):
@@ -234,27 +295,30 @@ class Encoder:
                 points = np.frombuffer("".join([words[r] for r in part]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
                 table = np.full((len(part), high), -1, dtype=np.int32)
                 table[np.arange(high) < lengths[part][:, None]] = v.of_point[points]
-                ids, alive = together(table, lengths[part], key[part], self.rate, v)
+                here = None if offers is None else []
+                ids, alive = together(table, lengths[part], keys[part], rate, v, here)
+                if here:
+                    offers += [(part[r], place) for r, place in here]
                 plain = ~(alive & (ids < 0)).any(axis=1)
-                self._keep_all(slots[part[plain]], ids[plain], alive[plain])
+                self._keep_all(slots[part[plain]], ids[plain], alive[plain], start, length)
                 for k in np.flatnonzero(~plain):
-                    self._keep(slots[part[k]], ids[k][alive[k]].tolist(), np.flatnonzero(alive[k]).tolist(), words[part[k]])
+                    self._keep(slots[part[k]], ids[k][alive[k]].tolist(), np.flatnonzero(alive[k]).tolist(), words[part[k]], start, length)
         for r in np.flatnonzero(lengths > SHORT):
-            found = agenda([v.chars.get(c, -1) for c in words[r]], int(key[r]), self.rate, v)
-            self._keep(slots[r], [p for p, _ in found], [i for _, i in found], words[r])
+            found = agenda([v.chars.get(c, -1) for c in words[r]], int(keys[r]), rate, v)
+            self._keep(slots[r], [p for p, _ in found], [i for _, i in found], words[r], start, length)
 
     def _room(self, n: int) -> None:
         if self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), dtype=np.int32)])
 
-    def _keep_all(self, slots: np.ndarray, ids: np.ndarray, alive: np.ndarray) -> None:
+    def _keep_all(self, slots: np.ndarray, ids: np.ndarray, alive: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
         pieces, n = ids[alive], alive.sum(axis=1)
         self._room(len(pieces))
         self.flat[self.used : self.used + len(pieces)] = pieces
-        self.start[slots], self.length[slots] = self.used + np.cumsum(n) - n, n
+        start[slots], length[slots] = self.used + np.cumsum(n) - n, n
         self.used += len(pieces)
 
-    def _keep(self, slot: int, ids: list[int], places: list[int], text: str) -> None:
+    def _keep(self, slot: int, ids: list[int], places: list[int], text: str, start: np.ndarray, length: np.ndarray) -> None:
         """A word with characters outside of the vocabulary, which become bytes."""
         out = []
         for p, i in zip(ids, places):
@@ -265,7 +329,7 @@ class Encoder:
                 out += self.v.byte_ids[list(c.encode("utf-8", "surrogatepass"))].tolist()
         self._room(len(out))
         self.flat[self.used : self.used + len(out)] = out
-        self.start[slot], self.length[slot] = self.used, len(out)
+        start[slot], length[slot] = self.used, len(out)
         self.used += len(out)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -273,18 +337,18 @@ class Encoder:
         return raw[1:].decode("utf-8", "surrogatepass")  # without the space that every text is given in front
 
 
-def _encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
-    return held(("dropout", path, rate, seed, variants), lambda: Encoder(path, rate, seed, variants))
+def _encoder(path: str, rate: float, seed: int) -> Encoder:
+    return held(("dropout", path, rate, seed), lambda: Encoder(path, rate, seed))
 
 
 def encode_documents(
-    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and lossless (the ids decode to the text) of every
     document; one pass without a shuffle. Another ``seed`` (an epoch's number, say) gives other segmentations."""
 
     def run(batches):
-        encoder = _encoder(model_path, rate, seed, variants)
+        encoder = _encoder(model_path, rate, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 doc_ids, part = (c.slice(at, 256).to_pylist() for c in batch.columns)

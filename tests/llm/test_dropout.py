@@ -50,3 +50,18 @@ def test_documents(spark, sf_dir):
     plain = sum(r.n_tokens for r in merge_dropout.encode_documents(df, MODEL, 0.0).collect())
     assert 1.02 * plain < sum(r.n_tokens for r in one) < 1.6 * plain
     assert merge_dropout.encode_documents(df.where("false"), MODEL).count() == 0
+
+
+def test_every_occurrence_has_its_own_dropout(spark, sf_dir):
+    """Against one heap per occurrence, also after words were forgotten; a frequent word is segmented in many ways."""
+    v, every = vocabulary(MODEL), [t for t in texts(spark, sf_dir)[:30] if t]
+    enc, rate = Encoder(MODEL, 0.3, 5, 50), 0.3
+    mix = lambda x: merge_dropout.mixed(np.array([x & (1 << 64) - 1], dtype=np.uint64))[0]
+    for doc_id, text in enumerate(every):
+        want = []
+        for k, w in enumerate(merge_dropout._WORDS.findall(SPACE + text.replace(" ", SPACE))):
+            pieces = agenda([v.chars.get(c, -1) for c in w], int(mix(int(mix(doc_id + 5)) + k)), rate, v)
+            want += [p for x, i in pieces for p in ([x] if x >= 0 else v.byte_ids[list(w[i].encode())].tolist())]
+        assert enc.encode([doc_id], [text])[0].tolist() == want
+    ways = {tuple(x.tolist()) for x in Encoder(MODEL, 0.3, 0).encode(list(range(500)), ["understanding"] * 500)}
+    assert len(ways) > 8

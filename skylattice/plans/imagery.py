@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, raster
@@ -235,18 +237,24 @@ def cloud_mask(spark, sf_dir):
     return imagery.cloud_mask(domain.ortho_px(spark, sf_dir), bright=0.1).where("cloud or shadow")
 
 
+def clusters_by_scene(px, columns, k):
+    scenes = [x.scene for x in px.select("scene").distinct().orderBy("scene").collect()]  # a row per scene
+    return reduce(DataFrame.unionByName, [imagery.kmeans(px.where(c("scene") == s), columns, k) for s in scenes])
+
+
 @query("A36_colour_clusters")
 def colour_clusters(spark, sf_dir):
-    px = imagery.kmeans(domain.ortho_px(spark, sf_dir).where("scene = 0"), ["r", "g", "b"], 4)
-    return px.groupBy("cluster").agg(F.count("*").alias("n"), *[r(F.avg(k)).alias(k) for k in "rgb"])
+    """Clusters of each scene on its own."""
+    px = clusters_by_scene(domain.ortho_px(spark, sf_dir), ["r", "g", "b"], 4)
+    return px.groupBy("scene", "cluster").agg(F.count("*").alias("n"), *[r(F.avg(k)).alias(k) for k in "rgb"])
 
 
 @query("A37_chromaticity_clusters")
 def chromaticity_clusters(spark, sf_dir):
-    """Clusters of colour shares, so that shade does not matter; median colour of each."""
+    """Clusters of colour shares, so that shade does not matter; median colour of each, scene by scene."""
     total = F.greatest(c("r") + c("g") + c("b"), F.lit(1e-6))
-    px = domain.ortho_px(spark, sf_dir).where("scene = 0").withColumn("x", c("r") / total).withColumn("y", c("g") / total)
-    return imagery.kmeans(px, ["x", "y"], 3).groupBy("cluster").agg(F.count("*").alias("n"), *[r(F.median(k)).alias(k) for k in "rgb"])
+    px = domain.ortho_px(spark, sf_dir).withColumn("x", c("r") / total).withColumn("y", c("g") / total)
+    return clusters_by_scene(px, ["x", "y"], 3).groupBy("scene", "cluster").agg(F.count("*").alias("n"), *[r(F.median(k)).alias(k) for k in "rgb"])
 
 
 @query("A38_palette", with_tables("ortho_px", """, k AS (SELECT scene, r, g, b, greatest(r, g, b) AS top, least(r, g, b) AS low FROM ortho_px WHERE valid), w AS (SELECT scene, count(*) AS n, median(r) AS r, median(g) AS g, median(b) AS b FROM k WHERE top > 0.55::DOUBLE AND (top - low) / top < 0.35::DOUBLE GROUP BY scene)

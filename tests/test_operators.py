@@ -8,9 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skylattice import registry
 from skylattice.functions import features, geo, sky
 from skylattice.operators import imagery, ingest, retrieval, saliency, vectors
 from skylattice.operators.graph import connected_components, grid_components
+from skylattice.sources import domain
 from skylattice.streaming import flight
 
 
@@ -174,3 +176,11 @@ def test_empty_inputs(spark):
     marks = spark.createDataFrame([], "id long, embedding array<float>, e double, n double, u double, heading double")
     assert retrieval.top_k(marks, marks, 3).count() == 0 and retrieval.positive_pairs(marks, 10.0, 5.0).count() == 0
     assert spark.createDataFrame([("",), (None,), ("abc",)], "t string").select(features.leading_number(F.col("t")).alias("x")).where("x is not null").count() == 0
+
+
+@pytest.mark.parametrize("name", ["A36_colour_clusters", "A37_chromaticity_clusters"])
+def test_clusters_of_every_scene(spark, sf_dir, name):
+    got = {}
+    for x in registry.queries()[name](spark, sf_dir).collect():
+        got[x.scene] = got.get(x.scene, 0) + x.n
+    assert got == {x.scene: x["count"] for x in domain.ortho_px(spark, sf_dir).groupBy("scene").count().collect()}

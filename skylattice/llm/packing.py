@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.llm.storage import small_batches
-from skylattice.llm.token_memo import encoder
+from skylattice.llm.token_memo import SLICE, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -120,12 +120,12 @@ def pack_documents(
 
     def run(batches):
         enc, task, count = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end, held, waiting = np.array([end_id], dtype="<u4").tobytes(), [], []
+        held: list[tuple[int | None, np.ndarray, int]] = []  # id, all ids of the document, first one that is not packed yet
 
         def emit(last: bool):
-            """Packs what is held; ``held`` rows: (id, ids, first id that is not packed yet)."""
+            """Packs what is held."""
             nonlocal held, count
-            left = np.array([len(b) // 4 - s for _, b, s in held], dtype=np.int64)
+            left = np.array([len(ids) - s for _, ids, s in held], dtype=np.int64)
             closed, open_ = pack(left, left, limits, True, last)
             rows = []
             for bin_ in closed:
@@ -133,7 +133,7 @@ def pack_documents(
                 for i, s, n in bin_:
                     doc, ids, first = held[i]
                     s += first
-                    rows.append((doc, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), len(ids) // 4, (task << 33) + count, offset))
+                    rows.append((doc, s, n, zlib.crc32(ids[s : s + n]), len(ids), (task << 33) + count, offset))
                     offset += n
                 count += 1
             held = [(held[i][0], held[i][1], held[i][2] + s) for i, s, _ in open_]
@@ -141,10 +141,12 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in PIECES.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, limits.window):
-                doc_ids, texts = (c.slice(at, limits.window).to_pylist() for c in batch.columns)
-                held += [(d, ids + end, 0) for d, ids in zip(doc_ids, enc.encode_all([t or "" for t in texts]))]
-                yield emit(False)
+            for at in range(0, batch.num_rows, SLICE):
+                doc_ids = batch.column(0).slice(at, SLICE).to_pylist()
+                texts = [ids.astype("<u4") for ids in enc.documents(batch.column(1).slice(at, SLICE), end_id)]
+                for k in range(0, len(texts), limits.window):
+                    held += [(d, ids, 0) for d, ids in zip(doc_ids[k : k + limits.window], texts[k : k + limits.window])]
+                    yield emit(False)
         yield emit(True)
 
     small_batches(docs.sparkSession)

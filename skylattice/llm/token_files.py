@@ -7,6 +7,10 @@ decompresses only the frames of the documents it wants; each frame's checksum is
 
 Ids are stored in two bytes where the vocabulary allows it, in four otherwise. Documents lie in ascending id order
 (null ids first, repeated ids next to each other), file after file.
+
+Defined results: null and empty texts have the end id alone; repeated rows are documents of their own, in the order of
+their texts' hashes; an empty table makes no file and reads back as no row; a text of any length is one document of one
+frame; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm.storage import small_batches
-from skylattice.llm.token_memo import encoder
+from skylattice.llm.token_memo import SLICE, encoder
 
 #: Fixed values of the seekable format.
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 #: Skippable frame of this library's document index.
 SKIPPABLE_INDEX = 0x184D2A5B
-NULL_ID = -(2**63)
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -44,13 +47,13 @@ class TokenFileWriter:
         self.sink, self.width, self.frame_bytes = sink, width, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int, int]] = []  # id, tokens, frame
+        self.docs: list[tuple[int, int, int, int]] = []  # id, tokens, frame, whether the id is null
         self.parts: list[bytes] = []
         self.held = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         raw = ids.astype(f"<u{self.width}").tobytes()
-        self.docs.append((NULL_ID if doc_id is None else doc_id, len(ids), len(self.frames)))
+        self.docs.append((doc_id or 0, len(ids), len(self.frames), int(doc_id is None)))
         self.parts.append(raw)
         self.held += len(raw)
         if self.held >= self.frame_bytes:
@@ -66,7 +69,7 @@ class TokenFileWriter:
 
     def close(self) -> None:
         self._flush()
-        index = np.array(self.docs, dtype="<i8").reshape(-1, 3)
+        index = np.array(self.docs, dtype="<i8").reshape(-1, 4)
         body = struct.pack("<BQ", self.width, len(index)) + index.T.tobytes()
         body = struct.pack("<Q", len(body)) + self.zstd.compress(body)
         self.sink.write(struct.pack("<II", SKIPPABLE_INDEX, len(body)) + body)
@@ -94,7 +97,8 @@ class TokenFileReader:
         raw = source.read(length)
         body = zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=struct.unpack("<Q", raw[:8])[0])
         self.width, count = struct.unpack("<BQ", body[:9])
-        self.ids, self.tokens, self.frame = np.frombuffer(body, dtype="<i8", offset=9).reshape(3, count)
+        self.ids, self.tokens, self.frame, null = np.frombuffer(body, dtype="<i8", offset=9).reshape(4, count)
+        self.null = null != 0
         self.start = np.concatenate([[0], np.cumsum(self.tokens)])
         self._open: tuple[int, bytes] = (-1, b"")
 
@@ -116,8 +120,9 @@ class TokenFileReader:
         at = int(self.start[k] - self.start[first])
         return np.frombuffer(self._frame(int(self.frame[k])), dtype=f"<u{self.width}", count=int(self.tokens[k]), offset=at * self.width).astype(np.uint32)
 
-    def find(self, doc_id: int) -> list[np.ndarray]:
-        return [self.document(int(k)) for k in np.flatnonzero(self.ids == doc_id)]
+    def find(self, doc_id: int | None) -> list[np.ndarray]:
+        """Documents of that id (None: of those without one)."""
+        return [self.document(int(k)) for k in np.flatnonzero(self.null if doc_id is None else (self.ids == doc_id) & ~self.null)]
 
 
 def write_token_files(
@@ -139,16 +144,15 @@ def write_token_files(
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         fs, folder = pafs.FileSystem.from_uri(path)
         final, mine = f"{folder}/part-{task:06d}.ztok", f"{folder}/.part-{task:06d}-{uuid.uuid4().hex}"
-        end, writer, sink = np.array([end_id], dtype="<u4"), None, None
+        writer = sink = None
         for batch in batches:
             if writer is None:
                 fs.create_dir(folder, recursive=True)
                 sink = fs.open_output_stream(mine)
                 writer = TokenFileWriter(sink, width)
-            for at in range(0, batch.num_rows, 512):
-                doc_ids, texts = (c.slice(at, 512).to_pylist() for c in batch.columns)
-                for doc, ids in zip(doc_ids, enc.encode_all([t or "" for t in texts])):
-                    writer.add(doc, np.concatenate([np.frombuffer(ids, dtype="<u4"), end]))
+            for at in range(0, batch.num_rows, SLICE):
+                for doc, ids in zip(batch.column(0).slice(at, SLICE).to_pylist(), enc.documents(batch.column(1).slice(at, SLICE), end_id)):
+                    writer.add(doc, ids)
         if writer is not None:
             writer.close()
             sink.close()
@@ -187,7 +191,7 @@ def read_token_files(spark: SparkSession, path: str, manifest: list) -> DataFram
                         part = slice(at, at + 4096)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(reader.ids[part], mask=reader.ids[part] == NULL_ID),
+                                pa.array(reader.ids[part], mask=reader.null[part]),
                                 pa.array(reader.start[:-1][part] + first),
                                 pa.array(np.ascontiguousarray(reader.tokens[part])),
                                 pa.array(crc, pa.int64()),

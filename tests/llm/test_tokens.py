@@ -3,13 +3,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from skylattice.llm import packing, storage, token_files
 from skylattice.llm.token_memo import TextEncoder
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
+ENCODERS = {path: TextEncoder(path, 50) for path in (BYTE, WORD)}
 ODD = [
     "", " ", "\n", "a", " a", "a ", "a  b", "a   b ", "a\n\nb", "a\n b", "a \n b", "\n\nx", "x\n\n", "tab\tand nbsp", "it's we'll\nDON'T",
     "<|endoftext|>", "a <|endoftext|> b<|startoftext|>", "é ́x", "ctrl\x1cx \x1f y", "日本 語", "ΣΑΣ Σ", "x" * 5000, "😀 a😀b​", "a\r\nb", "1 23 4.5",
@@ -18,7 +22,7 @@ SCHEMA = "n_words int, doc_id long, text string, length string"
 
 
 def rows(spark):
-    made = [(7, i, t, "clash") for i, t in enumerate(ODD)] + [(7, None, "null id", None), (7, 3, "a", "again"), (7, 3, "a", "again"), (7, 99, None, None)]
+    made = [(7, i, t, "clash") for i, t in enumerate(ODD)] + [(7, None, "null id", None), (7, 3, "a", "again"), (7, 3, "a", "again"), (7, 99, None, None), (7, -(2**63), "least id", None)]
     return spark.createDataFrame(made, SCHEMA)
 
 
@@ -26,8 +30,18 @@ def rows(spark):
 def test_memo_equals_library(spark, sf_dir, path):
     tok, enc = Tokenizer.from_file(path), TextEncoder(path, 5000)
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    for text, got in zip(texts, enc.encode_all(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text[:50]
+    for _ in range(2):  # the memo is filled, and emptied in part
+        for text, got in zip(texts, enc.documents(pa.array(texts, pa.string()), 7)):
+            assert got.tolist() == tok.encode(text, add_special_tokens=False).ids + [7], text[:50]
+    assert [x.tolist() for x in enc.documents(pa.array([None, "", "a"], pa.string()).slice(1), 7)] == [[7], tok.encode("a", add_special_tokens=False).ids + [7]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab Aé\n\n  .,%'’)(\t\u0301\u0130Σß1\x1c日"), max_size=12), max_size=6))
+def test_encoder_of_any_text(texts):
+    for path, enc in ENCODERS.items():
+        want = [e.ids + [1] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in enc.documents(pa.array(texts, pa.string()), 1)] == want
 
 
 def brute(spark, sf_dir, path, df):
@@ -82,7 +96,7 @@ def test_token_files(spark, sf_dir, which):
     manifest = [tuple(r) for r in token_files.write_token_files(df, path, WORD).collect()]
     got = token_files.read_token_files(spark, path, manifest).collect()
     want = brute(spark, sf_dir, WORD, df)
-    key = lambda d: -(2**63) if d is None else d
+    key = lambda d: -(2**64) if d is None else d
     assert sorted((key(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((key(d), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want)
     at = 0
     for r in sorted(got, key=lambda r: r.start):

@@ -2,24 +2,29 @@
 
 Equal vectors of one label are merged first. The others of a label are dealt over shards of about ``shard`` vectors by a
 hash; each shard is one navigable small-world graph, stored as a row of a table in the shared folder. Then the label's
-vectors, in blocks, query every shard of their label. A block widens its beams for the queries whose beam is full of
-near vectors (beyond ``widest``, such a query is compared with the whole shard as one matrix product, which is cheaper
-than a beam that holds a large group), and doubles all beams until an audit passes: a hashed sample of the block's queries is compared with the
-whole shard, and ``recall`` of their links must have been found. Found pairs are verified by cosine in double precision.
-A block counts links where it finds them and sends on a row per vector, with an edge to the smallest vector that it is
-connected to there, so a large group of near copies makes no row per pair. Components of these edges are the result.
+vectors query every shard of their label: a task is sent a graph once and the label's vectors (or one ``part`` of them,
+where there are many) stream past it. Beams widen for the queries whose beam is full of near vectors (beyond ``widest``,
+such a query is compared with the whole shard as a matrix product, which is cheaper than a beam that holds a large
+group), and all beams double until the audits pass: a hashed sample of the queries is compared with the whole shard, a
+larger one until ``proof`` links have been seen there, and ``recall`` of all links seen so must have been found.
+Every pair is verified by cosine in double precision. Pairs are folded as they are found, into a count of links for each
+query and into groups of the shard's vectors, so no task holds the pairs of a group and a large group of near copies
+makes no row per pair. A task sends on an edge for each query with links and one for each vector that was linked to.
+Components of these edges are the result.
 
 Querying every shard costs (vectors of a label)^2 / ``shard`` searches; ``shard`` is the parameter to raise with memory.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label,
-link with nothing and are components of their own; vectors of different lengths never link; rows with a repeated id are
-vectors of their own that share the id; a null id takes part and its component is the smallest id that is not null.
+link with nothing and are components of their own; vectors of different lengths never link; a cosine of exactly the
+threshold links; rows with a repeated id are vectors of their own that share the id; a null id takes part and its
+component is the smallest id that is not null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,74 +33,140 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.components import connected_components
 from skylattice.llm.hnsw import Graph
-from skylattice.llm.storage import mixed, written
+from skylattice.llm.storage import mixed, small_batches, written
 
 
 @dataclass(frozen=True)
 class Search:
     threshold: float = 0.98
     shard: int = 16_384
-    block: int = 2048
+    part: int = 1 << 17  # queries that stream past one copy of a graph
     beam: int = 32
     widest: int = 128  # beyond this beam, a query is compared with its whole shard
     audit: int = 64
+    proof: int = 16
     recall: float = 0.999
 
 
-def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
-    x, y = x.astype(np.float64), y.astype(np.float64)
-    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+FOUND = "node long, links long, other long"
+#: Queries that are searched in step, and pairs that are verified at a time.
+STEP, PAIRS = 256, 1 << 15
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """``x`` in double precision, each row by a power of two, so that squares of huge or tiny components stay finite."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of huge or tiny components stay finite
-    return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
-
-
-def _pairs(graph: Graph, raw: np.ndarray, queries: np.ndarray, units: np.ndarray, own: np.ndarray, how: Search) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) numbers of links. ``own``: the query's own number in the shard, or -1."""
-    n, loose = len(raw), how.threshold - 1e-4  # single precision is compared with a margin
-    beam = min(how.beam, n)
-
-    def verified(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        other = own[q] != v
-        q, v = q[other], v[other]
-        yes = cosines(queries[q], raw[v]) >= how.threshold
-        return q[yes], v[yes]
-
-    sample = np.argsort(mixed(np.arange(len(queries), dtype=np.uint64) + np.uint64(7 << 40)), kind="stable")[: how.audit]
-    q, v = np.nonzero(units[sample] @ graph.vectors.T >= loose)
-    q, v = verified(sample[q], v)
-    truth = set(zip(q.tolist(), v.tolist()))
-    while True:
-        found_q, found_v = [], []
-        for at in range(0, len(queries), 256):
-            todo, width = np.arange(at, min(at + 256, len(queries))), beam
-            while len(todo):
-                if width > how.widest:
-                    rows, cols = np.nonzero(units[todo] @ graph.vectors.T >= loose)
-                    found_q.append(todo[rows])
-                    found_v.append(cols)
-                    break
-                ids, sims = graph.query(units[todo], width, own[todo])
-                near = (sims >= loose) & (ids >= 0)
-                full = near[:, -1] & (width < n)
-                rows, cols = np.nonzero(near & ~full[:, None])
-                found_q.append(todo[rows])
-                found_v.append(ids[rows, cols])
-                todo, width = todo[full], min(4 * width, n)
-        q, v = verified(np.concatenate(found_q), np.concatenate(found_v))
-        if beam >= n or len(truth & set(zip(q.tolist(), v.tolist()))) >= how.recall * len(truth):
-            return q, v
-        beam = min(2 * beam, n)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return (x / norms(x)[:, None]).astype(np.float32)
+
+
+class Shard:
+    """A shard's graph and what the queries that streamed past it have linked."""
+
+    def __init__(self, nodes: np.ndarray, weights: np.ndarray, raw: np.ndarray, graph: Graph, how: Search):
+        self.nodes, self.weights, self.raw, self.graph, self.how = nodes, weights, raw, graph, how
+        self.norms = norms(raw)
+        self.beam = min(how.beam, len(nodes))
+        self.group = np.arange(len(nodes))  # of each vector: groups of vectors that a query links are one
+        self.linked = np.zeros(len(nodes), dtype=bool)
+        self.true = self.seen = 0  # audited links, and those of them that were found
+
+    def _exact(self, x: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether each query links with each vector of the shard."""
+        yes = x @ self.raw.T >= self.how.threshold * (size[:, None] * self.norms)
+        at = np.flatnonzero(own >= 0)
+        yes[at, own[at]] = False
+        return yes
+
+    def _join(self, vectors: np.ndarray) -> None:
+        """The vectors that one query links with."""
+        groups = self.group[vectors]
+        least = groups.min()
+        if (groups != least).any():
+            other = np.unique(groups)
+            self.group[np.isin(self.group, other)] = least
+        self.linked[vectors] = True
+
+    def _step(self, units, x, size, own, beam):
+        """Links of up to STEP queries: (number of links by weight, first vector or -1, [(query, vectors), ...])."""
+        how, n = self.how, len(self.nodes)
+        loose = how.threshold - 1e-4  # single precision is compared with a margin
+        todo, found = np.arange(len(x)), []
+        while len(todo) and beam <= how.widest:
+            ids, sims = self.graph.query(units[todo], beam, own[todo])
+            near = (sims >= loose) & (ids >= 0)
+            full = near[:, -1] & (beam < n)
+            rows, cols = np.nonzero(near & ~full[:, None])
+            q, v = todo[rows], ids[rows, cols]
+            q, v = q[own[q] != v], v[own[q] != v]
+            for at in range(0, len(q), PAIRS):
+                a, b = q[at : at + PAIRS], v[at : at + PAIRS]
+                yes = (x[a] * self.raw[b]).sum(1) >= how.threshold * (size[a] * self.norms[b])
+                found.append((a[yes], b[yes]))
+            todo, beam = todo[full], min(4 * beam, n)
+        if found:
+            q, v = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(q, kind="stable")
+            q, v = q[order], v[order]
+            at = np.flatnonzero(np.diff(q, prepend=-1))
+            found = [(int(q[i]), part) for i, part in zip(at, np.split(v, at[1:]))] if len(q) else []
+        for at in range(0, len(todo), 32):
+            some = todo[at : at + 32]
+            found += [(int(k), np.flatnonzero(row)) for k, row in zip(some, self._exact(x[some], size[some], own[some])) if row.any()]
+        return found
+
+    def ask(self, ids: np.ndarray, m: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, links, a linked node) of the queries that link with a vector of the shard."""
+        x = scaled(x)
+        size, units = norms(x), unit(x)
+        own = np.minimum(np.searchsorted(self.nodes, ids), len(self.nodes) - 1)
+        own = np.where(self.nodes[own] == ids, own, -1)  # the query's own number in the shard
+        wanted = self.how.audit if self.true >= self.how.proof else 4 * self.how.audit
+        sample = np.argsort(mixed(ids.astype(np.uint64) + np.uint64(7 << 40)), kind="stable")[:wanted]
+        place = np.full(len(ids), -1)
+        place[sample] = np.arange(len(sample))
+        while True:
+            links, first = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1)
+            true = seen = 0
+            for at in range(0, len(ids), STEP):
+                part = slice(at, at + STEP)
+                checked = np.flatnonzero(place[part] >= 0)
+                truth = np.zeros((len(checked), len(self.nodes)), dtype=bool)
+                for k in range(0, len(checked), 32):
+                    rows = at + checked[k : k + 32]
+                    truth[k : k + 32] = self._exact(x[rows], size[rows], own[rows])
+                row = dict(zip(checked.tolist(), truth))
+                true += int(truth.sum())
+                for k, vectors in self._step(units[part], x[part], size[part], own[part], self.beam):
+                    links[at + k], first[at + k] = self.weights[vectors].sum(), vectors[0]
+                    self._join(vectors)
+                    if k in row:
+                        seen += int(row[k][vectors].sum())
+            if self.beam >= len(self.nodes) or self.seen + seen >= self.how.recall * (self.true + true):
+                break
+            self.beam = min(2 * self.beam, len(self.nodes))
+        self.true, self.seen = self.true + true, self.seen + seen
+        yes = first >= 0
+        return ids[yes], links[yes], self.nodes[first[yes]]
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the shard's vectors that were linked to: each with one vector of its group."""
+        at = np.flatnonzero(self.linked & (self.group != np.arange(len(self.nodes))))
+        return self.nodes[at], np.zeros(len(at), dtype=np.int64), self.nodes[self.group[at]]
 
 
 def _graphs(vectors: DataFrame) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        raw = np.array(table.column("vector").to_pylist(), dtype=np.float64)
+        raw = scaled(np.array(table.column("vector").to_pylist(), dtype=np.float64))
         nodes, m = table.column("node").to_numpy(), table.column("m").to_numpy()
         blob = pickle.dumps((nodes, m, raw, Graph.build(unit(raw))), protocol=5)
         return pa.table({"label": table.column("label")[:1], "dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "graph": pa.array([blob], pa.binary())})
@@ -103,10 +174,36 @@ def _graphs(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard int, graph binary")
 
 
+def _asked(how: Search):
+    """Streams rows sorted by graph, each graph's own row first and the queries after it, into links."""
+
+    def run(batches):
+        shard = None
+        batch_of = lambda *c: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["node", "links", "other"])
+        for batch in batches:
+            blob, node, m, vector = (batch.column(k) for k in ("graph", "node", "m", "vector"))
+            for query, rows in groupby(range(batch.num_rows), key=lambda k: not blob[k].is_valid):
+                rows = list(rows)
+                if query:
+                    some = slice(rows[0], rows[-1] + 1)
+                    x = vector[some].flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                    yield batch_of(*shard.ask(node[some].to_numpy(), m[some].to_numpy(), x))
+                    continue
+                for k in rows:
+                    if shard is not None:
+                        yield batch_of(*shard.rest())
+                    shard = Shard(*pickle.loads(blob[k].as_py()), how)
+        if shard is not None:
+            yield batch_of(*shard.rest())
+
+    return run
+
+
 def near_duplicates(
     vectors: DataFrame, how: Search = Search(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept (the vector's id is its component's) for every row of ``vectors``."""
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
@@ -114,44 +211,21 @@ def near_duplicates(
     rows = rows.withColumn("node", F.when(F.col("fine"), F.xxhash64("label", "vector")))
     merged = rows.where("fine").groupBy("node", "label", "vector").agg(F.count("*").alias("m"), F.min("id").alias("least"))
     merged = merged.withColumn("dim", F.size("vector"))
-    counts = merged.groupBy("label", "dim").agg(F.ceil(F.count("*") / how.shard).cast("int").alias("shards"), F.ceil(F.count("*") / how.block).cast("int").alias("blocks"))
+    share = lambda n: F.ceil(F.count("*") / n).cast("int")
+    counts = written(merged.groupBy("label", "dim").agg(share(how.shard).alias("shards"), share(how.part).alias("parts")), "vector-counts")
+    graphs_n, tasks = counts.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("parts"))).first()
     dealt = merged.join(counts, ["label", "dim"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
     dealt = written(dealt, "vectors")
-    graphs = written(_graphs(dealt), "graphs")
+    # as many partitions as graphs: few bytes are much work here, so adaptive coalescing would pile them up
+    graphs = written(_graphs(dealt.repartition(max(1, min(graphs_n or 1, 1 << 16)), "label", "dim", "shard")), "graphs")
 
+    keys = ["label", "dim", "shard", "part"]
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asked = dealt.select("label", "dim", "block", "node", "m", "vector", every("shards").alias("shard"))
-    held = graphs.join(counts, ["label", "dim"]).select("label", "dim", "shard", "graph", every("blocks").alias("block"))
-
-    def run(queries: pa.Table, graph: pa.Table) -> pa.Table:
-        queries = queries.sort_by("node")
-        nodes, weights, raw, built = pickle.loads(graph.column("graph")[0].as_py())
-        ids, m = queries.column("node").to_numpy(), queries.column("m").to_numpy()
-        x = np.array(queries.column("vector").to_pylist(), dtype=np.float64)
-        own = np.searchsorted(nodes, ids)
-        own = np.where((own < len(nodes)) & (nodes[np.minimum(own, len(nodes) - 1)] == ids), own, -1)
-        q, v = _pairs(built, raw, x, unit(x), own, how)
-        root: dict[int, int] = {}
-
-        def find(a):
-            while root.setdefault(a, a) != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
-
-        for a, b in zip(ids[q].tolist(), nodes[v].tolist()):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        links = np.bincount(q, weights=weights[v], minlength=len(ids)).astype(np.int64)
-        of = dict(zip(ids.tolist(), links.tolist()))
-        touched = list(root)
-        return pa.table(
-            {"node": pa.array(touched, pa.int64()), "links": pa.array([of.get(a, 0) for a in touched], pa.int64()), "other": pa.array([find(a) for a in touched], pa.int64())}
-        )
-
-    keys = ["label", "dim", "shard", "block"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, "node long, links long, other long")
+    asked = dealt.select("label", "dim", "part", "node", "m", "vector", every("shards").alias("shard"))
+    held = graphs.join(counts, ["label", "dim"]).select("label", "dim", "shard", "graph", every("parts").alias("part"))
+    both = held.unionByName(asked, allowMissingColumns=True).repartition(max(1, min(tasks or 1, 1 << 16)), *keys)
+    found = both.sortWithinPartitions(*keys, F.col("graph").isNull()).select("graph", "node", "m", "vector").mapInArrow(_asked(how), FOUND)
     found = written(found, "vector-links")
     near = connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -51,6 +51,16 @@ def test_known_square(spark):
     assert tuple(spark.range(1).select(zone, band, square).first()) == (34, "T", "CT")
 
 
+def test_components_of_hubs_and_chains(spark):
+    edges = [(5000, k) for k in range(600)] + [(k, 7000) for k in range(1000, 1600)] + [(9000 + k, 9001 + k) for k in range(70)] + [(3, 3), (None, 4), (1, 5000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    of = {r.node: r.component for r in connected_components(df).collect()}
+    assert of == {**{k: 0 for k in [*range(600), 5000]}, **{k: 1000 for k in [*range(1000, 1600), 7000]}, **{9000 + k: 9000 for k in range(71)}}
+    assert connected_components(df.where("false")).count() == 0
+    with pytest.raises(RuntimeError):
+        connected_components(df, rounds=2)
+
+
 def test_element_parsing(spark, tmp_path):
     ring = [{"lat": a, "lon": b} for a, b in ((1, 1), (1, 2), (2, 2), (1, 1))]
     doc = {

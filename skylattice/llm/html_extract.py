@@ -3,14 +3,18 @@
 One pass of the standard library's streaming parser turns a page into lines, one for each stretch of text between block
 boundaries, with its tag and link counts. Each line's ratio of own text (without link text) to tags is smoothed over
 its neighbours with a Gaussian; two-means clustering of the smoothed ratios sets the threshold between content and
-boilerplate. The smallest container that holds every line above it holds the page's content, and every line of that
-container is kept, short ones too. Where a page has article or main elements, all outermost ones with text are kept
-instead if they hold at least half of the content, but those marked as boilerplate only if the one with the most text is
-marked as well. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments, known from the elements' names and attributes, never count.
+boilerplate. A line above it is content, and it votes for where the page's content is if its own ratio is not far below
+the threshold, so that a short line beside a long text does not count as one. The smallest container of all votes holds
+the content: its own lines are kept, short ones too, and so are the containers in it from the first to the last one with
+a vote, except those without one that are mostly links. Names raise or lower lines: where a page has article or main
+elements that hold at least half of the content, all outermost ones with text are kept instead, but those marked as
+boilerplate only if the one with the most text is marked as well; lines in menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles or reader comments, known from the elements' names and attributes, have no weight.
 
 Defined results: null, empty and text-free html give an empty text; text outside of all elements counts as a block;
-repeated and null page ids are separate rows; an empty table gives an empty result; other columns are not read.
+lines of one ratio are all content; a page without a voting line keeps all its lines with weight; a page of any length
+is parsed as a whole; repeated and null page ids are separate rows; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -190,6 +194,32 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def voting(own: np.ndarray, tags: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are content, and which of them vote, from their own text, their tags and whether they have weight."""
+    ratio = own / np.maximum(tags, 1)
+    smooth = smoothed(ratio)
+    cut = threshold(smooth[free])
+    content = free & (smooth >= cut)
+    return content, content & (own > 0) & (ratio >= cut / 2)
+
+
+def _content(lines: list[Line], own: np.ndarray, votes: np.ndarray, containers: set[int]) -> list[bool]:
+    """Which lines lie where the votes say that the content is."""
+    inside = [[n for n in line.parents if n in containers] for line in lines]
+    around = set.intersection(*[set(inside[k]) for k in np.flatnonzero(votes)])
+    top = max(around, default=0)  # the innermost container of all votes, if there is one
+    # the outermost container of each line within it; 0 for its own lines, -1 for those outside of it
+    part = [-1 if top and top not in c else next((n for n in c if n > top), 0) for c in inside]
+    voted = {part[k] for k in np.flatnonzero(votes)}
+    numbers = [k for k, p in enumerate(part) if p in voted]
+    text: dict[int, list[float]] = {}
+    for line, p, w in zip(lines, part, own):
+        sums = text.setdefault(p, [0.0, 0.0])
+        sums[0], sums[1] = sums[0] + w, sums[1] + line.linked
+    between = lambda k: numbers[0] < k < numbers[-1] and text[part[k]][0] > text[part[k]][1]
+    return [p >= 0 and (p == 0 or p in voted or between(k)) for k, p in enumerate(part)]
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, its blocks joined by line feeds."""
     if not html:
@@ -197,29 +227,29 @@ def main_text(html: str | None) -> str:
     page = PageLines()
     page.feed(html)
     page.close()
-    lines = [(line, _SPACE.sub(" ", "".join(line.text)).strip()) for line in page.lines]
-    lines = [(line, text) for line, text in lines if text]
-    if not any(not line.dropped for line, _ in lines):
+    found = [(line, _SPACE.sub(" ", "".join(line.text)).strip()) for line in page.lines]
+    found = [(line, text) for line, text in found if text]
+    lines = [line for line, _ in found]
+    free = np.array([not line.dropped for line in lines], dtype=bool)
+    if not free.any():
         return ""
-    own = np.array([0 if line.dropped else max(0, len(text) - line.linked) for line, text in lines], dtype=np.float64)
-    ratio = smoothed(np.sqrt(own / np.array([max(1, line.tags) for line, _ in lines])))
-    free = np.array([not line.dropped for line, _ in lines])
-    content = free & (ratio >= threshold(ratio[free]))
+    own = np.array([0 if line.dropped else max(0, len(text) - line.linked) for line, text in found], dtype=np.float64)
+    content, votes = voting(own, np.array([line.tags for line in lines]), free)
     weight: dict[int, float] = {}
-    for (line, _), w in zip(lines, own):
+    for line, w in zip(lines, own):
         for parent in line.parents:
             if parent in page.articles:
                 weight[parent] = weight.get(parent, 0.0) + w
-    holders: set[int] = set()
-    voters = [(set(line.parents), w) for (line, _), w, yes in zip(lines, own, content) if yes and w > 0]
-    inside = sum(w for v, w in voters if not v.isdisjoint(page.articles))
+    in_article = np.array([not page.articles.keys().isdisjoint(line.parents) for line in lines], dtype=bool)
+    inside = own[content & in_article].sum()
+    kept = free
     if inside and 2 * inside >= own[content].sum():
         most = page.articles[max(weight, key=lambda n: (weight[n], -n))]
         holders = {n for n, w in weight.items() if w > 0 and page.articles[n] <= most}
-    elif around := [v & page.containers for v, _ in voters]:
-        holders = {max(set.intersection(*around), default=0)} - {0}  # the innermost container of them all, if there is one
-    kept = [text for line, text in lines if not line.dropped and (not holders or holders.intersection(line.parents))]
-    return "\n".join(kept)
+        kept = free & np.array([not holders.isdisjoint(line.parents) for line in lines])
+    elif votes.any():
+        kept = free & np.array(_content(lines, own, votes, page.containers))
+    return "\n".join(text for (_, text), yes in zip(found, kept) if yes)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

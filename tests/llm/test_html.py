@@ -1,3 +1,10 @@
+import math
+import random
+import re
+
+import numpy as np
+
+from skylattice.llm import html_extract
 from skylattice.llm.html_extract import extract, main_text
 
 LONG = "Words of the article that go on for quite a while, so that the line counts as text. " * 3
@@ -40,3 +47,58 @@ def test_odd_pages(spark):
     got = {(r.page_id, r.text[:20], r.n_chars) for r in extract(df).collect()}
     assert got == {(1, "", 0), (2, "", 0), (None, "", 0), (3, "plain <text>", 12), (4, "a éb", 4), (5, "long " * 4, 999_999), (6, "", 0)}
     assert extract(df).count() == 8 and extract(df.where("false")).count() == 0
+
+
+def brute(own, tags):
+    """Smoothed ratios and the threshold between their two clusters, by plain loops."""
+    ratio = [o / max(t, 1) for o, t in zip(own, tags)]
+    weigh = lambda d: math.exp(-0.5 * (d / html_extract.SIGMA) ** 2) if abs(d) <= math.ceil(3 * html_extract.SIGMA) else 0.0
+    n = range(len(ratio))
+    smooth = [sum(weigh(j - i) * ratio[j] for j in n) / sum(weigh(j - i) for j in n) for i in n]
+    low, high = min(smooth), max(smooth)
+    if high <= 2 * low:
+        return smooth, low
+    for _ in range(50):
+        parts = ([], [])
+        for x in smooth:
+            parts[x - low > high - x].append(x)
+        low, high = (sum(p) / len(p) for p in parts)
+    return smooth, (low + high) / 2
+
+
+def test_ratios_equal_brute_force():
+    r = random.Random(2)
+    for _ in range(50):
+        n = r.randrange(1, 30)
+        own, tags = [r.choice([0, 5, 40, 300, 900]) for _ in range(n)], [r.randrange(0, 5) for _ in range(n)]
+        smooth, cut = brute(own, tags)
+        assert np.allclose(html_extract.smoothed(np.array(own) / np.maximum(tags, 1)), smooth)
+        content, votes = html_extract.voting(np.array(own, dtype=float), np.array(tags), np.ones(n, dtype=bool))
+        assert content.tolist() == [x >= cut - 1e-9 for x in smooth]
+        assert all(content[k] and own[k] / max(tags[k], 1) >= 0.5 * cut - 1e-9 for k in np.flatnonzero(votes))
+
+
+NAMELESS = (
+    "<html><body><div>" + "".join(f"<span><a href=/{k}>Link {k}</a></span><br>" for k in range(9)) + "</div><div>Buy now.</div>"
+    f"<div><h1>Title</h1><p>{LONG}</p><p>Short.</p><div><p>{LONG}</p></div><div><p>Caption.</p></div><div><p>{LONG}</p></div></div>"
+    "<div>2024</div></body></html>"
+)
+
+
+def test_ratios_decide_where_no_name_does(monkeypatch):
+    want = "\n".join(["Title", LONG.strip(), "Short.", LONG.strip(), "Caption.", LONG.strip()])
+    assert main_text(NAMELESS) == want
+    monkeypatch.setattr(html_extract, "threshold", lambda values: -1.0)
+    assert main_text(NAMELESS) != want
+
+
+def test_pages_without_article_elements(spark, sf_dir):
+    """Whole pages of the table whose article elements are renamed, and pages without any telling name."""
+    same = near = 0
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r.html]
+    for html in pages:
+        want = main_text(html)
+        same += main_text(re.sub(r"(</?)(article|main)\b", r"\1div", html)) == want
+        bare = main_text(re.sub(r' class="[^"]*"', "", re.sub(r"(</?)(article|main|nav|footer)\b", r"\1div", html)))
+        near += want in bare and len(bare.split("\n")) <= len(want.split("\n")) + 2
+    assert same >= 0.99 * len(pages) and near >= 0.99 * len(pages)

@@ -1,5 +1,5 @@
-"""Connected components for the operators of this subpackage: the library's own, over their edge tables."""
+"""Connected components and joins with groups for the operators of this subpackage: the library's own."""
 
-from skylattice.operators.graph import connected_components
+from skylattice.operators.graph import connected_components, with_groups
 
-__all__ = ["connected_components"]
+__all__ = ["connected_components", "with_groups"]

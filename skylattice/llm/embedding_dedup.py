@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.components import connected_components
+from skylattice.llm.components import connected_components, with_groups
 from skylattice.llm.hnsw import Graph
 from skylattice.llm.storage import mixed, small_batches, written
 
@@ -217,21 +217,23 @@ def near_duplicates(
     dealt = merged.join(counts, ["label", "dim"])
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
     dealt = written(dealt, "vectors")
-    # as many partitions as graphs: few bytes are much work here, so adaptive coalescing would pile them up
-    graphs = written(_graphs(dealt.repartition(max(1, min(graphs_n or 1, 1 << 16)), "label", "dim", "shard")), "graphs")
+    # more partitions than graphs: few bytes are much work here, and adaptive coalescing would pile them up
+    partitions = lambda n: max(1, min(4 * (n or 0), 1 << 16))
+    graphs = written(_graphs(dealt.repartition(partitions(graphs_n), "label", "dim", "shard")), "graphs")
 
     keys = ["label", "dim", "shard", "part"]
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     asked = dealt.select("label", "dim", "part", "node", "m", "vector", every("shards").alias("shard"))
     held = graphs.join(counts, ["label", "dim"]).select("label", "dim", "shard", "graph", every("parts").alias("part"))
-    both = held.unionByName(asked, allowMissingColumns=True).repartition(max(1, min(tasks or 1, 1 << 16)), *keys)
+    both = held.unionByName(asked, allowMissingColumns=True).repartition(partitions(tasks), *keys)
     found = both.sortWithinPartitions(*keys, F.col("graph").isNull()).select("graph", "node", "m", "vector").mapInArrow(_asked(how), FOUND)
     found = written(found, "vector-links")
     near = connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = dealt.select("node", "m", "least").join(links, "node", "left").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = joined.join(smallest, "component").select("node", "component_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = dealt.select("node", "m", "least").join(links, "node", "left").join(near, "node", "left")
+    joined = written(joined.withColumn("component", F.coalesce("component", "node")), "vector-components")
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    joined = with_groups(joined, smallest, "component", joined.count()).select("node", "component_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("id", "node").join(joined, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(

@@ -5,15 +5,18 @@
    form a class; the join runs between classes.
 2. Band hashes are shuffled; each bucket links its classes to its smallest one, and the components of these links are
    candidate groups: every pair that shares a band lies within one group.
-3. Within a group all pairs whose set sizes allow the threshold are verified on the full n-gram sets. A group larger
-   than ``block`` classes is ordered by set size and cut into blocks, and each pair of blocks is a task of its own, so
-   no task holds more than two blocks. Similar pairs are counted where they are found; only a row per class and block
-   pair leaves it, with an edge to the smallest class that it is connected to there.
+3. Within a group all pairs whose set sizes allow the threshold are verified on the full n-gram sets. A class weighs 1
+   and more with its set's size. A group heavier than ``block`` is ordered by set size and cut into blocks, and each pair
+   of blocks is a task of its own, so no task holds more than two blocks, however long the texts are. Similar pairs are
+   counted where they are found; only a row per class and block pair leaves it, with an edge to the smallest class that
+   it is connected to there.
 4. Connected components of these edges are the classes' groups of near copies.
 
 Defined results: words are what white space separates, in lower case; a text of fewer than ``n`` words is one n-gram;
 texts without words (null, empty) link with nothing and are groups of their own; rows with one id and different texts
-are told apart, and rows alike in both count as copies; a null id joins by its text like any other, and a group's id is its smallest id that is not null.
+are told apart, and rows alike in both count as copies; a null id joins by its text like any other, and a group's id is
+its smallest id that is not null; a similarity of exactly the threshold links; a text of any length is compared as a
+whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.components import connected_components
+from skylattice.llm.components import connected_components, with_groups
 from skylattice.llm.storage import mixed, small_batches, written
 from skylattice.llm.worker import held
 
@@ -39,7 +42,8 @@ class Join:
     threshold: float = 0.8
     recall: float = 0.9999
     rows: int = 6
-    block: int = 512
+    block: int = 512  # weight of the classes of one block
+    grams: int = 2000  # n-grams that weigh as much as a class
     seed: int = 1
 
     @property
@@ -202,18 +206,19 @@ def _verify(units: DataFrame, how: Join) -> DataFrame:
 
 
 def _block_pairs(many: DataFrame, how: Join) -> DataFrame:
-    """Units for groups of more than ``block`` classes: (key, node, m, grp, side, unit).
+    """Units for groups heavier than ``block``: (rep, node, m, grp, side, unit).
 
-    A class's place in the order of set sizes follows from counts of each size, with classes of one size spread by
+    A class's place in the order of set sizes follows from the weights of each size, with classes of one size spread by
     hash, so no group is sorted in one task. Blocks whose sizes lie too far apart hold no similar pair.
     """
     from pyspark.sql import Window
 
-    grown = many.groupBy("component", "n_grams").agg(F.count("*").alias("same"))
+    grown = many.groupBy("component", "n_grams").agg(F.sum("weight").alias("same"), F.count("*").alias("k"))
     before = F.sum("same").over(Window.partitionBy("component").orderBy("n_grams")) - F.col("same")
-    grown = grown.withColumn("before", before)
+    grown = written(grown.withColumn("before", before), "ngram-sizes")
     spread = F.pmod(F.xxhash64("node", F.lit(how.seed)), F.lit(1 << 20)) / float(1 << 20)
-    placed = many.join(grown, ["component", "n_grams"])
+    size = F.struct("component", "n_grams").alias("size")
+    placed = with_groups(many.withColumn("size", size), grown.select(size, "same", "before", "k"), "size", grown.agg(F.sum("k")).first()[0] or 0)
     placed = placed.withColumn("at", F.floor((F.col("before") + spread * F.col("same")) / how.block)).select("rep", "node", "m", "component", "n_grams", "at")
     blocks = placed.groupBy("component", "at").agg(F.min("n_grams").alias("low"), F.max("n_grams").alias("high"))
     x, y = blocks.alias("x"), blocks.alias("y")
@@ -242,23 +247,27 @@ def near_copies(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1")
     stars = banded.join(buckets, ["band", "hash"]).where("node <> least").select("node", "least")
     groups = connected_components(stars, "node", "least")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("k"))
-    many = written(groups.join(sizes, "component").join(classes.select("node", "m", "rep", "n_grams"), "node"), "ngram-groups")
-
-    small = many.where(F.col("k") <= how.block)
-    tasks = max(1, math.ceil(small.count() / 2048))
+    weight = (F.lit(1) + F.col("n_grams") / how.grams).alias("weight")
+    members = written(groups.join(classes.select("node", "m", "rep", "n_grams", weight), "node"), "ngram-members")
+    sizes = written(members.groupBy("component").agg(F.count("*").alias("k"), F.sum("weight").alias("group_weight")), "ngram-sizes")
+    count = sizes.agg(F.sum("k")).first()[0] or 0
+    many = written(with_groups(members, sizes, "component", count), "ngram-groups")
+
+    small = many.where(F.col("group_weight") <= how.block)
+    tasks = max(1, math.ceil((small.agg(F.sum("weight")).first()[0] or 0) / 2048))
     unit = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string")
     small = small.select("rep", "node", "m", F.col("component").alias("grp"), F.lit(0).alias("side"), unit.alias("unit"))
-    wanted = small.unionByName(_block_pairs(many.where(F.col("k") > how.block), how))
+    wanted = small.unionByName(_block_pairs(many.where(F.col("group_weight") > how.block), how))
     units = docs.select("key", "text").join(wanted, F.col("key") == F.col("rep")).select("unit", "grp", "side", "node", "m", "text")
     found = written(_verify(units, how), "ngram-links")
 
     near = connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = classes.select("node", "m", "place").join(links, "node", "left").join(near, "node", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("place").alias("least"))
-    joined = joined.join(least, "component").select("node", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = written(joined.withColumn("component", F.coalesce("component", "node")), "ngram-joined")
+    least = joined.groupBy("component").agg(F.min("place").alias("least"), F.count("*").alias("k"))
+    joined = with_groups(joined, least, "component", joined.count())
+    joined = joined.select("node", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     alone = F.col("node").isNull()
     return sets.select("id", "key", "node").join(joined, "node", "left").select(
         "id",
@@ -271,12 +280,14 @@ def near_copies(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
 
 def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, in its own columns. Row for row, a text without words stays."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    found = near_copies(docs, how, id_col, text_col).where("first").groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("__rows"))
+    found = near_copies(docs, how, id_col, text_col).where("first").groupBy(F.col("key").alias("kept_key")).agg(F.count("*").alias("n"))
     found = written(found, "ngram-kept")
-    kept = docs.withColumn("__own", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).join(found, F.col("__own") == F.col("__key"))
-    if found.where("__rows > 1").isEmpty():  # no row comes twice, so the texts need not be read twice either
-        return kept.select(*names)
-    single = (F.col("__rows") == 1) | ~F.coalesce(F.col(text_col).cast("string").rlike(r"\S"), F.lit(False))
-    again = kept.where(~single).withColumn("__pick", F.struct(*names)).groupBy("__key").agg(F.first("__pick").alias("__pick"))
-    return kept.where(single).select(*names).unionByName(again.select("__pick.*"))
+    # the row is one column of its own here, so its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    id_, text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`").cast("string")
+    kept = rows.join(found, F.xxhash64(id_, text) == F.col("kept_key"))
+    if found.where("n > 1").isEmpty():  # no row comes twice, so the texts need not be read twice either
+        return kept.select("row.*")
+    single = (F.col("n") == 1) | ~F.coalesce(text.rlike(r"\S"), F.lit(False))
+    again = kept.where(~single).groupBy("kept_key").agg(F.first("row").alias("row"))
+    return kept.where(single).select("row").unionByName(again.select("row")).select("row.*")

@@ -7,8 +7,10 @@ each stands from its rank in the language's profile (``size`` if it is missing).
 The profiles are fitted on a sample of the labelled rows, ``sample`` of each language on average, chosen by a hash of
 the id; counts are summed by Spark. Prediction is one pass over the whole texts without a shuffle.
 
-Defined results: null text and text without letters give ``und`` with score 0; ties go to the first language in
-alphabetical order; without any labelled row every text is ``und``; repeated rows are predicted each on their own.
+Defined results: null text and text without letters give ``und`` with score 0; ties of distance go to the first language
+in alphabetical order and ties of count to the smaller code; without any labelled row every text is ``und``; repeated
+rows are predicted each on their own; a text of any length is counted as a whole; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,70 +27,72 @@ from pyspark.sql import functions as F
 from skylattice.llm.storage import small_batches
 
 UNKNOWN = "und"
-#: Letters beyond the ``OTHER - 1`` most frequent ones of the sample count as one.
-OTHER = 1023
-#: Characters that are counted at a time (bounds a task's memory).
-BLOCK_CHARS = 1 << 20
+#: Characters, and texts, that are counted at a time (bounds a task's memory).
+BLOCK_CHARS, BLOCK_TEXTS = 1 << 20, 1 << 10
+#: Stands for the space before a bigram's letter, where 0 would make it a single letter.
+MARK = (1 << 21) - 1
 
 
 @dataclass(frozen=True)
 class Profiles:
-    letters: tuple[str, ...]  # letter k+1 of an n-gram code
     langs: tuple[str, ...]
     grams: tuple[tuple[int, ...], ...]  # of each language, most frequent first
     size: int
 
 
-@lru_cache(maxsize=4)
-def _letter_table(letters: tuple[str, ...]) -> np.ndarray:
-    """Code point -> letter number; 0 for what is no letter."""
-    table = np.zeros(0x110000, dtype=np.uint16)
-    for at in range(0, 0x110000):
-        if at < 0xD800 or at > 0xDFFF:
-            if chr(at).isalpha():
-                table[at] = OTHER
-    for k, c in enumerate(letters[: OTHER - 1]):
-        table[ord(c)] = k + 1
-    return table
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([not 0xD800 <= at <= 0xDFFF and chr(at).isalpha() for at in range(0x110000)])
 
 
-def _codes(texts: list[str], letters: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number << 30 | n-gram code) of the texts, ascending, and how often each occurs."""
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, code and count of the distinct n-grams of each text; any letter of any script counts as itself.
+
+    A code holds three code points in 21 bits each: of a trigram its own, with 0 for a space; of a bigram the first, 0
+    and the second, with MARK for a space in front; of a single letter 0, 0 and its own. Within a block, letters are
+    numbered, so that text number and n-gram sort as one integer.
+    """
     parts = [t.lower() + "\n" for t in texts]
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     owner = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p) for p in parts])
-    c = _letter_table(letters)[points].astype(np.uint64)
+    present = np.zeros(0x110000, dtype=bool)
+    present[points] = True
+    alphabet = np.concatenate([[0], np.flatnonzero(present & _letters()), [MARK]]).astype(np.uint64)
+    number = np.zeros(0x110000, dtype=np.uint64)
+    number[alphabet[1:-1]] = np.arange(1, len(alphabet) - 1)
+    bits, mark = np.uint64(int(len(alphabet)).bit_length()), np.uint64(len(alphabet) - 1)
+    c = number[points]
     keep = (c > 0) | np.concatenate([[True], c[:-1] > 0])  # one space between words
-    c, owner = c[keep], owner[keep] << np.uint64(30)
+    c, owner = c[keep], owner[keep] << (bits * np.uint64(3))
     before, after = np.concatenate([[0], c[:-1]]).astype(np.uint64), np.concatenate([c[1:], [0]]).astype(np.uint64)
-    one, two, three = c, before << np.uint64(10) | c, before << np.uint64(20) | c << np.uint64(10) | after
     letter, pair = c > 0, (c > 0) | (before > 0)
-    # marks that tell the lengths apart: a bigram has bit 20 set and a trigram has a letter in the middle
-    grams = np.concatenate([owner[letter] | one[letter], owner[pair] | (two | np.uint64(OTHER << 20))[pair], owner[letter] | three[letter]])
-    if not len(grams):
-        return grams, np.zeros(0, dtype=np.int64)
+    two = np.where(before > 0, before, mark) << (bits * np.uint64(2)) | c
+    three = before << (bits * np.uint64(2)) | c << bits | after
+    grams = np.concatenate([(owner | c)[letter], (owner | two)[pair], (owner | three)[letter]])
     grams.sort()
-    first = np.concatenate([[True], grams[1:] != grams[:-1]])
-    at = np.flatnonzero(first)
-    return grams[at], np.diff(np.append(at, len(grams)))
+    at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, dtype=np.int64)
+    counts, grams = np.diff(np.append(at, len(grams))), grams[at]
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    code = [alphabet[(grams >> (bits * np.uint64(k))) & low] for k in range(3)]
+    return (grams >> (bits * np.uint64(3))).astype(np.int64), code[2] << np.uint64(42) | code[1] << np.uint64(21) | code[0], counts
 
 
-def _ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ranked(owner: np.ndarray, codes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, code and rank of each text's ``size`` most frequent n-grams; ties by code."""
-    owner = (codes >> np.uint64(30)).astype(np.int64)
     order = np.lexsort((codes, -counts, owner))
-    owner, codes = owner[order], codes[order] & np.uint64((1 << 30) - 1)
-    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    owner, codes = owner[order], codes[order]
+    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, dtype=np.int64)
     rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
     keep = rank < size
     return owner[keep], codes[keep], rank[keep]
 
 
 def blocks(texts: list[str]):
-    """Ranges of texts with about ``BLOCK_CHARS`` characters each."""
+    """Ranges of up to ``BLOCK_TEXTS`` texts with about ``BLOCK_CHARS`` characters each."""
     start = total = 0
     for i, t in enumerate(texts):
-        if total and total + len(t) > BLOCK_CHARS or i - start >= 1 << 14:
+        if total and total + len(t) > BLOCK_CHARS or i - start >= BLOCK_TEXTS:
             yield start, i
             start, total = i, 0
         total += len(t)
@@ -96,18 +100,19 @@ def blocks(texts: list[str]):
         yield start, len(texts)
 
 
-def predict(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text. The score is the lead over the second language, as a share of its distance."""
-    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def predict(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and distance of each text. The score is the lead over the second language, as a share of its
+    distance; the distance is the mean of the text's n-grams, as a share of the largest one."""
+    langs, scores, distance = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts))
     if not profiles.langs:
-        return langs, scores
+        return langs, scores, distance
     known = np.unique(np.array([g for gs in profiles.grams for g in gs], dtype=np.uint64))
     ranks = np.full((len(known) + 1, len(profiles.langs)), -1, dtype=np.int64)
     for k, gs in enumerate(profiles.grams):
         ranks[np.searchsorted(known, np.array(gs, dtype=np.uint64)), k] = np.arange(len(gs))
     whole = [t or "" for t in texts]
     for lo, hi in blocks(whole):
-        owner, codes, rank = _ranked(*_codes(whole[lo:hi], profiles.letters), profiles.size)
+        owner, codes, rank = _ranked(*_counted(whole[lo:hi]), profiles.size)
         if not len(owner):
             continue
         at = np.searchsorted(known, codes)
@@ -117,49 +122,40 @@ def predict(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.
         total = np.stack([np.bincount(owner, weights=out[:, k], minlength=hi - lo) for k in range(out.shape[1])], axis=1)
         some = np.bincount(owner, minlength=hi - lo)
         best = np.argmin(total, axis=1)
-        least = total[np.arange(hi - lo), best]
-        if total.shape[1] > 1:
-            second = np.partition(total, 1, axis=1)[:, 1]
-        else:
-            second = some * float(profiles.size)
+        least, most = total[np.arange(hi - lo), best], some * float(profiles.size)
+        second = np.partition(total, 1, axis=1)[:, 1] if total.shape[1] > 1 else most
         lead = np.clip((second - least) / np.maximum(second, 1), 0, 1)
         for i in np.flatnonzero(some):
-            langs[lo + i], scores[lo + i] = profiles.langs[best[i]], lead[i]
-    return langs, scores
+            langs[lo + i], scores[lo + i], distance[lo + i] = profiles.langs[best[i]], lead[i], least[i] / most[i]
+    return langs, scores, distance
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 2000, size: int = 400, max_langs: int = 1000) -> Profiles:
-    """Profiles of the languages in ``rows``. Rows without a text, id or language are not used.
-
-    ``max_langs`` languages (the most frequent ones) are the classifier's documented bound.
-    """
-    spark = rows.sparkSession
-    small_batches(spark)
+def _sampled(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, max_langs: int) -> DataFrame:
+    """(text, lang) of about ``sample`` labelled rows of each of the ``max_langs`` most frequent languages."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     per_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not per_lang:
-        return Profiles((), (), (), size)
+        return rows.where("false")
     share = F.create_map(*[x for r in per_lang for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
 
-    def letters(batches):
-        for b in batches:
-            points = np.frombuffer("".join(b.column(0).to_pylist()).lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            found, n = np.unique(points, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"c": found.astype(np.int64), "n": n})
 
-    counted = chosen.select("text").mapInArrow(letters, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "c").limit(4 * OTHER).collect()
-    alphabet = tuple([chr(r["c"]) for r in top if chr(r["c"]).isalpha()][: OTHER - 1])
+def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 2000, size: int = 400, max_langs: int = 1000) -> Profiles:
+    """Profiles of the languages in ``rows``. Rows without a text, id or language are not used.
+
+    ``max_langs`` languages (the most frequent ones) are the classifier's documented bound.
+    """
+    small_batches(rows.sparkSession)
+    chosen = _sampled(rows, id_col, text_col, lang_col, sample, max_langs)
 
     def grams(batches):
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in blocks(texts):
-                codes, counts = _codes(texts[lo:hi], alphabet)
+                owner, codes, counts = _counted(texts[lo:hi])
                 names = sorted(set(langs[lo:hi]))
-                number = np.array([names.index(x) for x in langs[lo:hi]])[(codes >> np.uint64(30)).astype(np.int64)]
-                found = pd.DataFrame({"lang": number, "gram": (codes & np.uint64((1 << 30) - 1)).astype(np.int64), "n": counts})
+                number = np.array([names.index(x) for x in langs[lo:hi]])[owner]
+                found = pd.DataFrame({"lang": number, "gram": codes.astype(np.int64), "n": counts})
                 found = found.groupby(["lang", "gram"], as_index=False)["n"].sum()
                 lang = pa.array([names[k] for k in found["lang"]], pa.string())
                 yield pa.RecordBatch.from_arrays([lang, pa.array(found["gram"]), pa.array(found["n"])], names=["lang", "gram", "n"])
@@ -170,21 +166,28 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
     found: dict[str, list[int]] = {}
     for r in best:
         found.setdefault(r["lang"], []).append(r["gram"])
-    return Profiles(alphabet, tuple(found), tuple(map(tuple, found.values())), size)
+    return Profiles(tuple(found), tuple(map(tuple, found.values())), size)
+
+
+def reach(
+    rows: DataFrame, profiles: Profiles, id_col: str, text_col: str, lang_col: str, sample: int = 2000, share: float = 0.999, margin: float = 1.3, max_langs: int = 1000
+) -> dict[str, float]:
+    """How far a text in each language may be from its profile: ``margin`` times the distance within which ``share`` of
+    the sampled labelled rows of that language lie."""
+    chosen = _sampled(rows, id_col, text_col, lang_col, sample, max_langs).select("lang", predicted(F.col("text"), profiles, rows.sparkSession).alias("found"))
+    own = chosen.where("found.lang_pred = lang").groupBy("lang").agg(F.percentile_approx("found.distance", F.lit(share), F.lit(10_000)).alias("far"))
+    return {r["lang"]: min(1.0, margin * r["far"]) for r in own.collect()}
 
 
 def predicted(text: Column, profiles: Profiles, spark) -> Column:
-    """Struct (lang_pred, score) of a text column."""
+    """Struct (lang_pred, score, distance) of a text column."""
     small_batches(spark)
     held = spark.sparkContext.broadcast(profiles)  # max_langs * size numbers at most
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, distance double")
     def of(texts: pa.Array) -> pa.Array:
-        langs, scores = [], [np.zeros(0)]
-        for at in range(0, len(texts), 1024):
-            found = predict(texts.slice(at, 1024).to_pylist(), held.value)
-            langs += found[0]
-            scores.append(found[1])
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
+        found = [predict(texts.slice(at, BLOCK_TEXTS).to_pylist(), held.value) for at in range(0, max(len(texts), 1), BLOCK_TEXTS)]
+        langs = pa.array([x for f in found for x in f[0]], pa.string())
+        return pa.StructArray.from_arrays([langs, *[pa.array(np.concatenate([f[k] for f in found])) for k in (1, 2)]], names=["lang_pred", "score", "distance"])
 
     return of(text)

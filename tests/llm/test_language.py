@@ -5,45 +5,74 @@ from skylattice.llm import language_id, queries
 from skylattice.llm.language_id import Profiles, predict
 
 
-def brute_profile(texts, size, letters):
-    """Most frequent 1- to 3-grams of letters, counted plainly; words are bounded by a space."""
+def brute_counts(text):
+    """1- to 3-grams of letters, counted plainly; words are bounded by a space."""
     counts = {}
-    for text in texts:
-        kept = "".join(c if c.isalpha() else " " for c in text.lower())
-        line = " " + " ".join(kept.split()) + (" " if kept.split() else "")
-        for n in (1, 2, 3):
-            for i in range(len(line) - n + 1):
-                g = line[i : i + n]
-                if n == 1 and g == " " or n == 3 and g[1] == " " or n == 2 and g == "  ":
-                    continue
-                counts[g] = counts.get(g, 0) + 1
+    kept = "".join(c if c.isalpha() else " " for c in text.lower())
+    line = " " + " ".join(kept.split()) + (" " if kept.split() else "")
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            g = line[i : i + n]
+            if n == 1 and g == " " or n == 3 and g[1] == " " or n == 2 and g == "  ":
+                continue
+            counts[g] = counts.get(g, 0) + 1
     return counts
 
 
-def code(gram, letters):
-    n = lambda c: 0 if c == " " else letters.index(c) + 1 if c in letters else language_id.OTHER
-    v = [n(c) for c in gram]
-    return v[0] if len(v) == 1 else v[0] << 10 | v[1] | language_id.OTHER << 20 if len(v) == 2 else v[0] << 20 | v[1] << 10 | v[2]
+def code(gram):
+    v = [0 if c == " " else ord(c) for c in gram]
+    first, middle, last = {1: (0, 0, v[0]), 2: (v[0] or language_id.MARK, 0, v[-1]), 3: (v[0], v[1 % len(v)], v[-1])}[len(v)]
+    return first << 42 | middle << 21 | last
+
+
+def brute_ranks(text, size):
+    counts = {code(g): n for g, n in brute_counts(text).items()}
+    return sorted(counts, key=lambda k: (-counts[k], k))[:size]
+
+
+TEXTS = ["The tea is hot, isn't it? é É ñ", "a", "", "  ..", "x1y2 z\n\nhello", "日本語 日本", "".join(chr(0x4E00 + k) for k in range(3000)), "가나다 😀 𐐀"]
 
 
 def test_counts_equal_brute_force():
-    letters = tuple("etaoinshrdlué")
-    for text in ("The tea is hot, isn't it? é É ñ", "a", "", "  ..", "x1y2 z\n\nhello"):
-        codes, counts = language_id._codes([text], letters)
-        got = {int(k): int(n) for k, n in zip(codes, counts)}
-        want = {}
-        for g, n in brute_profile([text], 0, letters).items():
-            want[code(g, letters)] = want.get(code(g, letters), 0) + n
-        assert got == want, text
+    owner, codes, counts = language_id._counted(TEXTS)
+    for i, text in enumerate(TEXTS):
+        got = {int(k): int(n) for k, n in zip(codes[owner == i], counts[owner == i])}
+        assert got == {code(g): n for g, n in brute_counts(text).items()}, text
+
+
+def brute_predict(text, profiles):
+    ranks = brute_ranks(text, profiles.size)
+    if not ranks:
+        return "und", 0.0, 1.0
+    far = []
+    for grams in profiles.grams:
+        at = {g: k for k, g in enumerate(grams)}
+        far.append(sum(abs(at[g] - r) if g in at else profiles.size for r, g in enumerate(ranks)))
+    order = sorted(range(len(far)), key=lambda k: (far[k], k))
+    second = far[order[1]] if len(far) > 1 else profiles.size * len(ranks)
+    return profiles.langs[order[0]], (second - far[order[0]]) / max(second, 1), far[order[0]] / (profiles.size * len(ranks))
+
+
+def test_prediction_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    profiles = language_id.fit(docs, "doc_id", "text", "lang", sample=10**9)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + TEXTS + [None]
+    for text, *got in zip(texts, *predict(texts, profiles)):
+        want = brute_predict(text or "", profiles)
+        assert got[0] == want[0] and np.allclose(got[1:], want[1:])
+    total = {}
+    for r in docs.where("lang is not null and text is not null and doc_id is not null").collect():
+        for g, n in brute_counts(r.text).items():
+            total.setdefault(r.lang, {}).setdefault(code(g), [0])[0] += n
+    for lang, grams in zip(profiles.langs, profiles.grams):
+        assert list(grams) == sorted(total[lang], key=lambda g: (-total[lang][g][0], g))[: profiles.size]
 
 
 def test_out_of_place_distance():
-    letters = tuple("ab")
-    grams = ((1, 2), (2, 1))
-    p = Profiles(letters, ("x", "y"), grams, 400)
-    langs, scores = predict(["aab", "bba", "", None, "12"], p)
+    p = Profiles(("x", "y"), (tuple(map(code, "ab")), tuple(map(code, "ba"))), 400)
+    langs, scores, _ = predict(["aab", "bba", "", None, "12"], p)
     assert langs == ["x", "y", "und", "und", "und"] and scores[0] > 0 and scores[2] == 0
-    assert predict(["ab"], Profiles((), (), (), 400))[0] == ["und"]
+    assert predict(["ab"], Profiles((), (), 400))[0] == ["und"]
 
 
 def test_held_out_accuracy(spark):

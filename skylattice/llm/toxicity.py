@@ -10,8 +10,9 @@ Labels are learned from at most ``sample`` labelled rows (those with the lowest
 to broadcast. Scoring is one pass over the whole texts without a shuffle.
 
 Defined results: null and empty texts score as a text without evidence; labels other than 0 and 1 and null ids are not
-learned from; without labelled rows of both kinds every score is the share of toxic labels (0 if there are none);
-repeated rows are scored each on their own.
+learned from, and an id with both labels is toxic; without labelled rows of both kinds every score is 1 or 0 as they are
+(0 if there are none); repeated rows are scored each on their own; features of equal rank are taken in alphabetical
+order; a text of any length is scored as a whole; an empty table gives an empty result; other columns are not read.
 """
 
 import math
@@ -36,7 +37,6 @@ STANDS_FOR = {
 JOINERS = ".-_*~'`^,:;/\\#%&=\""
 SIZE = 64
 OTHER = SIZE - 1
-BEAM = 12
 #: Log-probabilities of the channel: a letter as itself, another character in its place, one put in between, one that
 #: could stand for a letter put in between, or a letter said again.
 SAME, STAND_IN, PUT_IN, STRAY, AGAIN = math.log(0.9), math.log(0.3), math.log(0.1), math.log(0.002), math.log(0.05)
@@ -138,7 +138,8 @@ def disguised(token: str) -> bool:
 
 
 def decode(span: str, model: np.ndarray, best: int = 3) -> list[str]:
-    """The ``best`` likeliest restorations of a lower-case span (Viterbi over pairs of characters, ``BEAM`` states)."""
+    """The ``best`` likeliest restorations of a lower-case span: a Viterbi search whose states are the last two characters,
+    all of which are kept."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for found in lattice(span):
         new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -152,7 +153,7 @@ def decode(span: str, model: np.ndarray, best: int = 3) -> list[str]:
                     key, q, t = (b, c), p + channel + model[a, b, c], text + (LETTERS[c] if c < len(LETTERS) else "�")
                 if key not in new or q > new[key][0]:
                     new[key] = (q, t)
-        states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
+        states = new
     ended = [(p + (model[a, b, 0] if b else 0.0), t) for (a, b), (p, t) in states.items()]
     return [t.strip() for _, t in sorted(ended, reverse=True)[:best]]
 

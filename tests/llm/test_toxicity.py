@@ -30,8 +30,8 @@ def test_restores(model, text, want):
 
 
 def test_decode_finds_the_best_path(model):
-    """Against all paths of the lattice, where the beam holds them all."""
-    for span in ("m0r", "1d1", "a.b", "tt0", "5u"):
+    """Against all paths of the lattice; the last span has over twelve states at a time."""
+    for span in ("m0r", "1d1", "a.b", "tt0", "5u", "1|4e1|05|"):
         best = {}
         for path in itertools.product(*toxicity.lattice(span)):
             p, a, b, text = 0.0, 0, 0, ""

@@ -17,6 +17,9 @@ SPECKLE_ELSE = 0.12
 CANOPY = {6: 16.0, 7: 22.0}
 CANOPY_GAPS = 0.18
 WALLS = [(0.80, 0.78, 0.72), (0.74, 0.70, 0.62), (0.66, 0.64, 0.60), (0.86, 0.84, 0.80)]
+#: Colours of walls and roofs that no image shows.
+DEFAULT_WALLS = [(0.85, 0.80, 0.70), (0.90, 0.87, 0.80), (0.78, 0.70, 0.58)]
+DEFAULT_ROOFS = [(0.64, 0.42, 0.30), (0.55, 0.36, 0.28), (0.48, 0.45, 0.44)]
 LUMA = (0.299, 0.587, 0.114)
 
 
@@ -71,17 +74,29 @@ def hsv(r: Column, g: Column, b: Column) -> list[Column]:
     return [hue, F.coalesce(F.try_divide(span, top), F.lit(0.0)), top]
 
 
+#: Bounds of wall and roof colours, hues as parts of the circle.
+WALL_SATURATION, WALL_VALUE, SKY_HUE, GREEN_HUE = 0.38, (0.42, 0.97), (0.52, 0.72), (0.18, 0.45)
+ROOF_HUE, ROOF_SATURATION, ROOF_VALUE = (0.12, 0.93), 0.25, (0.20, 0.95)
+
+
+def _gates(r: Column, g: Column, b: Column) -> list[Column]:
+    """Hue as a part of the circle, saturation and value; what lies on a bound counts as being on it."""
+    h, s, v = hsv(r, g, b)
+    return [F.round(x, 6) for x in (h / 360, s, v)]
+
+
 def wall_candidate(r: Column, g: Column, b: Column) -> Column:
-    """Bright and pale: plaster."""
-    _, s, v = hsv(r, g, b)
-    return (v > 0.55) & (s < 0.35)
+    """Pale and not too dark or bright: plaster. Sky and plants are not."""
+    h, s, v = _gates(r, g, b)
+    within = lambda x, a, z: (x > a) & (x < z)
+    sky, green = within(h, *SKY_HUE) & (s > 0.15), within(h, *GREEN_HUE) & (s > 0.22)
+    return (s < WALL_SATURATION) & within(v, *WALL_VALUE) & ~sky & ~green
 
 
 def roof_candidate(r: Column, g: Column, b: Column) -> Column:
-    """Warm and saturated: tiles."""
-    h, s, _ = hsv(r, g, b)
-    h = F.round(h, 6)  # a hue on the bound counts as being on it
-    return ((h < 40) | (h > 340)) & (s > 0.25)
+    """Warm and saturated, not too dark or bright: tiles."""
+    h, s, v = _gates(r, g, b)
+    return ((h < ROOF_HUE[0]) | (h > ROOF_HUE[1])) & (s > ROOF_SATURATION) & (v > ROOF_VALUE[0]) & (v < ROOF_VALUE[1])
 
 
 def to_byte(x: Column, scene_max: Column) -> Column:

@@ -8,64 +8,105 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from skylattice.functions import raster
 from skylattice.operators import rasters
 from skylattice.operators.graph import connected_components, written
+from skylattice.operators.quantiles import exact_quantiles
 
 
-def cloud_mask(px: DataFrame, bright: float = 2.0, dark: float = 1.0, reach: int = 2) -> DataFrame:
-    """Cloud and shadow pixels of each scene: far above its median and bright, or far below it and near a cloud."""
-    mid = px.groupBy("scene").agg(F.median("gray").alias("mid"))
-    spread = px.join(F.broadcast(mid), "scene").groupBy("scene").agg(F.median(F.abs(F.col("gray") - F.col("mid"))).alias("spread"))
-    rows = px.join(F.broadcast(mid.join(spread, "scene")), "scene")  # a row per scene
-    rows = rows.select("scene", "row", "col", (F.col("gray") > F.col("mid") + bright * F.col("spread")).alias("cloud"), (F.col("gray") < F.col("mid") - dark * F.col("spread")).alias("dark"))
-    solid = rasters.opened(rows, "cloud", 1, ("scene",))
-    near = rasters.dilate(solid.withColumn("near", F.col("cloud")), "near", reach, ("scene",))
-    return near.select("scene", "row", "col", "cloud", (F.col("dark") & F.col("near") & ~F.col("cloud")).alias("shadow"))
+#: Fixed values of the cloud test: least brightness, largest channel spread, and the drop below the scene that is shadow.
+CLOUD_LUM, CLOUD_SURE, CLOUD_SPREAD, SHADOW_DROP = 0.60, 0.72, 0.16, 0.62
 
 
-def zones(stats: DataFrame, edges: DataFrame, least: int, rounds: int = 4) -> DataFrame:
-    """Zone of each block: components of like neighbours; a zone of fewer than ``least`` blocks joins the zone that most
-    of its blocks' neighbours belong to. ``zone`` is the rank by size within the scene, the largest being 0."""
+def cloud_mask(px: DataFrame, res: float) -> DataFrame:
+    """Cloud and shadow pixels of each scene (``res``: metres a pixel).
+
+    Clouds are bright against the scene's median and hardly coloured; texture speaks against all but the brightest.
+    Shadows are dark against the median and lie within 1200 m of a cloud. Both are opened, then grown by 30 m or five
+    pixels. Windows are squares.
+    """
+    keys, odd = ("scene",), lambda m, least: max(least, int(m / res) | 1)
+    mid = exact_quantiles(px, ["scene"], "gray", {"mid": 0.5})
+    rows = px.join(F.broadcast(mid), "scene")  # a row per scene
+    rows = rows.withColumn("spread", F.greatest("r", "g", "b") - F.least("r", "g", "b"))
+    rows = rasters.blur(rows, "gray", max(1.0, 2.0 / res), keys, "smooth")
+    rows = rasters.edges(rows, "smooth", keys, "edge").withColumn("rough", (F.round("edge", 9) > 0.10).cast("double"))
+    rows = rasters.box_mean(rows, "rough", 4, keys, "texture")
+    g, wide = F.col("gray"), F.round("spread", 9)
+    bright = F.round(g - F.greatest(F.lit(CLOUD_LUM), F.least(F.col("mid") + 0.15, F.lit(CLOUD_SURE))), 9) > 0
+    cloud = bright & (wide < CLOUD_SPREAD) & ((F.round("texture", 9) < 0.35) | (g > CLOUD_SURE))
+    shadow = (F.round(g - F.col("mid") * SHADOW_DROP, 9) < 0) & (wide < CLOUD_SPREAD + 0.06)
+    rows = rows.select("scene", "row", "col", cloud.alias("cloud"), shadow.alias("shadow"))
+    grow, near = odd(30.0, 11) // 2, odd(1200.0, 3) // 2
+    rows = rasters.dilate(rasters.opened(rows, "cloud", 1, keys), "cloud", grow, keys)
+    rows = rasters.opened(rows, "shadow", 1, keys)
+    rows = rasters.dilate(rows.withColumn("near", F.col("cloud")), "near", near, keys)
+    return rasters.dilate(rows.withColumn("shadow", F.col("shadow") & F.col("near")), "shadow", grow, keys).drop("near")
+
+
+def zones(stats: DataFrame, edges: DataFrame, least: float = 0.01) -> DataFrame:
+    """Zone of each block: components of like neighbours. Zones of fewer than ``least`` blocks (below 1: than that share
+    of a scene's blocks) are given to the zone that most of a block's neighbours belong to (the larger one where these
+    are as many), ring by ring until every block has one. ``zone`` is the rank by size of the components within the scene, the largest being 0."""
     code = lambda s, r, c: (F.col(s) * 1_000_000 + F.col(r)) * 1_000_000 + F.col(c)
     blocks = stats.select("scene", "br", "bc", code("scene", "br", "bc").alias("node"))
     found = connected_components(edges.select(code("scene", "br", "bc").alias("x"), code("scene", "nr", "nc").alias("y")), "x", "y")
-    label = blocks.join(found, "node", "left").select("scene", "br", "bc", F.coalesce("component", "node").alias("label"))
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    for _ in range(rounds):
-        sizes = label.groupBy("label").agg(F.count("*").alias("k"))
-        sized = label.join(sizes, "label")
-        tiny = sized.where(F.col("k") < least).withColumn("s", F.explode(steps))
-        tiny = tiny.select("scene", F.col("label").alias("small"), F.col("k").alias("own"), (F.col("br") + F.col("s.a")).alias("br"), (F.col("bc") + F.col("s.b")).alias("bc"))
-        votes = tiny.join(sized, ["scene", "br", "bc"]).where("label <> small and k >= own").groupBy("small", "label").agg(F.count("*").alias("v"), F.first("k").alias("k"))
-        best = votes.groupBy("small").agg(F.max_by("label", F.struct("v", "k", "label")).alias("next"))
-        label = label.join(best, F.col("label") == F.col("small"), "left").select("scene", "br", "bc", F.coalesce("next", "label").alias("label"))
-        label = written(label)
+    label = written(blocks.join(found, "node", "left").select("scene", "br", "bc", F.coalesce("component", "node").alias("label")))
     sizes = label.groupBy("scene", "label").agg(F.count("*").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("scene").orderBy(F.desc("k"), "label")) - 1
-    return label.join(sizes.withColumn("zone", rank), ["scene", "label"]).select("scene", "br", "bc", "zone", F.col("k").alias("zone_blocks"))
+    total = label.groupBy("scene").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("scene").orderBy(F.desc("k"), "label")) - 1  # over a row per component
+    sizes = sizes.join(total, "scene").withColumn("zone", rank).where((F.col("k") >= (least * F.col("n") if least < 1 else F.lit(least))) | (F.col("zone") == 0))
+    label = written(label.join(sizes.select("scene", "label", "zone"), ["scene", "label"], "left").select("scene", "br", "bc", "zone"))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    open_ = label.where("zone is null").count()
+    while open_:
+        near = label.where("zone is not null").withColumn("s", F.explode(steps))
+        near = near.select("scene", (F.col("br") + F.col("s.a")).alias("br"), (F.col("bc") + F.col("s.b")).alias("bc"), F.col("zone").alias("next"))
+        votes = near.join(label.where("zone is null"), ["scene", "br", "bc"], "left_semi").groupBy("scene", "br", "bc", "next").agg(F.count("*").alias("v"))
+        best = votes.groupBy("scene", "br", "bc").agg(F.max_by("next", F.struct("v", (-F.col("next")).alias("z"))).alias("next"))
+        label = written(label.join(best, ["scene", "br", "bc"], "left").select("scene", "br", "bc", F.coalesce("zone", "next").alias("zone")))
+        now = label.where("zone is null").count()
+        if now == open_:  # parts of the scene without any zone beside them
+            label, now = label.fillna(0, ["zone"]), 0
+        open_ = now
+    counted = label.groupBy("scene", "zone").agg(F.count("*").alias("zone_blocks"))
+    return label.join(counted, ["scene", "zone"]).select("scene", "br", "bc", "zone", "zone_blocks")
 
 
 def normalize_zones(px: DataFrame, zoned: DataFrame, size: int) -> DataFrame:
-    """Brings each zone's median and spread to those of the largest zone of its scene."""
+    """Brings each zone's median, spread and channel medians to those of its scene's zone with most pixels, and then its
+    colours to the brightness that this gives."""
     rows = px.where("valid").withColumn("br", F.floor(F.col("row") / size)).withColumn("bc", F.floor(F.col("col") / size))
     rows = rows.join(zoned.select("scene", "br", "bc", "zone"), ["scene", "br", "bc"])
-    mid = rows.groupBy("scene", "zone").agg(F.median("gray").alias("mid"))
-    mad = rows.join(mid, ["scene", "zone"]).groupBy("scene", "zone").agg(F.median(F.abs(F.col("gray") - F.col("mid"))).alias("mad"))
-    own = mid.join(mad, ["scene", "zone"])
-    ref = own.where("zone = 0").select("scene", F.col("mid").alias("ref_mid"), F.col("mad").alias("ref_mad"))
-    scale = F.col("ref_mad") / F.greatest("mad", F.lit(1e-6))
-    even = (F.col("gray") - F.col("mid")) * F.greatest(F.lit(0.5), F.least(F.lit(2.0), scale)) + F.col("ref_mid")
-    return rows.join(own.join(ref, "scene"), ["scene", "zone"]).select("scene", "row", "col", "zone", raster.clip(even, 0.0, 1.5).alias("gray"))
+    keys = ["scene", "zone"]
+    own = rasters.spread(rows, keys, "gray").join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    for k in "rgb":
+        own = own.join(exact_quantiles(rows, keys, k, {f"mid_{k}": 0.5}), keys)
+    ref = own.groupBy("scene").agg(F.max_by(F.struct("mid", "mad", "mid_r", "mid_g", "mid_b"), F.struct("n", (-F.col("zone")).alias("z"))).alias("ref"))
+    floor = lambda k: F.when(F.col(k) > 0, F.col(k)).otherwise(1e-3)
+    cut = lambda x: raster.clip(x, 0.5, 2.0)
+    known = own.join(ref, "scene").select(
+        *keys, "mid", F.col("ref.mid").alias("ref_mid"), cut(floor("ref.mad") / floor("mad")).alias("scale"), *[cut(F.col(f"ref.mid_{k}") / F.greatest(f"mid_{k}", F.lit(1e-3))).alias(f"gain_{k}") for k in "rgb"]
+    )
+    gray = raster.clip((F.col("gray") - F.col("mid")) * F.col("scale") + F.col("ref_mid"), 0.0, 1.0)
+    gained = {k: raster.clip(F.col(k) * F.col(f"gain_{k}"), 0.0, 1.0) for k in "rgb"}
+    out = rows.join(F.broadcast(known), keys).select("scene", "row", "col", "zone", gray.alias("gray"), *[v.alias(k) for k, v in gained.items()])  # a row per zone
+    ratio = cut(F.col("gray") / F.greatest(raster.luminance(F.col("r"), F.col("g"), F.col("b")), F.lit(1e-3)))
+    return out.select("scene", "row", "col", "zone", "gray", *[raster.clip(F.col(k) * ratio, 0.0, 1.0).alias(k) for k in "rgb"])
 
 
-def roof_mask(px: DataFrame, radius: int = 2, k: float = 0.5) -> DataFrame:
-    """Pixels brighter than their surroundings by ``k`` mean deviations, closed by a square."""
-    mean = rasters.box_mean(px, "gray", radius, ("scene",)).withColumnRenamed("mean", "local")
-    dev = rasters.box_mean(mean.withColumn("away", F.abs(F.col("gray") - F.col("local"))), "away", radius, ("scene",))
-    rows = dev.select("scene", "row", "col", (F.round(F.col("gray") - F.col("local") - k * F.col("mean"), 9) > 0).alias("roof"))
-    return rasters.closed(rows, "roof", 1, ("scene",))
+def roof_mask(px: DataFrame, res: float) -> DataFrame:
+    """Valid pixels whose blurred brightness is above that of the 150 m around by 2.5 mean deviations, and by 0.06 at
+    least; closed, then opened, by 3 m or three pixels."""
+    keys, odd = ("scene",), lambda m, least: max(least, int(m / res) | 1)
+    rows = rasters.blur(px, "gray", max(1.0, 1.0 / res), keys, "smooth")
+    rows = rasters.box_mean(rows, "smooth", odd(150.0, 15) // 2, keys, "local")
+    rows = rasters.box_mean(rows.withColumn("away", F.abs(F.col("smooth") - F.col("local"))), "away", odd(150.0, 15) // 2, keys, "mad")
+    roof = (F.round(F.col("smooth") - F.col("local") - F.greatest(F.lit(0.06), 2.5 * F.col("mad")), 9) > 0) & F.col("valid")
+    rows = rows.select("scene", "row", "col", roof.alias("roof"))
+    return rasters.opened(rasters.closed(rows, "roof", odd(3.0, 3) // 2, keys), "roof", odd(3.0, 3) // 2, keys)
 
 
 def blobs(components: DataFrame, keys: list[str], row: str = "row", col: str = "col") -> DataFrame:
@@ -76,14 +117,40 @@ def blobs(components: DataFrame, keys: list[str], row: str = "row", col: str = "
     return rows.withColumn("fill", F.col("area") / ((F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)))
 
 
-def kmeans(px: DataFrame, columns: list[str], k: int, seed: int = 1) -> DataFrame:
-    """Cluster of each row and, through it, cluster sizes: Spark's own distributed k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def kmeans(px: DataFrame, keys: list[str], columns: list[str], k: int, rounds: int = 25) -> DataFrame:
+    """``px`` with the ``cluster`` of each row among its group's (a scene's, say), the largest cluster being 0.
+
+    All groups move together: a round is one pass with partial sums, and ``k`` centres of each group reach the driver.
+    The first centres are the values with the lowest hash; an empty cluster keeps its centre.
+    """
+    spark, dims = px.sparkSession, range(len(columns))
+    rows = written(px.withColumn("__v", F.array(*[F.col(c).cast("double") for c in columns])))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("__v"), "__v"))
+    first = rows.select(*keys, "__v").distinct().withColumn("__k", number).where(F.col("__k") <= k).orderBy("__k").collect()
+    centres: dict[tuple, list[list[float]]] = {}
+    for r in first:
+        centres.setdefault(tuple(r[c] for c in keys), []).append(list(r["__v"]))
+    if not centres:
+        return rows.drop("__v").withColumn("cluster", F.lit(0))
+    schema = px.select(*keys).schema.add("__centres", ArrayType(ArrayType(DoubleType())))
+
+    def dealt() -> DataFrame:
+        table = F.broadcast(spark.createDataFrame([(*key, c) for key, c in centres.items()], schema))  # a row per group
+        away = F.transform("__centres", lambda c: F.round(sum(((F.col("__v")[i] - c[i]) * (F.col("__v")[i] - c[i]) for i in dims), F.lit(0.0)), 12))
+        return rows.join(table, keys).withColumn("__away", away).withColumn("cluster", (F.array_position("__away", F.array_min("__away")) - 1).cast("int")).drop("__away", "__centres")
 
-    rows = VectorAssembler(inputCols=columns, outputCol="__v").transform(px)
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", maxIter=10).fit(rows)
-    return model.transform(rows).drop("__v")
+    for _ in range(rounds):
+        means = dealt().groupBy(*keys, "cluster").agg(*[F.avg(F.col("__v")[i]).alias(f"__{i}") for i in dims]).collect()
+        moved = {key: [list(c) for c in cs] for key, cs in centres.items()}
+        for r in means:
+            moved[tuple(r[c] for c in keys)][r["cluster"]] = [round(r[f"__{i}"], 12) for i in dims]
+        if moved == centres:
+            break
+        centres = moved
+    out = written(dealt().drop("__v"))
+    sizes = out.groupBy(*keys, "cluster").agg(F.count("*").alias("__n"))
+    rank = sizes.select(*keys, "cluster", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__n"), "cluster")) - 1).alias("__rank"))
+    return out.join(F.broadcast(rank), [*keys, "cluster"]).drop("cluster").withColumnRenamed("__rank", "cluster")  # k rows a group
 
 
 def shadow_runs(rays: DataFrame, dark: Column) -> DataFrame:
@@ -148,40 +215,46 @@ def constellation_scores(points: DataFrame, tolerance: float = 0.35) -> DataFram
     return points.groupBy("query", "hypothesis").applyInPandas(score, "query long, hypothesis long, score double")
 
 
-def view_descriptor(px: DataFrame, width: int) -> DataFrame:
-    """Per view: depths by logarithmic bin (12), class shares by half (8), skyline by band (16), scaled to length one."""
+def view_descriptor(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Per view: shares of 12 logarithmic depths up to exp(8.5) - 1, class shares of the top and bottom half (8), the
+    height of the highest building pixel in 16 bands; scaled to length one."""
     finite = F.col("depth") < float("inf")
-    bin_ = F.least(F.lit(11), F.greatest(F.lit(0), F.floor(F.log(F.greatest("depth", F.lit(1.0))) * 2)))
-    half = F.col("c") >= width // 2
-    share = lambda x: F.avg(x.cast("double"))
-    depth = [share(finite & (bin_ == k)).alias(f"d{k}") for k in range(12)]
-    classes = [share(side & F.col(k)).alias(f"{k}{s}") for s, side in enumerate((~half, half)) for k in ("building", "vegetation", "water")]
-    classes += [share(side & ~finite).alias(f"sky{s}") for s, side in enumerate((~half, half))]
-    band = F.floor(F.col("c") / (width / 16))
-    sky = [F.avg(F.when(band == k, (~finite).cast("double"))).alias(f"s{k}") for k in range(16)]
+    at = F.log1p("depth") * (12 / 8.5)
+    bin_ = F.when(finite & (at >= 0) & (at <= 12), F.least(F.lit(11), F.floor(at)))
+    depth = [(F.count_if(bin_ == k) / F.greatest(F.lit(1), F.count_if(finite))).alias(f"d{k}") for k in range(12)]
+    halves = (F.col("r") < height // 2, F.col("r") >= height // 2)
+    kinds = {"building": F.col("building"), "vegetation": F.col("vegetation"), "sky": ~finite, "water": F.col("water")}
+    classes = [F.avg(F.when(half, kind.cast("double"))).alias(f"{name}{i}") for name, kind in kinds.items() for i, half in enumerate(halves)]
+    first, more = divmod(width, 16)  # bands of almost one width, the wider ones first
+    edges = [0]
+    for k in range(16):
+        edges.append(edges[-1] + first + (k < more))
+    sky = [(1 - F.min(F.when(F.col("building") & (F.col("c") >= a) & (F.col("c") < z), F.col("r"))) / F.lit(float(height))).alias(f"s{k}") for k, (a, z) in enumerate(zip(edges, edges[1:]))]
     rows = px.groupBy("view_id").agg(*depth, *classes, *sky)
     names = [c for c in rows.columns if c != "view_id"]
     values = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in names])
     length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select("view_id", F.transform(values, lambda x: x / F.greatest(length, F.lit(1e-9))).alias("descriptor"))
+    return rows.select("view_id", F.transform(values, lambda x: F.when(length > 0, x / length).otherwise(x)).alias("descriptor"))
 
 
 def view_alignment(pairs: DataFrame) -> DataFrame:
-    """Agreement of two views joined on their pixels (columns a_* and b_*): IoU of buildings and water, sky, depth."""
+    """Agreement of a query view (columns a_*) with another one (b_*), joined on their pixels: overlap of buildings and
+    of water, equal sky, and depth, from their relative difference's median. Water counts only where the query shows
+    some, depth only where both have it; the other cues then weigh more."""
 
-    def iou(k: str) -> Column:
+    def overlap(k: str) -> Column:
         a, b = F.col(f"a_{k}"), F.col(f"b_{k}")
-        return F.count_if(a & b) / F.nullif(F.count_if(a | b), F.lit(0))
+        return F.coalesce(F.count_if(a & b) / F.nullif(F.count_if(a | b), F.lit(0)), F.lit(1.0))
 
     sky_a, sky_b = F.col("a_depth") == float("inf"), F.col("b_depth") == float("inf")
-    near = F.when(~sky_a & ~sky_b, F.least("a_depth", "b_depth") / F.greatest("a_depth", "b_depth"))
+    apart = F.when(~sky_a & ~sky_b, F.abs(F.col("a_depth") - F.col("b_depth")) / F.greatest(F.col("a_depth"), F.lit(1.0)))
     rows = pairs.groupBy("view_id").agg(
-        iou("building").alias("silhouette"), F.avg((sky_a == sky_b).cast("double")).alias("sky"), iou("water").alias("water"), F.median(near).alias("depth")
+        overlap("building").alias("silhouette"), F.avg((sky_a == sky_b).cast("double")).alias("sky"), F.when(F.count_if("a_water") > 0, overlap("water")).alias("water"), raster.clip(1 - 2 * F.median(apart), 0.0, 1.0).alias("depth")
     )
-    weights = {"silhouette": 0.4, "sky": 0.2, "water": 0.1, "depth": 0.3}  # of the cues that are there
-    total = sum((F.when(F.col(k).isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    score = sum((F.coalesce(F.col(k) * w, F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
-    return rows.withColumn("score", score / F.nullif(total, F.lit(0.0)))
+    mix = lambda **w: sum((F.col(k) * v for k, v in w.items()), F.lit(0.0))
+    water, depth = F.col("water").isNotNull(), F.col("depth").isNotNull()
+    score = F.when(depth & water, mix(silhouette=0.4, depth=0.25, sky=0.15, water=0.2)).when(depth, mix(silhouette=0.5, depth=0.3, sky=0.2))
+    return rows.withColumn("score", score.when(water, mix(silhouette=0.45, sky=0.25, water=0.3)).otherwise(mix(silhouette=0.65, sky=0.35)))
 
 
 def batched(rows: DataFrame, model: Callable[[np.ndarray], np.ndarray], schema: str, vector: str, batch: int = 64) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.quantiles import exact_quantiles
+
 
 def resample(texels: DataFrame, size: int, width: int) -> DataFrame:
     """Nearest-texel resampling to ``size`` x ``size`` with the ground scaled to 16 bits."""
@@ -29,20 +33,58 @@ def bilinear(points: DataFrame, texels: DataFrame, value: str) -> DataFrame:
     return found.groupBy("id").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0.0))).alias(value))
 
 
-def box_mean(raster: DataFrame, value: str, radius: int, keys: tuple = ()) -> DataFrame:
+#: Rows of a raster that one task holds of a column.
+TALL = 512
+
+
+def over_rows(raster: DataFrame, reach: int, keys: tuple, make) -> DataFrame:
+    """Adds the columns that ``make`` gives for a window down each column. The rows are cut into blocks, each with the
+    ``reach`` rows around it, so a column of any length is spread over many tasks."""
+    high = max(TALL, reach)
+    of = lambda x: F.floor(x / high)
+    blocks = F.array_distinct(F.array(of(F.col("row") - reach), of(F.col("row")), of(F.col("row") + reach)))
+    halo = raster.withColumn("__block", F.explode(blocks))
+    w = Window.partitionBy(*keys, "col", "__block").orderBy("row")
+    return halo.withColumns(make(w)).where(F.col("__block") == of(F.col("row"))).drop("__block")
+
+
+def over_columns(raster: DataFrame, keys: tuple, make) -> DataFrame:
+    """The same along each row."""
+    return raster.withColumns(make(Window.partitionBy(*keys, "row").orderBy("col")))
+
+
+def box_mean(raster: DataFrame, value: str, radius: int, keys: tuple = (), name: str = "mean") -> DataFrame:
     """Mean over a square window, as two windows over rows and columns; windows are cut at the raster's edge."""
-    over = lambda fixed, along: Window.partitionBy(*keys, fixed).orderBy(along).rangeBetween(-radius, radius)
-    across = raster.withColumn("__s", F.sum(value).over(over("row", "col"))).withColumn("__n", F.count(value).over(over("row", "col")))
-    down = over("col", "row")
-    return across.withColumn("mean", F.sum("__s").over(down) / F.sum("__n").over(down)).drop("__s", "__n")
+    near = lambda w: w.rangeBetween(-radius, radius)
+    across = over_columns(raster, keys, lambda w: {"__s": F.sum(value).over(near(w)), "__n": F.count(value).over(near(w))})
+    return over_rows(across, radius, keys, lambda w: {name: F.sum("__s").over(near(w)) / F.sum("__n").over(near(w))}).drop("__s", "__n")
+
+
+def weighted(value: str, weights: list[float], w) -> Column:
+    """Mean of the texels at distance 0, 1, ... before and after along a window, by weight; missing ones don't count."""
+    at = lambda k: F.lag(value, k).over(w) if k > 0 else F.lead(value, -k).over(w) if k < 0 else F.col(value)
+    steps = range(1 - len(weights), len(weights))
+    total = sum((F.coalesce(at(k) * weights[abs(k)], F.lit(0.0)) for k in steps), F.lit(0.0))
+    return total / sum((F.when(at(k).isNotNull(), weights[abs(k)]).otherwise(0.0) for k in steps), F.lit(0.0))
+
+
+def gaussian(sigma: float) -> list[float]:
+    """Weights at distance 0, 1, ... up to three sigma."""
+    return [math.exp(-0.5 * (k / sigma) ** 2) for k in range(math.ceil(3 * sigma) + 1)]
+
+
+def blur(raster: DataFrame, value: str, sigma: float, keys: tuple = (), name: str = "blurred") -> DataFrame:
+    """Gaussian blur of a raster without gaps within rows and columns."""
+    g = gaussian(sigma)
+    across = over_columns(raster, keys, lambda w: {"__across": weighted(value, g, w)})
+    return over_rows(across, len(g) - 1, keys, lambda w: {name: weighted("__across", g, w)}).drop("__across")
 
 
 def dilate(raster: DataFrame, flag: str, radius: int, keys: tuple = (), shrink: bool = False) -> DataFrame:
     """Grows a flag by a square of ``radius`` (or shrinks it), as separable maxima (or minima)."""
     of = F.min if shrink else F.max
-    over = lambda fixed, along: Window.partitionBy(*keys, fixed).orderBy(along).rangeBetween(-radius, radius)
-    across = raster.withColumn(flag, of(flag).over(over("row", "col")))
-    return across.withColumn(flag, of(flag).over(over("col", "row")))
+    near = lambda w: {flag: of(flag).over(w.rangeBetween(-radius, radius))}
+    return over_rows(over_columns(raster, keys, near), radius, keys, near)
 
 
 def opened(raster: DataFrame, flag: str, radius: int, keys: tuple = ()) -> DataFrame:
@@ -53,13 +95,25 @@ def closed(raster: DataFrame, flag: str, radius: int, keys: tuple = ()) -> DataF
     return dilate(dilate(raster, flag, radius, keys), flag, radius, keys, shrink=True)
 
 
-def neighbour(value: str, along: str, step: int) -> Column:
-    """Value of the next texel along an axis; null at the edge or over a gap."""
-    fixed = "row" if along == "col" else "col"
-    w = Window.partitionBy(fixed).orderBy(along)
-    return F.when(F.abs(F.lead(along, step).over(w) - F.col(along)) == abs(step), F.lead(value, step).over(w)) if step > 0 else F.when(
-        F.abs(F.lag(along, -step).over(w) - F.col(along)) == -step, F.lag(value, -step).over(w)
-    )
+def beside(raster: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
+    """Adds ``left``, ``right``, ``up`` and ``down``: the value of the next texels; null at the edge or over a gap."""
+
+    def of(along: str, before: str, after: str):
+        lag = lambda w: F.when(F.col(along) - F.lag(along).over(w) == 1, F.lag(value).over(w))
+        lead = lambda w: F.when(F.lead(along).over(w) - F.col(along) == 1, F.lead(value).over(w))
+        return lambda w: {before: lag(w), after: lead(w)}
+
+    return over_rows(over_columns(raster, keys, of("col", "left", "right")), 1, keys, of("row", "up", "down"))
+
+
+def edges(raster: DataFrame, value: str, keys: tuple = (), name: str = "edge") -> DataFrame:
+    """Gradient by 3 x 3 differences, weighted 1, 2, 1 across their direction; beyond the edge the raster goes on as a mirror."""
+    next_ = lambda v, w, k: F.coalesce(F.lead(v, k).over(w) if k > 0 else F.lag(v, -k).over(w), F.lag(v, k).over(w) if k > 0 else F.lead(v, -k).over(w))
+    smooth = lambda v, w: next_(v, w, -1) + 2 * F.col(v) + next_(v, w, 1)
+    diff = lambda v, w: next_(v, w, 1) - next_(v, w, -1)
+    across = over_columns(raster, keys, lambda w: {"__d": diff(value, w), "__m": smooth(value, w)})
+    down = over_rows(across, 2, keys, lambda w: {"__x": smooth("__d", w), "__y": diff("__m", w)})
+    return down.withColumn(name, F.sqrt(F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y"))).drop("__d", "__m", "__x", "__y")
 
 
 def burn(texels: DataFrame, shapes: DataFrame, inside: Column, seq: str, values: list[str], block: int = 64) -> DataFrame:
@@ -82,3 +136,45 @@ def block_stats(px: DataFrame, size: int) -> DataFrame:
     mid = rows.groupBy(*keys).agg(F.median("gray").alias("mid"), *[F.median(k).alias(f"mid_{k}") for k in "rgb"])
     apart = rows.join(mid.select(*keys, "mid"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("gray") - F.col("mid"))).alias("mad"), F.count("*").alias("n"))
     return mid.join(apart, keys)
+
+
+#: Differences of block medians (brightness, channels) that part two zones.
+LUM_SPLIT, CHAN_SPLIT = 0.055, 0.045
+
+
+def like_blocks(stats: DataFrame) -> DataFrame:
+    """Neighbouring blocks of like brightness and colour, each with its right and lower one, by equi-joins on shifted
+    keys. Differences on the bound count as like."""
+    kept = stats.select("scene", "br", "bc", "mid", "mid_r", "mid_g", "mid_b")
+    steps = F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
+    near = kept.withColumn("s", F.explode(steps)).withColumn("nr", F.col("br") + F.col("s.a")).withColumn("nc", F.col("bc") + F.col("s.b")).drop("s")
+    other = kept.select("scene", F.col("br").alias("nr"), F.col("bc").alias("nc"), *[F.col(k).alias(f"o{k}") for k in ("mid", "mid_r", "mid_g", "mid_b")])
+    apart = lambda k: F.round(F.abs(F.col(k) - F.col(f"o{k}")), 9)
+    like = (apart("mid") <= LUM_SPLIT) & (F.greatest(*[apart(f"mid_{k}") for k in "rgb"]) <= CHAN_SPLIT)
+    return near.join(other, ["scene", "nr", "nc"]).where(like).select("scene", "br", "bc", "nr", "nc")
+
+
+def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median (``mid``) and median absolute deviation (``mad``) of each group, however large."""
+    mid = exact_quantiles(rows, keys, value, {"mid": 0.5})
+    away = rows.join(mid, keys).withColumn("__away", F.abs(F.col(value) - F.col("mid")))
+    return mid.join(exact_quantiles(away, keys, "__away", {"mad": 0.5}), keys)
+
+
+def scene_gains(px: DataFrame, reference: DataFrame, least: int = 500) -> DataFrame:
+    """What brings each scene to the reference on the pixels that both show: medians, the scale of their spreads and a
+    gain for each channel, each cut to 0.5 to 2. Scenes that share fewer than ``least`` pixels have no row.
+
+    ``px`` has scene, row, col, gray, r, g, b; ``reference`` has row, col and the same values.
+    """
+    both = px.join(reference.select("row", "col", *[F.col(k).alias(f"ref_{k}") for k in ("gray", "r", "g", "b")]), ["row", "col"])
+    n = both.groupBy("scene").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    own, ref = spread(both, ["scene"], "gray"), spread(both, ["scene"], "ref_gray").select("scene", F.col("mid").alias("ref_mid"), F.col("mad").alias("ref_mad"))
+    out = n.join(own, "scene").join(ref, "scene")
+    floor = lambda k: F.when(F.col(k) > 0, F.col(k)).otherwise(1e-3)
+    cut = lambda x: F.greatest(F.lit(0.5), F.least(F.lit(2.0), x))
+    out = out.withColumn("scale", cut(floor("ref_mad") / floor("mad")))
+    for k in "rgb":
+        mids = exact_quantiles(both, ["scene"], k, {"a": 0.5}).join(exact_quantiles(both, ["scene"], f"ref_{k}", {"b": 0.5}), "scene")
+        out = out.join(mids.select("scene", cut(F.col("b") / F.greatest("a", F.lit(1e-3))).alias(f"gain_{k}")), "scene")
+    return out.drop("mad", "ref_mad")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lower bounds of the height classes (fixed values).
@@ -77,3 +77,17 @@ def first_valid(px: DataFrame) -> DataFrame:
     """Gray value and number of the first scene that shows each texel."""
     seen = F.when(F.col("valid"), F.struct(F.col("scene"), "gray"))
     return px.groupBy("row", "col").agg(F.min(seen).alias("x")).select("row", "col", F.col("x.scene").alias("first"), "x.gray")
+
+
+def composite_fills(px: DataFrame, done: float = 0.005) -> DataFrame:
+    """For each scene, in order: texels that it is the first to show, the share of holes before and after it, and whether
+    it is used. Scenes that come when the share of holes is ``done`` or less are left out. The first scene is always used."""
+    first = first_valid(px).groupBy("first").agg(F.count("*").alias("k"))  # a row per scene
+    all_ = first.agg(F.sum("k").alias("total"))
+    scenes = px.select(F.col("scene")).distinct().join(first, F.col("scene") == F.col("first"), "left").crossJoin(F.broadcast(all_))
+    fills = F.coalesce("k", F.lit(0)).alias("fills")
+    shown = F.sum("fills").over(Window.orderBy("scene"))  # over a row per scene
+    out = scenes.select("scene", "total", fills).withColumn("holes_after", 1 - shown / F.col("total"))
+    out = out.withColumn("holes_before", F.col("holes_after") + F.col("fills") / F.col("total")).withColumn("lead", F.min("scene").over(Window.partitionBy()))
+    late = (F.col("scene") > F.col("lead")) & (F.round("holes_before", 9) <= done)
+    return out.where(~late).select("scene", "fills", "holes_before", "holes_after", ((F.col("scene") == F.col("lead")) | (F.col("fills") > 0)).alias("used"))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, raster
 from skylattice.operators import imagery, rasters
-from skylattice.operators.graph import grid_components
+from skylattice.operators.graph import grid_components, written
+from skylattice.operators.quantiles import exact_quantiles
 from skylattice.plans.base import r
-from skylattice.plans.rasters import SHAPES, burnt
+from skylattice.plans.rasters import SHAPES, SLOPES, burnt, slopes
+from skylattice.plans.scalars import ROOF, WALL
 from skylattice.registry import query
 from skylattice.sources import domain
 from skylattice.sources.domain import with_tables
@@ -152,20 +153,37 @@ def archetype_stamp(spark, sf_dir):
     return burnt(spark, sf_dir).join(t, ["row", "col"]).select("row", "col", r(F.greatest("build_h", top)).alias("h"))
 
 
-@query("A26_view_descriptor")
+_HALVES = (("top", "r < 24"), ("bottom", "r >= 24"))
+_BIN = "CASE WHEN depth < 'Infinity'::DOUBLE AND ln(1 + depth) * (12 / 8.5::DOUBLE) BETWEEN 0 AND 12 THEN least(11, floor(ln(1 + depth) * (12 / 8.5::DOUBLE))) END"
+_PARTS = (
+    [f"count(*) FILTER (bin = {k}) / greatest(1, count(*) FILTER (depth < 'Infinity'::DOUBLE))::DOUBLE" for k in range(12)]
+    + [f"coalesce(avg(({kind})::INT::DOUBLE) FILTER ({half}), 0)" for kind in ("building", "vegetation", "depth = 'Infinity'::DOUBLE", "water") for _, half in _HALVES]
+    + [f"coalesce(1 - min(r) FILTER (building AND c // 4 = {k}) / 48::DOUBLE, 0)" for k in range(16)]
+)
+
+
+@query("A26_view_descriptor", with_tables("view_px", f", b AS (SELECT *, {_BIN} AS bin FROM view_px), v AS (SELECT view_id, [{', '.join(_PARTS)}] AS d FROM b GROUP BY view_id), n AS (SELECT view_id, d, sqrt(list_sum(list_transform(d, lambda x: x * x))) AS size FROM v), u AS (SELECT view_id, size, unnest(d) AS x, unnest(range(36)) AS part FROM n) SELECT view_id, CAST(part AS INTEGER) AS part, round(CASE WHEN size > 0 THEN x / size ELSE x END, 4) AS value FROM u"))
 def view_descriptor(spark, sf_dir):
-    return imagery.view_descriptor(domain.view_px(spark, sf_dir), 64)
+    """The descriptor of every view, a row for each of its 36 parts."""
+    d = imagery.view_descriptor(domain.view_px(spark, sf_dir), 64, 48)
+    return d.select("view_id", F.posexplode("descriptor").alias("part", "value")).withColumn("value", r(c("value")))
 
 
 VIEWS = """, p AS (SELECT a.view_id, a.depth AS ad, b.depth AS bd, a.building AS ab, b.building AS bb, a.water AS aw, b.water AS bw FROM view_px a JOIN view_px b ON b.view_id = a.view_id + 1 AND a.r = b.r AND a.c = b.c),
-s AS (SELECT view_id, count(*) FILTER (ab AND bb) / nullif(count(*) FILTER (ab OR bb), 0)::DOUBLE AS silhouette, avg(((ad = 'Infinity'::DOUBLE) = (bd = 'Infinity'::DOUBLE))::INT::DOUBLE) AS sky, count(*) FILTER (aw AND bw) / nullif(count(*) FILTER (aw OR bw), 0)::DOUBLE AS water,
-  median(CASE WHEN ad < 'Infinity'::DOUBLE AND bd < 'Infinity'::DOUBLE THEN least(ad, bd) / greatest(ad, bd) END) AS depth FROM p GROUP BY view_id)
-SELECT view_id, round(silhouette, 4) AS silhouette, round(sky, 4) AS sky, round(water, 4) AS water, round(depth, 4) AS depth, round((coalesce(silhouette * 0.4::DOUBLE, 0) + coalesce(sky * 0.2::DOUBLE, 0) + coalesce(water * 0.1::DOUBLE, 0) + coalesce(depth * 0.3::DOUBLE, 0))
-  / (CASE WHEN silhouette IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN sky IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN water IS NULL THEN 0 ELSE 0.1::DOUBLE END + CASE WHEN depth IS NULL THEN 0 ELSE 0.3::DOUBLE END), 4) AS score FROM s"""
+s AS (SELECT view_id, coalesce(count(*) FILTER (ab AND bb) / nullif(count(*) FILTER (ab OR bb), 0)::DOUBLE, 1) AS silhouette, avg(((ad = 'Infinity'::DOUBLE) = (bd = 'Infinity'::DOUBLE))::INT::DOUBLE) AS sky,
+  CASE WHEN count(*) FILTER (aw) > 0 THEN coalesce(count(*) FILTER (aw AND bw) / nullif(count(*) FILTER (aw OR bw), 0)::DOUBLE, 1) END AS water,
+  greatest(0, least(1, 1 - 2 * median(CASE WHEN ad < 'Infinity'::DOUBLE AND bd < 'Infinity'::DOUBLE THEN abs(ad - bd) / greatest(ad, 1) END))) AS near,
+  count(*) FILTER (ad < 'Infinity'::DOUBLE AND bd < 'Infinity'::DOUBLE) AS both_ FROM p GROUP BY view_id),
+k AS (SELECT *, CASE WHEN both_ > 0 THEN near END AS depth FROM s)
+SELECT view_id, round(silhouette, 4) AS silhouette, round(sky, 4) AS sky, round(water, 4) AS water, round(depth, 4) AS depth, round(CASE
+  WHEN depth IS NOT NULL AND water IS NOT NULL THEN 0.4::DOUBLE * silhouette + 0.25::DOUBLE * depth + 0.15::DOUBLE * sky + 0.2::DOUBLE * water
+  WHEN depth IS NOT NULL THEN 0.5::DOUBLE * silhouette + 0.3::DOUBLE * depth + 0.2::DOUBLE * sky
+  WHEN water IS NOT NULL THEN 0.45::DOUBLE * silhouette + 0.25::DOUBLE * sky + 0.3::DOUBLE * water ELSE 0.65::DOUBLE * silhouette + 0.35::DOUBLE * sky END, 4) AS score FROM k"""
 
 
 @query("A27_view_alignment", with_tables("view_px", VIEWS))
 def view_alignment(spark, sf_dir):
+    """Every view as a query against the next one."""
     v = domain.view_px(spark, sf_dir)
     side = lambda k, shift: v.select((c("view_id") + shift).alias("view_id"), "r", "c", *[c(x).alias(f"{k}_{x}") for x in ("depth", "building", "water")])
     a = imagery.view_alignment(side("a", 0).join(side("b", -1), ["view_id", "r", "c"]))
@@ -210,10 +228,8 @@ def constellation_score(spark, sf_dir):
 
 
 def zoned(spark, sf_dir):
-    from skylattice.plans.rasters import block_edges
-
     stats = rasters.block_stats(domain.ortho_px(spark, sf_dir), 16)
-    return imagery.zones(stats, block_edges(spark, sf_dir), 3)
+    return imagery.zones(stats, rasters.like_blocks(stats))
 
 
 @query("A31_zone_labels")
@@ -224,52 +240,145 @@ def zone_labels(spark, sf_dir):
 @query("A32_zone_normalization")
 def zone_normalization(spark, sf_dir):
     z = imagery.normalize_zones(domain.ortho_px(spark, sf_dir), zoned(spark, sf_dir), 16)
-    return z.select("scene", "row", "col", "zone", r(c("gray")).alias("gray"))
+    return z.select("scene", "row", "col", "zone", *[r(c(k)).alias(k) for k in ("gray", "r", "g", "b")])
 
 
-@query("A35_cloud_mask", with_tables("ortho_px", """, md AS (SELECT scene, median(gray) AS mid FROM ortho_px GROUP BY scene), sp AS (SELECT scene, any_value(mid) AS mid, median(abs(gray - mid)) AS spread FROM ortho_px JOIN md USING (scene) GROUP BY scene),
-m AS (SELECT scene, row, col, gray > mid + 0.1::DOUBLE * spread AS cloud, gray < mid - spread AS dark FROM ortho_px JOIN sp USING (scene)),
-a AS (SELECT *, bool_and(cloud) OVER (PARTITION BY scene, row ORDER BY col RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c1 FROM m), b AS (SELECT *, bool_and(c1) OVER (PARTITION BY scene, col ORDER BY row RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c2 FROM a),
-d AS (SELECT *, bool_or(c2) OVER (PARTITION BY scene, row ORDER BY col RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c3 FROM b), f AS (SELECT *, bool_or(c3) OVER (PARTITION BY scene, col ORDER BY row RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS solid FROM d),
-g AS (SELECT *, bool_or(solid) OVER (PARTITION BY scene, row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n1 FROM f), h AS (SELECT *, bool_or(n1) OVER (PARTITION BY scene, col ORDER BY row RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM g)
-SELECT scene, row, col, solid AS cloud, dark AND near AND NOT solid AS shadow FROM h WHERE solid OR (dark AND near AND NOT solid)"""))
-def cloud_mask(spark, sf_dir):
-    return imagery.cloud_mask(domain.ortho_px(spark, sf_dir), bright=0.1).where("cloud or shadow")
+#: SQL of windows over a raster of scenes.
+def _over(along: str, radius: int | None = None) -> str:
+    fixed = "row" if along == "col" else "col"
+    return f"OVER (PARTITION BY scene, {fixed} ORDER BY {along}" + (")" if radius is None else f" RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)")
+
+
+def _step(v: str, along: str, k: int) -> str:
+    return f"{'lead' if k > 0 else 'lag'}({v}, {abs(k)}) {_over(along)}" if k else v
+
+
+def _blurred(v: str, along: str, sigma: float) -> str:
+    g = rasters.gaussian(sigma)
+    steps = range(1 - len(g), len(g))
+    total = " + ".join(f"coalesce({_step(v, along, k)} * {g[abs(k)]!r}::DOUBLE, 0)" for k in steps)
+    return f"({total}) / ({' + '.join(f'CASE WHEN {_step(v, along, k)} IS NULL THEN 0 ELSE {g[abs(k)]!r}::DOUBLE END' for k in steps)})"
+
+
+def _boxes(source: str, v: str, radius: int, name: str) -> str:
+    """CTEs ``{name}_x`` and ``{name}``: the source with a box mean of ``v`` as ``name``."""
+    return f"""{name}_x AS (SELECT *, sum({v}) {_over("col", radius)} AS sx, count({v}) {_over("col", radius)} AS nx FROM {source}),
+{name}_t AS (SELECT * EXCLUDE (sx, nx), sum(sx) {_over("row", radius)} / sum(nx) {_over("row", radius)} AS {name} FROM {name}_x)"""
+
+
+def _grown(source: str, flag: str, radius: int, name: str, of: str = "bool_or") -> str:
+    return f"""{name}_x AS (SELECT * REPLACE ({of}({flag}) {_over("col", radius)} AS {flag}) FROM {source}),
+{name} AS (SELECT * REPLACE ({of}({flag}) {_over("row", radius)} AS {flag}) FROM {name}_x)"""
+
+
+def _opened(source: str, flag: str, name: str) -> str:
+    return _grown(source, flag, 1, f"{name}_e", "bool_and") + ",\n" + _grown(f"{name}_e", flag, 1, name)
+
+
+def _closed(source: str, flag: str, name: str) -> str:
+    return _grown(source, flag, 1, f"{name}_d") + ",\n" + _grown(f"{name}_d", flag, 1, name, "bool_and")
+
+
+def _mirrored(v: str, along: str, k: int) -> str:
+    return f"coalesce({_step(v, along, k)}, {_step(v, along, -k)})"
+
+
+def _smooth(v: str, along: str) -> str:
+    return f"{_mirrored(v, along, -1)} + 2 * {v} + {_mirrored(v, along, 1)}"
+
 
+def _slope(v: str, along: str) -> str:
+    return f"{_mirrored(v, along, 1)} - {_mirrored(v, along, -1)}"
 
-def clusters_by_scene(px, columns, k):
-    scenes = [x.scene for x in px.select("scene").distinct().orderBy("scene").collect()]  # a row per scene
-    return reduce(DataFrame.unionByName, [imagery.kmeans(px.where(c("scene") == s), columns, k) for s in scenes])
+
+CLOUDS = f""", md AS (SELECT scene, median(gray) AS mid FROM scene_px GROUP BY scene), px AS (SELECT *, greatest(r, g, b) - least(r, g, b) AS spread FROM scene_px JOIN md USING (scene)),
+s1 AS (SELECT *, {_blurred("gray", "col", 1.0)} AS v1 FROM px), s2 AS (SELECT *, {_blurred("v1", "row", 1.0)} AS smooth FROM s1),
+e1 AS (SELECT *, {_slope("smooth", "col")} AS d, {_smooth("smooth", "col")} AS m FROM s2), e2 AS (SELECT *, {_smooth("d", "row")} AS gx, {_slope("m", "row")} AS gy FROM e1),
+ro AS (SELECT *, (round(sqrt(gx * gx + gy * gy), 9) > 0.1::DOUBLE)::INT::DOUBLE AS rough FROM e2), {_boxes("ro", "rough", 4, "texture")},
+raw AS (SELECT scene, row, col, round(gray - greatest(0.6::DOUBLE, least(mid + 0.15::DOUBLE, 0.72::DOUBLE)), 9) > 0 AND round(spread, 9) < 0.16::DOUBLE AND (round(texture, 9) < 0.35::DOUBLE OR gray > 0.72::DOUBLE) AS cloud,
+  round(gray - mid * 0.62::DOUBLE, 9) < 0 AND round(spread, 9) < 0.22::DOUBLE AS shadow FROM texture_t),
+{_opened("raw", "cloud", "c0")}, {_grown("c0", "cloud", 5, "c1")}, {_opened("c1", "shadow", "h0")},
+n0 AS (SELECT *, cloud AS near FROM h0), {_grown("n0", "near", 60, "n1")}, g0 AS (SELECT scene, row, col, cloud, shadow AND near AS shadow FROM n1), {_grown("g0", "shadow", 5, "g1")}
+SELECT scene, row, col, cloud, shadow FROM g1 WHERE cloud OR shadow"""
+
+
+@query("A35_cloud_mask", with_tables("scene_px", CLOUDS))
+def cloud_mask(spark, sf_dir):
+    """At ten metres a pixel."""
+    return imagery.cloud_mask(domain.scene_px(spark, sf_dir), 10.0).where("cloud or shadow")
 
 
 @query("A36_colour_clusters")
 def colour_clusters(spark, sf_dir):
-    """Clusters of each scene on its own."""
-    px = clusters_by_scene(domain.ortho_px(spark, sf_dir), ["r", "g", "b"], 4)
+    """Clusters of each scene on its own, the largest first."""
+    px = imagery.kmeans(domain.ortho_px(spark, sf_dir), ["scene"], ["r", "g", "b"], 4)
     return px.groupBy("scene", "cluster").agg(F.count("*").alias("n"), *[r(F.avg(k)).alias(k) for k in "rgb"])
 
 
+def chromatic(px):
+    total = c("r") + c("g") + c("b") + 1e-6
+    return px.withColumn("x", c("r") / total).withColumn("y", c("g") / total)
+
+
+def medians(px, keys):
+    out = px.groupBy(*keys).agg(F.count("*").alias("n"))
+    for k in "rgb":
+        out = out.join(exact_quantiles(px, keys, k, {k: 0.5}), keys)
+    return out.select(*keys, "n", *[r(c(k)).alias(k) for k in "rgb"])
+
+
 @query("A37_chromaticity_clusters")
 def chromaticity_clusters(spark, sf_dir):
-    """Clusters of colour shares, so that shade does not matter; median colour of each, scene by scene."""
-    total = F.greatest(c("r") + c("g") + c("b"), F.lit(1e-6))
-    px = domain.ortho_px(spark, sf_dir).withColumn("x", c("r") / total).withColumn("y", c("g") / total)
-    return clusters_by_scene(px, ["x", "y"], 3).groupBy("scene", "cluster").agg(F.count("*").alias("n"), *[r(F.median(k)).alias(k) for k in "rgb"])
+    """Clusters of colour shares, so that shade does not matter; median colour of each, scene by scene, the largest first."""
+    return medians(imagery.kmeans(chromatic(domain.ortho_px(spark, sf_dir)), ["scene"], ["x", "y"], 3), ["scene", "cluster"])
 
 
-@query("A38_palette", with_tables("ortho_px", """, k AS (SELECT scene, r, g, b, greatest(r, g, b) AS top, least(r, g, b) AS low FROM ortho_px WHERE valid), w AS (SELECT scene, count(*) AS n, median(r) AS r, median(g) AS g, median(b) AS b FROM k WHERE top > 0.55::DOUBLE AND (top - low) / top < 0.35::DOUBLE GROUP BY scene)
-SELECT s.scene, coalesce(w.n, 0) AS wall_px, coalesce(w.n >= 400, false) AS measured, round(CASE WHEN w.n >= 400 THEN w.r ELSE 0.8::DOUBLE END, 4) AS wall_r FROM (SELECT DISTINCT scene FROM ortho_px) s LEFT JOIN w ON w.scene = s.scene"""))
-def palette(spark, sf_dir):
-    """Wall colour of each scene: the median of candidate pixels if there are 400, else the default."""
-    px = domain.ortho_px(spark, sf_dir)
-    hit = c("valid") & raster.wall_candidate(c("r"), c("g"), c("b"))
-    w = px.groupBy("scene").agg(F.count_if(hit).alias("wall_px"), F.median(F.when(hit, c("r"))).alias("mid"))
-    return w.select("scene", "wall_px", (c("wall_px") >= 400).alias("measured"), r(F.when(c("wall_px") >= 400, c("mid")).otherwise(raster.WALLS[0][0])).alias("wall_r"))
+def palette_candidates(spark, sf_dir):
+    """Pixels that may show a wall (valid ones below the top quarter) or a roof (where a building stands as well)."""
+    px = domain.ortho_px(spark, sf_dir).where("valid")
+    high = domain.texels(spark, sf_dir).select("row", "col", (c("build_h") > 0).alias("built"))
+    top = px.agg((F.floor((F.max("row") + 1) / 4)).alias("quarter"))  # one row
+    rows = px.join(high, ["row", "col"]).crossJoin(F.broadcast(top))
+    wall = raster.wall_candidate(c("r"), c("g"), c("b")) & (c("row") >= c("quarter"))
+    return rows.withColumn("wall", wall).withColumn("roof", raster.roof_candidate(c("r"), c("g"), c("b")) | c("built"))
 
 
-@query("A47_roof_mask")
+@query("A38_palette", with_tables("ortho_px", f""", q AS (SELECT (max(row) + 1) // 4 AS quarter FROM ortho_px WHERE valid),
+k AS (SELECT o.scene, row >= quarter AND {WALL} AS wall, {ROOF} OR t.build_h > 0 AS roof FROM ortho_px o JOIN texels t USING (row, col) CROSS JOIN q WHERE o.valid)
+SELECT scene, count(*) FILTER (wall) AS wall_px, count(*) FILTER (roof) AS roof_px, count(*) FILTER (wall) >= 400 AS wall_measured, count(*) FILTER (roof) >= 400 AS roof_measured FROM k GROUP BY scene"""))
+def palette(spark, sf_dir):
+    """Which colours of each scene are measured: those with 400 candidate pixels; the others are the defaults."""
+    n = palette_candidates(spark, sf_dir).groupBy("scene").agg(F.count_if("wall").alias("wall_px"), F.count_if("roof").alias("roof_px"))
+    return n.withColumn("wall_measured", c("wall_px") >= 400).withColumn("roof_measured", c("roof_px") >= 400)
+
+
+@query("A38_palette_colours")
+def palette_colours(spark, sf_dir):
+    """Three wall and three roof colours of each scene, the most frequent first: clusters of colour and of colour shares,
+    or the defaults where too few pixels are candidates."""
+    px = written(palette_candidates(spark, sf_dir))
+    known = px.groupBy("scene").agg(*[(F.count_if(k) >= 400).alias(f"{k}_known") for k in ("wall", "roof")])  # a row per scene
+    own = px.join(F.broadcast(known), "scene")
+    walls = imagery.kmeans(own.where("wall and wall_known"), ["scene"], ["r", "g", "b"], 3)
+    walls = walls.groupBy("scene", "cluster").agg(F.count("*").alias("n"), *[r(F.avg(x)).alias(x) for x in "rgb"])
+    roofs = medians(imagery.kmeans(chromatic(own.where("roof and roof_known")), ["scene"], ["x", "y"], 3), ["scene", "cluster"])
+    found = walls.withColumn("kind", F.lit("wall")).unionByName(roofs.withColumn("kind", F.lit("roof")))
+    defaults = [(kind, k, *v) for kind, colours in (("wall", raster.DEFAULT_WALLS), ("roof", raster.DEFAULT_ROOFS)) for k, v in enumerate(colours)]
+    fixed = F.broadcast(spark.createDataFrame(defaults, "kind string, cluster int, r double, g double, b double"))
+    rest = known.crossJoin(fixed).where(((c("kind") == "wall") & ~c("wall_known")) | ((c("kind") == "roof") & ~c("roof_known"))).drop("wall_known", "roof_known")
+    return found.unionByName(rest.withColumn("n", F.lit(None).cast("long"))).withColumnRenamed("cluster", "rank")
+
+
+ROOFS = f""", s1 AS (SELECT *, {_blurred("gray", "col", 1.0)} AS v1 FROM scene_px), s2 AS (SELECT *, {_blurred("v1", "row", 1.0)} AS smooth FROM s1),
+{_boxes("s2", "smooth", 7, "local")}, aw AS (SELECT *, abs(smooth - local) AS away FROM local_t), {_boxes("aw", "away", 7, "mad")},
+raw AS (SELECT scene, row, col, round(smooth - local - greatest(0.06::DOUBLE, 2.5::DOUBLE * mad), 9) > 0 AND valid AS roof FROM mad_t), {_closed("raw", "roof", "k0")}, {_opened("k0", "roof", "k1")}
+SELECT scene, row, col FROM k1 WHERE roof"""
+
+
+@query("A47_roof_mask", with_tables("scene_px", ROOFS))
 def roof_mask(spark, sf_dir):
-    return imagery.roof_mask(domain.ortho_px(spark, sf_dir)).where("roof").select("scene", "row", "col")
+    """At ten metres a pixel."""
+    return imagery.roof_mask(domain.scene_px(spark, sf_dir), 10.0).where("roof").select("scene", "row", "col")
 
 
 def flow(spark, sf_dir):
@@ -320,29 +429,52 @@ def pixel_classes(spark, sf_dir):
     return v.join(found, ["view_id", "r", "c"], "left").select("view_id", "r", "c", kind.alias("class"))
 
 
-EDGE = """, g AS (SELECT row, col, coalesce(lead(gray) OVER (PARTITION BY row ORDER BY col) - lag(gray) OVER (PARTITION BY row ORDER BY col), 0) AS dx, coalesce(lead(gray) OVER (PARTITION BY col ORDER BY row) - lag(gray) OVER (PARTITION BY col ORDER BY row), 0) AS dy, gray FROM ortho_px WHERE scene = 0)
-SELECT row, col, round(least(1, sqrt(dx * dx + dy * dy)), 4) AS edge, round(CAST(0.5 AS DOUBLE) * gray + CAST(0.5 AS DOUBLE) * least(1, sqrt(dx * dx + dy * dy)), 4) AS gray_edge FROM g"""
-for name in ("F43_image_filter", "X08_filter_spec"):
+@query("F43_image_filter", with_tables("ortho_px", SLOPES + """SELECT scene, row, col, round(least(1, sqrt(dx * dx + dy * dy)), 4) AS edge, round(CAST(0.5 AS DOUBLE) * gray + CAST(0.5 AS DOUBLE) * least(1, sqrt(dx * dx + dy * dy)), 4) AS gray_edge FROM g"""))
+def image_filter(spark, sf_dir):
+    """Edge strength, and half of it with half of the gray value: the filter's modes as columns."""
+    edge = F.least(F.lit(1.0), F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")))
+    return slopes(spark, sf_dir).select("scene", "row", "col", r(edge).alias("edge"), r(0.5 * c("gray") + 0.5 * edge).alias("gray_edge"))
+
+
+#: What a model says of the images that it takes: shares of gray value and edge strength.
+FILTERS = [("grayscale", 1.0, 0.0), ("edges", 0.0, 1.0), ("gray_edges", 0.5, 0.5)]
+
+
+@query("X08_filter_spec", with_tables("ortho_px", SLOPES + f"""SELECT m.mode, scene, count(*) AS n, round(avg(m.a * gray + m.b * least(1, sqrt(dx * dx + dy * dy))), 4) AS mean, round(max(m.a * gray + m.b * least(1, sqrt(dx * dx + dy * dy))), 4) AS top
+FROM g CROSS JOIN (VALUES {", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, a, b in FILTERS)}) m(mode, a, b) GROUP BY m.mode, scene"""))
+def filter_spec(spark, sf_dir):
+    """Images filtered as the specification says that each model carries with it: a table of its own, read with the model."""
+    from skylattice.plans.ingestion import table_path
 
-    @query(name, with_tables("ortho_px", EDGE))
-    def image_filter(spark, sf_dir):
-        """Edge strength, and half of it with half of the gray value: the filter's modes as columns."""
-        d = lambda along: F.coalesce(rasters.neighbour("gray", along, 1) - rasters.neighbour("gray", along, -1), F.lit(0.0))
-        px = domain.ortho_px(spark, sf_dir).where("scene = 0").select("row", "col", "gray", d("col").alias("dx"), d("row").alias("dy"))
-        edge = F.least(F.lit(1.0), F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")))
-        return px.select("row", "col", r(edge).alias("edge"), r(0.5 * c("gray") + 0.5 * edge).alias("gray_edge"))
+    path = table_path(spark, "models")
+    spark.createDataFrame(FILTERS, "mode string, a double, b double").write.json(path)
+    spec = spark.read.schema("mode string, a double, b double").json(path)
+    edge = F.least(F.lit(1.0), F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")))
+    value = c("a") * c("gray") + c("b") * c("edge")
+    rows = slopes(spark, sf_dir).withColumn("edge", edge).crossJoin(F.broadcast(spec))  # a row per model
+    return rows.groupBy("mode", "scene").agg(F.count("*").alias("n"), r(F.avg(value)).alias("mean"), r(F.max(value)).alias("top"))
 
 
-for name in ("X01_embed_batches", "X02_predict_batches"):
+@query("X01_embed_batches", with_tables("landmarks", "SELECT id, round(list_sum(embedding), 3) AS total, round(embedding[1] * 2, 4) AS first FROM landmarks"))
+def embed_batches(spark, sf_dir):
+    """A caller's model over vectors in batches of 64; here a projection to two numbers."""
+    import numpy as np
+
+    weights = np.stack([np.ones(64), np.eye(64)[0] * 2], axis=1)
+    out = imagery.batched(domain.landmarks(spark, sf_dir), lambda x: x @ weights, "id long, out array<double>", "embedding")
+    return out.select("id", r(c("out")[0], 3).alias("total"), r(c("out")[1]).alias("first"))
+
+
+@query("X02_predict_batches", with_tables("landmarks", "SELECT id, round(embedding[1] * 1000, 3) AS e, round(embedding[2] * 1000, 3) AS n, round(50 + embedding[3] * 10, 3) AS u, round((degrees(atan2(embedding[4], embedding[5])) + 360) % 360, 3) AS heading, round(exp(embedding[6]), 4) AS sigma FROM landmarks"))
+def predict_batches(spark, sf_dir):
+    """A caller's regression head in batches: position, heading by sine and cosine, and a positive sigma by its logarithm."""
+    import numpy as np
 
-    @query(name, with_tables("landmarks", "SELECT id, round(list_sum(embedding), 3) AS total, round(embedding[1] * 2, 4) AS first FROM landmarks"))
-    def model_batches(spark, sf_dir):
-        """A caller's model over vectors in batches of 64; here a projection to two numbers."""
-        import numpy as np
+    def head(x):
+        return np.stack([x[:, 0] * 1000, x[:, 1] * 1000, 50 + x[:, 2] * 10, np.degrees(np.arctan2(x[:, 3], x[:, 4])) % 360, np.exp(x[:, 5])], axis=1)
 
-        weights = np.stack([np.ones(64), np.eye(64)[0] * 2], axis=1)
-        out = imagery.batched(domain.landmarks(spark, sf_dir), lambda x: x @ weights, "id long, out array<double>", "embedding")
-        return out.select("id", r(c("out")[0], 3).alias("total"), r(c("out")[1]).alias("first"))
+    out = imagery.batched(domain.landmarks(spark, sf_dir).withColumn("embedding", c("embedding").cast("array<double>")), head, "id long, out array<double>", "embedding")
+    return out.select("id", *[r(c("out")[k], 4 if name == "sigma" else 3).alias(name) for k, name in enumerate(("e", "n", "u", "heading", "sigma"))])
 
 
 @query("X03_mask_hook", with_tables("ortho_px", ", t AS (SELECT *, avg(gray) OVER (PARTITION BY scene, row // 32, col // 32) AS mean FROM ortho_px) SELECT scene, row, col FROM t WHERE round(gray - mean, 9) > 0"))

@@ -292,8 +292,9 @@ def dilate(spark, sf_dir):
 
 @query("W16_facade_step", with_tables("texels", "SELECT row, col, round(greatest(coalesce(abs(build_h - lead(build_h) OVER (PARTITION BY row ORDER BY col)), 0), coalesce(abs(build_h - lead(build_h) OVER (PARTITION BY col ORDER BY row)), 0)), 4) AS step FROM texels"))
 def facade_step(spark, sf_dir):
-    jump = lambda along: F.coalesce(F.abs(c("build_h") - rasters.neighbour("build_h", along, 1)), F.lit(0.0))
-    return domain.texels(spark, sf_dir).select("row", "col", r(F.greatest(jump("col"), jump("row"))).alias("step"))
+    t = rasters.beside(domain.texels(spark, sf_dir), "build_h")
+    jump = lambda k: F.coalesce(F.abs(c("build_h") - c(k)), F.lit(0.0))
+    return t.select("row", "col", r(F.greatest(jump("right"), jump("down"))).alias("step"))
 
 
 _DX = "(lead(ground) OVER (PARTITION BY row ORDER BY col) - lag(ground) OVER (PARTITION BY row ORDER BY col)) / 5"
@@ -302,21 +303,30 @@ _DY = "(lead(ground) OVER (PARTITION BY col ORDER BY row) - lag(ground) OVER (PA
 
 @query("W17_surface_normal", with_tables("texels", f", g AS (SELECT row, col, {_DX} AS dx, {_DY} AS dy FROM texels) SELECT row, col, round(-dx / sqrt(dx * dx + dy * dy + 1), 4) AS nx, round(-dy / sqrt(dx * dx + dy * dy + 1), 4) AS ny, round(1 / sqrt(dx * dx + dy * dy + 1), 4) AS nz FROM g WHERE dx IS NOT NULL AND dy IS NOT NULL"))
 def surface_normal(spark, sf_dir):
-    slope = lambda along: (rasters.neighbour("ground", along, 1) - rasters.neighbour("ground", along, -1)) / 5
-    t = domain.texels(spark, sf_dir).select("row", "col", slope("col").alias("dx"), slope("row").alias("dy")).dropna()
+    t = rasters.beside(domain.texels(spark, sf_dir).select("row", "col", "ground"), "ground")
+    t = t.select("row", "col", ((c("right") - c("left")) / 5).alias("dx"), ((c("down") - c("up")) / 5).alias("dy")).dropna()
     long_ = F.sqrt(c("dx") * c("dx") + c("dy") * c("dy") + 1)
     return t.select("row", "col", r(-c("dx") / long_).alias("nx"), r(-c("dy") / long_).alias("ny"), r(1 / long_).alias("nz"))
 
 
-@query("W19_gradient", with_tables("ortho_px", ", g AS (SELECT row, col, coalesce(lead(gray) OVER (PARTITION BY row ORDER BY col) - lag(gray) OVER (PARTITION BY row ORDER BY col), 0) / 2 AS dx, coalesce(lead(gray) OVER (PARTITION BY col ORDER BY row) - lag(gray) OVER (PARTITION BY col ORDER BY row), 0) / 2 AS dy FROM ortho_px WHERE scene = 0) SELECT row, col, round(sqrt(dx * dx + dy * dy), 4) AS grad FROM g"))
+#: Differences across each texel, from scene to scene; none at the border.
+SLOPES = """, g AS (SELECT scene, row, col, gray, coalesce(lead(gray) OVER (PARTITION BY scene, row ORDER BY col) - lag(gray) OVER (PARTITION BY scene, row ORDER BY col), 0) AS dx,
+  coalesce(lead(gray) OVER (PARTITION BY scene, col ORDER BY row) - lag(gray) OVER (PARTITION BY scene, col ORDER BY row), 0) AS dy FROM ortho_px)
+"""
+
+
+def slopes(spark, sf_dir):
+    px = rasters.beside(domain.ortho_px(spark, sf_dir).select("scene", "row", "col", "gray"), "gray", ("scene",))
+    return px.withColumn("dx", F.coalesce(c("right") - c("left"), F.lit(0.0))).withColumn("dy", F.coalesce(c("down") - c("up"), F.lit(0.0)))
+
+
+@query("W19_gradient", with_tables("ortho_px", SLOPES + "SELECT scene, row, col, round(sqrt(dx * dx + dy * dy) / 2, 4) AS grad FROM g"))
 def gradient(spark, sf_dir):
-    """Central differences; none across the border."""
-    d = lambda along: F.coalesce(rasters.neighbour("gray", along, 1) - rasters.neighbour("gray", along, -1), F.lit(0.0)) / 2
-    px = domain.ortho_px(spark, sf_dir).where("scene = 0").select("row", "col", d("col").alias("dx"), d("row").alias("dy"))
-    return px.select("row", "col", r(F.sqrt(c("dx") * c("dx") + c("dy") * c("dy"))).alias("grad"))
+    """Central differences of every scene; none across the border."""
+    return slopes(spark, sf_dir).select("scene", "row", "col", r(F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")) / 2).alias("grad"))
 
 
-STATS = ", v AS (SELECT scene, row // 16 AS br, col // 16 AS bc, gray, r, g, b FROM ortho_px WHERE valid), s AS (SELECT scene, br, bc, median(gray) AS mid, median(r) AS mid_r, count(*) AS n FROM v GROUP BY ALL), d AS (SELECT v.scene, v.br, v.bc, median(abs(v.gray - s.mid)) AS mad FROM v JOIN s USING (scene, br, bc) GROUP BY ALL)\n"
+STATS = ", v AS (SELECT scene, row // 16 AS br, col // 16 AS bc, gray, r, g, b FROM ortho_px WHERE valid), s AS (SELECT scene, br, bc, median(gray) AS mid, median(r) AS mid_r, median(g) AS mid_g, median(b) AS mid_b, count(*) AS n FROM v GROUP BY ALL), d AS (SELECT v.scene, v.br, v.bc, median(abs(v.gray - s.mid)) AS mad FROM v JOIN s USING (scene, br, bc) GROUP BY ALL)\n"
 
 
 @query("A30_block_stats", with_tables("ortho_px", STATS + "SELECT scene, br, bc, round(mid, 4) AS mid, round(mad, 4) AS mad, round(mid_r, 4) AS mid_r, n FROM s JOIN d USING (scene, br, bc)"))
@@ -325,23 +335,28 @@ def block_stats(spark, sf_dir):
     return s.select("scene", "br", "bc", r(c("mid")).alias("mid"), r(c("mad")).alias("mad"), r(c("mid_r")).alias("mid_r"), "n")
 
 
-@query("J20_block_edges", with_tables("ortho_px", STATS + "SELECT a.scene, a.br, a.bc, b.br AS nr, b.bc AS nc FROM s a JOIN s b ON a.scene = b.scene AND (b.br = a.br + 1 AND b.bc = a.bc OR b.br = a.br AND b.bc = a.bc + 1) WHERE abs(a.mid - b.mid) < CAST(0.05 AS DOUBLE)"))
+EDGES = f"""SELECT a.scene, a.br, a.bc, b.br AS nr, b.bc AS nc FROM s a JOIN s b ON a.scene = b.scene AND (b.br = a.br + 1 AND b.bc = a.bc OR b.br = a.br AND b.bc = a.bc + 1)
+WHERE round(abs(a.mid - b.mid), 9) <= CAST({rasters.LUM_SPLIT} AS DOUBLE) AND round(greatest(abs(a.mid_r - b.mid_r), abs(a.mid_g - b.mid_g), abs(a.mid_b - b.mid_b)), 9) <= CAST({rasters.CHAN_SPLIT} AS DOUBLE)"""
+
+
+@query("J20_block_edges", with_tables("ortho_px", STATS + EDGES))
 def block_edges(spark, sf_dir):
-    """Neighbouring blocks of like brightness, each with its right and lower one, by equi-joins on shifted keys."""
-    s = rasters.block_stats(domain.ortho_px(spark, sf_dir), 16).select("scene", "br", "bc", "mid")
-    steps = F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
-    near = s.withColumn("s", F.explode(steps)).select("scene", "br", "bc", "mid", (c("br") + c("s.a")).alias("nr"), (c("bc") + c("s.b")).alias("nc"))
-    other = s.select("scene", c("br").alias("nr"), c("bc").alias("nc"), c("mid").alias("omid"))
-    return near.join(other, ["scene", "nr", "nc"]).where(F.abs(c("mid") - c("omid")) < 0.05).select("scene", "br", "bc", "nr", "nc")
+    return rasters.like_blocks(rasters.block_stats(domain.ortho_px(spark, sf_dir), 16))
+
 
+def _gain(k: str) -> str:
+    return f"round(greatest(0.5, least(2, rg_{k} / greatest(sg_{k}, CAST(0.001 AS DOUBLE)))), 4) AS gain_{k}"
 
-@query("A33_scene_alignment", with_tables("ortho_px", ", p AS (SELECT b.scene, median(a.gray) AS ma, median(b.gray) AS mb, count(*) AS n FROM ortho_px a JOIN ortho_px b ON a.scene = 0 AND b.scene > 0 AND a.row = b.row AND a.col = b.col WHERE a.valid AND b.valid GROUP BY b.scene) SELECT scene, n, round(ma / mb, 4) AS gain FROM p WHERE n >= 500"))
+
+@query("A33_scene_alignment", with_tables("ortho_px", """, p AS (SELECT b.scene, a.gray AS ra, b.gray AS rb, a.r AS r0, a.g AS g0, a.b AS b0, b.r, b.g, b.b FROM ortho_px a JOIN ortho_px b ON a.scene = 0 AND b.scene > 0 AND a.row = b.row AND a.col = b.col WHERE a.valid AND b.valid),
+m AS (SELECT scene, count(*) AS n, median(ra) AS ref_mid, median(rb) AS mid, median(r0) AS rg_r, median(g0) AS rg_g, median(b0) AS rg_b, median(r) AS sg_r, median(g) AS sg_g, median(b) AS sg_b FROM p GROUP BY scene),
+d AS (SELECT scene, median(abs(ra - ref_mid)) AS ref_mad, median(abs(rb - mid)) AS mad FROM p JOIN m USING (scene) GROUP BY scene)
+SELECT scene, n, round(mid, 4) AS mid, round(ref_mid, 4) AS ref_mid, round(greatest(0.5, least(2, CASE WHEN ref_mad > 0 THEN ref_mad ELSE 0.001 END / CASE WHEN mad > 0 THEN mad ELSE 0.001 END)), 4) AS scale, """ + ", ".join(map(_gain, "rgb")) + " FROM m JOIN d USING (scene) WHERE n >= 500"))
 def scene_alignment(spark, sf_dir):
-    """Gain that brings a scene's median to the first one's, on pixels that both have."""
-    px = domain.ortho_px(spark, sf_dir).where("valid").select("scene", "row", "col", "gray")
-    a = px.where("scene = 0").select("row", "col", c("gray").alias("ga"))
-    both = px.where("scene > 0").join(a, ["row", "col"]).groupBy("scene").agg(F.count("*").alias("n"), (F.median("ga") / F.median("gray")).alias("gain"))
-    return both.where("n >= 500").select("scene", "n", r(c("gain")).alias("gain"))
+    """What brings each later scene to the first one, on pixels that both show."""
+    px = domain.ortho_px(spark, sf_dir).where("valid")
+    gains = rasters.scene_gains(px.where("scene > 0"), px.where("scene = 0"))
+    return gains.select("scene", "n", *[r(c(k)).alias(k) for k in ("mid", "ref_mid", "scale", "gain_r", "gain_g", "gain_b")])
 
 
 COMP = ", f AS (SELECT row, col, min(scene) FILTER (valid) AS first, arg_min(gray, scene) FILTER (valid) AS gray FROM ortho_px GROUP BY row, col)\n"
@@ -355,13 +370,14 @@ def composite(spark, sf_dir):
     return first_valid(domain.ortho_px(spark, sf_dir)).select("row", "col", "first", r(c("gray")).alias("gray"))
 
 
-@query("A34_composite_stats", with_tables("ortho_px", COMP + "SELECT count(DISTINCT first) AS scenes, round(avg(CASE WHEN first IS NULL OR first > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS first_cloud, round(avg(CASE WHEN first IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS holes FROM f"))
+@query("A34_composite_stats", with_tables("ortho_px", COMP + """, k AS (SELECT s.scene, count(f.row) FILTER (f.first = s.scene) AS fills, count(f.row) FILTER (f.first IS NULL OR f.first >= s.scene) / count(*)::DOUBLE AS holes_before, count(f.row) FILTER (f.first IS NULL OR f.first > s.scene) / count(*)::DOUBLE AS holes_after FROM (SELECT DISTINCT scene FROM ortho_px) s CROSS JOIN f GROUP BY s.scene)
+SELECT scene, fills, round(holes_before, 4) AS holes_before, round(holes_after, 4) AS holes_after, scene = 0 OR (holes_before > 0.005 AND fills > 0) AS used FROM k WHERE scene = 0 OR holes_before > 0.005"""))
 def composite_stats(spark, sf_dir):
-    from skylattice.operators.saliency import first_valid
+    """What each scene fills, in order, until less than half a percent of the texels are holes."""
+    from skylattice.operators.saliency import composite_fills
 
-    f = first_valid(domain.ortho_px(spark, sf_dir))
-    hole = c("first").isNull()
-    return f.agg(F.countDistinct("first").alias("scenes"), r(F.avg((hole | (c("first") > 0)).cast("double"))).alias("first_cloud"), r(F.avg(hole.cast("double"))).alias("holes"))
+    f = composite_fills(domain.ortho_px(spark, sf_dir))
+    return f.select("scene", "fills", r(c("holes_before")).alias("holes_before"), r(c("holes_after")).alias("holes_after"), "used")
 
 
 @query("T08_every_nth", with_tables("texels", "SELECT row, col FROM (SELECT row, col, row_number() OVER (PARTITION BY row ORDER BY col) AS k FROM texels WHERE build_h > 0) WHERE k % 3 = 1"))

@@ -375,11 +375,13 @@ def _hsv_columns():
 _TOP, _LOW = "greatest(r, g, b)", "least(r, g, b)"
 _SPAN = f"({_TOP} - {_LOW})"
 _HUE = f"CASE WHEN {_SPAN} = 0 THEN 0 WHEN {_TOP} = r THEN (60 * (g - b) / {_SPAN} + 360) % 360 WHEN {_TOP} = g THEN 60 * (b - r) / {_SPAN} + 120 ELSE 60 * (r - g) / {_SPAN} + 240 END"
+_H, _S, _V = (f"round({x}, 6)" for x in (f"({_HUE}) / 360", f"{_SPAN} / {_TOP}", _TOP))
+WALL = f"{_S} < 0.38 AND {_V} > 0.42 AND {_V} < 0.97 AND NOT ({_H} > 0.52 AND {_H} < 0.72 AND {_S} > 0.15) AND NOT ({_H} > 0.18 AND {_H} < 0.45 AND {_S} > 0.22)"
+ROOF = f"({_H} < 0.12 OR {_H} > 0.93) AND {_S} > 0.25 AND {_V} > 0.20 AND {_V} < 0.95"
 scalars(
     "F41_hsv_rules", "ortho_px", "scene", _hsv_columns,
     {
-        "row": "row", "col": "col", "h": _HUE, "s": f"{_SPAN} / {_TOP}", "v": _TOP, "wall": f"{_TOP} > CAST(0.55 AS DOUBLE) AND {_SPAN} / {_TOP} < CAST(0.35 AS DOUBLE)",
-        "roof": f"(round({_HUE}, 6) < 40 OR round({_HUE}, 6) > 340) AND {_SPAN} / {_TOP} > CAST(0.25 AS DOUBLE)",
+        "row": "row", "col": "col", "h": _HUE, "s": f"{_SPAN} / {_TOP}", "v": _TOP, "wall": WALL, "roof": ROOF,
     },
     exact="row col wall roof",
 )

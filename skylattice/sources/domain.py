@@ -119,6 +119,19 @@ def ortho_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CLOUDY = "scene <> 1 AND row % 60 < 20 AND col % 60 < 24 AND (scene = 0 OR row % 120 < 60)"
+_SHADED = "scene <> 1 AND row % 60 BETWEEN 24 AND 37 AND col % 60 < 24 AND (scene = 0 OR row % 120 < 60)"
+
+
+def scene_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes with clouds, their shadows and bright roofs on textured ground: what masks are extracted from."""
+    scenes = texels(spark, sf_dir).withColumn("scene", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    gray = scenes.withColumn("gray", F.expr(
+        f"CASE WHEN {_CLOUDY} THEN 0.85D + h % 32 / 640D WHEN {_SHADED} THEN 0.1D + h % 16 / 640D WHEN (row + 7) % 15 < 5 AND col % 20 < 6 THEN 0.55D ELSE 0.3D + h % 64 / 640D END"
+    ))
+    return gray.selectExpr("scene", "row", "col", "gray", "gray AS r", "CASE WHEN h % 9 = 0 AND gray < 0.5D THEN gray + 0.2D ELSE gray * 0.98D END AS g", "gray * 0.95D AS b", "(h + scene * 7) % 11 <> 0 AS valid")
+
+
 def view_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = raw(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "((o_orderkey div 120 * 73856093) ^ (o_orderkey % 120 * 19349663)) & 65535 AS h")
     return px.selectExpr(
@@ -162,12 +175,15 @@ CTE = {
     "ortho_px": """SELECT scene, row, col, (h % 200 + 20) / CAST(255 AS DOUBLE) * gain AS gray, (h % 180 + 30) / CAST(255 AS DOUBLE) * gain AS r, (h % 160 + 40) / CAST(255 AS DOUBLE) * gain AS g,
       (h % 140 + 20) / CAST(255 AS DOUBLE) * gain AS b, (h + scene * 7) % 11 <> 0 AS valid
       FROM texels CROSS JOIN (VALUES (0, CAST(1 AS DOUBLE)), (1, CAST(0.8 AS DOUBLE)), (2, CAST(1.15 AS DOUBLE))) s(scene, gain)""",
+    "scene_px": f"""SELECT scene, row, col, gray, gray AS r, CASE WHEN h % 9 = 0 AND gray < CAST(0.5 AS DOUBLE) THEN gray + CAST(0.2 AS DOUBLE) ELSE gray * CAST(0.98 AS DOUBLE) END AS g, gray * CAST(0.95 AS DOUBLE) AS b, (h + scene * 7) % 11 <> 0 AS valid
+      FROM (SELECT *, CASE WHEN {_CLOUDY} THEN CAST(0.85 AS DOUBLE) + h % 32 / CAST(640 AS DOUBLE) WHEN {_SHADED} THEN CAST(0.1 AS DOUBLE) + h % 16 / CAST(640 AS DOUBLE)
+        WHEN (row + 7) % 15 < 5 AND col % 20 < 6 THEN CAST(0.55 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) + h % 64 / CAST(640 AS DOUBLE) END AS gray FROM texels CROSS JOIN (VALUES (0), (1), (2)) s(scene))""",
     "view_px": """SELECT k // 3072 AS view_id, k % 3072 // 64 AS r, k % 64 AS c,
       CASE WHEN k % 3072 // 64 < 6 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(5 + h % 400 AS DOUBLE) END AS depth,
       h % 3 = 0 AND k % 3072 // 64 >= 6 AS building, h % 13 = 0 AS water, h % 7 = 0 AS vegetation
       FROM (SELECT o_orderkey AS k, xor(o_orderkey // 120 * 73856093, o_orderkey % 120 * 19349663) & 65535 AS h FROM orders)""",
 }
-_NEEDS = {"preds": ["landmarks"], "captures": ["frames"], "ortho_px": ["texels"]}
+_NEEDS = {"preds": ["landmarks"], "captures": ["frames"], "ortho_px": ["texels"], "scene_px": ["texels"]}
 
 
 def with_tables(names: str, body: str) -> str:

@@ -194,3 +194,123 @@ def test_clusters_of_every_scene(spark, sf_dir, name):
     for x in registry.queries()[name](spark, sf_dir).collect():
         got[x.scene] = got.get(x.scene, 0) + x.n
     assert got == {x.scene: x["count"] for x in domain.ortho_px(spark, sf_dir).groupBy("scene").count().collect()}
+
+
+def grid(spark, gray, rgb=None, valid=None, scene=0):
+    """A raster table of arrays."""
+    rgb = np.stack([gray] * 3, -1) if rgb is None else rgb
+    r, c = np.indices(gray.shape)
+    table = pd.DataFrame({"scene": scene, "row": r.ravel(), "col": c.ravel(), "gray": gray.ravel(), "r": rgb[..., 0].ravel(), "g": rgb[..., 1].ravel(), "b": rgb[..., 2].ravel()})
+    table["valid"] = True if valid is None else valid.ravel()
+    return spark.createDataFrame(table).withColumn("scene", F.col("scene").cast("int"))
+
+
+def pixels(df, flag, shape):
+    found = np.zeros(shape, dtype=bool)
+    for x in df.where(flag).select("row", "col").collect():
+        found[x.row, x.col] = True
+    return found
+
+
+def test_clouds_and_their_shadows(spark):
+    """A soft cloud and its shadow 300 m away are found, over textured ground with a lone dark field far off any cloud."""
+    rng = np.random.default_rng(0)
+    gray = 0.32 + rng.normal(size=(150, 150)) * 0.01
+    cloud, shadow = np.zeros(gray.shape, bool), np.zeros(gray.shape, bool)
+    cloud[30:60, 30:65], shadow[62:92, 40:75] = True, True
+    gray[cloud], gray[shadow] = 0.86, 0.12
+    got = imagery.cloud_mask(grid(spark, gray), 10.0)
+    found_cloud, found_shadow = pixels(got, "cloud", gray.shape), pixels(got, "shadow", gray.shape)
+    assert found_cloud[cloud].mean() > 0.95 and found_shadow[shadow].mean() > 0.85
+    far = ~(found_cloud | found_shadow)
+    near = np.zeros(gray.shape, bool)
+    near[20:102, 20:85] = True
+    assert far[~near].mean() > 0.95
+    overcast = np.full((60, 60), 0.9) + rng.normal(size=(60, 60)) * 0.005
+    assert pixels(imagery.cloud_mask(grid(spark, overcast), 10.0), "cloud", overcast.shape).mean() > 0.9
+    dark = np.full((60, 60), 0.32)
+    dark[20:40, 20:40] = 0.1
+    assert not pixels(imagery.cloud_mask(grid(spark, dark), 10.0), "shadow", dark.shape).any()
+
+
+def test_roofs_in_strips_of_other_exposure(spark):
+    gray = 0.3 + np.random.default_rng(1).normal(size=(80, 80)) * 0.004
+    roofs = np.zeros(gray.shape, bool)
+    for at in ((10, 10), (10, 50), (50, 20)):
+        roofs[at[0] : at[0] + 6, at[1] : at[1] + 6] = True
+    gray[roofs] = 0.6
+    gray[:, 40:] *= 0.7
+    valid = np.ones(gray.shape, bool)
+    valid[50:56, 20:26] = False
+    got = pixels(imagery.roof_mask(grid(spark, gray, valid=valid), 2.0), "roof", gray.shape)
+    assert got[10:16, 10:16].mean() > 0.6 and got[10:16, 50:56].mean() > 0.6 and not got[50:56, 20:26].any()
+    assert got[~roofs].mean() < 0.05
+
+
+def test_zones_of_strips(spark):
+    """Three strips of other gain are three zones, tiny ones are absorbed, and the correction takes the seams away."""
+    from skylattice.operators import rasters
+
+    rng = np.random.default_rng(2)
+    base = 0.4 + rng.normal(size=(96, 96)) * 0.02
+    gain = np.repeat([1.0, 0.72, 1.25], [48, 24, 24])
+    rgb = np.stack([base, base * 0.95, base * 0.9], -1) * gain[None, :, None]
+    gray = rgb @ np.array([0.299, 0.587, 0.114])
+    gray[0:8, 0:8], rgb[0:8, 0:8] = 0.95, 0.95  # one odd block
+    px = grid(spark, gray, rgb)
+    stats = rasters.block_stats(px, 8)
+    zoned = imagery.zones(stats, rasters.like_blocks(stats), 0.02)
+    found = {(x.br, x.bc): (x.zone, x.zone_blocks) for x in zoned.collect()}
+    assert len(found) == 144 and {z for z, _ in found.values()} == {0, 1, 2} and found[(0, 0)][0] == found[(5, 2)][0] == 0
+    assert found[(5, 7)][0] != found[(5, 10)][0]
+    even = imagery.normalize_zones(px, zoned, 8).toPandas()
+    means = [even[(even.col >= a) & (even.col < b) & (even.row >= 16)].gray.mean() for a, b in ((0, 48), (48, 72), (72, 96))]
+    assert max(means) - min(means) < 0.01
+    assert abs(even.r.mean() / even.b.mean() - 1 / 0.9) < 0.05
+
+
+def test_exact_quantiles(spark):
+    from skylattice.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    table = pd.DataFrame({"k": rng.integers(0, 4, 3000), "v": np.where(rng.random(3000) < 0.4, 7.5, rng.lognormal(size=3000) * 100)})
+    table.loc[table.k == 3, "v"] = 2.0
+    df = spark.createDataFrame(table).unionByName(spark.createDataFrame([(0, None), (9, None)], "k long, v double"))
+    wanted = {"a": 0.0, "b": 0.5, "c": 0.937, "d": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", wanted).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for k, values in table.groupby("k").v:
+        assert np.allclose([got[k][name] for name in wanted], np.quantile(values, list(wanted.values())))
+    whole = exact_quantiles(df, [], "v", {"mid": 0.5}).collect()
+    assert np.allclose(whole[0].mid, np.median(table.v)) and exact_quantiles(df.where("false"), [], "v", {"mid": 0.5}).count() == 0
+
+
+def test_clusters(spark):
+    """Three colours of two scenes are found, the most frequent first; shades of one material are one chromatic cluster."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for scene in (0, 1):
+        for n, colour in ((300, (0.2, 0.3, 0.8)), (200, (0.8, 0.7, 0.2)), (100, (0.1, 0.8, 0.3))):
+            rows += [(scene, *[float(x) for x in np.array(colour) + rng.normal(size=3) * 0.01]) for _ in range(n)]
+    df = spark.createDataFrame(rows, "scene int, r double, g double, b double")
+    got = imagery.kmeans(df, ["scene"], ["r", "g", "b"], 3).groupBy("scene", "cluster").agg(F.count("*").alias("n"), F.avg("b").alias("b")).collect()
+    assert sorted((x.scene, x.cluster, x.n) for x in got) == [(s, k, n) for s in (0, 1) for k, n in enumerate((300, 200, 100))]
+    assert all(abs(x.b - (0.8, 0.2, 0.3)[x.cluster]) < 0.02 for x in got)
+    shades = spark.createDataFrame([(0, 0.6 * f, 0.3 * f, 0.1 * f) for f in np.linspace(0.5, 1, 50).tolist()] + [(0, 0.1, 0.1, 0.8)] * 10, "scene int, r double, g double, b double")
+    total = F.col("r") + F.col("g") + F.col("b")
+    chrom = shades.withColumn("x", F.col("r") / total).withColumn("y", F.col("g") / total)
+    assert sorted(r["count"] for r in imagery.kmeans(chrom, ["scene"], ["x", "y"], 2).groupBy("cluster").count().collect()) == [10, 50]
+    assert imagery.kmeans(df.where("false"), ["scene"], ["r"], 2).count() == 0
+
+
+def test_view_agreement(spark):
+    """A view agrees with itself; where depth is unknown the outlines and the sky decide."""
+    px = [(0, r, c, float("inf") if r < 4 else 10.0 + r, r >= 4 and c < 8, r == 15, False) for r in range(16) for c in range(16)]
+    df = spark.createDataFrame(px, "view_id long, r long, c long, depth double, building boolean, water boolean, vegetation boolean")
+    side = lambda k, d=F.col("depth"): df.select("view_id", "r", "c", d.alias(f"{k}_depth"), *[F.col(x).alias(f"{k}_{x}") for x in ("building", "water")])
+    same = imagery.view_alignment(side("a").join(side("b"), ["view_id", "r", "c"])).first()
+    assert abs(same.score - 1) < 1e-9 and same.depth == 1
+    off = imagery.view_alignment(side("a").join(side("b", F.col("depth") * 1.25), ["view_id", "r", "c"])).first()
+    assert abs(off.depth - 0.5) < 1e-9 and abs(off.score - (0.4 + 0.25 * 0.5 + 0.15 + 0.2)) < 1e-9
+    d = np.array(imagery.view_descriptor(df, 16, 16).first().descriptor)
+    assert len(d) == 36 and abs((d * d).sum() - 1) < 1e-9 and d[20:28].min() == d[20:28].max() > 0 and not d[28:].any()

@@ -13,8 +13,7 @@ rows are predicted each on their own; a text of any length is counted as a whole
 other columns are not read.
 """
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,10 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.storage import small_batches
+from skylattice.llm.worker import released
 
 UNKNOWN = "und"
 #: Characters, and texts, that are counted at a time (bounds a task's memory).
-BLOCK_CHARS, BLOCK_TEXTS = 1 << 20, 1 << 10
+BLOCK_CHARS, BLOCK_TEXTS = 1 << 18, 1 << 10
 #: Stands for the space before a bigram's letter, where 0 would make it a single letter.
 MARK = (1 << 21) - 1
 
@@ -184,10 +184,14 @@ def predicted(text: Column, profiles: Profiles, spark) -> Column:
     small_batches(spark)
     held = spark.sparkContext.broadcast(profiles)  # max_langs * size numbers at most
 
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [predict(texts.slice(at, BLOCK_TEXTS).to_pylist(), held.value) for at in range(0, max(len(texts), 1), BLOCK_TEXTS)]
+            langs = pa.array([x for p in parts for x in p[0]], pa.string())
+            yield pa.StructArray.from_arrays([langs, *[pa.array(np.concatenate([p[k] for p in parts])) for k in (1, 2)]], names=["lang_pred", "score", "distance"])
+
     @F.arrow_udf("lang_pred string, score double, distance double")
-    def of(texts: pa.Array) -> pa.Array:
-        found = [predict(texts.slice(at, BLOCK_TEXTS).to_pylist(), held.value) for at in range(0, max(len(texts), 1), BLOCK_TEXTS)]
-        langs = pa.array([x for f in found for x in f[0]], pa.string())
-        return pa.StructArray.from_arrays([langs, *[pa.array(np.concatenate([f[k] for f in found])) for k in (1, 2)]], names=["lang_pred", "score", "distance"])
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(found(batches))
 
     return of(text)

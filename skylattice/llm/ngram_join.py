@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.components import connected_components, with_groups
 from skylattice.llm.storage import mixed, small_batches, written
-from skylattice.llm.worker import held
+from skylattice.llm.worker import held, released
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ def _set_rows(docs: DataFrame, how: Join) -> DataFrame:
                     names=["id", "key", "node", "n_grams", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, key long, node long, n_grams int, bands array<long>")
+    return docs.mapInArrow(lambda batches: released(run(batches)), "id long, key long, node long, n_grams int, bands array<long>")
 
 
 def _verify(units: DataFrame, how: Join) -> DataFrame:

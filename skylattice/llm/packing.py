@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.storage import small_batches
 from skylattice.llm.token_memo import SLICE, encoder
+from skylattice.llm.worker import released
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -150,7 +151,7 @@ def pack_documents(
         yield emit(True)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda batches: released(run(batches)), PIECES)
 
 
 def pack_examples(

@@ -25,7 +25,7 @@ from skylattice.llm.worker import held
 #: Texts that are taken from a batch at a time.
 SLICE = 1024
 #: Characters of texts that are split at a time (a longer text is a block of its own).
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 #: Separators that Python takes for white space but the vocabularies don't: such texts are encoded as a whole.
 _SEPARATORS = "[\x1c-\x1f]"
 #: White space besides single spaces and line feeds.
@@ -83,7 +83,7 @@ def _cut(texts: pa.Array, lengths: np.ndarray) -> pa.Array:
 class TextEncoder:
     """ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.llm.storage import small_batches
+from skylattice.llm.worker import released
 
 #: Characters of the model, and what a disguising character may stand for.
 LETTERS = " abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšž"
@@ -94,7 +95,7 @@ def language_model(texts: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"gram": found, "n": total[found]})
 
     small_batches(texts.sparkSession)
-    summed = texts.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    summed = texts.select(F.col(text_col).alias("text")).mapInArrow(lambda batches: released(count(batches)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     n = np.zeros(SIZE**3)
     for gram, k in summed.collect():
         n[gram] = k
@@ -275,7 +276,7 @@ def fit(
     def count(batches):
         from collections import Counter
 
-        restorer, found = Restorer(held.value), {0: Counter(), 1: Counter()}
+        restorer, found = Restorer(held.value, limit=50_000), {0: Counter(), 1: Counter()}
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found[y].update(set().union(*restorer.tokens(text)))
@@ -284,7 +285,7 @@ def fit(
         t, c = ([found[y][w] for w in words] for y in (1, 0))
         yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "t": pa.array(t, pa.int64()), "c": pa.array(c, pa.int64())})
 
-    counted = rows.mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = rows.mapInArrow(lambda batches: released(count(batches)), "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     whole = counted.where("word = ''").collect()
     toxic, clean = (whole[0]["t"], whole[0]["c"]) if whole else (0, 0)
     if not toxic or not clean:
@@ -300,7 +301,7 @@ def fit(
             found = [sorted({k for token in restorer.tokens(t) for k in token}) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
-    points = rows.mapInArrow(find, "y int, found array<int>").collect()  # ``sample`` rows at most
+    points = rows.mapInArrow(lambda batches: released(find(batches)), "y int, found array<int>").collect()  # ``sample`` rows at most
     w = logistic([r["found"] for r in points], np.array([r["y"] for r in points], dtype=np.float64), len(known))
     return Scorer(model, dict(zip(known, w[:-1].tolist())), float(w[-1]))
 
@@ -310,11 +311,14 @@ def scored(text: Column, scorer: Scorer, spark) -> Column:
     small_batches(spark)
     held = spark.sparkContext.broadcast(scorer)  # at most SIZE**3 numbers and the lexicon
 
-    @F.arrow_udf("double")
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         restorer = held.value.restorer()
         for texts in batches:
             x = [held.value.evidence(restorer, t) for at in range(0, len(texts), 512) for t in texts.slice(at, 512).to_pylist()]
             yield pa.array(held.value.probability(np.array(x, dtype=np.float64)), pa.float64())
 
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(scores(batches))
+
     return of(text)

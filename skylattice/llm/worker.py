@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 
 _HELD: dict[tuple, object] = {}
 
@@ -14,3 +18,15 @@ def held(key: tuple, make: Callable):
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def released(batches: Iterable) -> Iterator:
+    """``batches``, and after the last one what the task has freed goes back to the system: workers live on, and several
+    of them share an executor's memory."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

@@ -89,3 +89,8 @@ def regression_output(scaled: list[Column], log_var: Column, hx: Column, hy: Col
 
 def success(declared: Column, dist_at_arrival: Column, violation: Column, collided: Column, tolerance_m: float) -> Column:
     return declared & (dist_at_arrival <= tolerance_m) & ~violation & ~collided
+
+
+def retrieval_covariance(variances: tuple[Column, Column, Column], floor_m: float) -> tuple[Column, Column, Column]:
+    """Variances of a retrieved position: the consensus' own spread and, added to it, the square of the least sigma."""
+    return tuple(v + floor_m * floor_m for v in variances)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
+from skylattice.operators.quantiles import exact_quantiles
 
 # Fixed values.
 RAYLEIGH = {0.5: 1.1774, 0.68: 1.5096, 0.9: 2.1460, 0.95: 2.4477}
@@ -123,3 +127,47 @@ def stop_reason(p95: Column, alt_p95: Column, ece: Column, plateau: Column, used
         .when(used >= limits["budget"], "budget_exhausted")
         .when(round_ >= limits["max_rounds"], "max_rounds")
     )
+
+
+@dataclass(frozen=True)
+class LoopPlan:
+    """Budget and stop rules of a capture loop; ``first`` captures before the first round, ``more`` after each other one."""
+
+    budget: int = 4000
+    first: int = 1600
+    more: int = 560
+    max_rounds: int = 6
+    p95: float = 12.0
+    alt_p95: float = 6.0
+    ece: float = 0.15
+    epsilon: float = 0.05
+    plateau_rounds: int = 2
+    cell_m: float = 150.0
+
+
+def capture_loop(probes: Callable[[int], DataFrame], plan: LoopPlan, capture: Callable[[DataFrame, int, int], int]) -> list[dict]:
+    """History of a capture loop: evaluate a round's probes, stop or plan the next captures, in the cells whose error is
+    above the threshold (``capture`` takes their weights and a number; it says how many it took), or all over the area
+    where no cell is. The next round needs the decision of this one, so rounds run one after the other; a round is a few
+    aggregates of which one row and the number of cells reach the driver.
+    """
+    history: list[dict] = []
+    used, before, plateau = plan.first, None, 0
+    for k in range(1, plan.max_rounds + 1):
+        rows = probes(k).withColumn("err", horizontal_error()).withColumn("alt", F.abs(F.col("est_u") - F.col("truth_u")))
+        p95, alt = (exact_quantiles(rows, [], x, {"q": 0.95}).first()["q"] for x in ("err", "alt"))
+        ece = expected_calibration_error(reliability(rows, plan.p95)).first()["ece"] or 0.0
+        plateau = plateau + 1 if before is not None and (before - p95) / max(before, 1e-6) < plan.epsilon else 0
+        stop = "converged" if p95 <= plan.p95 and alt <= plan.alt_p95 and ece <= plan.ece else None
+        stop = stop or ("plateau" if plateau >= plan.plateau_rounds else "budget_exhausted" if used >= plan.budget else "max_rounds" if k >= plan.max_rounds else None)
+        entry = {"round": k, "captures": used, "p95": p95, "alt_p95": alt, "ece": ece, "stop": stop, "targets": 0, "planned": 0}
+        history.append(entry)
+        if stop:
+            break
+        n, before = min(plan.more, plan.budget - used), p95
+        weights = excess_weights(cell_p95(rows.select(F.col("truth_e").alias("e"), F.col("truth_n").alias("n"), "err"), plan.cell_m), plan.p95, plan.cell_m)
+        cells = weights.select(*[x.alias(name) for name, x in zip(("ce", "cn"), geo.plane_cell(F.col("e"), F.col("n"), plan.cell_m))], "weight")
+        entry["targets"] = cells.count()
+        entry["planned"] = capture(cells, n, k) if entry["targets"] else n
+        used += entry["planned"]
+    return history

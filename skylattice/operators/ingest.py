@@ -110,9 +110,17 @@ def allocate(cells: DataFrame, total: int) -> DataFrame:
     whole = cells.agg(F.sum(F.greatest("weight", F.lit(1e-6))).alias("all"))  # one row
     rows = cells.crossJoin(F.broadcast(whole)).withColumn("want", F.greatest("weight", F.lit(1e-6)) / F.col("all") * total)
     rows = rows.withColumn("base", F.floor("want")).withColumn("rest", F.round(F.col("want") - F.col("base"), 9))
-    missing = rows.agg((F.lit(total) - F.sum("base")).alias("missing"))  # one row
-    rank = F.row_number().over(Window.orderBy(F.desc("rest"), "ce", "cn"))  # a row per cell of the error map
-    return rows.crossJoin(F.broadcast(missing)).withColumn("n", F.col("base") + (rank <= F.col("missing")).cast("long")).drop("all", "want", "base", "rest", "missing")
+    missing = int(rows.agg(F.lit(total) - F.sum("base")).first()[0] or 0)  # fewer than there are cells, and than ``total``
+    more = rows.orderBy(F.desc("rest"), "ce", "cn").limit(missing).select("ce", "cn", F.lit(1).alias("more"))
+    rows = rows.join(more, ["ce", "cn"], "left").withColumn("n", (F.col("base") + F.coalesce("more", F.lit(0))).cast("long"))
+    return rows.drop("all", "want", "base", "rest", "more")
+
+
+def targeted_poses(cells: DataFrame, size: float, seed: int) -> DataFrame:
+    """The allocated captures of each cell (``ce``, ``cn``, ``n``) as poses spread over the cell by hashes of their number."""
+    unit = lambda k: F.pmod(F.xxhash64("ce", "cn", "number", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    rows = cells.where("n > 0").withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return rows.select("ce", "cn", "number", ((F.col("ce") + unit(1)) * size).alias("e"), ((F.col("cn") + unit(2)) * size).alias("n"), (360 * unit(3)).alias("yaw"))
 
 
 def probes(bounds: DataFrame, n: int, seed: int, low: float, high: float) -> DataFrame:
@@ -126,3 +134,15 @@ def probes(bounds: DataFrame, n: int, seed: int, low: float, high: float) -> Dat
 def shuffled(poses: DataFrame, key: str, seed: int, cap: int) -> DataFrame:
     """The first ``cap`` poses in a seeded order."""
     return poses.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(cap)
+
+
+def tile_of(rows: DataFrame, bounds: DataFrame, e: str, n: str, across: int, up: int) -> DataFrame:
+    """Adds ``inside`` (the first tile of an even grid that holds the row's place; edges belong to both neighbours) and
+    ``nearest`` (the tile whose centre is nearest), by arithmetic on the grid's bounds. ``bounds`` is one row (e0, e1, n0, n1)."""
+    at = lambda x, low, high, k: F.ceil((F.col(x) - F.col(low)) * k / F.greatest(F.col(high) - F.col(low), F.lit(1e-9))) - 1
+    clamped = lambda x, k: F.greatest(F.lit(0), F.least(F.lit(k - 1), x))
+    i, j = clamped(at(e, "e0", "e1", across), across), clamped(at(n, "n0", "n1", up), up)
+    name = F.concat(F.lit("t"), i.cast("string"), F.lit("_"), j.cast("string"))
+    held = F.col(e).between(F.col("e0"), F.col("e1")) & F.col(n).between(F.col("n0"), F.col("n1"))
+    out = rows.crossJoin(F.broadcast(bounds)).withColumn("nearest", name)
+    return out.withColumn("inside", F.when(held, F.col("nearest"))).drop("e0", "e1", "n0", "n1")

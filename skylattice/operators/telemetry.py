@@ -39,7 +39,14 @@ def source_order(health: DataFrame, in_flight: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w))
 
 
-def newest(rows: DataFrame, key: str, order: list[str], keep: int) -> DataFrame:
-    """The newest ``keep`` rows of each key (a per-key limit, which Spark applies before it shuffles)."""
+def newest(rows: DataFrame, key: str, order: list[str], keep: int, above: int | None = None) -> DataFrame:
+    """The newest ``keep`` rows of each key (a per-key limit, which Spark applies before it shuffles); with ``above``, only
+    of keys with more rows than that."""
     w = Window.partitionBy(key).orderBy(*[F.desc(k) for k in order])
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    if above is None:
+        return ranked(rows)
+    counts = rows.groupBy(key).agg(F.count("*").alias("__rows"))  # a row per key
+    counted = rows.join(F.broadcast(counts), key)
+    small = counted.where(F.col("__rows") <= above).withColumn("rank", F.lit(None).cast("int"))
+    return ranked(counted.where(F.col("__rows") > above)).unionByName(small).drop("__rows")

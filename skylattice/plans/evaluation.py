@@ -348,9 +348,11 @@ def moving_latency(spark, sf_dir):
     return rounded(telemetry.source_health(domain.fetch_log(spark, sf_dir), ["at", "seq"]).select("source", "ewma"), [])
 
 
-@query("T07_newest_rows", with_tables("frames", "SELECT run, frame_id FROM (SELECT run, frame_id, row_number() OVER (PARTITION BY run ORDER BY t DESC, frame_id DESC) AS k FROM frames) WHERE k <= 300"))
+@query("T07_newest_rows", with_tables("frames", "SELECT service, frame_id FROM (SELECT run % 2 AS service, frame_id, row_number() OVER (PARTITION BY run % 2 ORDER BY t DESC, frame_id DESC) AS k, count(*) OVER (PARTITION BY run % 2) AS n FROM frames) WHERE n <= 4000 OR k <= 3000"))
 def newest_rows(spark, sf_dir):
-    return telemetry.newest(domain.frames(spark, sf_dir), "run", ["t", "frame_id"], 300).select("run", "frame_id")
+    """A service keeps its newest 3000 rows once it holds more than 4000."""
+    rows = domain.frames(spark, sf_dir).withColumn("service", c("run") % 2)
+    return telemetry.newest(rows, "service", ["t", "frame_id"], 3000, 4000).select("service", "frame_id")
 
 
 @query("J32_labels_fixes", with_tables("frames preds", f"SELECT p.id, round(sqrt((f.est_e - p.pe) ** 2 + (f.est_n - p.pn) ** 2), 4) AS err FROM preds p JOIN frames f ON f.frame_id = p.id"))

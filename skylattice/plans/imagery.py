@@ -95,11 +95,18 @@ def sun_disc(spark, sf_dir):
     return discs(spark, sf_dir).select("image", "n", r(c("mx")).alias("mx"), r(c("my")).alias("my"))
 
 
-@query("F64_disc_direction", with_tables("texels", DISC + "SELECT image, round(degrees(atan2((mx - 20) / 80, 1)), 4) AS azimuth, round(degrees(asin(((62 - my) / 80) / sqrt(((mx - 20) / 80) ** 2 + ((62 - my) / 80) ** 2 + 1))), 4) AS elevation FROM ok"))
+TILT = math.radians(10.0)
+_X, _Y = "((mx - 20) / 80)", "((62 - my) / 80)"
+_UP, _AHEAD = (f"({math.cos(TILT)!r}::DOUBLE * {_Y} - {math.sin(TILT)!r}::DOUBLE)", f"({math.sin(TILT)!r}::DOUBLE * {_Y} + {math.cos(TILT)!r}::DOUBLE)")
+
+
+@query("F64_disc_direction", with_tables("texels", DISC + f"SELECT image, round(degrees(atan2({_X}, {_AHEAD})), 4) AS azimuth, round(degrees(asin({_UP} / sqrt({_X} ** 2 + {_UP} ** 2 + {_AHEAD} ** 2))), 4) AS elevation FROM ok"))
 def disc_direction(spark, sf_dir):
-    """Body azimuth and elevation of the disc's centre through a level pinhole camera (focal length 80)."""
+    """Body azimuth and elevation of the disc's centre through a pinhole camera (focal length 80) that is tilted by ten degrees."""
     x, y = (c("mx") - 20) / 80, (62 - c("my")) / 80
-    return discs(spark, sf_dir).select("image", r(F.degrees(F.atan2(x, F.lit(1.0)))).alias("azimuth"), r(F.degrees(F.asin(y / F.sqrt(x * x + y * y + 1)))).alias("elevation"))
+    up, ahead = math.cos(TILT) * y - math.sin(TILT), math.sin(TILT) * y + math.cos(TILT)
+    far = F.sqrt(x * x + up * up + ahead * ahead)
+    return discs(spark, sf_dir).select("image", r(F.degrees(F.atan2(x, ahead))).alias("azimuth"), r(F.degrees(F.asin(up / far))).alias("elevation"))
 
 
 RAYS = """, b AS (SELECT p_partkey AS id, p_partkey * 7919 % 100 + 5 AS row, p_partkey * 104729 % 90 + 5 AS col FROM part WHERE p_size % 3 = 0),
@@ -389,9 +396,12 @@ def flow(spark, sf_dir):
     return f.withColumn("u", c("x") * k - c("y") * s + 3 + wrong).withColumn("v", c("x") * s + c("y") * k - 2)
 
 
-@query("A48_rigid_fit", with_tables("captures", "SELECT run AS pair, CAST(10 AS DOUBLE) AS turn_deg, CAST(3 AS DOUBLE) AS de, CAST(-2 AS DOUBLE) AS dn FROM captures GROUP BY run"))
+@query("A48_rigid_fit", with_tables("captures", f""", f AS (SELECT run AS pair, e / 10 AS x, n / 10 AS y, e / 10 * {math.cos(math.radians(10))!r}::DOUBLE - n / 10 * {math.sin(math.radians(10))!r}::DOUBLE + 3 AS u, e / 10 * {math.sin(math.radians(10))!r}::DOUBLE + n / 10 * {math.cos(math.radians(10))!r}::DOUBLE - 2 AS v FROM captures WHERE id % 19 <> 0),
+m AS (SELECT pair, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM f GROUP BY pair),
+t AS (SELECT pair, any_value(mx) AS mx, any_value(my) AS my, any_value(mu) AS mu, any_value(mv) AS mv, atan2(sum((x - mx) * (v - mv) - (y - my) * (u - mu)), sum((x - mx) * (u - mu) + (y - my) * (v - mv))) AS turn FROM f JOIN m USING (pair) GROUP BY pair)
+SELECT pair, round(degrees(turn), 4) AS turn_deg, round(mu - (mx * cos(turn) - my * sin(turn)), 4) AS de, round(mv - (mx * sin(turn) + my * cos(turn)), 4) AS dn FROM t"""))
 def rigid_fit(spark, sf_dir):
-    """The outliers are gone after the trims, so the fit gives the motion that made the points."""
+    """The outliers are gone after the trims, so the fit is that of the other points."""
     fit = imagery.rigid_fit(flow(spark, sf_dir))
     return fit.select("pair", *[(F.round(c(k), 4) + 0.0).alias(k) for k in ("turn_deg", "de", "dn")])
 

@@ -66,14 +66,16 @@ def dem_tiles(spark, sf_dir):
 
 @query(
     "A22_dem_coverage",
-    with_tables("pois", BOXES + """, t AS (SELECT DISTINCT CAST(floor(south * 300) AS BIGINT) AS lat, CAST(floor(west * 300) AS BIGINT) AS lon FROM boxes)
-SELECT count(*) AS tiles, round(avg(CASE WHEN (lat + lon) % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS covered FROM t"""),
+    with_tables("pois buildings", BOXES + """, t AS (SELECT DISTINCT CAST(floor(south * 300) AS BIGINT) AS lat, CAST(floor(west * 300) AS BIGINT) AS lon FROM boxes),
+h AS (SELECT DISTINCT CAST(floor(lat * 300) AS BIGINT) AS lat, CAST(floor(lon * 300) AS BIGINT) AS lon, true AS held FROM buildings WHERE size % 7 = 0)
+SELECT count(*) AS tiles, round(avg(CASE WHEN held THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS covered FROM t LEFT JOIN h USING (lat, lon)"""),
 )
 def dem_coverage(spark, sf_dir):
-    """Share of wanted tiles that the tile catalogue holds."""
+    """Share of wanted tiles that the tile catalogue holds: the tiles of some buildings, a table of its own."""
     b = boxes(spark, sf_dir)
     wanted = b.select(F.floor(c("south") * 300).alias("lat"), F.floor(c("west") * 300).alias("lon")).distinct()
-    catalogue = wanted.where("(lat + lon) % 3 <> 0").withColumn("held", F.lit(1.0))
+    held = domain.buildings(spark, sf_dir).where("size % 7 = 0").select(F.floor(c("lat") * 300).alias("lat"), F.floor(c("lon") * 300).alias("lon"))
+    catalogue = held.distinct().withColumn("held", F.lit(1.0))
     return wanted.join(catalogue, ["lat", "lon"], "left").agg(F.count("*").alias("tiles"), r(F.avg(F.coalesce("held", F.lit(0.0)))).alias("covered"))
 
 
@@ -105,23 +107,24 @@ g AS (SELECT i * 3 + j AS seq, 't' || i || '_' || j AS tile, e0 + i * (e1 - e0)
 """
 
 
-def tiles(poses):
-    bounds = poses.agg(F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    return ingest.tile_grid(bounds, 667.0)
+def bounds_of(poses):
+    return poses.agg(F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("n").alias("n0"), F.max("n").alias("n1"))  # one row
 
 
-@query("J19_tile_of_pose", with_tables("captures", TILES + "SELECT id, arg_min(tile, seq) AS tile FROM captures JOIN g ON e BETWEEN e_min AND e_max AND n BETWEEN n_min AND n_max GROUP BY id"))
+NEAREST = "arg_min(tile, ((e_min + e_max) / 2 - {e}) ** 2 + ((n_min + n_max) / 2 - {n}) ** 2)"
+
+
+@query("J19_tile_of_pose", with_tables("captures frames", TILES + f"SELECT frame_id, arg_min(tile, seq) FILTER (est_e BETWEEN e_min AND e_max AND est_n BETWEEN n_min AND n_max) AS inside, {NEAREST.format(e='est_e', n='est_n')} AS nearest FROM frames CROSS JOIN g GROUP BY frame_id"))
 def tile_of_pose(spark, sf_dir):
-    """First tile that holds the pose; edges belong to both neighbours. The grid is nine rows."""
-    poses = domain.captures(spark, sf_dir)
-    inside = c("e").between(c("e_min"), c("e_max")) & c("n").between(c("n_min"), c("n_max"))
-    return poses.join(F.broadcast(tiles(poses)), inside).groupBy("id").agg(F.min_by("tile", "seq").alias("tile"))
+    """First of nine tiles that holds each estimate, null outside of all, and the nearest one."""
+    poses = domain.frames(spark, sf_dir).select("frame_id", "est_e", "est_n")
+    return ingest.tile_of(poses, bounds_of(domain.captures(spark, sf_dir)), "est_e", "est_n", 3, 3).select("frame_id", "inside", "nearest")
 
 
-@query("J12_feature_cells", with_tables("buildings pois", COVER + f", b AS (SELECT id, 'c500_' || CAST(floor(lat / {STEP}) AS BIGINT) || '_' || CAST(floor(lon / {STEP}) AS BIGINT) AS cell FROM buildings) SELECT b.id, b.cell FROM b JOIN (SELECT DISTINCT cell FROM cover WHERE id % 5 = 0) r USING (cell)"))
+@query("J12_feature_cells", with_tables("buildings pois", COVER + f", b AS (SELECT id, 'c500_' || CAST(floor(lat / {STEP}) AS BIGINT) || '_' || CAST(floor(lon / {STEP}) AS BIGINT) AS cell FROM buildings) SELECT b.id, b.cell FROM b JOIN (SELECT DISTINCT cell FROM cover) r USING (cell)"))
 def feature_cells(spark, sf_dir):
     """Features whose centroid lies in a requested cell."""
-    wanted = ingest.cells_of_boxes(boxes(spark, sf_dir).where("id % 5 = 0")).select("cell").distinct()
+    wanted = ingest.cells_of_boxes(boxes(spark, sf_dir)).select("cell").distinct()
     b = domain.buildings(spark, sf_dir).select("id", geo.cell_id(*geo.cell_index(c("lat"), c("lon"))).alias("cell"))
     return b.join(wanted, "cell", "left_semi").select("id", "cell")
 
@@ -156,25 +159,34 @@ def cell_report(spark, sf_dir):
     return domain.cells_state(spark, sf_dir).groupBy("kind").pivot("status", names).count().na.fill(0).select("kind", *names)
 
 
-@query("A21_cache_coverage", with_tables("cells_state", """, r AS (SELECT kind, cell FROM (SELECT DISTINCT kind FROM cells_state) CROSS JOIN (SELECT DISTINCT cell FROM cells_state WHERE cell % 3 = 0)),
+@query("A21_cache_coverage", with_tables("cells_state", """, r AS (SELECT kind, cell FROM (SELECT DISTINCT kind FROM cells_state) CROSS JOIN (SELECT DISTINCT cell FROM cells_state)),
 b AS (SELECT kind, cell, bool_or(status = 'cached') AS cached, bool_or(status = 'skipped') AS skipped FROM cells_state GROUP BY kind, cell)
 SELECT kind, count(*) AS wanted, count(*) FILTER (cached) AS cached, count(*) FILTER (skipped AND NOT cached) AS skipped, count(*) FILTER (NOT coalesce(cached OR skipped, false)) AS missing FROM r LEFT JOIN b USING (kind, cell) GROUP BY kind"""))
 def cache_coverage(spark, sf_dir):
     s = domain.cells_state(spark, sf_dir)
     kinds = s.select("kind").distinct()  # a handful
-    wanted = s.where("cell % 3 = 0").select("cell").distinct().join(F.broadcast(kinds))
+    wanted = s.select("cell").distinct().join(F.broadcast(kinds))
     held = s.groupBy("kind", "cell").agg(F.bool_or(c("status") == "cached").alias("cached"), F.bool_or(c("status") == "skipped").alias("skipped"))
     both = wanted.join(held, ["kind", "cell"], "left").na.fill(False)
     return both.groupBy("kind").agg(F.count("*").alias("wanted"), F.count_if("cached").alias("cached"), F.count_if(c("skipped") & ~c("cached")).alias("skipped"), F.count_if(~(c("cached") | c("skipped"))).alias("missing"))
 
 
-for name in ("K05_download_manifest", "U07_deferred_cells"):
+@query("K05_download_manifest", with_tables("cells_state", "SELECT kind, count(DISTINCT cell) AS cells, " + ", ".join(f"count(DISTINCT cell) FILTER (status = '{k}') AS {k}" for k in ("cached", "fetched", "skipped", "deferred", "failed")) + " FROM cells_state GROUP BY kind"))
+def download_manifest(spark, sf_dir):
+    """A JSON summary per kind: its cells and how many of them have each status; written and read back."""
+    states = ("cached", "fetched", "skipped", "deferred", "failed")
+    s = domain.cells_state(spark, sf_dir).select("kind", "cell", "status").distinct()
+    rows = s.groupBy("kind").agg(F.countDistinct("cell").alias("cells"), *[F.count_if(c("status") == k).alias(k) for k in states])
+    path = table_path(spark, "manifest")
+    rows.write.json(path)
+    return spark.read.schema("kind string, " + ", ".join(f"{k} long" for k in ("cells", *states))).json(path)
+
 
-    @query(name, with_tables("cells_state", "SELECT array_to_string(list_sort(list(DISTINCT cell)), ',') AS deferred, count(DISTINCT cell) AS n FROM cells_state WHERE status = 'deferred'"))
-    def deferred_cells(spark, sf_dir):
-        """Sorted union of the deferred cells over all kinds (cells of one area)."""
-        d = domain.cells_state(spark, sf_dir).where("status = 'deferred'").select("cell").distinct()
-        return d.agg(F.array_sort(F.collect_list("cell")).alias("cells")).select(F.concat_ws(",", F.transform("cells", lambda x: x.cast("string"))).alias("deferred"), F.size("cells").cast("long").alias("n"))
+@query("U07_deferred_cells", with_tables("cells_state", "SELECT cell, count(DISTINCT kind) AS kinds FROM cells_state WHERE status = 'deferred' GROUP BY cell"))
+def deferred_cells(spark, sf_dir):
+    """Sorted union of the deferred cells over all kinds, a row each."""
+    d = domain.cells_state(spark, sf_dir).where("status = 'deferred'")
+    return d.groupBy("cell").agg(F.countDistinct("kind").alias("kinds")).orderBy("cell")
 
 
 FALL = """, p AS (SELECT cell, max(latency) AS v FROM fetch_log WHERE source = 0 AND ok GROUP BY cell), o AS (SELECT cell, max(latency) AS v FROM fetch_log WHERE source = 1 AND ok GROUP BY cell)

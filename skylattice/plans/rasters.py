@@ -137,12 +137,12 @@ def usable_texels(spark, sf_dir):
     return domain.ortho_px(spark, sf_dir).where("valid").groupBy("scene").agg(F.count("*").alias("n"))
 
 
-TERRAIN = """, terrain AS (SELECT CAST(floor(e / 60) AS BIGINT) AS ce, CAST(floor(n / 60) AS BIGINT) AS cn, median(ground_up) AS up FROM captures WHERE id % 3 = 0 GROUP BY 1, 2)
+TERRAIN = """, terrain AS (SELECT CAST(floor(e / 60) AS BIGINT) AS ce, CAST(floor(n / 60) AS BIGINT) AS cn, median(ground_up) AS up FROM captures GROUP BY 1, 2)
 """
 
 
 def terrain(spark, sf_dir):
-    caps = domain.captures(spark, sf_dir).where("id % 3 = 0")
+    caps = domain.captures(spark, sf_dir)
     ce, cn = geo.plane_cell(c("e"), c("n"), 60.0)
     return caps.groupBy(ce.alias("ce"), cn.alias("cn")).agg(F.median("ground_up").alias("up"))
 

@@ -490,8 +490,10 @@ scalars(
 )
 scalars("F53_target_confidence", "preds", "id", lambda: {"conf": estimates.target_confidence(c("sigma") * 4, F.abs(c("pe") - c("e")) * 9)}, {"conf": "1 / (1 + sigma * 4 / 30 + abs(pe - e) * 9 / 100)"})
 scalars(
-    "F54_measurement_variance", "preds", "id", lambda: dict(zip(("ve", "vn", "vu"), estimates.regression_covariance(c("sigma"), 0.9, 4.0))),
-    {"ve": "greatest(sigma * CAST(0.9 AS DOUBLE), 4) ** 2", "vn": "greatest(sigma * CAST(0.9 AS DOUBLE), 4) ** 2", "vu": "2 * greatest(sigma * CAST(0.9 AS DOUBLE), 4) ** 2"},
+    "F54_measurement_variance", "preds", "id",
+    lambda: dict(zip(("ve", "vn", "vu"), estimates.regression_covariance(c("sigma"), 0.9, 4.0))) | dict(zip(("re", "rn", "ru"), estimates.retrieval_covariance((c("sigma") * 3, c("sigma") * 2, c("sigma")), 4.0))),
+    {"ve": "greatest(sigma * CAST(0.9 AS DOUBLE), 4) ** 2", "vn": "greatest(sigma * CAST(0.9 AS DOUBLE), 4) ** 2", "vu": "2 * greatest(sigma * CAST(0.9 AS DOUBLE), 4) ** 2",
+     "re": "sigma * 3 + 16", "rn": "sigma * 2 + 16", "ru": "sigma + 16"},
 )
 _s20, _c20 = math.sin(math.radians(20)), math.cos(math.radians(20))
 scalars(

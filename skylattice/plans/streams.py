@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skylattice.operators import evaluate
+from skylattice.operators import evaluate, ingest
 from skylattice.plans.base import r
-from skylattice.plans.evaluation import A01, ERR, rounded
-from skylattice.plans.ingestion import TILES, table_path, tiles
+from skylattice.plans.evaluation import ERR
+from skylattice.plans.ingestion import NEAREST, TILES, bounds_of, table_path
 from skylattice.registry import query
 from skylattice.sources import domain
 from skylattice.sources.domain import with_tables
@@ -25,13 +25,19 @@ def sensor_rows(spark, sf_dir):
 
 def truth_rows(spark, sf_dir):
     ts = F.timestamp_micros((c("t") * 1e6).cast("long"))
-    return domain.frames(spark, sf_dir).where("frame_id % 97 <> 0").withColumn("ts", ts).select("frame_id", "ts", "truth_e", "truth_n")
+    return domain.frames(spark, sf_dir).where("frame_id % 97 <> 0").withColumn("ts", ts).select("frame_id", "ts", "truth_e", "truth_n", "truth_u")
 
 
-def as_stream(spark, rows, files: int = 1):
-    """A table of ``rows`` read as a stream of Parquet files."""
+def as_stream(spark, rows, files: int = 1, ordered: bool = False):
+    """A table of ``rows`` read as a stream of Parquet files; ``ordered``: the files follow each other in time."""
     path = table_path(spark, "stream")
-    rows.repartition(files).write.parquet(path)
+    if ordered:
+        low, high = rows.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+        step = F.least(F.lit(files - 1), F.floor((c("ts").cast("double") - (low or 0.0)) / max((high or 1.0) - (low or 0.0), 1e-6) * files))
+        for k in range(files):
+            rows.where(step == k).coalesce(1).write.mode("append").parquet(path)
+    else:
+        rows.repartition(files).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -76,11 +82,21 @@ def newest_frame(spark, sf_dir):
     return drained(spark, rows, each=flight.newest_per_batch).select("drone", "frame_id", "dropped")
 
 
-@query("R08_stream_metrics", with_tables("frames", "SELECT run AS drone, count(*) AS n, round(avg(est_e), 4) AS mean_e, max(frame_id) AS last FROM frames GROUP BY run"))
+@query("R08_stream_metrics", with_tables("frames", f"SELECT run AS drone, count(*) AS n, round(avg({ERR}), 4) AS mean_error, round(sqrt(avg({ERR} ** 2)), 4) AS rmse, round(avg(abs(est_u - truth_u)), 4) AS alt_mae, round(avg(CASE WHEN {ERR} < 12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS within_target FROM frames WHERE frame_id % 97 <> 0 GROUP BY run"))
 def stream_metrics(spark, sf_dir):
-    rows = as_stream(spark, sensor_rows(spark, sf_dir), 3)
-    m = rows.groupBy("drone").agg(F.count("*").alias("n"), r(F.avg("est_e")).alias("mean_e"), F.max("frame_id").alias("last"))
-    return drained(spark, m, "complete")
+    """Accuracy of the joined stream, kept as sums that each micro-batch adds to."""
+    joined = flight.join_truth(as_stream(spark, sensor_rows(spark, sf_dir), 3, True), as_stream(spark, truth_rows(spark, sf_dir), 2, True))
+    m = flight.sums_to_metrics(drained(spark, joined, each=lambda batch: flight.batch_sums(batch, 12.0)))
+    return m.select("drone", "n", *[r(c(k)).alias(k) for k in ("mean_error", "rmse", "alt_mae", "within_target")])
+
+
+@query("K13_estimate_sink", with_tables("frames", "SELECT frame_id, run AS drone, round(est_e, 4) AS e, round(est_n, 4) AS n FROM frames"))
+def estimate_sink(spark, sf_dir):
+    """Every frame's estimate as the stream delivers it, once each."""
+    path, progress = table_path(spark, "estimates"), table_path(spark, "progress")
+    rows = as_stream(spark, sensor_rows(spark, sf_dir), 4).select("frame_id", "drone", r(c("est_e")).alias("e"), r(c("est_n")).alias("n"))
+    flight.sink_estimates(rows, path, progress)
+    return spark.read.schema("frame_id long, drone long, e double, n double, batch long").parquet(path).drop("batch")
 
 
 for name in ("R03_error_state_filter", "R04_lost_detection", "R05_measurement_schedule"):
@@ -99,22 +115,51 @@ def filter_stream(spark, sf_dir):
     return drained(spark, flight.filter_stream(rows)).select("drone", "frame_id", r(c("e")).alias("e"), r(c("n")).alias("n"))
 
 
-for name in ("R06_particle_filter", "X06_particle_score"):
+@query("R06_particle_filter")
+def particle_filter(spark, sf_dir):
+    out = flight.particle_flights(sensor_rows(spark, sf_dir).drop("ts"))
+    return out.select("drone", "frame_id", *[r(c(k)).alias(k) for k in ("e", "n", "yaw", "spread")])
+
+
+#: Particles beside each fix (metres east and north, degrees), and how they score: nearer and less turned is better.
+BESIDE = [(0, 0, 0), (10, 0, 5), (0, -20, -10), (-30, 15, 20)]
 
-    @query(name)
-    def particle_filter(spark, sf_dir):
-        return flight.particle_flights(sensor_rows(spark, sf_dir).drop("ts")).select("drone", "frame_id", r(c("e")).alias("e"), r(c("n")).alias("n"))
+
+@query("X06_particle_score", with_tables("frames", f""", p AS (SELECT frame_id, run AS drone, k, exp(-0.5 * (x * x + y * y) / ((5 + frame_id % 9) ** 2)::DOUBLE - 0.5 * (turn / 20.0::DOUBLE) ** 2) AS score FROM frames CROSS JOIN (VALUES {", ".join(f"({k}, {x}, {y}, {t})" for k, (x, y, t) in enumerate(BESIDE))}) b(k, x, y, turn))
+SELECT frame_id, drone, k, round(score, 4) AS score, round(exp(8 * score) / sum(exp(8 * score)) OVER (PARTITION BY frame_id), 4) AS weight FROM p"""))
+def particle_score(spark, sf_dir):
+    """A caller's score function over batches of particles, and the weights exp(8 * score) that it gives within a frame."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import Window
+
+    def scored(parts):
+        for p in parts:
+            xy, fix = p[["x", "y"]].to_numpy(dtype=float), p[["e", "n"]].to_numpy(dtype=float)
+            found = flight.fix_score(xy - fix, p["yaw"].to_numpy() - p["heading"].to_numpy(), np.zeros(2), 0.0, p["sigma"].to_numpy())
+            yield pd.DataFrame({"frame_id": p["frame_id"], "drone": p["drone"], "k": p["k"], "score": np.clip(found, 0.0, 1.0)})
+
+    beside = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("dx"), F.lit(float(y)).alias("dy"), F.lit(float(t)).alias("turn")) for k, (x, y, t) in enumerate(BESIDE)]))
+    rows = sensor_rows(spark, sf_dir).withColumn("b", beside)
+    rows = rows.select("frame_id", "drone", c("b.k").alias("k"), (c("est_e") + c("b.dx")).alias("x"), (c("est_n") + c("b.dy")).alias("y"), (c("est_heading") + c("b.turn")).alias("yaw"), c("est_e").alias("e"), c("est_n").alias("n"), c("est_heading").alias("heading"), c("sigma").cast("double").alias("sigma"))
+    out = rows.mapInPandas(scored, "frame_id long, drone long, k int, score double")
+    raised = F.exp(8 * c("score"))
+    return out.select("frame_id", "drone", "k", r(c("score")).alias("score"), r(raised / F.sum(raised).over(Window.partitionBy("frame_id"))).alias("weight"))
 
 
 @query(
     "R07_tile_handoff",
-    with_tables("captures frames", TILES + """, f AS (SELECT run AS drone, frame_id, t, arg_min(tile, seq) AS tile FROM frames LEFT JOIN g ON est_e BETWEEN e_min AND e_max AND est_n BETWEEN n_min AND n_max GROUP BY run, frame_id, t),
-h AS (SELECT *, last_value(tile IGNORE NULLS) OVER (PARTITION BY drone ORDER BY t, frame_id) AS held, last_value(tile IGNORE NULLS) OVER (PARTITION BY drone ORDER BY t, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM f)
-SELECT drone, frame_id, held AS tile, coalesce(held <> was, false) AS handed FROM h"""),
+    with_tables("captures frames", TILES + f""", c AS (SELECT *, round(est_e / 50) * 50 AS ce, round(est_n / 50) * 50 AS cn FROM frames),
+f AS (SELECT run AS drone, frame_id, t, any_value(lost) AS lost, arg_min(tile, seq) FILTER (est_e BETWEEN e_min AND e_max AND est_n BETWEEN n_min AND n_max) AS fine, {NEAREST.format(e='ce', n='cn')} AS nearest FROM c CROSS JOIN g GROUP BY run, frame_id, t),
+k AS (SELECT *, CASE WHEN lost OR row_number() OVER (PARTITION BY drone ORDER BY t, frame_id) = 1 THEN nearest ELSE fine END AS wanted FROM f),
+h AS (SELECT *, last_value(wanted IGNORE NULLS) OVER (PARTITION BY drone ORDER BY t, frame_id ROWS UNBOUNDED PRECEDING) AS tile FROM k)
+SELECT drone, frame_id, tile, coalesce(tile <> lag(tile) OVER (PARTITION BY drone ORDER BY t, frame_id), false) AS handed FROM h"""),
 )
 def tile_handoff(spark, sf_dir):
-    grid = tiles(domain.captures(spark, sf_dir))
-    return flight.route(sensor_rows(spark, sf_dir), grid)
+    """Coarse fixes are on a grid of 50 m."""
+    coarse = lambda k: F.round(c(k) / 50) * 50
+    frames = domain.frames(spark, sf_dir).select(c("run").alias("drone"), "frame_id", "t", "est_e", "est_n", coarse("est_e").alias("coarse_e"), coarse("est_n").alias("coarse_n"), "lost")
+    return flight.route(frames, bounds_of(domain.captures(spark, sf_dir)), 3, 3)
 
 
 @query("W15_systematic_resampling", with_tables("frames", """, w AS (SELECT run, frame_id, sum(confidence) OVER (PARTITION BY run ORDER BY frame_id) AS high, sum(confidence) OVER (PARTITION BY run) AS total, confidence FROM frames),
@@ -132,9 +177,33 @@ def systematic_resampling(spark, sf_dir):
     return rows.select("run", "frame_id", (place(c("high")) - place(c("high") - c("confidence"))).alias("copies")).where("copies > 0")
 
 
-@query("R09_capture_rounds", with_tables("frames", f", a AS ({A01}) SELECT run, pos_p95, CASE WHEN pos_p95 <= 12 THEN 'converged' WHEN n_frames >= 1200 THEN 'budget_exhausted' ELSE 'refine' END AS decision FROM a"))
+LOOP = evaluate.LoopPlan()
+_RAW = "sqrt((est_e - truth_e) ** 2 + (est_n - truth_n) ** 2) * pow(0.7::DOUBLE, round - 1)"
+
+
+@query("R09_capture_rounds", with_tables("frames", f""", n AS (SELECT unnest(range(1, {LOOP.max_rounds + 1})) AS round),
+p AS (SELECT round, {_RAW} AS err, abs(est_u - truth_u) * pow(0.7::DOUBLE, round - 1) AS alt, confidence, truth_e, truth_n FROM frames JOIN n ON frame_id % {LOOP.max_rounds} = round % {LOOP.max_rounds} WHERE initialized),
+m AS (SELECT round, quantile_cont(err, 0.95) AS p95, quantile_cont(alt, 0.95) AS alt_p95 FROM p GROUP BY round),
+b AS (SELECT round, count(*) AS k, avg(confidence) AS conf, avg((err < {LOOP.p95})::INT::DOUBLE) AS hit FROM p GROUP BY round, least(4, floor(confidence * 5)) HAVING count(*) >= 5),
+e AS (SELECT round, coalesce(sum(k * abs(conf - hit)) / sum(k), 0) AS ece FROM b GROUP BY round),
+t AS (SELECT round, count(*) AS targets FROM (SELECT round, quantile_cont(err, 0.95) AS c95 FROM p GROUP BY round, floor(truth_e / 150), floor(truth_n / 150)) WHERE c95 > {LOOP.p95} GROUP BY round),
+u AS (SELECT m.*, coalesce(ece, 0) AS ece, coalesce(targets, 0) AS targets, least({LOOP.budget}, {LOOP.first} + (m.round - 1) * {LOOP.more}) AS captures, (lag(p95) OVER w - p95) / greatest(lag(p95) OVER w, 1e-6) AS improvement FROM m LEFT JOIN e USING (round) LEFT JOIN t USING (round) WINDOW w AS (ORDER BY round)),
+g AS (SELECT *, sum(CASE WHEN coalesce(improvement < {LOOP.epsilon}, false) THEN 0 ELSE 1 END) OVER (ORDER BY round) AS grp FROM u),
+f AS (SELECT *, sum(CASE WHEN coalesce(improvement < {LOOP.epsilon}, false) THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY round) AS plateau FROM g),
+s AS (SELECT *, CASE WHEN p95 <= {LOOP.p95} AND alt_p95 <= {LOOP.alt_p95} AND ece <= {LOOP.ece} THEN 'converged' WHEN plateau >= {LOOP.plateau_rounds} THEN 'plateau' WHEN captures >= {LOOP.budget} THEN 'budget_exhausted' WHEN round >= {LOOP.max_rounds} THEN 'max_rounds' END AS stop FROM f)
+SELECT round, captures, round(p95, 4) AS p95, round(alt_p95, 4) AS alt_p95, round(ece, 4) AS ece, stop, CASE WHEN stop IS NOT NULL THEN 0 ELSE targets END AS targets, CASE WHEN stop IS NOT NULL THEN 0 ELSE least({LOOP.more}, {LOOP.budget} - captures) END AS planned
+FROM s WHERE round <= (SELECT coalesce(min(round), 99) FROM s WHERE stop IS NOT NULL)"""))
 def capture_rounds(spark, sf_dir):
-    """One round's decision per run: stop, or refine where the errors are."""
-    a = rounded(evaluate.accuracy(domain.frames(spark, sf_dir), 12.0), [])
-    decision = F.when(c("pos_p95") <= 12, "converged").when(c("n_frames") >= 1200, "budget_exhausted").otherwise("refine")
-    return a.select("run", "pos_p95", decision.alias("decision"))
+    """Rounds of evaluation and capture until a stop rule holds. A round's probes are frames of their own, whose errors
+    fall by three tenths from round to round, as if the model had learned."""
+    frames = domain.frames(spark, sf_dir).where("initialized")
+
+    def probes(k):
+        smaller = lambda a, b: (c(b) + (c(a) - c(b)) * 0.7 ** (k - 1)).alias(a)
+        own = frames.where(c("frame_id") % LOOP.max_rounds == k % LOOP.max_rounds)
+        return own.select("frame_id", "confidence", "initialized", "truth_e", "truth_n", "truth_u", *[smaller(f"est_{x}", f"truth_{x}") for x in "enu"])
+
+    history = evaluate.capture_loop(probes, LOOP, lambda cells, n, k: ingest.targeted_poses(ingest.allocate(cells, n), 150.0, 1000 + k).count())
+    rows = [(h["round"], h["captures"], h["p95"], h["alt_p95"], h["ece"], h["stop"], h["targets"], h["planned"]) for h in history]
+    out = spark.createDataFrame(rows, "round long, captures long, p95 double, alt_p95 double, ece double, stop string, targets long, planned long")
+    return out.select("round", "captures", *[r(c(k)).alias(k) for k in ("p95", "alt_p95", "ece")], "stop", "targets", "planned")

@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def oracle_sql_of(name: str) -> str:
+    """The statement of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from skylattice import plans  # noqa: F401  its modules register their queries
 

@@ -291,3 +291,17 @@ def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     single = (F.col("n") == 1) | ~F.coalesce(text.rlike(r"\S"), F.lit(False))
     again = kept.where(~single).groupBy("kept_key").agg(F.first("row").alias("row"))
     return kept.where(single).select("row").unionByName(again.select("row")).select("row.*")
+
+
+#: The same in DuckDB, on the table ``documents`` with distinct ids, by counting the n-grams that any two texts share.
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared >= CAST(0.8 AS DOUBLE) * (x.n + y.n - shared) - 1e-9),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT c.doc_id, c.class_id, coalesce(d.n, 0) AS n_links FROM class c LEFT JOIN degree d USING (doc_id)
+"""

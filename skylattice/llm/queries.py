@@ -93,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": embedding_dedup.SQL, "op10_quality_rules": line_rules.SQL}
+    return {"op2_embedding_near_dedup": embedding_dedup.SQL, "op8_ngram_jaccard_join": ngram_join.SQL, "op10_quality_rules": line_rules.SQL}

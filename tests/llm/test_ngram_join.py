@@ -1,8 +1,9 @@
 import random
 
-from skylattice.llm import ngram_join
+from skylattice.llm import ngram_join, queries
 from skylattice.llm.components import connected_components
 from skylattice.llm.ngram_join import Join
+from tests.llm.sql import compare, tables
 
 
 def brute(rows, n=5, t=0.8):
@@ -83,3 +84,8 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in root)
+
+
+def test_query_equals_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    compare(queries.op8_ngram_jaccard_join(spark, sf_dir), ngram_join.SQL, tables(sf_dir))

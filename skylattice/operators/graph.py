@@ -13,15 +13,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.session import new_path
+from skylattice.session import delete, new_path
 
 #: A key with more than this share of all rows is not dealt by its hash; there are fewer such keys than SHARE.
 SHARE = 256
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage between rounds."""
-    path = new_path(df.sparkSession, "edges")
+    path = path or new_path(df.sparkSession, "edges")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     edges with a null end are ignored; repeated edges and loops do no harm. ``rounds`` is far beyond what any graph
     that fits a cluster needs; a graph that is not done by then is an error."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    pairs = written(pairs.where("u <> v").distinct())
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
+    pairs = written(pairs.where("u <> v").distinct(), path)
     state = lambda: tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state()
     for _ in range(rounds):
@@ -51,7 +52,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
         small = with_groups(large, least, "u", before[0]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        pairs = written(small)
+        last, path = path, new_path(spark, "edges")
+        pairs = written(small, path)
+        delete(spark, last)  # no later round reads it
         now = state()
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo
 
-#: Rows of a side that may be broadcast: above it, sides are joined by buckets.
-SMALL = 20_000
+#: Rows that one block of a table holds when a stated query set is compared with all of it.
+BLOCK = 20_000
+
+
+def block_count(rows: DataFrame, least: int = 8) -> int:
+    """How many blocks a table is compared in: as many as it needs, so that tasks keep their size as it grows."""
+    return max(least, -(-rows.count() // BLOCK))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,12 +27,13 @@ def circular_mean(heading: Column, weight: Column) -> Column:
     return F.pmod(F.degrees(turn), F.lit(360.0))
 
 
-def top_k(queries: DataFrame, landmarks: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def top_k(queries: DataFrame, landmarks: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """The ``k`` most similar landmarks of each query, itself excluded: (query, id, sim, rank).
 
     A stated query set is compared with all landmarks block by block: queries go to every block, each block keeps its
     own ``k`` best, and only these meet for the final rank.
     """
+    blocks = blocks or block_count(landmarks)
     q = queries.select(F.col("id").alias("query"), F.col("embedding").alias("qv")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     d = landmarks.select("id", "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     pairs = q.join(d, "block").where("query <> id").select("query", "block", "id", dot(F.col("qv"), F.col("embedding")).alias("sim"))

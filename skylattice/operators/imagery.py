@@ -79,7 +79,7 @@ def normalize_zones(px: DataFrame, zoned: DataFrame, size: int) -> DataFrame:
     """Brings each zone's median, spread and channel medians to those of its scene's zone with most pixels, and then its
     colours to the brightness that this gives."""
     rows = px.where("valid").withColumn("br", F.floor(F.col("row") / size)).withColumn("bc", F.floor(F.col("col") / size))
-    rows = rows.join(zoned.select("scene", "br", "bc", "zone"), ["scene", "br", "bc"])
+    rows = written(rows.join(zoned.select("scene", "br", "bc", "zone"), ["scene", "br", "bc"]))
     keys = ["scene", "zone"]
     own = rasters.spread(rows, keys, "gray").join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     for k in "rgb":

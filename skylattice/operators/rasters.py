@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.graph import written
 from skylattice.operators.quantiles import exact_quantiles
 
 
@@ -168,6 +169,7 @@ def scene_gains(px: DataFrame, reference: DataFrame, least: int = 500) -> DataFr
     ``px`` has scene, row, col, gray, r, g, b; ``reference`` has row, col and the same values.
     """
     both = px.join(reference.select("row", "col", *[F.col(k).alias(f"ref_{k}") for k in ("gray", "r", "g", "b")]), ["row", "col"])
+    both = written(both)  # ten quantiles are taken of it
     n = both.groupBy("scene").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     own, ref = spread(both, ["scene"], "gray"), spread(both, ["scene"], "ref_gray").select("scene", F.col("mid").alias("ref_mid"), F.col("mad").alias("ref_mad"))
     out = n.join(own, "scene").join(ref, "scene")

@@ -43,15 +43,22 @@ def points(spark, sf_dir):
     return domain.raw(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_suppkey * 7919 % 1180 / 10D AS x", "s_suppkey * 104729 % 110 / 10D AS y")
 
 
-for name in ("J08_bilinear", "S11_dem_sample"):
+NEAR = """, o AS (SELECT p.id, t.ground, abs(1 - a - (y - floor(y))) * abs(1 - b - (x - floor(x))) AS w FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(a, b)
+  JOIN texels t ON t.row = CAST(floor(y) AS BIGINT) + a AND t.col = CAST(floor(x) AS BIGINT) + b{only})
+"""
 
-    @query(
-        name,
-        with_tables("texels", POINTS + """, o AS (SELECT p.id, t.ground, abs(1 - a - (y - floor(y))) * abs(1 - b - (x - floor(x))) AS w FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(a, b)
-  JOIN texels t ON t.row = CAST(floor(y) AS BIGINT) + a AND t.col = CAST(floor(x) AS BIGINT) + b) SELECT id, round(sum(w * ground) / sum(w), 6) AS ground FROM o GROUP BY id"""),
-    )
-    def bilinear_ground(spark, sf_dir):
-        return rasters.bilinear(points(spark, sf_dir), domain.texels(spark, sf_dir), "ground").select("id", r(c("ground"), 6).alias("ground"))
+
+@query("J08_bilinear", with_tables("texels", POINTS + NEAR.format(only="") + "SELECT id, round(sum(w * ground) / sum(w), 6) AS ground FROM o GROUP BY id"))
+def bilinear_ground(spark, sf_dir):
+    return rasters.bilinear(points(spark, sf_dir), domain.texels(spark, sf_dir), "ground").select("id", r(c("ground"), 6).alias("ground"))
+
+
+@query("S11_dem_sample", with_tables("texels", POINTS + NEAR.format(only=" AND t.col // 40 <> 1") + "SELECT p.id, round(coalesce(sum(w * ground) / nullif(sum(w), 0), 0), 6) AS ground FROM p LEFT JOIN o USING (id) GROUP BY p.id"))
+def dem_sample(spark, sf_dir):
+    """Elevation from tiles of 40 columns, one of which is not there: a place on a missing tile is at 0 m."""
+    held, p = domain.texels(spark, sf_dir).where("col div 40 <> 1"), points(spark, sf_dir)
+    found = rasters.bilinear(p, held, "ground")
+    return p.select("id").join(found, "id", "left").select("id", r(F.coalesce("ground", F.lit(0.0)), 6).alias("ground"))
 
 
 SHAPES = """, shapes AS (SELECT p_partkey AS seq, p_partkey * 7919 % 125 AS r0, p_partkey * 104729 % 110 AS c0, p_partkey * 7919 % 125 + p_size % 7 AS r1, p_partkey * 104729 % 110 + p_size % 9 AS c1, CAST(p_size AS DOUBLE) AS h FROM part),

@@ -12,7 +12,9 @@ the word's place. Only the outcome without skips is remembered, with the candida
 skips none of them takes it, and every other one is merged anew.
 
 Defined results: null and empty texts have no pieces; repeated rows get the same pieces; the lower-one-eighth-block
-character that stands for a space in the vocabulary is encoded by its bytes, so that it is decoded as itself.
+character that stands for a space in the vocabulary is encoded by its bytes, so that it is decoded as itself; a null id
+counts as 0 in a key; candidates of one rank go from left to right; a text of any length is encoded as a whole; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.llm.arrays import ranges
 from skylattice.llm.storage import mixed, small_batches
 from skylattice.llm.worker import held
 
@@ -40,6 +43,43 @@ _NEVER = np.iinfo(np.int32).max
 _ALL = (1 << 64) - 1
 
 
+class Pairs:
+    """Look-up of many pairs of pieces at once: hash tables, each of which takes the keys that the one before had no free
+    place for."""
+
+    SHIFT, FREE = np.uint64(46), np.uint64(1 << 63)
+
+    def __init__(self, merges: dict[int, int]):
+        keys = np.array(list(merges), dtype=np.uint64)
+        values = np.array(list(merges.values()), dtype=np.int32)
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        while len(keys) or not self.tables:
+            factor = np.uint64(_mixed_one(len(self.tables) + 1) | 1)
+            place = (keys * factor) >> self.SHIFT
+            held, found = np.full(1 << (64 - int(self.SHIFT)), self.FREE), np.full(1 << (64 - int(self.SHIFT)), -1, dtype=np.int32)
+            _, first = np.unique(place, return_index=True)
+            held[place[first]], found[place[first]] = keys[first], values[first]
+            self.tables.append((factor, held, found))
+            keys, values = np.delete(keys, first), np.delete(values, first)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The merged piece of each key, or -1."""
+        out, at = np.full(len(keys), -1, dtype=np.int32), None
+        for factor, held, found in self.tables:
+            place = (keys * factor) >> self.SHIFT
+            there = held[place]
+            hit = there == keys
+            if at is None:
+                out, at = np.where(hit, found[place], np.int32(-1)), np.flatnonzero(~hit & (there != self.FREE))
+            else:
+                out[at[hit]] = found[place[hit]]
+                at = at[~hit & (there != self.FREE)]
+            if not len(at):
+                break
+            keys = keys[~hit & (there != self.FREE)]
+        return out
+
+
 class Vocabulary:
     """Pieces, their ranks, and the merges of a model file."""
 
@@ -71,17 +111,16 @@ class Vocabulary:
                 if a is not None and b is not None:
                     merges[a * n + b] = i
         self.merges = merges
-        self.keys = np.array(sorted(merges), dtype=np.int64)
-        self.merged = np.array([merges[k] for k in self.keys.tolist()], dtype=np.int32)
+        self.pairs = Pairs(merges)
         self.bytes = [
             bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)
         ]
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Id of the merged piece, or -1. Negative ids (characters outside of the vocabulary) never merge."""
-        key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.merged[at], -1)
+        found = self.pairs.find((a.astype(np.int64) * self.size + b).astype(np.uint64))
+        found[(a < 0) | (b < 0)] = -1
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -192,16 +231,10 @@ def together(
     return ids, alive
 
 
-def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
-    ends = np.cumsum(n)
-    return np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
-
-
 def _gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ranges of ``flat`` side by side, and their new starts; those that begin below zero stay as they are."""
     n = np.where(start >= 0, n, 0)
-    return flat[_ranges(start, n)], np.where(start >= 0, np.cumsum(n) - n, start)
+    return flat[ranges(start, n)], np.where(start >= 0, np.cumsum(n) - n, start)
 
 
 class Encoder:
@@ -261,12 +294,12 @@ class Encoder:
         if self.rate > 0:
             n = self.offered[number]
             which = np.repeat(np.arange(len(number)), n)
-            skipped = _falls(key[which], self.places[_ranges(self.first[number], n)], self.rate)
+            skipped = _falls(key[which], self.places[ranges(self.first[number], n)], self.rate)
             anew = length == 0  # long words
             anew[which[skipped]] = True
             rows = np.flatnonzero(anew)
             self._merge(number[rows], key[rows], self.rate, rows, start, length)
-        flat = self.flat[_ranges(start, length)]
+        flat = self.flat[ranges(start, length)]
         self.used = mark
         return flat, length
 

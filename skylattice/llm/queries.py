@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import compaction, embedding_dedup, filter_audit, html_extract, language_id, line_rules, merge_dropout, ngram_join, packing, storage, token_files, toxicity
+from skylattice.llm import compaction, embedding_dedup, filter_audit, html_extract, language_id, line_rules, merge_dropout, ngram_join, packing, storage, target_resampling, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op4_merge_dropout, op5_language_id, op6_token_files, op7_shard_compaction, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules, op12_filter_audit]
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op4_merge_dropout, op5_language_id, op6_token_files, op7_shard_compaction, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules, op12_filter_audit, op13_target_resampling]
 
 
 def queries() -> dict:
@@ -97,4 +101,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": embedding_dedup.SQL, "op8_ngram_jaccard_join": ngram_join.SQL, "op10_quality_rules": line_rules.SQL, "op12_filter_audit": filter_audit.SQL}
+    return {"op2_embedding_near_dedup": embedding_dedup.SQL, "op8_ngram_jaccard_join": ngram_join.SQL, "op10_quality_rules": line_rules.SQL, "op12_filter_audit": filter_audit.SQL, "op13_target_resampling": target_resampling.SQL}

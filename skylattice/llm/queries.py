@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import compaction, embedding_dedup, filter_audit, html_extract, language_id, line_rules, merge_dropout, ngram_join, packing, storage, target_resampling, token_files, toxicity
+from skylattice.llm import compaction, embedding_dedup, filter_audit, html_extract, language_id, line_rules, merge_dropout, ngram_join, packing, secret_scan, storage, target_resampling, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = ["n_assign", "n_access", "n_hex", "base_sha256"]
+    return found.select("doc_id", *counts, secret_scan.listed("reported").alias("spans"), "n_weak", F.size("credentials").cast("long").alias("n_credentials"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -93,7 +99,7 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op4_merge_dropout, op5_language_id, op6_token_files, op7_shard_compaction, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules, op12_filter_audit, op13_target_resampling]
+_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op4_merge_dropout, op5_language_id, op6_token_files, op7_shard_compaction, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules, op11_secret_scan, op12_filter_audit, op13_target_resampling]
 
 
 def queries() -> dict:

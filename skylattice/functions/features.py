@@ -13,6 +13,7 @@ CLASS_OF_TAG = {
 }
 CLASS_OF_SUBTYPE = {"residential": "residential", "industrial": "industrial", "commercial": "commercial", "religious": "landmark", "civic": "commercial", "outbuilding": "generic"}
 CLASS_HEIGHTS = {"generic": 6.0, "residential": 7.0, "industrial": 9.0, "commercial": 12.0, "landmark": 25.0}
+CLASS_IDS = {"generic": 10, "residential": 11, "industrial": 12, "commercial": 13, "landmark": 14}
 ROAD_WIDTHS = {"motorway": 16.0, "trunk": 14.0, "primary": 10.0, "secondary": 8.0, "tertiary": 7.0, "residential": 6.0, "unclassified": 5.0, "service": 4.0}
 SEGMENT_WIDTHS = {"motorway": 16.0, "trunk": 14.0, "primary": 10.0, "secondary": 8.0, "tertiary": 7.0, "residential": 6.0, "unknown": 5.0}
 ARCHETYPE_OF_TAG = [

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skylattice.functions import geo, raster
-from skylattice.operators import rasters
+from skylattice.functions import features, geo, raster
+from skylattice.operators import polygons, rasters, vectors
 from skylattice.plans.base import r
+from skylattice.plans.ingestion import table_path
+from skylattice.plans.scalars import LAT0, LON0
 from skylattice.registry import query
 from skylattice.sources import domain
 from skylattice.sources.domain import with_tables
@@ -77,13 +81,67 @@ def burnt(spark, sf_dir):
     return rasters.burn(domain.texels(spark, sf_dir).select("row", "col"), s, inside, "seq", ["h", "seq"])
 
 
-for name in ("J05_polygon_burn", "J30_part_stamp"):
+def footprint_elements(spark, sf_dir, tag):
+    """Map elements with footprints of four kinds on the texel grid: with a court, concave, slanted, and concave with a
+    slanted court; those with a court are relations, the others ways. ``tag`` is their kind."""
+    place = lambda p: F.struct((p["y"] * RES / geo.METRES_PER_DEGREE + LAT0).alias("lat"), (p["x"] * RES / (geo.METRES_PER_DEGREE * math.cos(math.radians(LAT0))) + LON0).alias("lon"))
+    ring = lambda points: F.transform(F.array(*[F.struct((c("x0") + c("w") * x).alias("x"), (c("y0") + c("v") * y).alias("y")) for x, y in points]), place)
+    of_kind = lambda rings: F.element_at(F.array(*[ring(p) for p in rings]), c("kind") + 1)
+    s = domain.raw(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "CAST(p_partkey % 4 AS INT) AS kind", "p_partkey * 104729 % 105 + 0.137D AS x0", "p_partkey * 7919 % 120 + 0.291D AS y0", "4.0D + p_size % 9 AS w", "4.0D + p_size % 7 AS v",
+        "map_from_arrays(array('" + tag + "', 'height'), array('house', CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS STRING) ELSE 'x' END)) AS tags",
+    )
+    outer, hole = of_kind(OUTER), of_kind([h or [(0, 0)] for h in HOLE])
+    member = lambda role, r: F.struct(F.lit("way").alias("type"), F.lit(role).alias("role"), r.alias("geometry"))
+    way = (c("kind") % 3 != 0) | F.lit(tag != "building")
+    el = F.struct(F.when(way, "way").otherwise("relation").alias("type"), "id", "tags", F.when(way, outer).alias("geometry"), F.when(~way, F.array(member("outer", outer), member("inner", hole))).alias("members"))
+    path = table_path(spark, "footprints")
+    s.select(F.array(el).alias("elements")).write.json(path)
+    return vectors.read_elements(spark, path)
+
+
+#: Corners of each kind's outer ring and court, in shares of its width and height.
+OUTER = [
+    [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], [(0, 0), (1, 0), (1, 0.4), (0.45, 0.4), (0.45, 1), (0, 1), (0, 0)], [(0.5, 0), (1, 0.45), (0.55, 1), (0, 0.6), (0.5, 0)],
+    [(0, 0), (1, 0), (1, 1), (0.8, 1), (0.7, 0.55), (0.3, 0.6), (0.2, 1), (0, 1), (0, 0)],
+]
+HOLE = [[(0.3, 0.3), (0.7, 0.3), (0.7, 0.7), (0.3, 0.7), (0.3, 0.3)], None, None, [(0.3, 0.1), (0.8, 0.15), (0.5, 0.45), (0.3, 0.1)]]
+RES = 2.5
+_EDGES = ", ".join(f"({k}, {hole}, {ax}, {ay}, {bx}, {by})" for k in range(4) for hole, ring in ((0, OUTER[k]), (1, HOLE[k] or [])) for (ax, ay), (bx, by) in zip(ring, ring[1:]))
+POLYGONS = f""", shape AS (SELECT p_partkey AS seq, p_partkey % 4 AS kind, p_partkey * 104729 % 105 + 0.137::DOUBLE AS x0, p_partkey * 7919 % 120 + 0.291::DOUBLE AS y0, 4.0::DOUBLE + p_size % 9 AS w, 4.0::DOUBLE + p_size % 7 AS v, CASE WHEN p_size % 3 <> 0 THEN p_size::DOUBLE END AS tagged FROM part),
+edge AS (SELECT * FROM (VALUES {_EDGES}) e(kind, hole, px, py, qx, qy)),
+inside AS (
+  SELECT t.row, t.col, s.seq, s.tagged FROM texels t JOIN shape s ON t.row + 0.5 BETWEEN y0 AND y0 + v AND t.col + 0.5 BETWEEN x0 AND x0 + w
+  JOIN edge e ON e.kind = s.kind AND (t.row + 0.5::DOUBLE >= y0 + v * py::DOUBLE) <> (t.row + 0.5::DOUBLE >= y0 + v * qy::DOUBLE)
+    AND x0 + w * px::DOUBLE + (t.row + 0.5::DOUBLE - y0 - v * py::DOUBLE) * (w * (qx::DOUBLE - px::DOUBLE)) / (v * (qy::DOUBLE - py::DOUBLE)) <= t.col + 0.5::DOUBLE
+  WHERE {{holes}} GROUP BY t.row, t.col, s.seq, s.tagged HAVING count(*) % 2 = 1
+),
+top AS (SELECT row, col, max(seq) AS seq, arg_max(coalesce(tagged, -1), seq) AS tagged FROM inside GROUP BY row, col)
+"""
+
 
-    @query(name, with_tables("texels", SHAPES + "SELECT t.row, t.col, b.seq, greatest(t.build_h, b.h) AS h FROM burnt b JOIN texels t USING (row, col)"))
-    def polygon_burn(spark, sf_dir):
-        """The last shape wins among themselves, and the taller of it and what was there before."""
-        t = domain.texels(spark, sf_dir).select("row", "col", "build_h")
-        return burnt(spark, sf_dir).join(t, ["row", "col"]).select("row", "col", "seq", F.greatest("build_h", "h").alias("h"))
+@query("J05_polygon_burn", with_tables("texels", POLYGONS.format(holes="true") + "SELECT t.row, t.col, b.seq, greatest(t.build_h, CASE WHEN tagged < 0 THEN 7 ELSE tagged END) AS h, 11 AS class_id FROM top b JOIN texels t USING (row, col)"))
+def polygon_burn(spark, sf_dir):
+    """Parsed footprints with courts: the last one wins among themselves and sets the class; heights are the taller of
+    it and what was there before."""
+    b = vectors.parse_buildings(footprint_elements(spark, sf_dir, "building"))
+    shapes = b.select(
+        c("osm_id").alias("seq"), polygons.to_texels(F.concat(F.array("ring"), "holes"), LON0, LAT0, RES).alias("rings"), vectors.burn_height(c("height_m"), c("cls")).alias("h"),
+        features.lookup(c("cls"), features.CLASS_IDS, 10).alias("class_id"),
+    )
+    t = domain.texels(spark, sf_dir).select("row", "col", "build_h")
+    found = polygons.burn_polygons(t, shapes, "seq", ["seq", "h", "class_id"])
+    return found.join(t, ["row", "col"]).select("row", "col", "seq", F.greatest("build_h", "h").alias("h"), "class_id")
+
+
+@query("J30_part_stamp", with_tables("texels", POLYGONS.format(holes="hole = 0") + "SELECT t.row, t.col, b.seq, CASE WHEN tagged = 0 THEN t.build_h ELSE greatest(t.build_h, CASE WHEN tagged < 0 THEN 6 ELSE tagged END) END AS h FROM top b JOIN texels t USING (row, col) WHERE tagged <> 0"))
+def part_stamp(spark, sf_dir):
+    """Parts of buildings set their own height (6 m where none is tagged, 400 m at most) where that is more than what is there."""
+    p = vectors.parse_parts(footprint_elements(spark, sf_dir, "building:part"))
+    shapes = p.select(c("id").alias("seq"), polygons.to_texels(F.array("ring"), LON0, LAT0, RES).alias("rings"), F.least("height_m", F.lit(400.0)).alias("h"))
+    t = domain.texels(spark, sf_dir).select("row", "col", "build_h")
+    found = polygons.burn_polygons(t, shapes, "seq", ["seq", "h"]).where("h > 0")
+    return found.join(t, ["row", "col"]).select("row", "col", "seq", F.greatest("build_h", "h").alias("h"))
 
 
 LINES = """, lines AS (SELECT s_suppkey AS seq, CAST(s_suppkey * 7919 % 100 AS DOUBLE) AS x0, CAST(s_suppkey * 104729 % 120 AS DOUBLE) AS y0, CAST(s_suppkey * 7919 % 100 + s_suppkey % 23 AS DOUBLE) AS x1, CAST(s_suppkey * 104729 % 120 + s_suppkey % 19 + 1 AS DOUBLE) AS y1 FROM supplier),

@@ -12,7 +12,7 @@ from skylattice.plans.ingestion import NEAREST, TILES, bounds_of, table_path
 from skylattice.registry import query
 from skylattice.sources import domain
 from skylattice.sources.domain import with_tables
-from skylattice.streaming import flight
+from skylattice.streaming import flight, fusion
 
 c = lambda name: F.col(name)
 
@@ -99,20 +99,82 @@ def estimate_sink(spark, sf_dir):
     return spark.read.schema("frame_id long, drone long, e double, n double, batch long").parquet(path).drop("batch")
 
 
-for name in ("R03_error_state_filter", "R04_lost_detection", "R05_measurement_schedule"):
+def at_time(t):
+    """Timestamp of seconds since the first flight."""
+    return F.timestamp_micros(((t + 1.7e9) * 1e6).cast("long"))
 
-    @query(name)
-    def error_state_filter(spark, sf_dir, name=name):
-        out = flight.filter_flights(sensor_rows(spark, sf_dir).drop("ts"))
-        keep = {"R03": ["e", "n", "heading", "sigma"], "R04": ["lost"], "R05": ["accepted", "rejected"]}[name[:3]]
-        return out.select("drone", "frame_id", *[r(c(k)).alias(k) if k in ("e", "n", "heading", "sigma") else c(k) for k in keep])
+
+def flight_rows(spark, sf_dir):
+    """Flights along smooth paths at five frames a second, with the measurements of every frame in their order.
+
+    Retrieval and regression are some metres off and every 17th regression far off; the sun is seen in every fifth frame, the
+    ground in two of three, and odometry has few inliers at times. Every 1,500 frames, one time in four, the drones are
+    carried 600 m away.
+    """
+    k, turn = c("frame_id"), c("frame_id") / 300.0
+    jitter = lambda a, m, scale: (k * a % m - m // 2) / scale
+    rows = domain.frames(spark, sf_dir).select("frame_id", c("run").alias("drone"), (k * 0.2).alias("t"), at_time(k * 0.2).alias("ts"), ((F.floor(k / 1500) % 4) == 3).alias("carried"))
+    e, n = 800.0 * F.sin(turn + c("drone")) + F.when(c("carried"), 600.0).otherwise(0.0), 800.0 * F.cos(turn + c("drone"))
+    rows = rows.withColumn("e", e).withColumn("n", n).withColumn("u", 60.0 + 20.0 * F.sin(turn * 2)).withColumn("yaw", F.pmod(F.degrees(turn + c("drone")) + 90.0, F.lit(360.0)))
+    none = F.lit(None)
+
+    def one(kind, value, sigma=none, cov=none, inliers=none):
+        fields = {"kind": F.lit(kind), "value": F.array(*[x.cast("double") for x in value]), "sigma": sigma.cast("double"), "cov": cov.cast("array<double>"), "n": inliers.cast("int")}
+        return F.struct(*[v.alias(name) for name, v in fields.items()])
+
+    near = [c("e") + jitter(73, 101, 10.0), c("n") + jitter(37, 89, 9.0), c("u") + jitter(53, 61, 10.0)]
+    far = F.when(k % 17 == 0, 300.0).otherwise(0.0)
+    cov = F.array(*[F.lit(float(x)) for x in (36, 9, 0, 9, 25, 0, 0, 0, 49)])
+    listed = F.array(
+        one("retrieval", near, cov=cov), one("regression", [c("e") + jitter(29, 71, 10.0) + far, c("n") + jitter(91, 67, 11.0), c("u") + jitter(17, 41, 5.0)], 4.0 + k % 5),
+        one("regression_yaw", [c("yaw") + jitter(41, 31, 2.0)], F.lit(9.0)), one("retrieval_yaw", [c("yaw") + jitter(19, 43, 1.0)], F.lit(20.0)), one("sun_yaw", [c("yaw") + jitter(23, 13, 2.0)], F.lit(4.0)),
+        one("altitude", [c("u") + jitter(11, 7, 2.0)], F.lit(3.0)), one("odometry", [jitter(7, 11, 10.0), 2.667 * 8 * 0.2 + jitter(13, 9, 10.0)], inliers=20 + k % 30),
+    )
+    seen = F.filter(listed, lambda m: ((m["kind"] != "sun_yaw") | (k % 5 == 0)) & ((m["kind"] != "altitude") | (k % 3 != 0)))
+    return rows.select("drone", "frame_id", "t", "ts", seen.alias("measurements"))
+
+
+@query("R03_error_state_filter")
+def error_state_filter(spark, sf_dir):
+    """Estimates of every frame of every flight."""
+    return fusion.fuse_flights(flight_rows(spark, sf_dir)).select("drone", "frame_id", *[r(c(k)).alias(k) for k in ("e", "n", "u", "ve", "vn", "heading", "sigma", "confidence")])
+
+
+@query("R04_lost_detection")
+def lost_detection(spark, sf_dir):
+    """Frames after which a filter is lost, and those that start it (anew) from a retrieval."""
+    out = fusion.fuse_flights(flight_rows(spark, sf_dir)).where("lost or started")
+    return out.select("drone", "frame_id", "lost", "started", r(c("e")).alias("e"), r(c("n")).alias("n"))
+
+
+@query("R05_measurement_schedule")
+def measurement_schedule(spark, sf_dir):
+    """Each measurement in the order it was looked at, and whether the gate let it pass."""
+    out = fusion.fuse_flights(flight_rows(spark, sf_dir)).select("drone", "frame_id", F.posexplode(F.split("used", ",")).alias("k", "x"))
+    return out.select("drone", "frame_id", "k", F.split("x", ":")[0].alias("kind"), (F.split("x", ":")[1] == "1").alias("used"))
+
+
+def landed(spark, rows, delay: int):
+    """An empty frame per drone, well after all others: what lets the watermark pass the last frames of a finished flight."""
+    last = rows.groupBy("drone").agg(F.max("t").alias("t"), F.max("frame_id").alias("frame_id"))
+    high = rows.agg(F.max("t").alias("high"))
+    end = last.crossJoin(F.broadcast(high)).withColumn("t", c("high") + 3 * delay)  # one row
+    return end.select("drone", (c("frame_id") + 1).alias("frame_id"), "t", at_time(c("t")).alias("ts"), F.array().cast(f"array<{fusion.MEASUREMENT}>").alias("measurements"))
 
 
 @query("R03_filter_stream")
 def filter_stream(spark, sf_dir):
-    """The same filter with its state kept between micro-batches."""
-    rows = as_stream(spark, sensor_rows(spark, sf_dir).drop("ts"))
-    return drained(spark, flight.filter_stream(rows)).select("drone", "frame_id", r(c("e")).alias("e"), r(c("n")).alias("n"))
+    """The same filter over a stream whose frames come out of order, with its state kept between micro-batches."""
+    rows = flight_rows(spark, sf_dir)
+    moved = rows.withColumn("at", c("t") + c("frame_id") * 7 % 40 / 10.0)  # up to four seconds late
+    path, schema = table_path(spark, "stream"), rows.schema
+    high = moved.agg(F.max("at")).first()[0] or 0.0
+    for k in range(3):
+        moved.where(F.least(F.lit(2), F.floor(c("at") / (high / 3 + 1e-9))) == k).drop("at").write.mode("append").parquet(path)
+    landed(spark, rows, 10).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+    out = drained(spark, fusion.fuse_stream(stream))
+    return out.select("drone", "frame_id", *[r(c(k)).alias(k) for k in ("e", "n", "u", "ve", "vn", "heading", "sigma", "confidence")])
 
 
 @query("R06_particle_filter")

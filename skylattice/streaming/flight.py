@@ -1,13 +1,11 @@
-"""Stateful operators over sensor frames: stream joins, newest frames, error-state filter, tile hand-off.
+"""Stateful operators over sensor frames: stream joins, newest frames, particle filter, tile hand-off, sinks, metrics.
 
-The filter's fold over one drone's frames is a small numpy helper; Spark partitions by drone, orders and streams the
-rows. The batch twin and the stream use the same fold.
+The error-state filter is in ``fusion``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,11 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-CHI2_99 = {1: 6.63, 2: 9.21, 3: 11.34}
 WATERMARK = "10 seconds"  # 50 frames at 5 Hz
 
-ESTIMATE = "drone long, frame_id long, t double, e double, n double, u double, heading double, sigma double, accepted int, rejected int, lost boolean"
-
 
 def join_truth(sensor: DataFrame, truth: DataFrame) -> DataFrame:
     """Sensor frames with the truth of the same number and about the same time; later truth is given up.
@@ -39,97 +34,6 @@ def newest_per_batch(batch: DataFrame, key: str = "drone") -> DataFrame:
     return batch.groupBy(key).agg(F.max_by(F.struct(*rest), "frame_id").alias("x"), (F.count("*") - 1).alias("dropped")).select(key, "x.*", "dropped")
 
 
-class ErrorStateFilter:
-    """Seven states (position, velocity, yaw in radians) with gated updates in Joseph form."""
-
-    def __init__(self, accel: float = 1.0, yaw_rate: float = 0.2, lost_after: int = 12):
-        self.x, self.P = np.zeros(7), np.eye(7)
-        self.accel, self.yaw_rate, self.lost_after = accel, yaw_rate, lost_after
-        self.started, self.rejects, self.t = False, 0, None
-
-    def start(self, position, variance: float, yaw: float, t: float) -> None:
-        self.x[:] = 0.0
-        self.x[:3], self.x[6] = position, yaw
-        self.P = np.diag([variance] * 3 + [16.0] * 3 + [math.radians(30) ** 2])
-        self.started, self.rejects, self.t = True, 0, t
-
-    def predict(self, t: float) -> None:
-        dt = t - self.t
-        self.t = t
-        if dt <= 0:
-            return
-        step = np.eye(7)
-        step[0, 3] = step[1, 4] = step[2, 5] = dt
-        self.x = step @ self.x
-        a, w = (self.accel * dt) ** 2, (self.yaw_rate * dt) ** 2
-        self.P = step @ self.P @ step.T + np.diag([a * dt * dt / 4] * 3 + [a] * 3 + [w])
-
-    def update(self, rows: list[int], residual, variances, gate: bool = True) -> bool:
-        """Whether the measurement of the states ``rows`` was accepted."""
-        H = np.zeros((len(rows), 7))
-        H[range(len(rows)), rows] = 1
-        R = np.diag(np.asarray(variances, dtype=float))
-        S = H @ self.P @ H.T + R
-        residual = np.asarray(residual, dtype=float)
-        wide = math.sqrt(max((self.P[0, 0] + self.P[1, 1]) / 2, 0)) > 40
-        if gate and not wide and residual @ np.linalg.solve(S, residual) > 2 * CHI2_99[len(rows)]:
-            return False
-        K = self.P @ H.T @ np.linalg.inv(S)
-        self.x = self.x + K @ residual
-        left = np.eye(7) - K @ H
-        self.P = left @ self.P @ left.T + K @ R @ K.T
-        return True
-
-    def frame(self, t: float, fix, fix_sigma: float, heading_deg: float, altitude: float) -> tuple[int, int]:
-        """One frame in the fixed order position, yaw, altitude; counts of accepted and rejected measurements."""
-        if not self.started or self.rejects >= self.lost_after:
-            self.start(fix, fix_sigma**2, math.radians(heading_deg), t)
-            return 1, 0
-        self.predict(t)
-        turn = (math.radians(heading_deg) - self.x[6] + math.pi) % (2 * math.pi) - math.pi
-        taken = [
-            self.update([0, 1, 2], np.asarray(fix) - self.x[:3], [fix_sigma**2, fix_sigma**2, 2 * fix_sigma**2]),
-            self.update([6], [turn], [math.radians(8) ** 2]),
-            self.update([2], [altitude - self.x[2]], [4.0]),
-        ]
-        self.rejects = 0 if taken[0] else self.rejects + 1
-        return sum(taken), len(taken) - sum(taken)
-
-
-def _fold(rows: pd.DataFrame, f: ErrorStateFilter) -> list[tuple]:
-    out = []
-    for r in rows.sort_values(["t", "frame_id"]).itertuples(index=False):
-        yes, no = f.frame(r.t, (r.est_e, r.est_n, r.est_u), r.sigma, r.est_heading, r.altitude)
-        sigma = math.sqrt(max((f.P[0, 0] + f.P[1, 1]) / 2, 0))
-        out.append((r.drone, r.frame_id, r.t, *f.x[:3], math.degrees(f.x[6]) % 360, sigma, yes, no, f.rejects >= f.lost_after))
-    return out
-
-
-COLUMNS = [c.split()[0] for c in ESTIMATE.split(", ")]
-
-
-def filter_flights(frames: DataFrame) -> DataFrame:
-    """Batch twin: a drone's frames in order of time. A flight (drone) is the unit of work."""
-    return frames.groupBy("drone").applyInPandas(lambda rows: pd.DataFrame(_fold(rows, ErrorStateFilter()), columns=COLUMNS), ESTIMATE)
-
-
-def filter_stream(frames: DataFrame) -> DataFrame:
-    """Streaming twin: each drone's filter is kept as state (7 numbers and a 7 x 7 covariance) between batches."""
-
-    def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        f = ErrorStateFilter()
-        if state.exists:
-            x, P, f.started, f.rejects, f.t = state.get
-            f.x, f.P = np.array(x), np.array(P).reshape(7, 7)
-        rows = pd.concat(list(parts))
-        out = _fold(rows, f)
-        state.update((f.x.tolist(), f.P.ravel().tolist(), f.started, f.rejects, f.t))
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    kept = "x array<double>, p array<double>, started boolean, rejects int, t double"
-    return frames.groupBy("drone").applyInPandasWithState(step, ESTIMATE, kept, "append", "NoTimeout")
-
-
 def fix_score(xy: np.ndarray, yaw: np.ndarray, fix: np.ndarray, heading: float, sigma: float) -> np.ndarray:
     """Score (0 to 1) of particles against a fix: near it and turned like it."""
     turn = (yaw - heading + 180) % 360 - 180

@@ -87,28 +87,6 @@ def test_element_parsing(spark, tmp_path):
     assert [(r.id, r.height_m, r.min_m) for r in vectors.parse_parts(el).collect()] == [(8, 18.0, 6.0)]
 
 
-def test_filter_settles(spark):
-    r = np.random.default_rng(1)
-    rows = [(d, k, k * 0.2, 100.0 + 3 * k * 0.2 * d + r.normal() * 6, -50.0 + r.normal() * 6, 80.0, 30.0 + r.normal() * 5, 6.0, 80.0 + r.normal()) for d in (0, 1) for k in range(250)]
-    rows += [(2, k, k * 0.2, 0.0 if k < 60 else 5000.0, 0.0, 50.0, 0.0, 5.0, 50.0) for k in range(120)]
-    df = spark.createDataFrame(rows, "drone long, frame_id long, t double, est_e double, est_n double, est_u double, est_heading double, sigma double, altitude double")
-    out = flight.filter_flights(df).toPandas()
-    for d in (0, 1):
-        last = out[out.drone == d].sort_values("frame_id").tail(40)
-        truth = 100 + 3 * last.t * d
-        assert np.abs(last.e - truth).mean() < 5 and np.abs(last.n + 50).mean() < 5 and abs(last.heading.mean() - 30) < 6
-    jump = out[out.drone == 2].sort_values("frame_id")
-    assert jump.lost.any() and abs(jump.e.iloc[-1] - 5000) < 20
-
-
-def test_stream_equals_batch(spark):
-    from skylattice.plans import streams
-
-    batch = streams.error_state_filter(spark, "/root/testdata/sf0.001", name="R03_error_state_filter").select("drone", "frame_id", "e", "n")
-    stream = streams.filter_stream(spark, "/root/testdata/sf0.001")
-    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
-
-
 def test_particles_follow(spark):
     r = np.random.default_rng(2)
     rows = [(0, k, float(k), 2.0 * k + r.normal() * 5, r.normal() * 5, 0.0, 0.0, 5.0, 0.0) for k in range(80)]

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, raster
-from skylattice.operators import imagery, rasters
+from skylattice.operators import imagery, rasters, shadows
 from skylattice.operators.graph import grid_components, written
 from skylattice.operators.quantiles import exact_quantiles
 from skylattice.plans.base import r
-from skylattice.plans.rasters import SHAPES, SLOPES, burnt, slopes
+from skylattice.plans.rasters import HOLE, OUTER, SHAPES, SLOPES, burnt, slopes
 from skylattice.plans.scalars import ROOF, WALL
 from skylattice.registry import query
 from skylattice.sources import domain
@@ -125,11 +125,58 @@ def rays(spark, sf_dir):
     return at.join(t, ["row", "col"])
 
 
-for name in ("J28_shadow_rays", "W13_shadow_runs"):
+@query("W13_shadow_runs", with_tables("texels", RAYS + "SELECT id, CAST(ray AS INTEGER) AS ray, CAST(reach AS INTEGER) AS reach FROM run"))
+def shadow_runs(spark, sf_dir):
+    return imagery.shadow_runs(rays(spark, sf_dir), c("dark"))
+
+
+SUN = shadows.Sun(217.3, 40.0)
+_DE, _DN = (f"({x!r}::DOUBLE)" for x in SUN.away())
+_OUTLINE = ", ".join(f"({k}, {hole}, {i}, {ax}, {ay}, {bx}, {by})" for k in range(4) for hole, ring in ((0, OUTER[k]), (1, HOLE[k] or [])) for i, ((ax, ay), (bx, by)) in enumerate(zip(ring, ring[1:])))
+CAST_RAYS = f""", b AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, p_partkey % 20 * 15 + 0.137::DOUBLE AS x0, p_partkey // 20 * 12.5::DOUBLE + 0.291::DOUBLE AS y0, 5.5::DOUBLE + p_size % 3 * 1.75::DOUBLE AS w, 5.0::DOUBLE + p_size % 4 * 1.5::DOUBLE AS v, p_size % 3 = 0 AS untagged FROM part),
+unit AS (SELECT kind, hole, i, px::DOUBLE AS px, py::DOUBLE AS py, qx::DOUBLE AS qx, qy::DOUBLE AS qy FROM (VALUES {_OUTLINE}) u(kind, hole, i, px, py, qx, qy)),
+edge AS (SELECT id, untagged, hole, i, b.x0, b.y0, b.x0 + w AS x1, b.y0 + v AS y1, b.x0 + w * px AS ax, b.y0 + v * py AS ay, b.x0 + w * qx AS bx, b.y0 + v * qy AS fy FROM b JOIN unit USING (kind)),
+outer_edge AS (SELECT *, sqrt((bx - ax) ** 2 + (fy - ay) ** 2) AS len, ax * fy - bx * ay AS cross2 FROM edge WHERE hole = 0),
+mid AS (SELECT id, sum(len) AS whole, sum(cross2) AS area2, sum((ax + bx) * cross2) / (3 * sum(cross2)) AS cx, sum((ay + fy) * cross2) / (3 * sum(cross2)) AS cy FROM outer_edge GROUP BY id),
+run AS (SELECT e.*, m.* EXCLUDE (id), coalesce(sum(len) OVER (PARTITION BY e.id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM outer_edge e JOIN mid m ON m.id = e.id WHERE untagged),
+pts AS (
+  SELECT id, n, k.i AS i, cx, cy, ax + (bx - ax) * ((k.i * whole / n - done) / len) + (fy - ay) / len * sign(area2) * far AS x, ay + (fy - ay) * ((k.i * whole / n - done) / len) - (bx - ax) / len * sign(area2) * far AS y
+  FROM run, (VALUES (36, 1.5::DOUBLE), (24, 15::DOUBLE)) m(n, far), (SELECT unnest(range(36)) AS i) k
+  WHERE k.i < n AND k.i >= ceil(round(done * n / whole, 9)) AND k.i <= ceil(round((done + len) * n / whole, 9)) - 1
+),
+walk AS (
+  SELECT id, n, i, 0 AS k, x, y FROM pts WHERE n = 24 AND (x - cx) * {_DE} + (y - cy) * {_DN} < 0
+  UNION ALL SELECT id, n, i, step AS k, x + {_DE} * 2.5::DOUBLE * step AS x, y + {_DN} * 2.5::DOUBLE * step AS y FROM pts, (SELECT unnest(range(1, 61)) AS step) WHERE n = 36 AND (x - cx) * {_DE} + (y - cy) * {_DN} > 0
+),
+boxes AS (SELECT DISTINCT id, x0, y0, x1, y1 FROM edge),
+met AS (SELECT w.id, w.n, w.i, w.k, o.id AS other, w.x, w.y FROM walk w JOIN boxes o ON w.x BETWEEN o.x0 AND o.x1 AND w.y BETWEEN o.y0 AND o.y1 AND o.id <> w.id),
+odd AS (SELECT m.id, m.n, m.i, m.k FROM met m JOIN edge e ON e.id = m.other AND (e.ay <= m.y) <> (e.fy <= m.y) AND e.ax + (m.y - e.ay) * (e.bx - e.ax) / (e.fy - e.ay) <= m.x GROUP BY m.id, m.n, m.i, m.k, m.other HAVING count(*) % 2 = 1),
+cuts AS (SELECT id, n, i, min(k) AS cut FROM odd GROUP BY id, n, i),
+grid AS (SELECT row, col, CASE WHEN (row * 2 + col) // 8 % 2 = 0 THEN 0.25::DOUBLE ELSE 0.8::DOUBLE END AS gray FROM (SELECT DISTINCT row FROM texels), (SELECT unnest(range(120)) AS col)),
+lit AS (SELECT w.*, g.gray, c.cut FROM walk w LEFT JOIN grid g ON g.row = CAST(floor(w.y / 2.5::DOUBLE) AS BIGINT) AND g.col = CAST(floor(w.x / 2.5::DOUBLE) AS BIGINT) LEFT JOIN cuts c ON c.id = w.id AND c.n = w.n AND c.i = w.i),
+ground AS (SELECT id, median(gray) AS ground FROM lit WHERE n = 24 AND cut IS NULL GROUP BY id HAVING count(*) >= 4 AND median(gray) >= 0.15::DOUBLE),
+seen AS (SELECT l.id, l.i, l.k, l.gray, l.cut, gray < ground * 0.72::DOUBLE AS dark FROM lit l JOIN ground USING (id) WHERE n = 36 AND k <= coalesce(cut, 60)),
+prev AS (SELECT *, lag(dark) OVER (PARTITION BY id, i ORDER BY k) AS was FROM seen),
+ended AS (SELECT *, coalesce(min(k) FILTER (NOT dark AND NOT was) OVER (PARTITION BY id, i), 60) AS stop FROM prev),
+ray AS (SELECT id, i, max(k) FILTER (dark AND (k < stop OR stop = 60)) AS reach, min(k) FILTER (gray IS NULL) AS gone, max(cut) AS cut, max(stop) AS stop FROM ended GROUP BY id, i)
+"""
+
 
-    @query(name, with_tables("texels", RAYS + "SELECT id, CAST(ray AS INTEGER) AS ray, CAST(reach AS INTEGER) AS reach FROM run"))
-    def shadow_rays(spark, sf_dir):
-        return imagery.shadow_runs(rays(spark, sf_dir), c("dark"))
+@query("J28_shadow_rays", with_tables("texels", CAST_RAYS + """, said AS (SELECT id, i, reach, CASE WHEN coalesce(gone <= stop, false) AND coalesce(gone <= cut, true) THEN 'outside' WHEN coalesce(cut <= stop, false) THEN 'hidden' WHEN reach IS NULL THEN 'lit' ELSE 'shadow' END AS state FROM ray)
+SELECT id, i::INTEGER AS ray, CASE WHEN state = 'shadow' THEN reach END AS reach, state FROM said"""))
+def shadow_rays(spark, sf_dir):
+    """Rays from buildings without a height over striped ground; others cut them."""
+    b = domain.raw(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "CAST(p_partkey % 4 AS INT) AS kind", "p_partkey % 20 * 15 + 0.137D AS x0", "p_partkey div 20 * 12.5D + 0.291D AS y0", "5.5D + p_size % 3 * 1.75D AS w", "5.0D + p_size % 4 * 1.5D AS v",
+        "CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS height_m",
+    )
+    ring = lambda points: F.array(*[F.struct((c("x0") + c("w") * x).alias("x"), (c("y0") + c("v") * y).alias("y")) for x, y in points])
+    rings = F.element_at(F.array(*[F.array(ring(o), *([ring(h)] if h else [])) for o, h in zip(OUTER, HOLE)]), c("kind") + 1)
+    outlined = shadows.outlines(b.select("id", "height_m", rings.alias("rings")), "id", "rings")
+    rows = domain.texels(spark, sf_dir).select("row").distinct().withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))))
+    ortho = rows.withColumn("gray", F.when(F.expr("(row * 2 + col) div 8 % 2 = 0"), 0.25).otherwise(0.8))
+    found = shadows.shadow_rays(outlined, ortho, "id", SUN, 2.5)
+    return found.select("id", c("i").alias("ray"), c("reach").cast("long").alias("reach"), "state")
 
 
 @query("A63_shadow_height", with_tables("texels", RAYS + f"SELECT id, count(*) AS rays, round(median(reach) * CAST({2.5 * math.tan(math.radians(40))!r} AS DOUBLE), 4) AS height_m FROM run WHERE reach >= 2 GROUP BY id HAVING count(*) >= 3"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
-from skylattice.operators.quantiles import exact_quantiles
+from skylattice.operators.quantiles import exact_quantiles, with_quantiles
 
 # Fixed values.
 RAYLEIGH = {0.5: 1.1774, 0.68: 1.5096, 0.9: 2.1460, 0.95: 2.4477}
@@ -76,8 +76,9 @@ def reach(episodes: DataFrame, success: Column, key: str) -> DataFrame:
 
 def sigma_scale(errors: DataFrame, least: int = 20) -> DataFrame:
     """Factor that makes 90 % of the errors fall within the claimed spread's 90 % radius; 1 below ``least`` rows."""
-    scale = F.percentile(F.col("err") / F.greatest("sigma", F.lit(1e-3)), 0.9) / RAYLEIGH[0.9]
-    return errors.agg(F.when(F.count("*") >= least, F.greatest(F.lit(0.2), F.least(F.lit(50.0), scale))).otherwise(1.0).alias("scale"))
+    ratio = errors.select((F.col("err") / F.greatest("sigma", F.lit(1e-3))).alias("ratio"))
+    found = with_quantiles(errors.agg(F.count("*").alias("n")), ratio, [], {"ratio": {"q": 0.9}})
+    return found.select(F.when(F.col("n") >= least, F.greatest(F.lit(0.2), F.least(F.lit(50.0), F.col("q") / RAYLEIGH[0.9]))).otherwise(1.0).alias("scale"))
 
 
 def quantile_ece(errors: DataFrame, scale: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo
 from skylattice.operators import evaluate, telemetry
+from skylattice.operators.quantiles import with_quantiles
 from skylattice.plans.base import r
 from skylattice.registry import query
 from skylattice.sources import domain
@@ -91,8 +92,9 @@ ERRORS = ", errors AS (SELECT id, e, n, sqrt((pe - e) ** 2 + (pn - n) ** 2) AS e
   round(quantile_cont(alt, 0.95), 4) AS alt_p95, round(quantile_cont(turn, 0.5), 4) AS heading_p50 FROM errors"""),
 )
 def regression_errors(spark, sf_dir):
-    p = F.percentile
-    return rounded(errors(spark, sf_dir).agg(F.count("*").alias("n_eval"), p("err", 0.5).alias("p50"), p("err", 0.95).alias("p95"), F.sqrt(F.avg(c("err") * c("err"))).alias("rmse"), p("alt", 0.95).alias("alt_p95"), p("turn", 0.5).alias("heading_p50")), [])
+    e = errors(spark, sf_dir)
+    sums = e.agg(F.count("*").alias("n_eval"), F.sqrt(F.avg(c("err") * c("err"))).alias("rmse"))
+    return rounded(with_quantiles(sums, e, [], {"err": {"p50": 0.5, "p95": 0.95}, "alt": {"alt_p95": 0.95}, "turn": {"heading_p50": 0.5}}), ["n_eval"])
 
 
 @query("A06_sigma_scale", with_tables("preds", ERRORS + "SELECT round(greatest(0.2, least(50, quantile_cont(err / sigma, 0.9) / CAST(2.1460 AS DOUBLE))), 4) AS scale FROM errors"))

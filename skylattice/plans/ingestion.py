@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo
 from skylattice.operators import evaluate, ingest
+from skylattice.operators.quantiles import with_quantiles
 from skylattice.plans.base import r
 from skylattice.plans.evaluation import CELLS, errors
 from skylattice.plans.scalars import STEP
@@ -209,7 +210,9 @@ def boundary_dedup(spark, sf_dir):
 
 @query("A10_height_stats", with_tables("buildings", "SELECT cls, count(*) AS n, round(avg(CASE WHEN height_m IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS tagged, round(median(height_m), 4) AS median FROM buildings GROUP BY cls"))
 def height_stats(spark, sf_dir):
-    return domain.buildings(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("n"), r(F.avg(c("height_m").isNotNull().cast("double"))).alias("tagged"), r(F.median("height_m")).alias("median"))
+    b = domain.buildings(spark, sf_dir)
+    sums = b.groupBy("cls").agg(F.count("*").alias("n"), r(F.avg(c("height_m").isNotNull().cast("double"))).alias("tagged"))
+    return with_quantiles(sums, b, ["cls"], {"height_m": {"median": 0.5}}).select("cls", "n", "tagged", r(c("median")).alias("median"))
 
 
 @query("A23_building_coverage", with_tables("buildings", "SELECT height_source, count(*) AS n, count(*) FILTER (height_m > 0) AS with_height FROM buildings GROUP BY height_source"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import features, geo, raster
 from skylattice.operators import polygons, rasters, vectors
+from skylattice.operators.quantiles import exact_quantiles, with_quantiles
 from skylattice.plans.base import r
 from skylattice.plans.ingestion import table_path
 from skylattice.plans.scalars import LAT0, LON0
@@ -215,7 +216,7 @@ def terrain(spark, sf_dir):
 @query("A09_terrain_prior", with_tables("captures", TERRAIN + "SELECT ce, cn, round(up, 4) AS up, round((SELECT median(up) FROM terrain), 4) AS all_up FROM terrain"))
 def terrain_prior(spark, sf_dir):
     t = terrain(spark, sf_dir)
-    return t.crossJoin(F.broadcast(t.agg(F.median("up").alias("all_up")))).select("ce", "cn", r(c("up")).alias("up"), r(c("all_up")).alias("all_up"))  # one row
+    return t.crossJoin(F.broadcast(exact_quantiles(t, [], "up", {"all_up": 0.5}))).select("ce", "cn", r(c("up")).alias("up"), r(c("all_up")).alias("all_up"))  # one row
 
 
 @query(
@@ -233,7 +234,7 @@ def terrain_lookup(spark, sf_dir):
     near = q.withColumn("s", F.explode(steps)).select("id", (c("qe") + c("s.a")).alias("ce"), (c("qn") + c("s.b")).alias("cn"), F.greatest(F.abs("s.a"), F.abs("s.b")).alias("ring"))
     up = lambda k: F.median(F.when(c("ring") <= k, c("up")))
     found = near.join(t, ["ce", "cn"]).groupBy("id").agg(F.coalesce(up(0), up(1), up(2)).alias("up"))
-    whole = t.agg(F.median("up").alias("all_up"))  # one row
+    whole = exact_quantiles(t, [], "up", {"all_up": 0.5})  # one row
     return q.select("id").join(found, "id", "left").crossJoin(F.broadcast(whole)).select("id", r(F.coalesce("up", "all_up")).alias("up"))
 
 
@@ -309,14 +310,16 @@ def tree_instances(spark, sf_dir):
 def water_level(spark, sf_dir):
     """Water lies flat at the tenth percentile of its ground."""
     t = domain.texels(spark, sf_dir)
-    level = t.where("class_id = 2").agg(F.percentile("ground", 0.1).alias("level"))  # one row
-    return t.crossJoin(F.broadcast(level)).select("row", "col", r(F.when(c("class_id") == 2, c("level")).otherwise(c("ground"))).alias("ground"))
+    level = exact_quantiles(t.where("class_id = 2"), [], "ground", {"level": 0.1})  # one row, or none without water
+    return t.join(F.broadcast(level), F.lit(True), "left").select("row", "col", r(F.when(c("class_id") == 2, c("level")).otherwise(c("ground"))).alias("ground"))
 
 
 @query("A43_mosaic_stats", with_tables("texels", "SELECT min(ground) AS low, max(ground) AS high, max(ground + build_h) AS top, round(median(ground) FILTER (row < 64), 4) AS ground_offset FROM texels"))
 def mosaic_stats(spark, sf_dir):
     """The ground offset is the median of the first window of rows."""
-    return domain.texels(spark, sf_dir).agg(F.min("ground").alias("low"), F.max("ground").alias("high"), F.max(c("ground") + c("build_h")).alias("top"), r(F.median(F.when(c("row") < 64, c("ground")))).alias("ground_offset"))
+    t = domain.texels(spark, sf_dir)
+    sums = t.agg(F.min("ground").alias("low"), F.max("ground").alias("high"), F.max(c("ground") + c("build_h")).alias("top"))
+    return with_quantiles(sums, t.where("row < 64"), [], {"ground": {"ground_offset": 0.5}}).select("low", "high", "top", r(c("ground_offset")).alias("ground_offset"))
 
 
 @query("A44_rail_embankment", with_tables("texels", "SELECT count(*) AS n, round(sum(ground + CAST(0.7 AS DOUBLE)), 3) AS total FROM texels WHERE class_id = 4"))

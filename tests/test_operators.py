@@ -247,9 +247,12 @@ def test_zones_of_strips(spark):
     assert abs(even.r.mean() / even.b.mean() - 1 / 0.9) < 0.05
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("whole", [50_000, 100])
+def test_exact_quantiles(spark, whole, monkeypatch):
+    from skylattice.operators import quantiles
     from skylattice.operators.quantiles import exact_quantiles
 
+    monkeypatch.setattr(quantiles, "WHOLE", whole)  # large groups, and what crowds in one of their ranges
     rng = np.random.default_rng(3)
     table = pd.DataFrame({"k": rng.integers(0, 4, 3000), "v": np.where(rng.random(3000) < 0.4, 7.5, rng.lognormal(size=3000) * 100)})
     table.loc[table.k == 3, "v"] = 2.0
@@ -263,6 +266,29 @@ def test_exact_quantiles(spark):
     assert np.allclose(whole[0].mid, np.median(table.v)) and exact_quantiles(df.where("false"), [], "v", {"mid": 0.5}).count() == 0
 
 
+def test_quantiles_of_values_that_crowd_in_a_sliver(spark):
+    """99 % of the values lie in a millionth of the span: ranges still hold about as many distinct values each."""
+    from skylattice.operators import quantiles
+
+    rng = np.random.default_rng(5)
+    values = np.where(rng.random(60_000) < 0.99, 1000 + rng.random(60_000), rng.random(60_000) * 1e6)
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    wanted = {"a": 0.003, "b": 0.5, "c": 0.95, "d": 0.999}
+    got = quantiles.exact_quantiles(df, [], "v", wanted).first()
+    assert np.allclose([got[k] for k in wanted], np.quantile(values, list(wanted.values())))
+    kinds = len(set(values))
+    near = df.select(F.lit(0).alias("g"), F.col("v").alias("__v"), F.lit(1).cast("long").alias("__k"), F.lit(kinds).alias("__kinds"))
+    for sample in (quantiles.SAMPLE, 12_000):  # also where the sample is a small part
+        quantiles.SAMPLE, kept = sample, quantiles.SAMPLE
+        try:
+            in_part = [r["count"] for r in quantiles.parts(near, ["g"]).groupBy("__part").count().collect()]
+            got = quantiles.exact_quantiles(df, [], "v", wanted).first()
+        finally:
+            quantiles.SAMPLE = kept
+        assert len(in_part) >= 0.98 * quantiles.PARTS and max(in_part) <= (2 if sample == kept else 3) * kinds / quantiles.PARTS
+        assert np.allclose([got[k] for k in wanted], np.quantile(values, list(wanted.values())))
+
+
 def test_clusters(spark):
     """Three colours of two scenes are found, the most frequent first; shades of one material are one chromatic cluster."""
     rng = np.random.default_rng(4)

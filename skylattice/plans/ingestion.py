@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
-from skylattice.operators import evaluate, ingest
+from skylattice.operators import cell_log, evaluate, ingest
 from skylattice.operators.quantiles import with_quantiles
 from skylattice.plans.base import r
 from skylattice.plans.evaluation import CELLS, errors
@@ -299,15 +299,22 @@ def table_path(spark, name: str) -> str:
     return new_path(spark, name)
 
 
-@query("K04_cache_put", with_tables("cells_state", "SELECT kind, cell, CAST(max(id) AS BIGINT) AS id FROM cells_state WHERE status = 'cached' GROUP BY kind, cell"))
+@query("K04_cache_put", with_tables("cells_state", """, ev AS (SELECT kind, cell, id, status, CASE WHEN status IN ('cached', 'fetched') THEN 'put' WHEN status = 'deferred' THEN 'clear' ELSE 'skip' END AS op FROM cells_state),
+m AS (SELECT kind, cell, arg_max(id, id) FILTER (op = 'put') AS id, arg_max(op, id) FILTER (op <> 'put') = 'skip' AS skipped, arg_max(status, id) FILTER (op <> 'put') AS said FROM ev GROUP BY kind, cell)
+SELECT kind, cell, id, coalesce(skipped, false) AS skipped, CASE WHEN skipped THEN said END AS reason FROM m WHERE id IS NOT NULL OR skipped"""))
 def cache_put(spark, sf_dir):
-    """Cells are written by kind; the kinds put again replace theirs and leave the others."""
-    s = domain.cells_state(spark, sf_dir).where("status = 'cached'")
-    first, last = (s.groupBy("kind", "cell").agg(x("id").alias("id")) for x in (F.min, F.max))
-    path = table_path(spark, "cells")
-    first.write.partitionBy("kind").parquet(path)
-    last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
-    return spark.read.parquet(path).select("kind", "cell", "id")
+    """Cells are put, marked to be skipped and cleared in three waves, with a compaction before the last."""
+    s = domain.cells_state(spark, sf_dir)
+    op = F.when(c("status").isin("cached", "fetched"), cell_log.PUT).when(c("status") == "deferred", cell_log.CLEAR).otherwise(cell_log.SKIP)
+    events = s.select("kind", "cell", op.alias("op"), F.when(op == cell_log.PUT, c("id").cast("string")).otherwise(c("status")).alias("body"), c("id").alias("seq"))
+    low, high = s.agg(F.min("id"), F.max("id")).first()
+    bounds = [low + (high + 1 - low) * k // 3 for k in range(4)] if low is not None else [0] * 4
+    log = cell_log.CellLog(spark, table_path(spark, "cells"))
+    for k in range(3):
+        if k == 2:
+            log.compact()
+        log.append(events.where((c("seq") >= bounds[k]) & (c("seq") < bounds[k + 1])))
+    return log.state().select("kind", "cell", c("body").cast("long").alias("id"), "skipped", "reason")
 
 
 @query("P01_box_filter", with_tables("buildings", "SELECT id FROM buildings WHERE lon + CAST(0.0003 AS DOUBLE) >= 11.325::DOUBLE AND lon <= 11.333::DOUBLE AND lat + CAST(0.0003 AS DOUBLE) >= 43.314::DOUBLE AND lat <= 43.322::DOUBLE"))

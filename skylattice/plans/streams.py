@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skylattice.operators import evaluate, ingest
+from skylattice.operators import capture_loop, evaluate, ingest
 from skylattice.plans.base import r
 from skylattice.plans.evaluation import ERR
 from skylattice.plans.ingestion import NEAREST, TILES, bounds_of, table_path
@@ -269,3 +269,24 @@ def capture_rounds(spark, sf_dir):
     rows = [(h["round"], h["captures"], h["p95"], h["alt_p95"], h["ece"], h["stop"], h["targets"], h["planned"]) for h in history]
     out = spark.createDataFrame(rows, "round long, captures long, p95 double, alt_p95 double, ece double, stop string, targets long, planned long")
     return out.select("round", "captures", *[r(c(k)).alias(k) for k in ("p95", "alt_p95", "ece")], "stop", "targets", "planned")
+
+
+def encoded(poses):
+    """A descriptor of eight numbers: waves of 1.9 km and 440 m along both axes."""
+    waves = [f(c(k) / w) for w in (300.0, 70.0) for k in "en" for f in (F.cos, F.sin)]
+    return poses.withColumn("v", F.array(*[x / 2 for x in waves]))
+
+
+EVIDENCE = evaluate.LoopPlan(budget=900, first=300, more=200, max_rounds=5, p95=60.0, alt_p95=30.0, ece=0.4)
+
+
+@query("R09_capture_loop")
+def capture_loop_on_evidence(spark, sf_dir):
+    """Rounds of capture from all frames' poses on: probes are located among the landmarks so far, and new poses are taken
+    where they miss."""
+    poses = domain.frames(spark, sf_dir).select(c("truth_e").alias("e"), c("truth_n").alias("n"), c("truth_u").alias("u")).distinct()
+    box = poses.agg(*[f(k).alias(f"{name}_{k}") for k in "en" for name, f in (("low", F.min), ("high", F.max))]).first()
+    area = capture_loop.Area(box["low_e"], box["high_e"], box["low_n"], box["high_n"], plan=EVIDENCE)
+    history = capture_loop.run(area, poses.orderBy(F.xxhash64("e", "n", "u"), "e", "n", "u").limit(EVIDENCE.first), encoded, table_path(spark, "loop"))
+    out = spark.createDataFrame([tuple(h[k.split()[0]] for k in capture_loop.HISTORY.split(", ")) for h in history], capture_loop.HISTORY)
+    return out.select("round", "captures", *[r(c(k)).alias(k) for k in ("p95", "alt_p95", "ece")], "stop", "targets", "planned")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators import profiles
+from skylattice.operators.graph import written
+
 #: Lower bounds of the height classes (fixed values).
 BINS = (0, 3, 6, 10, 15, 25, 40, 70)
 
@@ -13,7 +16,7 @@ def cell_saliency(texels: DataFrame, cell: int) -> DataFrame:
     """Relief, height entropy, skyline rarity, landmark flag and capture density of each whole cell of ``cell`` texels.
 
     Rarity compares height profiles, of which there are few kinds: cells of one profile are counted together, and only
-    different profiles are compared, joined on the height classes that they share.
+    different profiles are compared, by matrix products with pruning (``profiles``).
     """
     last = texels.agg(F.floor((F.max("row") + 1) / cell).alias("whole"))  # one row
     t = texels.withColumn("cr", F.floor(F.col("row") / cell)).withColumn("cc", F.floor(F.col("col") / cell)).crossJoin(F.broadcast(last)).where("cr < whole")
@@ -38,12 +41,11 @@ def cell_saliency(texels: DataFrame, cell: int) -> DataFrame:
 
     kinds = base.groupBy("profile").agg(F.count("*").alias("cells"))
     length = F.sqrt(F.aggregate("profile", F.lit(0.0), lambda a, x: a + x * x))
-    unit = kinds.select("profile", "cells", F.posexplode(F.transform("profile", lambda x: x / length)).alias("bin", "v")).where("v > 0")
-    other = unit.select(F.col("profile").alias("p2"), "bin", F.col("v").alias("v2"))
-    near = unit.join(other, "bin").where("profile <> p2").groupBy("profile", "p2").agg(F.sum(F.col("v") * F.col("v2")).alias("s"))
-    near = near.groupBy("profile").agg(F.max("s").alias("s"))
+    kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()))
+    unit = kinds.select("id", F.transform("profile", lambda x: x / length).alias("v"))
+    near = profiles.nearest_profiles(unit, len(BINS)).select("id", "s")
     twin = F.when(F.col("cells") > 1, 1.0)
-    rarity = kinds.join(near, "profile", "left").select("profile", (1 - F.coalesce(twin, F.col("s"), F.lit(-1.0))).alias("rarity"))
+    rarity = kinds.join(near, "id", "left").select("profile", (1 - F.coalesce(twin, F.col("s"))).alias("rarity"))
     out = base.join(rarity, "profile").withColumn("landmark", F.coalesce("landmark", F.lit(False)))
     one = lambda x: F.least(F.lit(1.0), x)
     distinct = one(F.col("relief") / 15) * 0.35 + one(F.col("entropy") / 1.6) * 0.30 + one(F.col("rarity") / 0.5) * 0.20 + F.when(F.col("landmark"), 0.15).otherwise(0.0)

@@ -130,23 +130,17 @@ def predict(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.
     return langs, scores, distance
 
 
-def _sampled(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, max_langs: int) -> DataFrame:
-    """(text, lang) of about ``sample`` labelled rows of each of the ``max_langs`` most frequent languages."""
+def _sampled(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
+    """(text, lang) of about ``sample`` labelled rows of each language."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    per_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not per_lang:
-        return rows.where("false")
-    share = F.create_map(*[x for r in per_lang for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    return rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("text", "lang")
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 2000, size: int = 400, max_langs: int = 1000) -> Profiles:
-    """Profiles of the languages in ``rows``. Rows without a text, id or language are not used.
-
-    ``max_langs`` languages (the most frequent ones) are the classifier's documented bound.
-    """
+def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 2000, size: int = 400) -> Profiles:
+    """Profiles of all languages in ``rows``, ``size`` numbers for each. Rows without a text, id or language are not used."""
     small_batches(rows.sparkSession)
-    chosen = _sampled(rows, id_col, text_col, lang_col, sample, max_langs)
+    chosen = _sampled(rows, id_col, text_col, lang_col, sample)
 
     def grams(batches):
         for b in batches:
@@ -170,11 +164,11 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
 
 
 def reach(
-    rows: DataFrame, profiles: Profiles, id_col: str, text_col: str, lang_col: str, sample: int = 2000, share: float = 0.999, margin: float = 1.3, max_langs: int = 1000
+    rows: DataFrame, profiles: Profiles, id_col: str, text_col: str, lang_col: str, sample: int = 2000, share: float = 0.999, margin: float = 1.3
 ) -> dict[str, float]:
     """How far a text in each language may be from its profile: ``margin`` times the distance within which ``share`` of
     the sampled labelled rows of that language lie."""
-    chosen = _sampled(rows, id_col, text_col, lang_col, sample, max_langs).select("lang", predicted(F.col("text"), profiles, rows.sparkSession).alias("found"))
+    chosen = _sampled(rows, id_col, text_col, lang_col, sample).select("lang", predicted(F.col("text"), profiles, rows.sparkSession).alias("found"))
     own = chosen.where("found.lang_pred = lang").groupBy("lang").agg(F.percentile_approx("found.distance", F.lit(share), F.lit(10_000)).alias("far"))
     return {r["lang"]: min(1.0, margin * r["far"]) for r in own.collect()}
 
@@ -182,7 +176,7 @@ def reach(
 def predicted(text: Column, profiles: Profiles, spark) -> Column:
     """Struct (lang_pred, score, distance) of a text column."""
     small_batches(spark)
-    held = spark.sparkContext.broadcast(profiles)  # max_langs * size numbers at most
+    held = spark.sparkContext.broadcast(profiles)  # ``size`` numbers for each language
 
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

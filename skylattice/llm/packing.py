@@ -7,7 +7,8 @@ cut to close a sequence at a limit. No rows move between tasks, so nothing is sh
 that runs again reads the same rows and makes the same sequences.
 
 Defined results: null text packs as an empty one (its end id alone); rows with a repeated or null id are packed each on
-their own; an empty table gives no pieces; other columns of the input are not read.
+their own; a text of any length is cut into as many sequences as it needs; of examples with equal products the first one
+in the task's order is taken; an empty table gives no pieces; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -154,6 +155,25 @@ def pack_documents(
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda batches: released(run(batches)), PIECES)
 
 
+def count_turns(turns: DataFrame, tokenizer_path: str, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", answers: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Tokens of each conversation (example_id, tokens, loss_tokens): every turn's ids and one end id; only turns of the roles
+    ``answers`` bear loss. Turns without an id belong to no conversation; null text is an empty turn, a null role bears none."""
+
+    def run(batches):
+        enc = encoder(tokenizer_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                n = np.array([len(ids) for ids in enc.documents(part.column(2), 1)], dtype=np.int64)
+                bears = np.array([role in answers for role in part.column(1).to_pylist()], dtype=bool)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(np.where(bears, n, 0))], names=["example_id", "tokens", "loss_tokens"])
+
+    small_batches(turns.sparkSession)
+    rows = turns.select(F.col(id_col).cast("string"), F.col(role_col).cast("string"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
+    counted = rows.mapInArrow(lambda batches: released(run(batches)), "example_id string, tokens long, loss_tokens long")
+    return counted.groupBy("example_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
+
+
 def pack_examples(
     examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits()
 ) -> DataFrame:

@@ -30,6 +30,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under all three limits; answers alone bear loss."""
+    counted = packing.count_turns(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_examples(counted, "example_id", "tokens", "loss_tokens", CONVERSATIONS)
+
+
+#: A sequence holds few conversations, and no more answers than that their loss weighs like other sequences'.
+CONVERSATIONS = packing.Limits(tokens=8192, segments=6, loss_tokens=5120)
+
+
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merge_dropout.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "lossless")
@@ -99,7 +109,7 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op4_merge_dropout, op5_language_id, op6_token_files, op7_shard_compaction, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules, op11_secret_scan, op12_filter_audit, op13_target_resampling]
+_QUERIES = [op1_html_extraction, op2_embedding_near_dedup, op3_packing, op3_packing_conversations, op4_merge_dropout, op5_language_id, op6_token_files, op7_shard_compaction, op8_ngram_jaccard_join, op9_toxicity, op10_quality_rules, op11_secret_scan, op12_filter_audit, op13_target_resampling]
 
 
 def queries() -> dict:

@@ -16,6 +16,7 @@ order; a text of any length is scored as a whole; an empty table gives an empty
 """
 
 import math
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,8 +56,8 @@ _JOINED = re.compile(r"[^\W\d_][.\-_*~'`^,:;/\\#%&=\"]+[^\W\d_]|([^\W\d_])\1\1")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Lengths of a word's beginning that count as features besides the word.
 PREFIXES = (4, 5, 6)
-#: Longest span that is decoded as one lattice; a longer one is decoded piece by piece.
-PIECE = 48
+#: Positions after which what all restorations begin with is put aside.
+STEP = 64
 
 
 @lru_cache(maxsize=1)
@@ -139,10 +140,11 @@ def disguised(token: str) -> bool:
 
 
 def decode(span: str, model: np.ndarray, best: int = 3) -> list[str]:
-    """The ``best`` likeliest restorations of a lower-case span: a Viterbi search whose states are the last two characters,
-    all of which are kept."""
+    """The ``best`` likeliest restorations of a lower-case span of any length: a Viterbi search whose states are the last two
+    characters, all of which are kept. Restorations soon agree on how a long span begins, so that memory stays small."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for found in lattice(span):
+    begun: list[str] = []
+    for k, found in enumerate(lattice(span), 1):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (p, text) in states.items():
             for c, channel in found:
@@ -155,8 +157,12 @@ def decode(span: str, model: np.ndarray, best: int = 3) -> list[str]:
                 if key not in new or q > new[key][0]:
                     new[key] = (q, t)
         states = new
+        if not k % STEP:
+            same = os.path.commonprefix([t for _, t in states.values()])
+            begun.append(same)
+            states = {key: (p, t[len(same) :]) for key, (p, t) in states.items()}
     ended = [(p + (model[a, b, 0] if b else 0.0), t) for (a, b), (p, t) in states.items()]
-    return [t.strip() for _, t in sorted(ended, reverse=True)[:best]]
+    return ["".join([*begun, t]).strip() for _, t in sorted(ended, reverse=True)[:best]]
 
 
 def features(words: set[str]) -> set[str]:
@@ -197,13 +203,7 @@ class Restorer:
         return kept
 
     def _restored(self, span: str) -> set[str]:
-        got: set[str] = set()
-        for at in range(0, len(span), PIECE // 2):
-            for text in decode(span[at : at + PIECE], self.model):
-                got.update(_WORD.findall(text))
-            if at + PIECE >= len(span):
-                break
-        return got
+        return {w for text in decode(span, self.model) for w in _WORD.findall(text)}
 
 
 @dataclass(frozen=True)
@@ -231,8 +231,8 @@ def bound(base: float) -> float:
     return min(2 * base, (1 + base) / 2)
 
 
-def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, size: int, z: float = 3.0) -> list[str]:
-    """The ``size`` features that mark toxic rows most surely: the lower bound (Wilson, ``z`` standard errors) of their
+def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, z: float = 3.0) -> list[str]:
+    """The features that mark toxic rows, the surest first: the lower bound (Wilson, ``z`` standard errors) of their
     share of toxic rows is above ``bound``."""
     base, out = toxic / (toxic + clean), {}
     for word, t, c in counts:
@@ -241,7 +241,7 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, size: in
         low = (share + z * z / (2 * n) - spread) / (1 + z * z / n)
         if low > bound(base):
             out[word] = low
-    return sorted(out, key=lambda w: (-out[w], w))[:size]
+    return sorted(out, key=lambda w: (-out[w], w))
 
 
 def logistic(rows: list[list[int]], y: np.ndarray, size: int, penalty: float = 2e-5, rounds: int = 200) -> np.ndarray:
@@ -262,7 +262,7 @@ def logistic(rows: list[list[int]], y: np.ndarray, size: int, penalty: float = 2
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, size: int = 3000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000
 ) -> Scorer:
     """Character model from all ``docs``; lexicon and weights from the sampled ``labels`` (id, label)."""
     spark = docs.sparkSession
@@ -290,9 +290,9 @@ def fit(
     toxic, clean = (whole[0]["t"], whole[0]["c"]) if whole else (0, 0)
     if not toxic or not clean:
         return Scorer(model, {}, 30.0 if toxic else -30.0)
-    # the likeliest first: a bounded number of candidates reaches the driver
-    likely = counted.where(f"word <> '' and t >= 3 and t / (t + c) > {bound(toxic / (toxic + clean))}").orderBy(F.desc(F.expr("t * t / (t + c)")), "word").limit(4 * size)
-    known = lexicon([tuple(r) for r in likely.collect()], toxic, clean, size)
+    # features of three toxic rows or more of the sample, that are in few clean ones
+    likely = counted.where(f"word <> '' and t >= 3 and t / (t + c) > {bound(toxic / (toxic + clean))}")
+    known = lexicon([tuple(r) for r in likely.collect()], toxic, clean)
     number = spark.sparkContext.broadcast({w: k for k, w in enumerate(known)})
 
     def find(batches):

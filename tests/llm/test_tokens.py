@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skylattice.llm import packing, storage, token_files
+from skylattice.llm import packing, queries, storage, token_files
 from skylattice.llm.token_memo import TextEncoder
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -89,6 +89,34 @@ def test_pack_whole_examples(spark):
     assert len(bins) <= 1.25 * max(sum(m[1] or 0 for m in made[:300]) / 1000, 300 / 5, sum(m[2] or 0 for m in made[:300]) / 150) + 2
 
 
+def test_conversations_under_three_limits(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    want = {}
+    tok = Tokenizer.from_file(BYTE)
+    for r in turns.collect():
+        n = len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1
+        at = want.setdefault(str(r.conv_id), [0, 0])
+        at[0], at[1] = at[0] + n, at[1] + (n if r.role == "assistant" else 0)
+    got = queries.queries()["op3_packing_conversations"](spark, sf_dir).collect()
+    assert {r.example_id: [r.length, r.loss_tokens] for r in got} == want and len(got) == len(want)
+    bins, limits = {}, queries.CONVERSATIONS
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in b), len(b), sum(r.loss_tokens for r in b)) for b in bins.values() if len(b) > 1]
+    assert all(a <= limits.tokens and n <= limits.segments and loss <= limits.loss_tokens for a, n, loss in sums)
+    counted = packing.count_turns(turns, BYTE).coalesce(1).cache()
+    biggest = [max(v[k] for v in want.values()) for k in range(2)]
+    wide = {"tokens": 10**9, "segments": 10**9, "loss_tokens": 10**9, "window": 400}
+    for k, (name, limit) in enumerate((("tokens", 2 * biggest[0]), ("segments", 4), ("loss_tokens", 2 * biggest[1]))):  # each limit alone fills sequences
+        rows = packing.pack_examples(counted, "example_id", "tokens", "loss_tokens", packing.Limits(**(wide | {name: limit}))).collect()
+        filled = {}
+        for r in rows:
+            filled[r.sequence_id] = filled.get(r.sequence_id, 0) + (r.length, 1, r.loss_tokens)[k]
+        assert max(filled.values()) <= limit and 1 < len(filled) <= 1.3 * sum(filled.values()) / limit + 1
+    odd = spark.createDataFrame([("a", "assistant", None, 1), ("a", None, "x y", 2), (None, "user", "lost", 3), ("b", "user", "word " * 30_000, 4)], "conv_id string, role string, text string, tokens int")
+    assert sorted((r.example_id, r.loss_tokens) for r in packing.count_turns(odd, BYTE).collect()) == [("a", 1), ("b", 0)]
+
+
 @pytest.mark.parametrize("which", ["odd", "documents", "empty"])
 def test_token_files(spark, sf_dir, which):
     df = {"odd": rows(spark), "documents": spark.read.parquet(f"{sf_dir}/documents.parquet"), "empty": rows(spark).where("false")}[which]

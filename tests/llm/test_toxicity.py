@@ -46,6 +46,18 @@ def test_decode_finds_the_best_path(model):
         assert toxicity.decode(span, model, 1)[0] == max(best, key=best.get)
 
 
+def test_long_spans_are_one_lattice(model):
+    """What all paths begin with is put aside on the way: the same as without, at any length."""
+    for span in ["id1ot" * 40, "4" * 150 + "b", "st.u.p1d" * 30, "x" * 300]:
+        whole = toxicity.decode(span, model)
+        step, toxicity.STEP = toxicity.STEP, 10**9
+        try:
+            assert toxicity.decode(span, model) == whole
+        finally:
+            toxicity.STEP = step
+    assert len(toxicity.decode("w0rd1e" * 20_000, model)[0]) > 60_000
+
+
 def test_held_out(spark):
     sf_dir = "/root/testdata/sf0.1"
     found = queries.op9_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out")

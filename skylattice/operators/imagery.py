@@ -269,16 +269,36 @@ def batched(rows: DataFrame, model: Callable[[np.ndarray], np.ndarray], schema:
     return rows.select("id", vector).mapInPandas(run, schema)
 
 
-def tiles_through(px: DataFrame, hook: Callable[[np.ndarray], np.ndarray] | None, value: str, size: int) -> DataFrame:
-    """Gives each tile of ``size`` x ``size`` pixels to a hook (image -> value per pixel); NaN where there is no hook."""
+def tiles_through(px: DataFrame, hook: Callable[[np.ndarray], np.ndarray] | None, value: str, size: int, halo: int = 16, reach: int = 4) -> DataFrame:
+    """Gives each tile of ``size`` x ``size`` pixels, with ``halo`` pixels around it, to a hook (image -> value per pixel), and
+    blends where tiles overlap; NaN where there is no hook.
+
+    A tile's values count more the further they are from its edge, and not at all within ``reach`` pixels of it, where the
+    hook lacks what lies beyond. So the result of a hook that looks no further than ``reach`` does not depend on the tiles.
+    At the image's own edge every tile sees that edge; pixels that are missing are 0. ``reach`` is below ``halo``; with both 0, tiles stand for themselves.
+    """
     if hook is None:
         return px.select("scene", "row", "col", F.lit(float("nan")).alias(value))
+    if not (0 <= reach < halo <= size or halo == reach == 0):
+        raise ValueError("reach must be below halo, and halo at most the size of a tile")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        r, c = g["row"] - g["row"].min(), g["col"] - g["col"].min()
-        image = np.zeros((int(r.max()) + 1, int(c.max()) + 1))
+        one = g.iloc[0]
+        r0, c0 = (max(int(one[k] * size - halo), int(one[low])) for k, low in (("tr", "r_low"), ("tc", "c_low")))
+        r1, c1 = (min(int((one[k] + 1) * size + halo), int(one[high]) + 1) for k, high in (("tr", "r_high"), ("tc", "c_high")))
+        r, c = (g["row"] - r0).to_numpy(), (g["col"] - c0).to_numpy()
+        image = np.zeros((r1 - r0, c1 - c0))
         image[r, c] = g["gray"]
-        return pd.DataFrame({"scene": g["scene"], "row": g["row"], "col": g["col"], value: np.asarray(hook(image))[r, c].astype(float)})
+        found = np.asarray(hook(image), dtype=float)[r, c]
+        away = lambda x, t: np.minimum(x - (t * size - halo), (t + 1) * size + halo - 1 - x) + 1 - reach
+        weight = np.maximum(away(g["row"].to_numpy(), one["tr"]), 0.0) * np.maximum(away(g["col"].to_numpy(), one["tc"]), 0.0)
+        out = pd.DataFrame({"scene": g["scene"], "row": g["row"], "col": g["col"], "v": found * weight, "w": weight})
+        return out[out["w"] > 0]
+
+    tiles = lambda k: F.explode(F.array_distinct(F.transform(F.array(*[F.lit(x) for x in (-halo, 0, halo)]), lambda x: F.floor((F.col(k) + x) / size))))
+    low, high = (lambda k, name: F.min(k).alias(name)), (lambda k, name: F.max(k).alias(name))
+    bounds = px.groupBy("scene").agg(low("row", "r_low"), high("row", "r_high"), low("col", "c_low"), high("col", "c_high"))
+    tiled = px.select("scene", "row", "col", "gray").withColumn("tr", tiles("row")).withColumn("tc", tiles("col")).join(bounds, "scene")
+    parts = tiled.groupBy("scene", "tr", "tc").applyInPandas(run, "scene int, row long, col long, v double, w double")
+    return parts.groupBy("scene", "row", "col").agg((F.sum("v") / F.sum("w")).alias(value))
 
-    tiled = px.select("scene", "row", "col", "gray", F.floor(F.col("row") / size).alias("tr"), F.floor(F.col("col") / size).alias("tc"))
-    return tiled.groupBy("scene", "tr", "tc").applyInPandas(run, f"scene int, row long, col long, {value} double")

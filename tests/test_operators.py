@@ -266,6 +266,20 @@ def test_exact_quantiles(spark, whole, monkeypatch):
     assert np.allclose(whole[0].mid, np.median(table.v)) and exact_quantiles(df.where("false"), [], "v", {"mid": 0.5}).count() == 0
 
 
+def test_hook_does_not_depend_on_tiles(spark):
+    from skylattice.operators import imagery
+    from skylattice.plans.imagery import smooth_depth
+
+    r = np.random.default_rng(6)
+    gray = r.random((100, 90)) * (r.random((100, 90)) < 0.8)
+    px = spark.createDataFrame([(0, i + 5, j + 40, float(gray[i, j])) for i in range(100) for j in range(90) if gray[i, j]], "scene int, row long, col long, gray double")
+    want = smooth_depth(gray)
+    for size in (32, 64, 25):
+        got = {(x.row - 5, x.col - 40): x.depth for x in imagery.tiles_through(px, smooth_depth, "depth", size).collect()}
+        assert len(got) == (gray > 0).sum() and all(abs(v - want[at]) < 1e-12 for at, v in got.items())
+    assert imagery.tiles_through(px, None, "depth", 32).where("not isnan(depth)").count() == 0
+
+
 def test_quantiles_of_values_that_crowd_in_a_sliver(spark):
     """99 % of the values lie in a millionth of the span: ranges still hold about as many distinct values each."""
     from skylattice.operators import quantiles

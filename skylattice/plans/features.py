@@ -13,7 +13,7 @@ from skylattice.plans.base import r
 from skylattice.plans.ingestion import table_path
 from skylattice.plans.scalars import KX, LAT0, LON0, D, rings
 from skylattice.registry import query
-from skylattice.sources import domain
+from skylattice.sources import domain, themes
 from skylattice.sources.domain import with_tables
 
 c = lambda name: F.col(name)
@@ -179,15 +179,55 @@ def poi_elements(spark, sf_dir):
     return vectors.parse_pois(parsed(spark, sf_dir)).select("id", "archetype", r(c("lon"), 7).alias("lon"))
 
 
-@query("S06_open_buildings", with_tables("buildings", "SELECT id, CASE WHEN height_m > 0 THEN height_m WHEN size % 4 <> 0 THEN size % 4 * 3.0::DOUBLE END AS height_m, CASE WHEN height_m > 0 THEN 'tag_height' WHEN size % 4 <> 0 THEN 'tag_levels' ELSE 'none' END AS source, CASE cls WHEN 'generic' THEN 'commercial' ELSE cls END AS cls FROM buildings WHERE lon + CAST(0.0003 AS DOUBLE) >= 11.324::DOUBLE AND lon <= 11.332::DOUBLE AND cls <> 'landmark'"))
+BOX = (11.324, 43.314, 11.332, 43.322)
+
+
+def themed(rows, step=5e-4):
+    """Extents and polygons (one; two for every third id, of which every fourth has a court) of building rows."""
+    side = lambda at, far: F.array(*[F.struct((c("lon") + at + a * far).alias("x"), (c("lat") + b * far).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    first = F.when(c("id") % 4 == 0, F.array(side(0.0, 3e-4), side(1e-4, 1e-4))).otherwise(F.array(side(0.0, 3e-4)))
+    two = c("id") % 3 == 0
+    box = F.struct(c("lon").alias("xmin"), (c("lon") + 3e-4 + F.when(two, step).otherwise(0.0)).alias("xmax"), c("lat").alias("ymin"), (c("lat") + 3e-4).alias("ymax"))
+    return rows.withColumn("bbox", box).withColumn("geometry", F.when(two, F.array(first, F.array(side(step, 3e-4)))).otherwise(F.array(first)))
+
+
+def stored(rows, kind):
+    path = table_path(rows.sparkSession, kind)
+    themes.write_theme(rows, path)
+    return themes.scan(rows.sparkSession, path, BOX)
+
+
+_D = "CAST({} AS DOUBLE)".format
+IN_BOX = f", x AS (SELECT *, unnest(CASE WHEN id % 3 = 0 THEN [0, 1] ELSE [0] END) AS part_no FROM buildings WHERE lon + {_D(0.0003)} + CASE WHEN id % 3 = 0 THEN {_D(0.0005)} ELSE 0 END >= {_D(BOX[0])} AND lon <= {_D(BOX[2])} AND lat + {_D(0.0003)} >= {_D(BOX[1])} AND lat <= {_D(BOX[3])})\n"
+
+
+@query("S06_open_buildings", with_tables("buildings", IN_BOX + """SELECT id, part_no, 5 AS points, CASE WHEN id % 4 = 0 AND part_no = 0 THEN 1 ELSE 0 END AS holes, CASE WHEN height_m > 0 THEN height_m WHEN size % 4 <> 0 THEN size % 4 * 3.0::DOUBLE END AS height_m,
+  CASE WHEN height_m > 0 THEN 'tag_height' WHEN size % 4 <> 0 THEN 'tag_levels' ELSE 'none' END AS source, CASE cls WHEN 'generic' THEN 'commercial' WHEN 'landmark' THEN 'generic' ELSE cls END AS cls FROM x"""))
 def open_buildings(spark, sf_dir):
-    """A columnar building table with nested extents; the box filter reaches the scan's row groups."""
-    path = table_path(spark, "open-buildings")
-    b = domain.buildings(spark, sf_dir).where("cls <> 'landmark'").withColumn("bbox", F.struct(c("lon").alias("xmin"), (c("lon") + 3e-4).alias("xmax")))
-    b.withColumn("subtype", F.when(c("cls") == "generic", "civic").otherwise(c("cls"))).withColumn("floors", c("size") % 4).drop("cls").write.parquet(path)
-    rows = spark.read.parquet(path).where((c("bbox.xmax") >= 11.324) & (c("bbox.xmin") <= 11.332))
-    height, source = features.open_height(c("height_m"), c("floors"))
-    return rows.select("id", height.alias("height_m"), source.alias("source"), features.open_class(F.lit(""), c("subtype")).alias("cls"))
+    """A building theme laid out along a curve; the box filter reaches the scan's row groups. A row per polygon."""
+    b = themed(domain.buildings(spark, sf_dir)).select("id", "bbox", "geometry", c("height_m").alias("height"), (c("size") % 4).alias("num_floors"), F.lit("").alias("class"), F.when(c("cls") == "generic", "civic").otherwise(c("cls")).alias("subtype"))
+    found = themes.buildings(stored(b, "open-buildings"))
+    return found.select("id", "part_no", F.size("ring").alias("points"), F.size("holes").alias("holes"), "height_m", "source", "cls")
+
+
+THEMES = {"land": "size % 4 = 0", "land_use": "size % 4 = 1", "water": "size % 4 = 2", "segment": "size % 4 = 3"}
+
+
+@query("S07_theme_scans", with_tables("buildings", IN_BOX + """, k AS (SELECT *, CASE size % 4 WHEN 0 THEN CASE size % 5 WHEN 0 THEN 'forest_broadleaf' WHEN 1 THEN 'green' WHEN 2 THEN 'green' WHEN 4 THEN 'forest_broadleaf' END
+  WHEN 1 THEN CASE WHEN size % 3 <> 1 THEN 'green' END WHEN 2 THEN 'water' WHEN 3 THEN CASE WHEN size % 5 <> 0 THEN 'road' END END AS kind FROM x)
+SELECT CASE size % 4 WHEN 0 THEN 'land' WHEN 1 THEN 'land_use' WHEN 2 THEN 'water' ELSE 'segment' END AS theme, id, part_no, kind, CASE WHEN kind = 'road' THEN CASE size % 3 WHEN 0 THEN 16.0::DOUBLE WHEN 1 THEN 6.0::DOUBLE ELSE 5.0::DOUBLE END END AS width_m, 5 AS points FROM k WHERE kind IS NOT NULL"""))
+def theme_scans(spark, sf_dir):
+    """Land, land use, water and road segments: four themes, each scanned by the box, as one table of features."""
+    b = themed(domain.buildings(spark, sf_dir))
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (c("size") % len(values) + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    named = {"land": (pick("Forest", "grass", "shrub", "sand", "wood"), none), "land_use": (none, pick("park", "residential", "cemetery")), "water": (none, none), "segment": (pick("motorway", "residential", None), F.when(c("size") % 5 == 0, "rail").otherwise("road"))}
+    found = {}
+    for theme, rule in THEMES.items():
+        cls, subtype = named[theme]
+        shape = F.transform("geometry", lambda p: p[0]) if theme == "segment" else c("geometry")
+        found[theme] = stored(b.where(rule).select("id", "bbox", shape.alias("geometry"), cls.alias("class"), subtype.alias("subtype")), f"theme-{theme}")
+    return themes.landcover(*found.values()).select("theme", "id", "part_no", "kind", "width_m", F.size("points").alias("points"))
 
 
 @query("S08_open_places", with_tables("buildings", "SELECT id, CASE WHEN size % 3 = 0 THEN 'dome' ELSE 'spire_tower' END AS archetype FROM buildings WHERE size % 3 = 0 OR size % 4 = 1"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, raster
-from skylattice.operators import imagery, rasters, shadows
+from skylattice.operators import imagery, photos, rasters, shadows
 from skylattice.operators.graph import grid_components, written
 from skylattice.operators.quantiles import exact_quantiles
 from skylattice.plans.base import r
@@ -473,18 +473,35 @@ def horizon(spark, sf_dir):
     return h.select("view_id", "horizon", r(F.degrees(F.atan((24 - c("horizon")) / 60))).alias("pitch_down"))
 
 
-@query("A60_pixel_classes", recursive(with_tables("view_px", """, o AS (SELECT view_id, r, c, building, water, vegetation, (r * 7 + c * 13) % 5 < 3 OR r < 3 AS open FROM view_px),
-sky(view_id, r, c) AS (SELECT view_id, r, c FROM o WHERE r = 0 AND open UNION SELECT o.view_id, o.r, o.c FROM sky s JOIN o ON o.view_id = s.view_id AND o.open AND abs(o.r - s.r) + abs(o.c - s.c) = 1)
-SELECT o.view_id, o.r, o.c, CASE WHEN s.r IS NOT NULL THEN 'sky' WHEN vegetation THEN 'vegetation' WHEN water THEN 'water' WHEN building THEN 'building' ELSE 'ground' END AS class FROM o LEFT JOIN sky s ON s.view_id = o.view_id AND s.r = o.r AND s.c = o.c""")))
+def photo_px(spark, sf_dir):
+    """Photos of 48 x 64 pixels from the views: smooth sky above roofs of different height, windows that mirror it, trees,
+    and water at the foot."""
+    v = domain.view_px(spark, sf_dir).select(c("view_id").cast("long").alias("photo"), c("r").cast("long").alias("row"), c("c").cast("long").alias("col"), "water", "vegetation", F.expr("((r * 73856093) ^ (c * 19349663)) & 15").alias("h"))
+    look = F.expr("CASE WHEN row < 8 + (col div 8 * 5 + photo) % 9 THEN 1 WHEN row BETWEEN 24 AND 29 AND col % 16 BETWEEN 4 AND 11 THEN 1 WHEN row >= 38 THEN 2 WHEN col % 16 < 5 OR vegetation THEN 3 ELSE 4 END")
+    v = v.withColumn("look", look)
+    shade = lambda *of: F.element_at(F.array(*[F.lit(x) for x in of]), c("look")) + c("h") / 4000.0
+    return v.select("photo", "row", "col", shade(0.55, 0.3, 0.2, 0.5).alias("r"), shade(0.7, 0.35, 0.5, 0.4).alias("g"), shade(0.9, 0.5, 0.2, 0.35).alias("b"))
+
+
+PHOTOS = """, v AS (SELECT view_id::BIGINT AS photo, r::BIGINT AS row, c::BIGINT AS col, xor(r * 73856093, c * 19349663) & 15 AS h, vegetation FROM view_px),
+w AS (SELECT *, CASE WHEN row < 8 + (col // 8 * 5 + photo) % 9 THEN 1 WHEN row BETWEEN 24 AND 29 AND col % 16 BETWEEN 4 AND 11 THEN 1 WHEN row >= 38 THEN 2 WHEN col % 16 < 5 OR vegetation THEN 3 ELSE 4 END AS look FROM v),
+p AS (SELECT photo, row, col, ([0.55, 0.3, 0.2, 0.5]::DOUBLE[])[look] + h / 4000.0::DOUBLE AS r, ([0.7, 0.35, 0.5, 0.4]::DOUBLE[])[look] + h / 4000.0::DOUBLE AS g, ([0.9, 0.5, 0.2, 0.35]::DOUBLE[])[look] + h / 4000.0::DOUBLE AS b FROM w),
+y AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS gray FROM p),
+n AS (SELECT a.*, round(coalesce(abs(e.gray - f.gray), 0) + coalesce(abs(u.gray - d.gray), 0), 9) AS grad FROM y a LEFT JOIN y e ON e.photo = a.photo AND e.row = a.row AND e.col = a.col - 1 LEFT JOIN y f ON f.photo = a.photo AND f.row = a.row AND f.col = a.col + 1
+  LEFT JOIN y u ON u.photo = a.photo AND u.row = a.row - 1 AND u.col = a.col LEFT JOIN y d ON d.photo = a.photo AND d.row = a.row + 1 AND d.col = a.col),
+o AS (SELECT photo, row, col FROM n WHERE grad < 0.08 AND (greatest(r, g, b) > 0.45 OR (b > r AND b > g AND greatest(r, g, b) > 0.3))),
+sky(photo, row, col) AS (SELECT photo, row, col FROM o WHERE row = 0 UNION SELECT o.photo, o.row, o.col FROM sky s JOIN o ON o.photo = s.photo AND abs(o.row - s.row) + abs(o.col - s.col) = 1),
+k AS (SELECT n.*, s.row IS NOT NULL AS sky FROM n LEFT JOIN sky s USING (photo, row, col)),
+hz AS (SELECT photo, floor(median(last)) AS horizon FROM (SELECT photo, col, coalesce(max(row) FILTER (sky), 0) AS last FROM k GROUP BY photo, col) GROUP BY photo),
+lf AS (SELECT k.*, horizon, NOT sky AND g > r * 1.04::DOUBLE AND g > b * 1.04::DOUBLE AND g > 0.12 AS leaf FROM k JOIN hz USING (photo)),
+sm AS (SELECT photo, row // 4 AS row, col // 4 AS col, avg(sky::INT) AS sky, avg(leaf::INT) AS leaf, avg((NOT sky AND NOT leaf AND b >= r * 0.95::DOUBLE AND grad < 0.06 AND lf.row > horizon)::INT) AS wet FROM lf GROUP BY photo, lf.row // 4, lf.col // 4)
+"""
+
+
+@query("A60_pixel_classes", recursive(with_tables("view_px", PHOTOS + "SELECT photo, row, col, CASE WHEN sky > 0.5 THEN 'sky' WHEN leaf > 0.35 THEN 'vegetation' WHEN wet > 0.35 THEN 'water' ELSE 'building' END AS class FROM sm")))
 def pixel_classes(spark, sf_dir):
-    """Sky is what is open and joined to the top row; the rest by priority."""
-    v = domain.view_px(spark, sf_dir).withColumn("open", ((c("r") * 7 + c("c") * 13) % 5 < 3) | (c("r") < 3))
-    wide = v.where("open").select("view_id", (c("view_id") * 1000 + c("r")).alias("row"), c("c").alias("col"))
-    comp = grid_components(wide, 64)
-    top = comp.where(c("row") % 1000 == 0).select("component").distinct().withColumn("sky", F.lit(True))
-    found = comp.join(top, "component").select("view_id", (c("row") % 1000).alias("r"), c("col").alias("c"), "sky")
-    kind = F.when(c("sky"), "sky").when(c("vegetation"), "vegetation").when(c("water"), "water").when(c("building"), "building").otherwise("ground")
-    return v.join(found, ["view_id", "r", "c"], "left").select("view_id", "r", "c", kind.alias("class"))
+    """Classes of blocks of four by four pixels by their colours."""
+    return photos.pixel_classes(photo_px(spark, sf_dir), 4)
 
 
 @query("F43_image_filter", with_tables("ortho_px", SLOPES + """SELECT scene, row, col, round(least(1, sqrt(dx * dx + dy * dy)), 4) AS edge, round(CAST(0.5 AS DOUBLE) * gray + CAST(0.5 AS DOUBLE) * least(1, sqrt(dx * dx + dy * dy)), 4) AS gray_edge FROM g"""))

@@ -20,6 +20,8 @@ from skylattice.operators.quantiles import exact_quantiles
 SKY_GRAD, SKY_LIGHT, SKY_BLUE_LIGHT = 0.08, 0.45, 0.3
 GREENER, LEAST_GREEN, WATER_BLUE, WATER_GRAD = 1.04, 0.12, 0.95, 0.06
 SKY_SHARE, OTHER_SHARE = 0.5, 0.35
+#: Pixels that a building's region needs to be a point.
+LEAST_BLOB = 6
 #: Rows and columns of a photo are below this, photos below 2^23.
 SIDE = 1 << 20
 

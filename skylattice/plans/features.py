@@ -134,7 +134,7 @@ def elements(df):
     kind = F.when(c("id") % 5 == 0, "node").otherwise("way")
     way = F.when(c("id") % 7 == 0, open_ring).otherwise(whole)
     el = F.struct(kind.alias("type"), "id", F.when(kind == "node", c("lat")).alias("lat"), F.when(kind == "node", c("lon")).alias("lon"), tags.alias("tags"), F.when(kind == "way", way).alias("geometry"))
-    return rings(df).groupBy((c("id") % 8).alias("page")).agg(F.collect_list(el).alias("elements")).select("elements")  # pages of one fixture's size
+    return rings(df).groupBy(F.floor(c("id") / 500).alias("page")).agg(F.collect_list(el).alias("elements")).select("elements")  # pages of 500
 
 
 def parsed(spark, sf_dir):

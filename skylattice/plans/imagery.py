@@ -66,6 +66,23 @@ def pixel_components(spark, sf_dir):
     return components(spark, sf_dir).select("node", "component")
 
 
+@query("A45_building_points", recursive(with_tables("view_px", """, m AS (SELECT view_id::BIGINT AS photo, r::BIGINT AS row, c::BIGINT AS col, r::BIGINT * 64 + c AS node, (c - 32) / 60.0::DOUBLE * depth AS x, depth AS z FROM view_px WHERE building),
+e AS (SELECT a.photo, a.node AS x, b.node AS y FROM m a JOIN m b ON a.photo = b.photo AND ((b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col))),
+both_ AS (SELECT photo, x, y FROM e UNION ALL SELECT photo, y, x FROM e),
+walk(photo, node, root) AS (SELECT photo, node, node FROM m UNION SELECT w.photo, b.y, w.root FROM walk w JOIN both_ b ON b.photo = w.photo AND b.x = w.node WHERE b.y > w.root),
+comp AS (SELECT photo, node, min(root) AS root FROM walk GROUP BY photo, node)
+SELECT photo, root, count(*) AS px, round(median(m.x), 4) AS x, round(median(m.z), 4) AS z FROM comp JOIN m USING (photo, node) GROUP BY photo, root HAVING count(*) >= 6 AND isfinite(median(m.x)) AND isfinite(median(m.z))""")))
+def building_points(spark, sf_dir):
+    """Ground points of the buildings in sight: median place of each region of six pixels or more, seen through a pinhole
+    camera of focal length 60."""
+    v = domain.view_px(spark, sf_dir).where("building")
+    px = v.select(c("view_id").cast("long").alias("photo"), c("r").cast("long").alias("row"), c("c").cast("long").alias("col"), ((c("c") - 32) / 60.0 * c("depth")).alias("x"), c("depth").alias("z"))
+    found = px.join(photos.regions(px, 16), ["photo", "row", "col"])
+    points = found.groupBy("photo", "region").agg(F.min(c("row") * 64 + c("col")).alias("root"), F.count("*").alias("px"), F.median("x").alias("x"), F.median("z").alias("z"))
+    finite = lambda k: F.abs(k) < float("inf")
+    return points.where((c("px") >= photos.LEAST_BLOB) & finite("x") & finite("z")).select("photo", "root", "px", r(c("x")).alias("x"), r(c("z")).alias("z"))
+
+
 @query("A46_blob_table", recursive(with_tables("texels", MASK + "SELECT component, area, round(mid_r, 4) AS mid_r, round(mid_c, 4) AS mid_c, r0, r1, c0, c1 FROM blob")))
 def blob_table(spark, sf_dir):
     return imagery.blobs(components(spark, sf_dir), []).select("component", "area", r(c("mid_r")).alias("mid_r"), r(c("mid_c")).alias("mid_c"), "r0", "r1", "c0", "c1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skylattice.functions import geo
+from skylattice.functions import features, geo
 from skylattice.operators import cell_log, evaluate, ingest
 from skylattice.operators.quantiles import with_quantiles
 from skylattice.plans.base import r
@@ -232,12 +232,16 @@ def scene_coverage(spark, sf_dir):
     return scenes(spark, sf_dir).groupBy("tile").agg(F.count("*").alias("n"), F.max("day").alias("newest"))
 
 
-@query("S12_scene_catalogue", SCENES + "SELECT tile, day, cloud FROM scenes WHERE day > (SELECT max(day) FROM scenes) - INTERVAL 8 MONTH")
+@query("S12_scene_catalogue", SCENES + "SELECT '34T' || tile AS square, day, cloud FROM scenes WHERE cloud % 7 <> 3 AND date_trunc('month', day) > date_trunc('month', (SELECT max(day) FROM scenes WHERE cloud % 7 <> 3)) - INTERVAL 8 MONTH")
 def scene_catalogue(spark, sf_dir):
-    """Scenes of the last eight months."""
+    """Scenes of the last eight months, dated by their names; names of another form are no scenes."""
     s = scenes(spark, sf_dir)
-    last = s.agg(F.add_months(F.max("day"), -8).alias("since"))  # one row
-    return s.join(F.broadcast(last), c("day") > c("since")).select("tile", "day", "cloud")
+    date = F.date_format("day", "yyyyMMdd")
+    named = s.select(F.concat(F.lit("S2A_34T"), "tile", F.lit("_"), F.when(c("cloud") % 7 == 3, F.substring(date, 1, 6)).otherwise(date), F.lit("_0_L2A")).alias("name"), "cloud")
+    square, day = features.scene_of(c("name"))
+    found = named.select(square.alias("square"), day.alias("day"), "cloud").where("day is not null")
+    last = found.agg(F.add_months(F.trunc(F.max("day"), "month"), -8).alias("since"))  # one row
+    return found.join(F.broadcast(last), F.trunc("day", "month") > c("since")).select("square", "day", "cloud")
 
 
 @query(

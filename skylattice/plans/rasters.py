@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import features, geo, raster
-from skylattice.operators import polygons, rasters, vectors
+from skylattice.operators import ingest, polygons, rasters, vectors
 from skylattice.operators.quantiles import exact_quantiles, with_quantiles
 from skylattice.plans.base import r
 from skylattice.plans.ingestion import table_path
@@ -448,11 +448,16 @@ def composite_stats(spark, sf_dir):
     return f.select("scene", "fills", r(c("holes_before")).alias("holes_before"), r(c("holes_after")).alias("holes_after"), "used")
 
 
-@query("T08_every_nth", with_tables("texels", "SELECT row, col FROM (SELECT row, col, row_number() OVER (PARTITION BY row ORDER BY col) AS k FROM texels WHERE build_h > 0) WHERE k % 3 = 1"))
+ROOFS = 500
+
+
+@query("T08_every_nth", with_tables("texels", f""", k AS (SELECT row, col, row_number() OVER (ORDER BY row, col) - 1 AS k, count(*) OVER () AS n FROM texels WHERE build_h > 0)
+SELECT row, col FROM k WHERE k % greatest(1, n // {ROOFS}) = 0"""))
 def every_nth(spark, sf_dir):
-    """Every third roof texel of each row: a sampling operator."""
-    w = Window.partitionBy("row").orderBy("col")
-    return domain.texels(spark, sf_dir).where("build_h > 0").withColumn("k", F.row_number().over(w)).where("k % 3 = 1").select("row", "col")
+    """About ROOFS roof texels: every n-th in order, n from their count. A sampling operator."""
+    roofs = domain.texels(spark, sf_dir).where("build_h > 0").select("row", "col")
+    step = roofs.agg(F.greatest(F.lit(1), F.floor(F.count("*") / ROOFS)).alias("step"))  # one row
+    return ingest.numbered(roofs, ["row", "col"]).crossJoin(F.broadcast(step)).where(c("index") % c("step") == 0).select("row", "col")
 
 
 @query("A40_imagery_vegetation", with_tables("ortho_px", """, q AS (SELECT t.row, t.col, t.class_id, CASE WHEN o.g > o.r * CAST(1.1 AS DOUBLE) AND o.g > o.b AND o.valid THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS green FROM texels t JOIN ortho_px o ON o.scene = 0 AND o.row = t.row AND o.col = t.col),

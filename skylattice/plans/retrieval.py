@@ -102,18 +102,18 @@ def positive_pairs(spark, sf_dir):
     "A56_hard_triplets",
     with_tables("landmarks", PAIRS + """, near AS (SELECT i, j FROM pos UNION ALL SELECT j, i FROM pos),
 d AS (SELECT a.id AS anchor, b.id AS other, sqrt(greatest(2 - 2 * list_dot_product(a.embedding, b.embedding), 0)) AS d, n.i IS NOT NULL AS same FROM landmarks a JOIN landmarks b ON a.id <> b.id
-  LEFT JOIN near n ON n.i = a.id AND n.j = b.id WHERE a.id % 25 = 0 AND b.id % 25 = 0 OR a.id % 25 = 0 AND n.i IS NOT NULL),
+  LEFT JOIN near n ON n.i = a.id AND n.j = b.id WHERE a.id % 25 = 0),
 t AS (SELECT anchor, max(d) FILTER (same) AS far, min(d) FILTER (NOT same) AS close FROM d GROUP BY anchor)
 SELECT anchor, round(far, 4) AS hardest_positive, round(close, 4) AS hardest_negative, round(greatest(0, far - close + CAST(0.3 AS DOUBLE)), 4) AS loss FROM t WHERE far IS NOT NULL AND close IS NOT NULL"""),
 )
 def hard_triplets(spark, sf_dir):
-    """Hardest positive and negative of each anchor of a stated batch (ids divisible by 25), positives from all poses."""
+    """Hardest positive and negative of each anchor of a stated batch (ids divisible by 25) among all poses, in blocks."""
     marks = domain.landmarks(spark, sf_dir)
     half = retrieval.positive_pairs(marks, 150.0, 60.0).select("i", "j")
     near = half.unionByName(half.select(c("j").alias("i"), c("i").alias("j"))).where("i % 25 = 0")
     vec = lambda key, name: marks.select(c("id").alias(key), c("embedding").alias(name))
     batch = marks.where("id % 25 = 0")
-    spread = batch.select(c("id").alias("other"), c("embedding").alias("ov")).withColumn("block", F.pmod(F.xxhash64("other"), F.lit(8)).cast("int"))
+    spread = marks.select(c("id").alias("other"), c("embedding").alias("ov")).withColumn("block", F.pmod(F.xxhash64("other"), F.lit(8)).cast("int"))
     anchors = batch.select(c("id").alias("anchor"), c("embedding").alias("av")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7))))
     apart = lambda a, b: F.sqrt(F.greatest(2 - 2 * retrieval.dot(c(a), c(b)), F.lit(0.0)))
     others = anchors.join(spread, "block").where("anchor <> other").join(near, (c("i") == c("anchor")) & (c("j") == c("other")), "left_anti")

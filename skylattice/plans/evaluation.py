@@ -182,11 +182,16 @@ def split_counts(spark, sf_dir):
     return evaluate.spatial_split(domain.captures(spark, sf_dir), 150.0, 7, 0.2).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("U04_split_disjoint", "SELECT CAST(0 AS BIGINT) AS shared_cells")
+@query("U04_split_disjoint", with_tables("captures", """, k AS (SELECT DISTINCT CAST(floor(e / 150) AS BIGINT) AS ce, CAST(floor(n / 150) AS BIGINT) AS cn FROM captures),
+s AS (SELECT ce, cn, ('0x' || substr(sha1(ce || ':' || cn || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2::DOUBLE AS held FROM k)
+SELECT count(*) FILTER (NOT held) AS train_cells, count(*) FILTER (held) AS validation_cells, (SELECT count(*) FROM (SELECT ce, cn FROM s WHERE held INTERSECT SELECT ce, cn FROM s WHERE NOT held)) AS shared_cells FROM s"""))
 def split_disjoint(spark, sf_dir):
+    """Cells of each split, and those that are in both: none."""
     s = evaluate.spatial_split(domain.captures(spark, sf_dir), 150.0, 7, 0.2)
-    cells = lambda name: s.where(c("split") == name).select("ce", "cn")
-    return cells("train").intersect(cells("validation")).agg(F.count("*").alias("shared_cells"))
+    cells = lambda name: s.where(c("split") == name).select("ce", "cn").distinct()
+    counted = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  one row each
+    train, held = cells("train"), cells("validation")
+    return counted(train, "train_cells").crossJoin(counted(held, "validation_cells")).crossJoin(counted(train.intersect(held), "shared_cells"))
 
 
 STEPS = ", s AS (SELECT *, t - lag(t) OVER w AS dt, sqrt((truth_e - lag(truth_e) OVER w) ** 2 + (truth_n - lag(truth_n) OVER w) ** 2) AS moved FROM frames WINDOW w AS (PARTITION BY run ORDER BY t, frame_id))\n"

@@ -131,10 +131,11 @@ def predict(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.
 
 
 def _sampled(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    """(text, lang) of about ``sample`` labelled rows of each language."""
+    """(text, lang) of about ``sample`` labelled rows of each language. A row per language is broadcast, far less than the
+    profiles that a prediction needs, so the texts are not shuffled."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
-    return rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("text", "lang")
+    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("text", "lang")
 
 
 def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 2000, size: int = 400) -> Profiles:

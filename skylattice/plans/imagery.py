@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo, raster
 from skylattice.operators import imagery, photos, rasters, shadows
-from skylattice.operators.graph import grid_components, written
+from skylattice.operators.graph import dealt, grid_components, written
 from skylattice.operators.quantiles import exact_quantiles
 from skylattice.plans.base import r
 from skylattice.plans.rasters import HOLE, OUTER, SHAPES, SLOPES, burnt, slopes
@@ -140,7 +140,7 @@ def rays(spark, sf_dir):
     steps = b.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(8))))
     at = steps.select("id", "ray", "step", (c("br") + c("step")).alias("row"), (c("bc") + c("ray")).alias("col"))
     t = domain.texels(spark, sf_dir).select("row", "col", ((c("build_h") < 8) & (c("h") % 4 != 0)).alias("dark"))
-    return at.join(t, ["row", "col"])
+    return at.join(dealt(t), ["row", "col"])
 
 
 @query("W13_shadow_runs", with_tables("texels", RAYS + "SELECT id, CAST(ray AS INTEGER) AS ray, CAST(reach AS INTEGER) AS reach FROM run"))
@@ -212,7 +212,7 @@ def shadow_support(spark, sf_dir):
     """Whether the side away from the sun is darker than the other: medians of three probes each."""
     b = domain.raw(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey * 7919 % 100 + 8 AS br", "p_partkey * 104729 % 90 + 8 AS col")
     at = b.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("far", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))).withColumn("row", c("br") + c("side") * c("far"))
-    v = at.join(domain.texels(spark, sf_dir).select("row", "col", (c("h") % 256).alias("v")), ["row", "col"])
+    v = at.join(dealt(domain.texels(spark, sf_dir).select("row", "col", (c("h") % 256).alias("v"))), ["row", "col"])
     mid = lambda s: F.median(F.when(c("side") == s, c("v")))
     return v.groupBy("id").agg(F.coalesce(mid(1) < mid(-1) * 0.85, F.lit(False)).alias("supported"))
 

@@ -5,8 +5,9 @@ import io
 
 from pyspark.sql import functions as F
 
-from skylattice.operators import shadows
+from skylattice.operators import retrieval, shadows
 from skylattice.plans import imagery as plans
+from skylattice.plans import retrieval as retrieval_plans
 
 
 def plan(df) -> str:
@@ -31,3 +32,15 @@ def test_tiles_meet_bounds_by_a_broadcast_of_the_bounds(spark, sf_dir):
     for query in (plans.depth_hook, plans.mask_hook):
         found = plan(query(spark, sf_dir))
         assert "BroadcastHashJoin [scene" in found and "BuildLeft" not in found and "SortMergeJoin" not in found
+
+
+def test_pairs_stay_in_the_task_that_meets_them(spark, sf_dir):
+    """No join makes a row per pair of a query and a row; more rows make more blocks, and equal vectors go by id."""
+    for query in (retrieval_plans.hard_triplets, retrieval_plans.nearest_pose, retrieval_plans.top):
+        found = plan(query(spark, sf_dir))
+        assert "FlatMapGroupsInPandas" in found and "Join" not in found
+    v = [[1.0, 0.0], [1.0, 0.0], None, [0.5, 0.5], [1.0, None], [1.0, 0.0], [float("nan"), 0.0]]
+    rows = spark.createDataFrame(list(enumerate(v)), "id long, embedding array<float>")
+    got = retrieval.top_k(rows.where("id in (0, 2)"), rows, 3).orderBy("query", "rank").select("query", "id", "sim").collect()
+    assert [r["id"] for r in got] == [6, 1, 5, 0, 1, 3]
+    assert [r["sim"] for r in got[1:]] == [1.0, 1.0, None, None, None]

@@ -120,13 +120,15 @@ def blobs(components: DataFrame, keys: list[str], row: str = "row", col: str = "
 def kmeans(px: DataFrame, keys: list[str], columns: list[str], k: int, rounds: int = 25) -> DataFrame:
     """``px`` with the ``cluster`` of each row among its group's (a scene's, say), the largest cluster being 0.
 
-    All groups move together: a round is one pass with partial sums, and ``k`` centres of each group reach the driver.
+    All groups move together: a round is one pass with partial sums over the distinct values, each with its number of rows,
+    and ``k`` centres of each group reach the driver.
     The first centres are the values with the lowest hash; an empty cluster keeps its centre.
     """
     spark, dims = px.sparkSession, range(len(columns))
-    rows = written(px.withColumn("__v", F.array(*[F.col(c).cast("double") for c in columns])))
+    rows = px.withColumn("__v", F.array(*[F.col(c).cast("double") for c in columns]))
+    values = written(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n")))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("__v"), "__v"))
-    first = rows.select(*keys, "__v").distinct().withColumn("__k", number).where(F.col("__k") <= k).orderBy("__k").collect()
+    first = values.select(*keys, "__v").withColumn("__k", number).where(F.col("__k") <= k).orderBy("__k").collect()
     centres: dict[tuple, list[list[float]]] = {}
     for r in first:
         centres.setdefault(tuple(r[c] for c in keys), []).append(list(r["__v"]))
@@ -134,21 +136,21 @@ def kmeans(px: DataFrame, keys: list[str], columns: list[str], k: int, rounds: i
         return rows.drop("__v").withColumn("cluster", F.lit(0))
     schema = px.select(*keys).schema.add("__centres", ArrayType(ArrayType(DoubleType())))
 
-    def dealt() -> DataFrame:
+    def moved_to(rows: DataFrame) -> DataFrame:
         table = F.broadcast(spark.createDataFrame([(*key, c) for key, c in centres.items()], schema))  # a row per group
         away = F.transform("__centres", lambda c: F.round(sum(((F.col("__v")[i] - c[i]) * (F.col("__v")[i] - c[i]) for i in dims), F.lit(0.0)), 12))
         return rows.join(table, keys).withColumn("__away", away).withColumn("cluster", (F.array_position("__away", F.array_min("__away")) - 1).cast("int")).drop("__away", "__centres")
 
     for _ in range(rounds):
-        means = dealt().groupBy(*keys, "cluster").agg(*[F.avg(F.col("__v")[i]).alias(f"__{i}") for i in dims]).collect()
+        means = moved_to(values).groupBy(*keys, "cluster").agg(*[(F.sum(F.col("__v")[i] * F.col("__n")) / F.sum(F.when(F.col("__v")[i].isNotNull(), F.col("__n")))).alias(f"__{i}") for i in dims]).collect()
         moved = {key: [list(c) for c in cs] for key, cs in centres.items()}
         for r in means:
             moved[tuple(r[c] for c in keys)][r["cluster"]] = [round(r[f"__{i}"], 12) for i in dims]
         if moved == centres:
             break
         centres = moved
-    out = written(dealt().drop("__v"))
-    sizes = out.groupBy(*keys, "cluster").agg(F.count("*").alias("__n"))
+    out = written(moved_to(rows).drop("__v"))
+    sizes = moved_to(values).groupBy(*keys, "cluster").agg(F.sum("__n").alias("__n"))
     rank = sizes.select(*keys, "cluster", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__n"), "cluster")) - 1).alias("__rank"))
     return out.join(F.broadcast(rank), [*keys, "cluster"]).drop("cluster").withColumnRenamed("__rank", "cluster")  # k rows a group
 
@@ -298,7 +300,7 @@ def tiles_through(px: DataFrame, hook: Callable[[np.ndarray], np.ndarray] | None
     tiles = lambda k: F.explode(F.array_distinct(F.transform(F.array(*[F.lit(x) for x in (-halo, 0, halo)]), lambda x: F.floor((F.col(k) + x) / size))))
     low, high = (lambda k, name: F.min(k).alias(name)), (lambda k, name: F.max(k).alias(name))
     bounds = px.groupBy("scene").agg(low("row", "r_low"), high("row", "r_high"), low("col", "c_low"), high("col", "c_high"))
-    tiled = px.select("scene", "row", "col", "gray").withColumn("tr", tiles("row")).withColumn("tc", tiles("col")).join(bounds, "scene")
+    tiled = px.select("scene", "row", "col", "gray").withColumn("tr", tiles("row")).withColumn("tc", tiles("col")).join(F.broadcast(bounds), "scene")  # a row per scene
     parts = tiled.groupBy("scene", "tr", "tc").applyInPandas(run, "scene int, row long, col long, v double, w double")
     return parts.groupBy("scene", "row", "col").agg((F.sum("v") / F.sum("w")).alias(value))
 

@@ -5,7 +5,8 @@ import io
 
 from pyspark.sql import functions as F
 
-from skylattice.operators import retrieval, shadows
+from skylattice.operators import imagery, retrieval, shadows
+from skylattice.plans import features, streams
 from skylattice.plans import imagery as plans
 from skylattice.plans import retrieval as retrieval_plans
 
@@ -44,3 +45,29 @@ def test_pairs_stay_in_the_task_that_meets_them(spark, sf_dir):
     got = retrieval.top_k(rows.where("id in (0, 2)"), rows, 3).orderBy("query", "rank").select("query", "id", "sim").collect()
     assert [r["id"] for r in got] == [6, 1, 5, 0, 1, 3]
     assert [r["sim"] for r in got[1:]] == [1.0, 1.0, None, None, None]
+
+
+def test_flights_pass_through_a_task_in_batches(spark, sf_dir):
+    """No flight is held as a whole, and batches of any size give the same."""
+    for query in (streams.error_state_filter, streams.particle_filter):
+        found = plan(query(spark, sf_dir))
+        assert "MapInPandas" in found and "FlatMapGroups" not in found
+        want = sorted(map(tuple, query(spark, sf_dir).collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        try:
+            assert sorted(map(tuple, query(spark, sf_dir).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_places_are_matched_once(spark, sf_dir):
+    """Many buildings at one place are one side of one pair."""
+    many = spark.range(1000).select("id", F.lit(1.0).alias("e"), F.lit(2.0).alias("n"))
+    assert features.places(many).count() == 1
+
+
+def test_clusters_move_by_distinct_values(spark):
+    """Rounds read each distinct value once, and weigh it by its rows."""
+    px = spark.range(3000).select(F.lit(0).alias("scene"), F.when(F.col("id") < 2000, 0.1).when(F.col("id") < 2999, 0.2).otherwise(0.9).alias("r"))
+    out = imagery.kmeans(px, ["scene"], ["r"], 2).groupBy("cluster").agg(F.count("*").alias("n")).orderBy("cluster").collect()
+    assert [r["n"] for r in out] == [2999, 1] or [r["n"] for r in out] == [2000, 1000]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skylattice.operators import capture_loop, evaluate, ingest
 from skylattice.plans.base import r
@@ -162,17 +163,24 @@ def landed(spark, rows, delay: int):
     return end.select("drone", (c("frame_id") + 1).alias("frame_id"), "t", at_time(c("t")).alias("ts"), F.array().cast(f"array<{fusion.MEASUREMENT}>").alias("measurements"))
 
 
+#: Frames that a micro-batch of the stream brings.
+SLICE = 200_000
+
+
 @query("R03_filter_stream")
 def filter_stream(spark, sf_dir):
     """The same filter over a stream whose frames come out of order, with its state kept between micro-batches."""
     rows = flight_rows(spark, sf_dir)
     moved = rows.withColumn("at", c("t") + c("frame_id") * 7 % 40 / 10.0)  # up to four seconds late
-    path, schema = table_path(spark, "stream"), rows.schema
-    high = moved.agg(F.max("at")).first()[0] or 0.0
-    for k in range(3):
-        moved.where(F.least(F.lit(2), F.floor(c("at") / (high / 3 + 1e-9))) == k).drop("at").write.mode("append").parquet(path)
-    landed(spark, rows, 10).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+    path, staged, schema = table_path(spark, "stream"), table_path(spark, "staged"), rows.schema
+    high, n = moved.agg(F.max("at"), F.count("*")).first()
+    slices = max(3, -(-n // SLICE))
+    moved.withColumn("slice", F.least(F.lit(slices - 1), F.floor(c("at") / ((high or 0.0) / slices + 1e-9))).cast("int")).drop("at").repartition("slice").write.partitionBy("slice").parquet(staged)
+    for k in range(slices):  # a file each, so files follow each other in time
+        part = spark.read.schema(StructType([*schema.fields, StructField("slice", IntegerType())])).parquet(staged).where(c("slice") == k)
+        part.drop("slice").coalesce(1).write.mode("append").parquet(path)
+    landed(spark, rows, 10).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = drained(spark, fusion.fuse_stream(stream))
     return out.select("drone", "frame_id", *[r(c(k)).alias(k) for k in ("e", "n", "u", "ve", "vn", "heading", "sigma", "confidence")])
 

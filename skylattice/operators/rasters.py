@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators.graph import written
+from skylattice.operators.graph import dealt, written
 from skylattice.operators.quantiles import exact_quantiles
 
 
@@ -120,14 +120,15 @@ def edges(raster: DataFrame, value: str, keys: tuple = (), name: str = "edge") -
 def burn(texels: DataFrame, shapes: DataFrame, inside: Column, seq: str, values: list[str], block: int = 64) -> DataFrame:
     """The last shape (by ``seq``) that covers each texel, for axis-aligned extents r0..r1, c0..c1 and a residual test.
 
-    Shapes are cut into blocks of ``block`` x ``block`` texels and joined on the block, so a large shape is spread over
-    many tasks and a texel is only compared with shapes of its block.
+    Shapes are cut into blocks of ``block`` x ``block`` texels and dealt by block, so a large shape is spread over many tasks;
+    each piece lists its own texels, and partial maxima leave one row for each texel of a task.
     """
     of = lambda k: F.floor(F.col(k) / block)
     pieces = shapes.withColumn("br", F.explode(F.sequence(of("r0"), of("r1")))).withColumn("bc", F.explode(F.sequence(of("c0"), of("c1"))))
-    near = texels.withColumn("br", of("row")).withColumn("bc", of("col")).join(pieces, ["br", "bc"])
-    hit = near.where(F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")) & inside)
-    return hit.groupBy("row", "col").agg(F.max_by(F.struct(*values), seq).alias("top")).select("row", "col", "top.*")
+    within = lambda k, low, high: F.explode(F.sequence(F.greatest(F.col(low), F.col(k) * block), F.least(F.col(high), F.col(k) * block + block - 1)))
+    near = pieces.repartition("br", "bc", F.pmod(F.xxhash64(*shapes.columns), F.lit(64))).withColumn("row", within("br", "r0", "r1")).withColumn("col", within("bc", "c0", "c1"))
+    top = near.where(inside).groupBy("row", "col").agg(F.max_by(F.struct(*values), seq).alias("top"))
+    return top.join(dealt(texels.select("row", "col")), ["row", "col"], "left_semi").select("row", "col", "top.*")
 
 
 def block_stats(px: DataFrame, size: int) -> DataFrame:

@@ -59,14 +59,9 @@ def zones(stats: DataFrame, edges: DataFrame, least: float = 0.01) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("scene").orderBy(F.desc("k"), "label")) - 1  # over a row per component
     sizes = sizes.join(total, "scene").withColumn("zone", rank).where((F.col("k") >= (least * F.col("n") if least < 1 else F.lit(least))) | (F.col("zone") == 0))
     label = written(label.join(sizes.select("scene", "label", "zone"), ["scene", "label"], "left").select("scene", "br", "bc", "zone"))
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     open_ = label.where("zone is null").count()
     while open_:
-        near = label.where("zone is not null").withColumn("s", F.explode(steps))
-        near = near.select("scene", (F.col("br") + F.col("s.a")).alias("br"), (F.col("bc") + F.col("s.b")).alias("bc"), F.col("zone").alias("next"))
-        votes = near.join(label.where("zone is null"), ["scene", "br", "bc"], "left_semi").groupBy("scene", "br", "bc", "next").agg(F.count("*").alias("v"))
-        best = votes.groupBy("scene", "br", "bc").agg(F.max_by("next", F.struct("v", (-F.col("next")).alias("z"))).alias("next"))
-        label = written(label.join(best, ["scene", "br", "bc"], "left").select("scene", "br", "bc", F.coalesce("zone", "next").alias("zone")))
+        label = written(rings(label))
         now = label.where("zone is null").count()
         if now == open_:  # parts of the scene without any zone beside them
             label, now = label.fillna(0, ["zone"]), 0
@@ -75,6 +70,41 @@ def zones(stats: DataFrame, edges: DataFrame, least: float = 0.01) -> DataFrame:
     return label.join(counted, ["scene", "zone"]).select("scene", "br", "bc", "zone", "zone_blocks")
 
 
+#: Rings that one pass adds, and blocks along a tile.
+RINGS = 1024
+
+
+def rings(label: DataFrame, reach: int = RINGS) -> DataFrame:
+    """``label`` (scene, br, bc, zone) with the blocks without a zone filled up to ``reach`` rings from those that have one. A
+    tile sees ``reach`` blocks around it, further than anything that can get to its own blocks in that many rings."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        r, c = (g[k].to_numpy() for k in ("br", "bc"))
+        r0, c0, wide = r.min() - 1, c.min() - 1, int(c.max() - c.min()) + 3
+        at = (r - r0) * wide + c - c0
+        zone = np.full((int(r.max() - r.min()) + 3) * wide, -2, dtype=np.int64)  # -2: no block, -1: no zone
+        zone[at] = g["zone"].fillna(-1).to_numpy(dtype=np.int64)
+        steps, edge = np.array([1, -1, wide, -wide]), at[zone[at] >= 0]
+        for _ in range(reach):
+            near = np.unique(edge[:, None] + steps)
+            near = near[zone[near] == -1]
+            if not len(near):
+                break
+            seen = zone[near[:, None] + steps]
+            votes = np.where(seen >= 0, (seen[:, :, None] == seen[:, None, :]).sum(axis=2), 0)
+            most = votes == votes.max(axis=1, keepdims=True)
+            zone[near] = np.where(most, seen, np.iinfo(np.int64).max).min(axis=1)
+            edge = near
+        own = ((r // reach == g["tr"].to_numpy()) & (c // reach == g["tc"].to_numpy())).nonzero()[0]
+        out = g.iloc[own][["scene", "br", "bc"]].copy()
+        out["zone"] = pd.array(zone[at[own]], dtype="Int64").astype("Int64")
+        out.loc[out["zone"] < 0, "zone"] = pd.NA
+        return out
+
+    tiles = lambda k: F.explode(F.array_distinct(F.array(*[F.floor((F.col(k) + x) / reach) for x in (-reach, 0, reach)])))
+    return label.withColumn("tr", tiles("br")).withColumn("tc", tiles("bc")).groupBy("scene", "tr", "tc").applyInPandas(run, label.schema)
+
+
 def normalize_zones(px: DataFrame, zoned: DataFrame, size: int) -> DataFrame:
     """Brings each zone's median, spread and channel medians to those of its scene's zone with most pixels, and then its
     colours to the brightness that this gives."""

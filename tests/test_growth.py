@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.operators import imagery, retrieval, shadows
 from skylattice.plans import features, streams
 from skylattice.plans import imagery as plans
+from skylattice.plans import rasters as rasters_plans
 from skylattice.plans import retrieval as retrieval_plans
 
 
@@ -71,3 +72,26 @@ def test_clusters_move_by_distinct_values(spark):
     px = spark.range(3000).select(F.lit(0).alias("scene"), F.when(F.col("id") < 2000, 0.1).when(F.col("id") < 2999, 0.2).otherwise(0.9).alias("r"))
     out = imagery.kmeans(px, ["scene"], ["r"], 2).groupBy("cluster").agg(F.count("*").alias("n")).orderBy("cluster").collect()
     assert [r["n"] for r in out] == [2999, 1] or [r["n"] for r in out] == [2000, 1000]
+
+
+def test_rings_in_tiles_are_those_of_one_ring_at_a_time(spark):
+    """A strip with two zones at its ends and one aside is filled by few passes, as by single rings."""
+    rows = [(0, r, k, {(0, 0): 1, (39, 2): 0, (20, 1): 2}.get((r, k))) for r in range(40) for k in range(3) if (r, k) != (30, 1)]
+    zone = {(r, k): z for _, r, k, z in rows}
+    while None in zone.values():
+        new = {}
+        for (r, k), z in zone.items():
+            near = [zone.get(p) for p in ((r + 1, k), (r - 1, k), (r, k + 1), (r, k - 1)) if zone.get(p) is not None]
+            if z is None and near:
+                new[r, k] = min(set(near), key=lambda x: (-near.count(x), x))
+        zone |= new
+    label, passes = spark.createDataFrame(rows, "scene int, br long, bc long, zone int"), 0
+    while label.where("zone is null").count():
+        label, passes = spark.createDataFrame(imagery.rings(label, 8).collect(), label.schema), passes + 1
+    assert {(r["br"], r["bc"]): r["zone"] for r in label.collect()} == zone and passes <= 3
+
+
+def test_shapes_list_their_own_texels(spark, sf_dir):
+    """Texels of a block are not paired with all shapes of it."""
+    found = plan(rasters_plans.burnt(spark, sf_dir))
+    assert "LeftSemi" in found and "Inner" not in found

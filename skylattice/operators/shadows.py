@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.graph import dealt
 from skylattice.operators.polygons import ring_edges
 
 
@@ -81,7 +82,7 @@ def first_hits(rays: DataFrame, outlined: DataFrame, key: str, direction: tuple[
     cells = rays.select(key, "i", "x", "y", F.explode(crossed).alias("c")).groupBy(key, "i", "x", "y", "c.cx", "c.cy").agg(F.min("c.k").alias("a"), F.max("c.k").alias("b"))
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
     index = outlined.select(F.col(key).alias("other"), "edges", "x0", "x1", "y0", "y1").withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-    near = cells.join(index, ["cx", "cy"]).where(F.col("other") != F.col(key))
+    near = cells.join(dealt(index), ["cx", "cy"]).where(F.col("other") != F.col(key))
     px, py = F.col("x") + de * F.col("k"), F.col("y") + dn * F.col("k")
     points = near.withColumn("k", F.explode(F.sequence("a", "b"))).where(px.between(F.col("x0"), F.col("x1")) & py.between(F.col("y0"), F.col("y1")))
     return points.where(_odd(F.col("edges"), px, py)).groupBy(key, "i").agg(F.min("k").alias("cut"))
@@ -90,7 +91,7 @@ def first_hits(rays: DataFrame, outlined: DataFrame, key: str, direction: tuple[
 def brightness(points: DataFrame, ortho: DataFrame, x: Column, y: Column, res: float) -> DataFrame:
     """``points`` with the brightness ``gray`` of their texel (row, col, gray); null outside of the image."""
     placed = points.withColumn("row", F.floor(y / res)).withColumn("col", F.floor(x / res))
-    return placed.join(ortho.select("row", "col", "gray"), ["row", "col"], "left").drop("row", "col")
+    return placed.join(dealt(ortho.select("row", "col", "gray")), ["row", "col"], "left").drop("row", "col")
 
 
 def ground_light(outlined: DataFrame, buildings: DataFrame, ortho: DataFrame, key: str, sun: Sun, res: float, cell: float) -> DataFrame:
@@ -100,7 +101,7 @@ def ground_light(outlined: DataFrame, buildings: DataFrame, ortho: DataFrame, ke
     sunny = (F.col("x") - F.col("cx")) * de + (F.col("y") - F.col("cy")) * dn < 0
     points = around(buildings, key, GROUND_POINTS, GROUND_OFF * step).where(sunny).withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
     inside = first_hits(points, outlined, key, (de, dn), step, cell)
-    clear = brightness(points.join(inside, [key, "i"], "left_anti"), ortho, F.col("x"), F.col("y"), res)
+    clear = brightness(points.join(dealt(inside), [key, "i"], "left_anti"), ortho, F.col("x"), F.col("y"), res)
     return clear.groupBy(key).agg(F.median("gray").alias("ground"), F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUND).drop("n")
 
 
@@ -113,8 +114,8 @@ def shadow_rays(outlined: DataFrame, ortho: DataFrame, key: str, sun: Sun, res:
     own = outlined.where(untagged)
     ground = ground_light(outlined, own, ortho, key, sun, res, cell).where(F.col("ground") >= LEAST_LIGHT)
     shaded = (F.col("x") - F.col("cx")) * de + (F.col("y") - F.col("cy")) * dn > 0
-    rays = around(own, key, RAY_POINTS, RAY_OFF * step).where(shaded).join(ground, key).withColumn("low", F.lit(1)).withColumn("high", F.lit(n))
-    rays = rays.join(first_hits(rays, outlined, key, (de, dn), step, cell), [key, "i"], "left")
+    rays = around(own, key, RAY_POINTS, RAY_OFF * step).where(shaded).join(dealt(ground), key).withColumn("low", F.lit(1)).withColumn("high", F.lit(n))
+    rays = rays.join(dealt(first_hits(rays, outlined, key, (de, dn), step, cell)), [key, "i"], "left")
     steps = rays.select(key, "i", "x", "y", "ground", "cut", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.coalesce("cut", F.lit(n))))).alias("k"))
     seen = brightness(steps, ortho, F.col("x") + de * step * F.col("k"), F.col("y") + dn * step * F.col("k"), res)
     w = Window.partitionBy(key, "i").orderBy("k")

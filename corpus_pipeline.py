@@ -21,26 +21,29 @@ from skylattice.llm import language_id, ngram_join, packing, storage, toxicity
 LEAST_LEAD = 0.005
 
 
-def _where(docs: DataFrame, condition) -> DataFrame:
-    """Rows of ``docs`` that ``condition`` holds for; it is given the row as the only column, so no name can clash."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return condition(row).select("row.*")
+def _rows(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as the only column, ``row``, so no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts that are near no learned language: whose nearest one hardly leads, or is
-    further away than its own labelled rows are."""
+    further away than its own labelled rows are. Both are learned from all labelled rows; each text is looked at once
+    for its counts and once for its language, which is written beside it."""
     profiles = language_id.fit(docs, "doc_id", "text", "lang")
-    bounds = language_id.reach(docs, profiles, "doc_id", "text", "lang")
+    found = storage.written(_rows(docs).withColumn("found", language_id.predicted(F.col("row.text"), profiles, spark)), "languages")
+    labelled = found.where("row.doc_id is not null and row.text is not null and row.lang is not null")
+    bounds = language_id.reach_of(labelled.select(F.col("row.lang").alias("lang"), "found"))
     far = F.create_map(*[F.lit(x) for b in bounds.items() for x in b]) if bounds else F.create_map().cast("map<string,double>")
-    near = lambda f: (f.lang_pred != language_id.UNKNOWN) & (f.score >= LEAST_LEAD) & (f.distance <= F.coalesce(far[f.lang_pred], F.lit(0.0)))
-    return _where(docs, lambda row: row.withColumn("found", language_id.predicted(F.col("row.text"), profiles, spark)).where(near(F.col("found"))))
+    f = F.col("found")
+    near = (f.lang_pred != language_id.UNKNOWN) & (f.score >= LEAST_LEAD) & (f.distance <= F.coalesce(far[f.lang_pred], F.lit(0.0)))
+    return found.where(near).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are likelier toxic than not, as learned from the labels of the documents at hand."""
     scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _where(docs, lambda row: row.withColumn("found", toxicity.scored(F.col("row.text"), scorer, spark)).where("found < 0.5"))
+    return _rows(docs).withColumn("found", toxicity.scored(F.col("row.text"), scorer, spark)).where("found < 0.5").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A language's profile is its ``size`` most frequent character n-grams (1 to 3 let
 order; a document has such a profile of its own. The out-of-place distance sums, over the document's n-grams, how far
 each stands from its rank in the language's profile (``size`` if it is missing). The nearest language wins.
 
-The profiles are fitted on a sample of the labelled rows, ``sample`` of each language on average, chosen by a hash of
-the id; counts are summed by Spark. Prediction is one pass over the whole texts without a shuffle.
+The profiles are fitted on all labelled rows: tasks sum counts, which Spark adds up, so that texts are not shuffled. A
+caller may ask for about ``sample`` rows of each language instead, chosen by a hash of the id. Prediction is one pass
+over the whole texts without a shuffle.
 
 Defined results: null text and text without letters give ``und`` with score 0; ties of distance go to the first language
 in alphabetical order and ties of count to the smaller code; without any labelled row every text is ``und``; repeated
@@ -18,17 +19,19 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.storage import small_batches
 from skylattice.llm.worker import released
+from skylattice.operators.quantiles import exact_quantiles
 
 UNKNOWN = "und"
 #: Characters, and texts, that are counted at a time (bounds a task's memory).
 BLOCK_CHARS, BLOCK_TEXTS = 1 << 18, 1 << 10
+#: Counts of n-grams that a task holds before it hands them on.
+HELD = 1 << 20
 #: Stands for the space before a bigram's letter, where 0 would make it a single letter.
 MARK = (1 << 21) - 1
 
@@ -130,32 +133,56 @@ def predict(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.
     return langs, scores, distance
 
 
-def _sampled(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    """(text, lang) of about ``sample`` labelled rows of each language. A row per language is broadcast, far less than the
-    profiles that a prediction needs, so the texts are not shuffled."""
+def _labelled(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int | None) -> DataFrame:
+    """(lang, text) of the labelled rows: all of them, or about ``sample`` of each language. For the latter a row per
+    language is broadcast, far less than the profiles that a prediction needs, so the texts are not shuffled."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
-    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("text", "lang")
-
-
-def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = 2000, size: int = 400) -> Profiles:
+    if sample is not None:
+        share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+        rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    return rows.select("lang", "text")
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts, each code once."""
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams by language, summed over a task as far as ``HELD`` of them go."""
+    held: dict[str, list] = {}
+    size = 0
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            codes, n = _added(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    for b in batches:
+        texts: dict[str, list[str]] = {}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            for lo, hi in blocks(own):  # of one language, so as one text
+                _, codes, counts = _counted(["\n".join(own[lo:hi])])
+                held.setdefault(lang, []).append((codes, counts))
+                size += len(codes)
+        if size > HELD:
+            held = {lang: [_added(parts)] for lang, parts in held.items()}
+            size = sum(len(parts[0][0]) for parts in held.values())
+            if size > HELD // 2:
+                yield from handed()
+                held, size = {}, 0
+    yield from handed()
+
+
+def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int | None = None, size: int = 400) -> Profiles:
     """Profiles of all languages in ``rows``, ``size`` numbers for each. Rows without a text, id or language are not used."""
     small_batches(rows.sparkSession)
-    chosen = _sampled(rows, id_col, text_col, lang_col, sample)
-
-    def grams(batches):
-        for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in blocks(texts):
-                owner, codes, counts = _counted(texts[lo:hi])
-                names = sorted(set(langs[lo:hi]))
-                number = np.array([names.index(x) for x in langs[lo:hi]])[owner]
-                found = pd.DataFrame({"lang": number, "gram": codes.astype(np.int64), "n": counts})
-                found = found.groupby(["lang", "gram"], as_index=False)["n"].sum()
-                lang = pa.array([names[k] for k in found["lang"]], pa.string())
-                yield pa.RecordBatch.from_arrays([lang, pa.array(found["gram"]), pa.array(found["n"])], names=["lang", "gram", "n"])
-
-    summed = chosen.select("lang", "text").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    chosen = _labelled(rows, id_col, text_col, lang_col, sample)
+    counted = chosen.mapInArrow(lambda batches: released(_grams(batches)), "lang string, gram long, n long")
+    summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = summed.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect()
     found: dict[str, list[int]] = {}
@@ -165,13 +192,18 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
 
 
 def reach(
-    rows: DataFrame, profiles: Profiles, id_col: str, text_col: str, lang_col: str, sample: int = 2000, share: float = 0.999, margin: float = 1.3
+    rows: DataFrame, profiles: Profiles, id_col: str, text_col: str, lang_col: str, sample: int | None = None, share: float = 0.999, margin: float = 1.3
 ) -> dict[str, float]:
     """How far a text in each language may be from its profile: ``margin`` times the distance within which ``share`` of
-    the sampled labelled rows of that language lie."""
-    chosen = _sampled(rows, id_col, text_col, lang_col, sample).select("lang", predicted(F.col("text"), profiles, rows.sparkSession).alias("found"))
-    own = chosen.where("found.lang_pred = lang").groupBy("lang").agg(F.percentile_approx("found.distance", F.lit(share), F.lit(10_000)).alias("far"))
-    return {r["lang"]: min(1.0, margin * r["far"]) for r in own.collect()}
+    the labelled rows of that language lie."""
+    chosen = _labelled(rows, id_col, text_col, lang_col, sample)
+    return reach_of(chosen.select("lang", predicted(F.col("text"), profiles, rows.sparkSession).alias("found")), share, margin)
+
+
+def reach_of(found: DataFrame, share: float = 0.999, margin: float = 1.3) -> dict[str, float]:
+    """The same from ``found`` (lang, found: what ``predicted`` gave) of the labelled rows; an exact quantile."""
+    own = found.where("found.lang_pred = lang").select("lang", F.col("found.distance").alias("distance"))
+    return {r["lang"]: min(1.0, margin * r["far"]) for r in exact_quantiles(own, ["lang"], "distance", {"far": share}).collect()}
 
 
 def predicted(text: Column, profiles: Profiles, spark) -> Column:

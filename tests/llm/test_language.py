@@ -93,3 +93,27 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and by[1] == "de" and by[2] == by[6] == by[None] == "en" and by[3] == by[4] == by[5] == "und"
     empty = language_id.fit(df.where("false"), "doc_id", "text", "lang")
     assert empty.langs == () and np.all([r.lang_pred == "und" for r in df.select(language_id.predicted(F.col("text"), empty, spark).alias("x")).select("x.*").collect()])
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """Row k has a letter of its own k times, so that a profile of 400 from a part of the rows is another one; and so is the
+    bound of a language of which a few rows are far off."""
+    rows = [(k, chr(0x4E00 + k) * k, "x") for k in range(1, 5001)] + [(6000, "z", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = language_id.fit(df, "doc_id", "text", "lang")
+    total = {}
+    for _, text, lang in rows:
+        for g, n in brute_counts(text).items():
+            total[lang, code(g)] = total.get((lang, code(g)), 0) + n
+    for lang, grams in zip(p.langs, p.grams):
+        assert list(grams) == sorted((g for x, g in total if x == lang), key=lambda g: (-total[lang, g], g))[: p.size]
+    held, language_id.HELD = language_id.HELD, 100  # counts that a task hands on early add up to the same
+    try:
+        parts = list(language_id._grams(iter(df.select("lang", "text").limit(300).repartition(1).toArrow().to_batches(50))))
+        assert len(parts) > 3 and sum(sum(b.column(2).to_pylist()) for b in parts) == sum(n for _, t, _ in rows[:300] for n in brute_counts(t).values())
+    finally:
+        language_id.HELD = held
+    found = df.select("lang", language_id.predicted(F.col("text"), p, spark).alias("found")).where("found.lang_pred = lang")
+    want = {lang: min(1.0, 1.3 * float(np.quantile([r.found.distance for r in found.collect() if r.lang == lang], 0.999))) for lang in ("x", "y")}
+    got = language_id.reach(df, p, "doc_id", "text", "lang")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)

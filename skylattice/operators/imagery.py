@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from skylattice.functions import raster
-from skylattice.operators import rasters
+from skylattice.operators import rasters, tiles
 from skylattice.operators.graph import connected_components, written
 from skylattice.operators.quantiles import exact_quantiles
 
@@ -25,25 +26,34 @@ def cloud_mask(px: DataFrame, res: float) -> DataFrame:
 
     Clouds are bright against the scene's median and hardly coloured; texture speaks against all but the brightest.
     Shadows are dark against the median and lie within 1200 m of a cloud. Both are opened, then grown by 30 m or five
-    pixels. Windows are squares.
+    pixels. Windows are squares. All of them are computed in one pass over tiles that see as far as they reach together.
     """
-    keys, odd = ("scene",), lambda m, least: max(least, int(m / res) | 1)
+    odd = lambda m, least: max(least, int(m / res) | 1)
     mid = exact_quantiles(px, ["scene"], "gray", {"mid": 0.5})
     rows = px.join(F.broadcast(mid), "scene")  # a row per scene
-    rows = rows.withColumn("spread", F.greatest("r", "g", "b") - F.least("r", "g", "b"))
-    rows = rasters.blur(rows, "gray", max(1.0, 2.0 / res), keys, "smooth")
-    rows = rasters.edges(rows, "smooth", keys, "edge").withColumn("rough", (F.round("edge", 9) > 0.10).cast("double"))
-    rows = rasters.box_mean(rows, "rough", 4, keys, "texture")
-    g, wide = F.col("gray"), F.round("spread", 9)
+    g, wide = F.col("gray"), F.round(F.greatest("r", "g", "b") - F.least("r", "g", "b"), 9)
     bright = F.round(g - F.greatest(F.lit(CLOUD_LUM), F.least(F.col("mid") + 0.15, F.lit(CLOUD_SURE))), 9) > 0
-    cloud = bright & (wide < CLOUD_SPREAD) & ((F.round("texture", 9) < 0.35) | (g > CLOUD_SURE))
     shadow = (F.round(g - F.col("mid") * SHADOW_DROP, 9) < 0) & (wide < CLOUD_SPREAD + 0.06)
-    rows = rows.select("scene", "row", "col", cloud.alias("cloud"), shadow.alias("shadow"))
-    grow, near = odd(30.0, 11) // 2, odd(1200.0, 3) // 2
-    rows = rasters.dilate(rasters.opened(rows, "cloud", 1, keys), "cloud", grow, keys)
-    rows = rasters.opened(rows, "shadow", 1, keys)
-    rows = rasters.dilate(rows.withColumn("near", F.col("cloud")), "near", near, keys)
-    return rasters.dilate(rows.withColumn("shadow", F.col("shadow") & F.col("near")), "shadow", grow, keys).drop("near")
+    flag = lambda x: F.coalesce(F.when(x, tiles.YES).otherwise(F.when(~x, tiles.NO)), F.lit(tiles.UNKNOWN)).cast("byte")
+    flags = [flag(x).alias(k) for k, x in (("bright", bright & (wide < CLOUD_SPREAD)), ("sure", g > CLOUD_SURE), ("shadow", shadow))]
+    rows = rows.select("scene", "row", "col", g.cast("double").alias("gray"), *flags)
+    weights, texture, grow, near = rasters.gaussian(max(1.0, 2.0 / res)), 4, odd(30.0, 11) // 2, odd(1200.0, 3) // 2
+
+    def found(table: pa.Table) -> pa.Table:
+        row, col, gray, bright, sure, shadow = (table[k].to_numpy() for k in ("row", "col", "gray", "bright", "sure", "shadow"))
+        tile, state = tiles.Tile(row, col), lambda unknown, yes: np.where(unknown, tiles.UNKNOWN, np.where(yes, tiles.YES, tiles.NO))
+        edge = tile.edges(tile.blurred(gray.astype(float), weights))
+        rough = tile.share(state(np.isnan(edge), np.round(edge, 9) > 0.10), texture)
+        cloud = np.minimum(bright, np.maximum(state(np.isnan(rough), np.round(rough, 9) < 0.35), sure))
+        cloud = tile.grown(tile.opened(cloud, 1), grow)
+        shadow = np.minimum(tile.opened(shadow, 1), tile.grown(cloud, near))
+        shadow = tile.grown(shadow, grow)
+        shown = [pa.array(x == tiles.YES, mask=x == tiles.UNKNOWN) for x in (cloud, shadow)]
+        return pa.table([*[table[k] for k in ("scene", "row", "col")], *shown], names=["scene", "row", "col", "cloud", "shadow"])
+
+    types = dict(rows.dtypes)
+    reach = len(weights) - 1 + 2 + texture + 2 + grow + near + grow
+    return rasters.over_tiles(rows, reach, ("scene",), found, ", ".join(f"{k} {types[k]}" for k in ("scene", "row", "col")) + ", cloud boolean, shadow boolean")
 
 
 def zones(stats: DataFrame, edges: DataFrame, least: float = 0.01) -> DataFrame:

@@ -49,6 +49,32 @@ def over_rows(raster: DataFrame, reach: int, keys: tuple, make) -> DataFrame:
     return halo.withColumns(make(w)).where(F.col("__block") == of(F.col("row"))).drop("__block")
 
 
+#: Rows, and columns, of a tile.
+TILE = 512
+
+
+def over_tiles(raster: DataFrame, reach: int, keys: tuple, make, schema: str) -> DataFrame:
+    """What ``make`` gives for square tiles of a raster (Arrow tables with the ``reach`` pixels around, in one shuffle), as far
+    as it lies in the tile itself. ``schema`` names ``keys``, row and col first. Pixels without a row or column go."""
+    size, ends = max(TILE, reach), raster.agg(*[f(k) for k in ("row", "col") for f in (F.min, F.max)]).first()
+    of = lambda x: F.floor(x / size).cast("long")
+
+    def blocks(k: str, low: int | None, high: int | None) -> Column:
+        """The tile of a place, and those that it is beside; none that lie outside of the raster."""
+        near = F.array(F.greatest(of(F.col(k) - reach), of(F.lit(low or 0))), of(F.col(k)), F.least(of(F.col(k) + reach), of(F.lit(high or 0))))
+        return F.explode(F.array_distinct(near))
+
+    def run(key, table):
+        import pyarrow.compute as pc
+
+        found = make(table)
+        own = [pc.equal(pc.floor(pc.divide(pc.cast(found[k], "double"), float(size))), float(at.as_py())) for k, at in zip(("row", "col"), key[-2:])]
+        return found.filter(pc.and_(*own))
+
+    halo = raster.where("row is not null and col is not null").withColumn("__tr", blocks("row", ends[0], ends[1])).withColumn("__tc", blocks("col", ends[2], ends[3]))
+    return halo.groupBy(*keys, "__tr", "__tc").applyInArrow(run, schema)
+
+
 def over_columns(raster: DataFrame, keys: tuple, make) -> DataFrame:
     """The same along each row."""
     return raster.withColumns(make(Window.partitionBy(*keys, "row").orderBy("col")))

@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from skylattice.operators import imagery, retrieval, shadows
+from skylattice.operators import imagery, rasters, retrieval, shadows
 from skylattice.plans import features, streams
 from skylattice.plans import imagery as plans
 from skylattice.plans import rasters as rasters_plans
@@ -95,3 +95,37 @@ def test_shapes_list_their_own_texels(spark, sf_dir):
     """Texels of a block are not paired with all shapes of it."""
     found = plan(rasters_plans.burnt(spark, sf_dir))
     assert "LeftSemi" in found and "Inner" not in found
+
+
+def test_cloud_mask_is_one_pass_over_tiles(spark, sf_dir, monkeypatch):
+    """Pixels are dealt once (beside the counts of the median), and the size of the tiles changes nothing, with gaps in the
+    raster and unknown values as well."""
+    assert plan(plans.cloud_mask(spark, sf_dir)).count("Exchange hashpartitioning") <= 2
+    row, col = F.col("row"), F.col("col")
+    gray = F.when((row % 90 < 30) & (col % 110 < 40), 0.85).when((row % 90 > 45) & (row % 90 < 60), 0.1).otherwise(0.3 + F.pmod(F.xxhash64("row", "col"), F.lit(64)) / 640)
+    px = spark.range(240 * 230).select(F.floor(F.col("id") / 230).alias("row"), (F.col("id") % 230).alias("col")).where(F.pmod(F.xxhash64("col", "row"), F.lit(37)) > 0)
+    px = px.withColumn("gray", F.when(F.pmod(F.xxhash64("row", "col"), F.lit(101)) > 0, gray)).selectExpr("0 as scene", "row", "col", "gray", "gray as r", "gray * 0.98 as g", "gray * 0.95 as b")
+    found = []
+    for size in (512, 1):  # 1: tiles of as many pixels as the windows reach
+        monkeypatch.setattr(rasters, "TILE", size)
+        found.append(sorted(map(tuple, imagery.cloud_mask(px, 10.0).collect())))
+    assert found[0] == found[1] and len(found[0]) == px.count() and 0 < sum(bool(x[3]) for x in found[0]) < len(found[0]) and any(x[4] for x in found[0])
+
+
+def test_streams_are_written_in_slices(spark, sf_dir, monkeypatch):
+    """No file of a stream holds more than a slice, slices follow each other in time, and joins lose nothing between them."""
+    rows = streams.sensor_rows(spark, sf_dir)
+    n = rows.count()
+    monkeypatch.setattr(streams, "ROWS", n // 7 + 1)
+    paths = []
+    made = streams.table_path
+    monkeypatch.setattr(streams, "table_path", lambda spark, kind: paths.append((kind, made(spark, kind))) or paths[-1][1])
+    got = [tuple(x) for x in streams.stream_join(spark, sf_dir).select("frame_id").collect()]
+    assert sorted(got) == [(k,) for k in sorted(x.frame_id for x in streams.truth_rows(spark, sf_dir).collect())]
+    files = [p for kind, p in paths if kind == "stream"]
+    for path in files:
+        held = spark.read.parquet(path).groupBy(F.input_file_name().alias("f"), F.input_file_name().alias("x")).agg(F.count("*").alias("k"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
+        assert len(held) >= 7 and max(r.k for r in held) < n // 3 and all(x.b < y.a for x, y in zip(held, held[1:]))
+    rows = streams.sensor_rows(spark, sf_dir).repartition(5)  # an unordered stream keeps the partitions that rows come in
+    before = len(paths)
+    assert streams.as_stream(spark, rows).isStreaming and len(spark.read.parquet(paths[before][1]).inputFiles()) == 5

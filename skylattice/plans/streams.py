@@ -29,17 +29,36 @@ def truth_rows(spark, sf_dir):
     return domain.frames(spark, sf_dir).where("frame_id % 97 <> 0").withColumn("ts", ts).select("frame_id", "ts", "truth_e", "truth_n", "truth_u")
 
 
+#: Rows that a micro-batch of an ordered stream brings.
+ROWS = 2_000_000
+
+
 def as_stream(spark, rows, files: int = 1, ordered: bool = False):
-    """A table of ``rows`` read as a stream of Parquet files; ``ordered``: the files follow each other in time."""
+    """A table of ``rows`` read as a stream of Parquet files, in about ``files`` micro-batches. No task writes more than the
+    split that it reads, or a slice.
+
+    ``ordered``: micro-batches follow each other in time, in slices of about ``ROWS`` rows at most, so that what a stream
+    keeps of them does not grow with the table."""
     path = table_path(spark, "stream")
     if ordered:
-        low, high = rows.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
-        step = F.least(F.lit(files - 1), F.floor((c("ts").cast("double") - (low or 0.0)) / max((high or 1.0) - (low or 0.0), 1e-6) * files))
-        for k in range(files):
-            rows.where(step == k).coalesce(1).write.mode("append").parquet(path)
-    else:
-        rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        n = rows.count()
+        sliced(spark, rows, max(files, -(-n // ROWS)), path)
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    (rows.repartition(files) if rows.rdd.getNumPartitions() < files else rows).write.parquet(path)
+    written = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-written // files))).parquet(path)
+
+
+def sliced(spark, rows, slices: int, path: str) -> None:
+    """``rows`` as files that follow each other in time, of about equally many rows; rows of one time stay together."""
+    if slices > 1:
+        at, staged = c("ts").cast("double"), table_path(spark, "staged")
+        cuts = rows.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
+        part = sum((F.when(at > cut, 1).otherwise(0) for cut in sorted(set(cuts))), F.lit(0))
+        rows.withColumn("slice", part).repartition("slice", F.pmod(F.xxhash64("ts"), F.lit(8))).write.partitionBy("slice").parquet(staged)
+        found = spark.read.schema(StructType([*rows.schema.fields, StructField("slice", IntegerType())])).parquet(staged)
+    for k in range(slices):
+        (found.where(c("slice") == k).drop("slice") if slices > 1 else rows).coalesce(1).write.mode("append").parquet(path)
 
 
 def drained(spark, stream, mode: str = "append", each=None):
@@ -60,7 +79,7 @@ def drained(spark, stream, mode: str = "append", each=None):
 
 @query("R01_stream_join", with_tables("frames", f"SELECT frame_id, round({ERR}, 4) AS err FROM frames WHERE frame_id % 97 <> 0"))
 def stream_join(spark, sf_dir):
-    joined = flight.join_truth(as_stream(spark, sensor_rows(spark, sf_dir)), as_stream(spark, truth_rows(spark, sf_dir)))
+    joined = flight.join_truth(as_stream(spark, sensor_rows(spark, sf_dir), ordered=True), as_stream(spark, truth_rows(spark, sf_dir), ordered=True))
     return drained(spark, joined.select("frame_id", r(evaluate.horizontal_error()).alias("err")))
 
 

@@ -65,3 +65,26 @@ def test_every_occurrence_has_its_own_dropout(spark, sf_dir):
         assert enc.encode([doc_id], [text])[0].tolist() == want
     ways = {tuple(x.tolist()) for x in Encoder(MODEL, 0.3, 0).encode(list(range(500)), ["understanding"] * 500)}
     assert len(ways) > 8
+
+
+def test_outcomes_with_skips_are_not_merged_anew(monkeypatch):
+    """Frequent words, most occurrences of which skip candidates: each segmentation is merged about once, and is the heap's."""
+    v, rows, together = vocabulary(MODEL), [], merge_dropout.together
+    monkeypatch.setattr(merge_dropout, "together", lambda words, *more: rows.append(len(words)) or together(words, *more))
+    words = ["the", "understanding", "café一s", "of\nthem", "▁▁x", "nobody"]
+    texts = [" ".join(words[(i + k) % len(words)] for k in range(200)) for i in range(60)]
+    for limit in (300_000, 40):
+        rows.clear()
+        enc = Encoder(MODEL, 0.1, 3, limit)
+        for at in range(0, 60, 20):
+            got = enc.encode(list(range(at, at + 20)), texts[at : at + 20])
+            for doc_id, text, found in zip(range(at, at + 20), texts[at : at + 20], got):
+                assert enc.decode(found) == text
+                if doc_id % 10 == 0:
+                    want = []
+                    for k, w in enumerate(merge_dropout._WORDS.findall(SPACE + text.replace(SPACE, merge_dropout.LITERAL).replace(" ", SPACE))):
+                        key = merge_dropout._mixed_one(merge_dropout._mixed_one(doc_id + 3) + k)
+                        for x, i in agenda([v.chars.get(c, -1) for c in w], key, 0.1, v):
+                            want += [x] if x >= 0 else v.byte_ids[list((SPACE if w[i] == merge_dropout.LITERAL else w[i]).encode())].tolist()
+                    assert found.tolist() == want, doc_id
+        assert len(enc.patterns) <= limit and (limit == 40 or sum(rows) < 0.25 * 60 * 200)

@@ -9,7 +9,7 @@
    and more with its set's size. A group heavier than ``block`` is ordered by set size and cut into blocks, and each pair
    of blocks is a task of its own, so no task holds more than two blocks, however long the texts are. Similar pairs are
    counted where they are found; only a row per class and block pair leaves it, with an edge to the smallest class that
-   it is connected to there.
+   it is connected to there. Only texts of candidate groups are dealt; others are told by a bitmap and stay in place.
 4. Connected components of these edges are the classes' groups of near copies.
 
 Defined results: words are what white space separates, in lower case; a text of fewer than ``n`` words is one n-gram;
@@ -229,6 +229,18 @@ def _block_pairs(many: DataFrame, how: Join) -> DataFrame:
     return placed.join(sides, ["component", "at"]).select("rep", "node", "m", F.col("component").alias("grp"), "side", "unit")
 
 
+def _possible(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``possible``: false only where ``key``, a 64-bit hash, is not among ``keys``. Hashes set bits of a map
+    of 32 million, 4 MB at any number of keys, so rows that no key can meet need not be dealt to find that out. Of the
+    others some are possible by chance: 5 % at 1.8 million keys, more beyond; a join with the keys decides."""
+    part = F.shiftrightunsigned("key", 54).alias("part")  # 1,024 parts of 32,768 bits
+    at = F.col("key").bitwiseAND(32767)
+    bits = keys.select(part, at.alias("at")).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    possible = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("part", part).join(F.broadcast(bits), "part", "left").withColumn("possible", possible).drop("part", "bits")
+
+
 def near_copies(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, key (hash of id and text), n_links (other documents that are similar to it, copies
     included), class_id (smallest id of the documents that it is connected to) and first (whether it is the one of its
@@ -258,7 +270,8 @@ def near_copies(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     unit = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string")
     small = small.select("rep", "node", "m", F.col("component").alias("grp"), F.lit(0).alias("side"), unit.alias("unit"))
     wanted = small.unionByName(_block_pairs(many.where(F.col("group_weight") > how.block), how))
-    units = docs.select("key", "text").join(wanted, F.col("key") == F.col("rep")).select("unit", "grp", "side", "node", "m", "text")
+    texts = _possible(docs.select("key", "text"), many.select(F.col("rep").alias("key"))).where("possible")
+    units = texts.join(wanted, F.col("key") == F.col("rep")).select("unit", "grp", "side", "node", "m", "text")
     found = written(_verify(units, how), "ngram-links")
 
     near = connected_components(found, "node", "other")
@@ -280,17 +293,18 @@ def near_copies(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
 
 def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, in its own columns. Row for row, a text without words stays."""
-    found = near_copies(docs, how, id_col, text_col).where("first").groupBy(F.col("key").alias("kept_key")).agg(F.count("*").alias("n"))
-    found = written(found, "ngram-kept")
+    found = near_copies(docs, how, id_col, text_col).groupBy("key").agg(F.count_if("first").alias("n"))
+    found = written(found.where("n <> 1"), "ngram-apart")
     # the row is one column of its own here, so its columns may have any names
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     id_, text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`").cast("string")
-    kept = rows.join(found, F.xxhash64(id_, text) == F.col("kept_key"))
-    if found.where("n > 1").isEmpty():  # no row comes twice, so the texts need not be read twice either
-        return kept.select("row.*")
-    single = (F.col("n") == 1) | ~F.coalesce(text.rlike(r"\S"), F.lit(False))
-    again = kept.where(~single).groupBy("kept_key").agg(F.first("row").alias("row"))
-    return kept.where(single).select("row").unionByName(again.select("row")).select("row.*")
+    rows = _possible(rows.withColumn("key", F.xxhash64(id_, text)), found)
+    sure, rest = rows.where(~F.col("possible")).select("row"), rows.where("possible").join(found, "key", "left")
+    if found.where("n > 1").isEmpty():  # no row comes twice, so the texts need not be read once more
+        return sure.unionByName(rest.where("n is null").select("row")).select("row.*")
+    single = F.col("n").isNull() | ((F.col("n") > 1) & ~F.coalesce(text.rlike(r"\S"), F.lit(False)))
+    again = rest.where((F.col("n") > 1) & ~single).groupBy("key").agg(F.first("row").alias("row"))
+    return sure.unionByName(rest.where(single).select("row")).unionByName(again.select("row")).select("row.*")
 
 
 #: The same in DuckDB, on the table ``documents`` with distinct ids, by counting the n-grams that any two texts share.

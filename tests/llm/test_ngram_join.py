@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from skylattice.llm import ngram_join, queries
 from skylattice.llm.components import connected_components
 from skylattice.llm.ngram_join import Join
@@ -68,6 +70,38 @@ def test_join_on_documents(spark, sf_dir):
     assert sorted((r.id, r.n_links, r.class_id) for r in got) == sorted(brute(rows)[0])
 
 
+def test_only_candidates_are_dealt(spark):
+    """Of texts of 12 MB that hardly compress, two in a hundred are near copies; neither they nor the others are shuffled
+    as a whole, however small the broadcasts."""
+    r = random.Random(8)
+    rows = [(k, " ".join(f"{r.getrandbits(64):x}" for _ in range(1200))) for k in range(600)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(12)] + [rows[20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sc, before = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def dealt():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    df = ngram_join.written(df, "test")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = dealt()
+        kept = [x.doc_id for x in ngram_join.one_of_each(df).collect()]
+        assert sorted(kept) == list(range(600)) and dealt() - at < 3_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bitmap_loses_no_key(spark):
+    rows = spark.range(-1500, 1500).select("id", F.xxhash64("id").alias("key")).unionByName(spark.createDataFrame([(9000 + k, v) for k, v in enumerate([0, -1, 2**63 - 1, -(2**63), 32767, 1 << 54])], "id long, key long"))
+    keys = rows.where("id % 3 = 0").select("key")
+    found = {x.id: x.possible for x in ngram_join._possible(rows, keys).collect()}
+    assert len(found) == rows.count() and all(found[k] for k in found if k % 3 == 0)
+    assert sum(found[k] for k in found if k % 3) < 20
+    assert not any(x.possible for x in ngram_join._possible(rows, keys.where("false")).collect())
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(4000, 4100)] + [(None, 3), (7, 7)]

@@ -49,16 +49,30 @@ def as_stream(spark, rows, files: int = 1, ordered: bool = False):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-written // files))).parquet(path)
 
 
-def sliced(spark, rows, slices: int, path: str) -> None:
-    """``rows`` as files that follow each other in time, of about equally many rows; rows of one time stay together."""
+def sliced(spark, rows, slices: int, path: str, at=None, files: int = 1, wide=lambda x: x) -> None:
+    """``rows`` as files that follow each other in time, of about equally many rows; rows of one time stay together. The time
+    is ``at``, else ``ts``. With more ``files`` than one, each slice is a folder of just as many under ``path``. ``wide``
+    gives the rows to write, so that columns which it adds need not be staged."""
+    found, at = rows, c("ts").cast("double") if at is None else at
     if slices > 1:
-        at, staged = c("ts").cast("double"), table_path(spark, "staged")
+        staged = table_path(spark, "staged")
         cuts = rows.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
         part = sum((F.when(at > cut, 1).otherwise(0) for cut in sorted(set(cuts))), F.lit(0))
         rows.withColumn("slice", part).repartition("slice", F.pmod(F.xxhash64("ts"), F.lit(8))).write.partitionBy("slice").parquet(staged)
         found = spark.read.schema(StructType([*rows.schema.fields, StructField("slice", IntegerType())])).parquet(staged)
     for k in range(slices):
-        (found.where(c("slice") == k).drop("slice") if slices > 1 else rows).coalesce(1).write.mode("append").parquet(path)
+        own = wide(found.where(c("slice") == k).drop("slice") if slices > 1 else rows)
+        if files == 1:
+            own.coalesce(1).write.mode("append").parquet(path)
+        else:
+            spread(spark, own, f"{path}/{k}", files)
+
+
+def spread(spark, rows, path: str, files: int) -> None:
+    """``rows`` as just so many files in a folder of their own, of which some are empty where there are few rows."""
+    rows.repartition(files).write.parquet(path)
+    for _ in range(files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+        spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
 
 
 def drained(spark, stream, mode: str = "append", each=None):
@@ -124,19 +138,24 @@ def at_time(t):
     return F.timestamp_micros(((t + 1.7e9) * 1e6).cast("long"))
 
 
-def flight_rows(spark, sf_dir):
-    """Flights along smooth paths at five frames a second, with the measurements of every frame in their order.
-
-    Retrieval and regression are some metres off and every 17th regression far off; the sun is seen in every fifth frame, the
-    ground in two of three, and odometry has few inliers at times. Every 1,500 frames, one time in four, the drones are
-    carried 600 m away.
-    """
+def flight_paths(spark, sf_dir):
+    """Flights along smooth paths at five frames a second. Every 1,500 frames, one time in four, the drones are carried 600 m
+    away."""
     k, turn = c("frame_id"), c("frame_id") / 300.0
-    jitter = lambda a, m, scale: (k * a % m - m // 2) / scale
     rows = domain.frames(spark, sf_dir).select("frame_id", c("run").alias("drone"), (k * 0.2).alias("t"), at_time(k * 0.2).alias("ts"), ((F.floor(k / 1500) % 4) == 3).alias("carried"))
     e, n = 800.0 * F.sin(turn + c("drone")) + F.when(c("carried"), 600.0).otherwise(0.0), 800.0 * F.cos(turn + c("drone"))
     rows = rows.withColumn("e", e).withColumn("n", n).withColumn("u", 60.0 + 20.0 * F.sin(turn * 2)).withColumn("yaw", F.pmod(F.degrees(turn + c("drone")) + 90.0, F.lit(360.0)))
-    none = F.lit(None)
+    return rows.drop("carried")
+
+
+def with_measurements(paths):
+    """Frames of ``flight_paths`` with their measurements in their order.
+
+    Retrieval and regression are some metres off and every 17th regression far off; the sun is seen in every fifth frame, the
+    ground in two of three, and odometry has few inliers at times.
+    """
+    k, none = c("frame_id"), F.lit(None)
+    jitter = lambda a, m, scale: (k * a % m - m // 2) / scale
 
     def one(kind, value, sigma=none, cov=none, inliers=none):
         fields = {"kind": F.lit(kind), "value": F.array(*[x.cast("double") for x in value]), "sigma": sigma.cast("double"), "cov": cov.cast("array<double>"), "n": inliers.cast("int")}
@@ -151,7 +170,11 @@ def flight_rows(spark, sf_dir):
         one("altitude", [c("u") + jitter(11, 7, 2.0)], F.lit(3.0)), one("odometry", [jitter(7, 11, 10.0), 2.667 * 8 * 0.2 + jitter(13, 9, 10.0)], inliers=20 + k % 30),
     )
     seen = F.filter(listed, lambda m: ((m["kind"] != "sun_yaw") | (k % 5 == 0)) & ((m["kind"] != "altitude") | (k % 3 != 0)))
-    return rows.select("drone", "frame_id", "t", "ts", seen.alias("measurements"))
+    return paths.select("drone", "frame_id", "t", "ts", seen.alias("measurements"))
+
+
+def flight_rows(spark, sf_dir):
+    return with_measurements(flight_paths(spark, sf_dir))
 
 
 @query("R03_error_state_filter")
@@ -182,25 +205,22 @@ def landed(spark, rows, delay: int):
     return end.select("drone", (c("frame_id") + 1).alias("frame_id"), "t", at_time(c("t")).alias("ts"), F.array().cast(f"array<{fusion.MEASUREMENT}>").alias("measurements"))
 
 
-#: Frames that a micro-batch of the stream brings.
-SLICE = 200_000
+#: Frames that a micro-batch of the stream brings, and files that they come in.
+SLICE, FILES = 1_000_000, 8
+
+
+def late_stream(spark, paths):
+    """Frames of ``flight_paths`` as a stream in which they come up to four seconds late, a micro-batch for each slice."""
+    path, n, rows = table_path(spark, "stream"), paths.count(), with_measurements(paths)
+    sliced(spark, paths, max(3, -(-n // SLICE)), path, c("t") + c("frame_id") * 7 % 40 / 10.0, FILES, with_measurements)
+    landed(spark, paths, 10).coalesce(1).write.parquet(f"{path}/landed")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/*")
 
 
 @query("R03_filter_stream")
 def filter_stream(spark, sf_dir):
     """The same filter over a stream whose frames come out of order, with its state kept between micro-batches."""
-    rows = flight_rows(spark, sf_dir)
-    moved = rows.withColumn("at", c("t") + c("frame_id") * 7 % 40 / 10.0)  # up to four seconds late
-    path, staged, schema = table_path(spark, "stream"), table_path(spark, "staged"), rows.schema
-    high, n = moved.agg(F.max("at"), F.count("*")).first()
-    slices = max(3, -(-n // SLICE))
-    moved.withColumn("slice", F.least(F.lit(slices - 1), F.floor(c("at") / ((high or 0.0) / slices + 1e-9))).cast("int")).drop("at").repartition("slice").write.partitionBy("slice").parquet(staged)
-    for k in range(slices):  # a file each, so files follow each other in time
-        part = spark.read.schema(StructType([*schema.fields, StructField("slice", IntegerType())])).parquet(staged).where(c("slice") == k)
-        part.drop("slice").coalesce(1).write.mode("append").parquet(path)
-    landed(spark, rows, 10).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = drained(spark, fusion.fuse_stream(stream))
+    out = drained(spark, fusion.fuse_stream(late_stream(spark, flight_paths(spark, sf_dir))))
     return out.select("drone", "frame_id", *[r(c(k)).alias(k) for k in ("e", "n", "u", "ve", "vn", "heading", "sigma", "confidence")])
 
 

@@ -1,8 +1,13 @@
 """The fusion filter against a textbook filter of seven states, golden trajectories, and the stream against the batch."""
 
 import math
+import os
+import time
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from skylattice.plans import streams
@@ -157,3 +162,115 @@ def test_stream_goes_on_where_it_was_stopped(spark, sf_dir, tmp_path):
     streams.landed(spark, rows, 10).write.mode("append").parquet(source)
     run()
     assert 0 < first < len(want) and sorted(map(tuple, spark.read.parquet(sink).collect())) == want
+
+
+def test_a_frame_costs_a_fraction_of_the_textbook_filter():
+    def least(kind):
+        took = []
+        for _ in range(5):
+            f, began = kind(), time.process_time()
+            for t, ms in given:
+                f.frame(t, ms)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    given = frames(7)
+    assert least(Fusion) * 4 < least(Textbook)
+
+
+def test_flat_measurements_are_those_of_the_structs(spark):
+    odd = [
+        [("retrieval", [1.0, 2.0, 3.0], None, [4.0, 1.0, 0.5, 1.0, 5.0, 0.25, 0.5, 0.25, 6.0], None), ("retrieval_yaw", [370.0], 9.0, None, None)],
+        [("odometry", [0.1, 0.2], None, None, 30), ('said "so", \u00e9', [7.0], 1.0, None, None), ("sun_yaw", [5.0], 4.0, [], 0), ("altitude", [3.5], 2.0, None, None)],
+        None,
+        [],
+        [("unknown", None, None, None, None), ("regression", [2.0, 2.0, 2.0], 3.0, None, None), ("odometry", [0.1, 0.2], 1.0, None, 5)],
+    ]
+    rows = spark.createDataFrame([(1, k, k * 0.2, ms) for k, ms in enumerate(odd)], f"drone long, frame_id long, t double, measurements array<{fusion.MEASUREMENT}>")
+    f, want = Fusion(), []
+    for k, ms in enumerate(odd):
+        given = [{n: v for n, v in zip(("kind", "value", "sigma", "cov", "n"), m) if v is not None} for m in ms or [] if m[0] != "unknown"]
+        began, used = f.frame(k * 0.2, given)
+        want.append((k, *f.x[:3].tolist(), math.degrees(f.yaw) % 360, f.spread, f.confidence, began, ",".join(f"{a}:{int(b)}" for a, b in used)))
+    got = fusion.fuse_flights(rows).select("frame_id", "e", "n", "u", "heading", "sigma", "confidence", "started", "used").orderBy("frame_id").collect()
+    assert [tuple(r) for r in got] == want and "odometry:1" in got[1].used
+
+
+class Kept:
+    """A value or a list, as a state store keeps it."""
+
+    def __init__(self):
+        self.rows = []
+
+    exists = lambda self: bool(self.rows)
+    clear = lambda self: self.rows.clear()
+    appendList = lambda self, rows: self.rows.extend(rows)  # noqa: E731, N815
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+
+class KeptValue(Kept):
+    get = lambda self: self.rows[0]
+
+    def update(self, row):
+        self.rows = [row]
+
+
+class KeptList(Kept):
+    get = lambda self: iter(list(self.rows))
+
+
+class Handle:
+    getValueState = lambda self, name, schema: KeptValue()  # noqa: E731, N815
+    getListState = lambda self, name, schema: KeptList()  # noqa: E731, N815
+    registerTimer = lambda self, ms: None  # noqa: E731, N815
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def arrow(spark, listed, order):
+    rows = spark.createDataFrame([(d, k, t, [(m["kind"], m["value"], m.get("sigma"), m.get("cov"), m.get("n")) for m in ms]) for d, k, t, ms in listed], f"drone long, frame_id long, t double, measurements array<{fusion.MEASUREMENT}>")
+    table = fusion._plain(rows.withColumn("ts", streams.at_time(F.col("t"))), "ts", (F.col("t") * 1000).cast("long").alias("ms")).toArrow()
+    return table.take(order).combine_chunks().to_batches()[0]
+
+
+def test_waiting_frames_are_kept_by_the_batch_and_late_ones_left_out(spark):
+    listed = [(d, k, t + k * 0.01, ms) for d in (3, 5) for k, (t, ms) in enumerate(frames(2, 120))]
+    batch = arrow(spark, listed, np.random.default_rng(1).permutation(len(listed)))
+    packs = pa.Table.from_batches(fusion.packs(iter([batch]))).to_pandas()
+    assert packs["drone"].tolist() == [3, 5] and packs["last"].max() == max(batch["ms"].to_pylist())
+    p = fusion.FusionProcessor()
+    p.init(Handle())
+    p.handleInputRows((5,), iter([packs[packs["drone"] == 5]]), None)
+    assert len(p.waiting.rows) == 1  # not a row for every frame
+    half = int(listed[60][2] * 1000)
+    got = list(p.handleExpiredTimer((5,), Mark(half), None))
+    late = arrow(spark, [(5, 999, 0.5, [])], [0])
+    p.handleInputRows((5,), iter([pa.Table.from_batches(fusion.packs(iter([late]))).to_pandas()]), None)
+    got += list(p.handleExpiredTimer((5,), Mark(10**9), None))
+    f, want = Fusion(), []
+    for d, k, t, ms in listed[120:]:
+        f.frame(t, ms)
+        want.append((k, *f.x[:3].tolist()))
+    assert [tuple(x) for x in pd.concat(got)[["frame_id", "e", "n", "u"]].itertuples(index=False)] == want and not p.waiting.rows
+
+
+@pytest.mark.parametrize("n", [0, 5, 900])
+def test_micro_batches_are_bounded_though_times_are_crowded(spark, sf_dir, monkeypatch, tmp_path, n):
+    monkeypatch.setattr(streams, "SLICE", 100)
+    made = []
+    monkeypatch.setattr(streams, "table_path", lambda spark, kind: made.append(f"{tmp_path}/{kind}") or made[-1])
+    paths = streams.flight_paths(spark, sf_dir).where(F.col("frame_id") < n)
+    t = F.when(F.col("frame_id") == n - 1, 1e6).otherwise(F.col("t"))  # one frame long after all others
+    streams.late_stream(spark, paths.withColumn("t", t).withColumn("ts", streams.at_time(t)))
+    slices = sorted((x for x in os.listdir(made[0]) if x != "landed"), key=int)
+    files = [[f"{made[0]}/{k}/{x}" for x in os.listdir(f"{made[0]}/{k}") if x.endswith(".parquet")] for k in slices]
+    assert {len(x) for x in files} == {streams.FILES}  # a micro-batch takes a slice, not more or less
+    rows = [spark.read.parquet(*x).count() for x in files]
+    assert sum(rows) == n and max(rows) <= max(120, -(-n // 3) + 1)
+    times = [[os.stat(f).st_mtime_ns for f in x] for x in files]
+    assert all(max(a) < min(b) for a, b in zip(times, times[1:]))

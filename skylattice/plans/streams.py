@@ -61,16 +61,17 @@ def sliced(spark, rows, slices: int, path: str, at=None, files: int = 1, wide=la
         rows.withColumn("slice", part).repartition("slice", F.pmod(F.xxhash64("ts"), F.lit(8))).write.partitionBy("slice").parquet(staged)
         found = spark.read.schema(StructType([*rows.schema.fields, StructField("slice", IntegerType())])).parquet(staged)
     for k in range(slices):
-        own = wide(found.where(c("slice") == k).drop("slice") if slices > 1 else rows)
+        own = found.where(c("slice") == k).drop("slice") if slices > 1 else rows
         if files == 1:
-            own.coalesce(1).write.mode("append").parquet(path)
+            wide(own).coalesce(1).write.mode("append").parquet(path)
         else:
-            spread(spark, own, f"{path}/{k}", files)
+            spread(spark, wide(own.repartition(files)), f"{path}/{k}", files)
 
 
 def spread(spark, rows, path: str, files: int) -> None:
-    """``rows`` as just so many files in a folder of their own, of which some are empty where there are few rows."""
-    rows.repartition(files).write.parquet(path)
+    """``rows`` of so many partitions as just so many files in a folder of their own, of which some are empty where there are
+    few rows."""
+    rows.write.parquet(path)
     for _ in range(files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
         spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
 
